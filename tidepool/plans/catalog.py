@@ -1,6 +1,6 @@
 """All registered queries (importing the plan modules registers them)."""
 
-from . import models, topics  # noqa: F401
+from . import models, streams, topics  # noqa: F401
 from .common import REGISTRY, Query
 
 __all__ = ["REGISTRY", "Query"]
