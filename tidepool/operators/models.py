@@ -139,12 +139,18 @@ def _check_inputs(build: DataFrame, spec: ModelSpec) -> None:
             checks.append(F.sum(bad.cast("int")).alias(f"bad_{len(checks)}"))
     if spec.algorithm == "linear_svm":
         checks.append(F.count_distinct("label").alias("classes"))
+    text_vars = [v for v in spec.variables if isinstance(build.schema[v].dataType, T.StringType)]
+    for i, v in enumerate(text_vars):
+        checks.append(F.approx_count_distinct(F.col(f"`{v}`")).alias(f"levels_{i}"))
     row = build.agg(*checks).first()
     if row["n"] == 0:
         raise ValueError("the build slice is empty")
     for k, v in row.asDict().items():
         if k.startswith("bad_") and v:
             raise ValueError("naive bayes needs features that are 0/1 (binarise them first)")
+    for i, v in enumerate(text_vars):
+        if row[f"levels_{i}"] < 2:
+            raise ValueError(f"categorical variable {v!r} has fewer than two values in the build rows")
     if spec.algorithm == "linear_svm" and row["classes"] > 2:
         raise ValueError(f"linear SVM is binary; the label has {row['classes']} classes")
 

@@ -60,14 +60,6 @@ class TopicSource:
         else:
             raise ValueError(f"unknown topic format {self.fmt!r}")
 
-    @property
-    def topic_folder(self) -> str:
-        """Folder holding this topic's files."""
-        assert self.path is not None
-        if self.name is None:
-            return self.path
-        return self.path
-
 
 def _message_frame(df: DataFrame, src: TopicSource) -> DataFrame:
     if src.fmt == "kafka":
@@ -103,18 +95,34 @@ def _kafka_reader(reader, src: TopicSource, streaming: bool):
     return r
 
 
+def _resolve(spark: SparkSession, src: TopicSource) -> tuple[str, dict]:
+    """Folder to list and reader options.  A named topic inside a
+    multi-topic folder reads only its ``topic=<name>`` sub-folder (the topic
+    column then comes from the name), so other topics' files are never
+    listed or read."""
+    assert src.path is not None
+    if src.name is None:
+        return src.path, {}
+    sub = f"{src.path.rstrip('/')}/topic={src.name}"
+    try:
+        spark.read.format("text").load(sub)
+    except AnalysisException:
+        return src.path, {}
+    return sub, {}
+
+
 def read_stream(spark: SparkSession, src: TopicSource) -> DataFrame:
     """Streaming message frame of a topic, replayed from the earliest message."""
     if src.fmt == "kafka":
         return _message_frame(_kafka_reader(spark.readStream, src, True).load(), src)
+    folder, opts = _resolve(spark, src)
     reader = spark.readStream.format("text")
     if src.max_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(src.max_per_trigger))
-    for k, v in src.options.items():
+    for k, v in {**opts, **src.options}.items():
         reader = reader.option(k, v)
-    df = reader.load(src.topic_folder)
-    df = _message_frame(df, src)
-    if src.name is not None and "topic" in df.columns:
+    df = _message_frame(reader.load(folder), src)
+    if src.name is not None:
         df = df.where(F.col("topic") == src.name)
     return df
 
@@ -124,8 +132,11 @@ def read_batch(spark: SparkSession, src: TopicSource) -> DataFrame:
     and for replays that need no state."""
     if src.fmt == "kafka":
         return _message_frame(_kafka_reader(spark.read, src, False).load(), src)
-    df = spark.read.format("text").load(src.topic_folder)
-    df = _message_frame(df, src)
+    folder, opts = _resolve(spark, src)
+    reader = spark.read.format("text")
+    for k, v in opts.items():
+        reader = reader.option(k, v)
+    df = _message_frame(reader.load(folder), src)
     if src.name is not None:
         df = df.where(F.col("topic") == src.name)
     return df
@@ -140,11 +151,10 @@ def check_source(spark: SparkSession, src: TopicSource) -> None:
         return
     try:
         df = read_batch(spark, src)
-        if src.name is not None and "topic" in spark.read.text(src.topic_folder).columns:
-            if df.limit(1).count() == 0:
-                raise LookupError(f"topic {src.name!r} does not exist under {src.path}")
     except AnalysisException as exc:
         raise LookupError(f"topic source {src.path!r} does not exist") from exc
+    if src.name is not None and df.limit(1).count() == 0:
+        raise LookupError(f"topic {src.name!r} has no messages under {src.path}")
 
 
 def to_messages(df: DataFrame, topic_col: str | None = None) -> DataFrame:

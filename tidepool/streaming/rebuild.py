@@ -43,6 +43,8 @@ def start_rebuild(
     cols = list(dict.fromkeys(needed))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return  # nothing new since the last rebuild: the model stands
         batch.select(*cols).write.mode("overwrite").parquet(f"{data_path}/batch_id={batch_id}")
         if spec.rebuild_mode == "new":
             data = spark.read.parquet(f"{data_path}/batch_id={batch_id}")
