@@ -41,13 +41,19 @@ def infer_schema(
     arrays contribute their elements.  ``hints`` override the inferred type of
     top-level fields by DDL type name, e.g. ``{"ts": "timestamp_ntz"}``.
     """
+    from ..session import scratch_path
+
     spark = messages.sparkSession
-    texts = messages.select(F.col(value_col).cast("string").alias("v")).where(F.col("v").isNotNull())
+    texts = messages.select(F.col(value_col).cast("string").alias("value")).where(F.col("value").isNotNull())
     if sample_rows is not None:
         texts = texts.limit(sample_rows)
-    # The bounded sample crosses into the JSON reader as strings; Spark merges
-    # the per-partition schemas.
-    inferred = spark.read.option("mode", "DROPMALFORMED").json(texts.rdd.map(lambda r: r[0]))
+    # The sample is staged as text in the shared folder and read back by the
+    # JSON reader, which infers per partition and merges: no row leaves the
+    # JVM.  Newlines inside a message would split it, so they are escaped
+    # (JSON allows none outside strings, and inside strings they are \n).
+    sample = scratch_path(spark, "schema-sample")
+    texts.select(F.regexp_replace("value", "[\r\n]+", " ").alias("value")).write.text(sample)
+    inferred = spark.read.option("mode", "DROPMALFORMED").json(sample)
     schema = T.StructType([f for f in inferred.schema.fields if f.name != CORRUPT_COL])
     if hints:
         schema = apply_hints(schema, hints)

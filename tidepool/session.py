@@ -71,4 +71,4 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def broadcast_row_limit(spark: SparkSession) -> int:
     """Row bound under which a small derived side (offsets, candidates) is
     broadcast; above it the join stays a shuffle join."""
-    return int(spark.conf.get("tidepool.broadcast.maxRows", "2000000"))
+    return int(spark.conf.get("tidepool.broadcast.maxRows", "1000000"))
