@@ -24,6 +24,8 @@ CASES = [
     ("5", 0, "unreadable"),
     ('"s"', 0, "unreadable"),
     (None, 0, "empty"),
+    ("", 0, "empty"),
+    ("  ", 0, "empty"),
     ("not json", 0, "unreadable"),
     ("[1,2]", 0, "unreadable"),
     ('[{"a":1},{"a":', 0, "unreadable"),

@@ -102,7 +102,8 @@ def decode(
 def classify(messages: DataFrame, schema: T.StructType, value_col: str = "value") -> Column:
     """Status of each message: ok | empty | unreadable | wrong_type.
 
-    ``empty``: NULL value (tombstone).  ``unreadable``: not JSON, cut off,
+    ``empty``: NULL or blank value (a tombstone; a text file can only hold
+    a NULL message as an empty line).  ``unreadable``: not JSON, cut off,
     a JSON scalar or an array that is not of objects.  ``wrong_type``: an
     object whose leaf does not fit the pinned type (the leaf decodes to NULL
     but the raw text is worth keeping).
@@ -113,7 +114,7 @@ def classify(messages: DataFrame, schema: T.StructType, value_col: str = "value"
     obj = F.from_json(text, with_corrupt, {**JSON_OPTIONS, "columnNameOfCorruptRecord": CORRUPT_COL})
     is_object = F.ltrim(text).startswith("{")
     return (
-        F.when(text.isNull(), F.lit("empty"))
+        F.when(text.isNull() | (F.trim(text) == ""), F.lit("empty"))
         .when(arr.isNull(), F.lit("unreadable"))
         .when(is_object & obj.getField(CORRUPT_COL).isNotNull(), F.lit("wrong_type"))
         .otherwise(F.lit("ok"))

@@ -22,7 +22,7 @@ from ..operators import series as S
 from ..operators import setops as X
 from ..session import scratch_path
 from ..sources.topic import to_messages
-from ..streaming.ingest import ingest, live_counts, read_counts, subscribe
+from ..streaming.ingest import ingest, live_counts, live_latest, read_counts, read_live, start_quarantine, subscribe
 from .common import query, r6, stage_topic, table
 
 EVENT_HINTS = {"ts": "timestamp_ntz"}
@@ -186,6 +186,24 @@ def quarantine_counts(spark: SparkSession, sf: str) -> DataFrame:
     return msgs.groupBy(J.classify(msgs, DAMAGED_SCHEMA).alias("status")).agg(F.count(F.lit(1)).alias("n_messages"))
 
 
+@query(
+    "quarantine_stream",
+    "B4",
+    f"SELECT CASE {MD5_FIRST} WHEN '0' THEN 'unreadable' ELSE 'wrong_type' END AS reason, count(*) AS n_messages "
+    f"FROM events WHERE {MD5_FIRST} IN ('0', '1') GROUP BY 1",
+)
+def quarantine_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Damaged messages of a topic kept aside by a stream, with a reason."""
+    path = scratch_path(spark, "damaged-topic")
+    from ..sources.topic import TopicSource, publish
+
+    target = TopicSource("damaged", path=path)
+    publish(_damaged_messages(spark, sf), target)
+    sub = subscribe(spark, replace(target, max_per_trigger=1), schema=DAMAGED_SCHEMA)
+    _, qpath = start_quarantine(spark, sub)
+    return spark.read.parquet(qpath).groupBy("reason").agg(F.count(F.lit(1)).alias("n_messages"))
+
+
 _ATTRS = [
     ("event_id", "bigint"),
     ("event_type", "string"),
@@ -243,13 +261,24 @@ def series_by_time(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- C: filters and top-k --------------------------------------------------
 
-
-@query(
-    "latest_message",
-    "C1",
+_LATEST_SQL = (
     "SELECT event_type AS topic, event_id, ts, user_id, value, props FROM events "
-    "QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) = 1",
+    "QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) = 1"
 )
+
+
+@query("latest_message_stream", "C1 A4", _LATEST_SQL)
+def latest_message_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Newest message per topic maintained by a streaming aggregation over
+    several micro-batches (arrival order differs from event order)."""
+    src = stage_topic(spark, table(spark, sf, "events"), topic_col="event_type", files=3)
+    sub = subscribe(spark, replace(src, max_per_trigger=4), hints=EVENT_HINTS)
+    _, log = live_latest(spark, sub, ["ts", "event_id"])
+    return read_live(spark, log, ["topic"]).select("topic", "event_id", "ts", "user_id", "value", "props")
+
+
+
+@query("latest_message", "C1", _LATEST_SQL)
 def latest_message(spark: SparkSession, sf: str) -> DataFrame:
     return S.latest(_history(spark, sf), ["ts", "event_id"], ["topic"])
 

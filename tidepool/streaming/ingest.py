@@ -124,39 +124,90 @@ def ingest(
     return q
 
 
-def live_counts(
+def live_aggregate(
     spark: SparkSession,
     sub: Subscription,
-    counts_path: str | None = None,
+    aggregate,
+    name: str,
     trigger: str | None = "availableNow",
 ) -> tuple[StreamingQuery, str]:
-    """Running message count per topic as a streaming aggregation.
+    """Run ``aggregate(rows) -> grouped frame`` as a streaming aggregation.
 
-    Update mode emits the changed topics' totals each micro-batch; they are
+    Update mode emits the groups that changed in each micro-batch; they are
     appended with the batch id, so a replayed batch only repeats equal rows
-    and ``read_counts`` picks the newest per topic.
+    and ``read_live`` picks the newest row per group.  Returns the query and
+    the log folder.
     """
-    counts_path = counts_path or f"{sub.checkpoint_path}-counts/table"
+    root = f"{sub.checkpoint_path}-{name}"
+    log_path = f"{root}/table"
     rows = decoded_rows(read_stream(spark, sub.source), sub.schema, sub.sep)
-    counts = rows.groupBy("topic").agg(F.count(F.lit(1)).alias("n_messages"))
+    result = aggregate(rows)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(counts_path)
+        batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(log_path)
 
-    writer = (
-        counts.writeStream.outputMode("update")
-        .option("checkpointLocation", f"{sub.checkpoint_path}-counts/checkpoint")
-        .foreachBatch(sink)
-    )
+    writer = result.writeStream.outputMode("update").option("checkpointLocation", f"{root}/checkpoint").foreachBatch(sink)
     if trigger == "availableNow":
         q = writer.trigger(availableNow=True).start()
         q.awaitTermination()
     else:
         q = writer.trigger(processingTime=trigger).start() if trigger else writer.start()
-    return q, counts_path
+    return q, log_path
+
+
+def read_live(spark: SparkSession, log_path: str, group: list[str]) -> DataFrame:
+    """Newest emitted row per group from a live aggregate's log."""
+    log = spark.read.parquet(log_path)
+    cols = [c for c in log.columns if c not in group and c != "batch_id"]
+    newest = log.groupBy(*group).agg(F.max_by(F.struct(*cols), "batch_id").alias("_r"))
+    return newest.select(*group, *[F.col("_r").getField(c).alias(c) for c in cols])
+
+
+def live_counts(
+    spark: SparkSession, sub: Subscription, trigger: str | None = "availableNow"
+) -> tuple[StreamingQuery, str]:
+    """Running message count per topic (the "Total number of messages" box)."""
+    return live_aggregate(
+        spark, sub, lambda rows: rows.groupBy("topic").agg(F.count(F.lit(1)).alias("n_messages")), "counts", trigger
+    )
 
 
 def read_counts(spark: SparkSession, counts_path: str) -> DataFrame:
-    """Latest running count per topic from the counts log."""
-    log = spark.read.parquet(counts_path)
-    return log.groupBy("topic").agg(F.max_by("n_messages", "batch_id").alias("n_messages"))
+    return read_live(spark, counts_path, ["topic"])
+
+
+def live_latest(
+    spark: SparkSession, sub: Subscription, order_by: list[str], trigger: str | None = "availableNow"
+) -> tuple[StreamingQuery, str]:
+    """Newest message per topic, kept as streaming state: one ``max_by``
+    per topic, no sort and no history scan."""
+    from ..operators.series import latest
+
+    def newest(rows: DataFrame) -> DataFrame:
+        payload = [c for c in rows.columns if c not in ("_partition", "_offset", "_timestamp", "_pos")]
+        return latest(rows.select(*payload), order_by, ["topic"])
+
+    return live_aggregate(spark, sub, newest, "latest", trigger)
+
+
+def start_quarantine(
+    spark: SparkSession, sub: Subscription, path: str | None = None, trigger: str | None = "availableNow"
+) -> tuple[StreamingQuery, str]:
+    """Keep messages that do not decode cleanly -- unreadable text, JSON
+    that is not objects, objects with a wrong-typed leaf -- with a
+    ``reason``, in their own Parquet folder."""
+    path = path or f"{sub.checkpoint_path}-quarantine/table"
+    msgs = read_stream(spark, sub.source)
+    bad = msgs.withColumn("reason", J.classify(msgs, sub.schema)).where(F.col("reason").isin("unreadable", "wrong_type"))
+    writer = (
+        bad.writeStream.format("parquet")
+        .option("path", path)
+        .option("checkpointLocation", f"{sub.checkpoint_path}-quarantine/checkpoint")
+        .outputMode("append")
+    )
+    if trigger == "availableNow":
+        q = writer.trigger(availableNow=True).start()
+        q.awaitTermination()
+    else:
+        q = writer.trigger(processingTime=trigger).start() if trigger else writer.start()
+    return q, path
