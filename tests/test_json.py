@@ -90,3 +90,16 @@ def test_hints_override(spark):
     s = J.infer_schema(df, hints={"ts": "timestamp_ntz"})
     row = J.decode(df, s).first()
     assert str(row["ts"]) == "2024-01-01 00:00:00.123456"
+
+
+def test_rescued_keeps_unknown_fields(spark):
+    msgs = [('{"a":1,"z":5,"y":{"q":1}}',), ('[{"a":2},{"a":3,"w":"x"}]',), ('{"a":4}',), ("bad",)]
+    df = spark.createDataFrame(msgs, "value string")
+    rows = sorted(J.decode(df, SCHEMA, rescued_col="_rescued").select("a", "_rescued").collect())
+    assert [r["a"] for r in rows] == [1, 2, 3, 4]
+    import json as pyjson
+
+    assert pyjson.loads(rows[0]["_rescued"]) == {"z": "5", "y": '{"q":1}'}
+    assert rows[1]["_rescued"] is None
+    assert pyjson.loads(rows[2]["_rescued"]) == {"w": "x"}
+    assert rows[3]["_rescued"] is None

@@ -81,21 +81,39 @@ def decode(
     value_col: str = "value",
     keep: list[str] | None = None,
     position_col: str | None = None,
+    rescued_col: str | None = None,
 ) -> DataFrame:
     """Decode JSON messages into rows of ``schema`` (one per object).
 
     ``keep`` lists message columns carried onto every row (topic, offset,
     timestamp ...).  ``position_col`` names an optional column holding the
     element's index inside an array message (0 for lone objects), which
-    together with the message key makes rows unique.
+    together with the message key makes rows unique.  ``rescued_col`` names
+    an optional column holding, as JSON text, the fields of the object that
+    the pinned schema does not know (NULL when there are none) -- schema
+    drift is kept instead of silently dropped.
     """
     keep = list(keep or [])
-    arr = F.from_json(F.col(value_col).cast("string"), T.ArrayType(schema), JSON_OPTIONS)
-    exploded = messages.select(*keep, F.posexplode(arr).alias("_pos", "_msg"))
+    text = F.col(value_col).cast("string")
+    arr = F.from_json(text, T.ArrayType(schema), JSON_OPTIONS)
+    if rescued_col:
+        known = F.array(*[F.lit(f.name) for f in schema.fields])
+        kv = T.MapType(T.StringType(), T.StringType())
+        # raw fields as text: an array of objects, or a lone object wrapped
+        raw = F.coalesce(F.from_json(text, T.ArrayType(kv), JSON_OPTIONS), F.array(F.from_json(text, kv, JSON_OPTIONS)))
+        extra = F.transform(raw, lambda m: F.map_filter(m, lambda k, _v: ~F.array_contains(known, k)))
+        both = F.when(arr.isNotNull(), F.arrays_zip(arr.alias("_msg"), extra.alias("_extra")))
+        exploded = messages.select(*keep, F.posexplode(both).alias("_pos", "_pair")).select(
+            *keep, "_pos", F.col("_pair._msg").alias("_msg"), F.col("_pair._extra").alias("_extra")
+        )
+    else:
+        exploded = messages.select(*keep, F.posexplode(arr).alias("_pos", "_msg"))
     cols = [F.col(k) for k in keep]
     if position_col:
         cols.append(F.col("_pos").alias(position_col))
     cols += [F.col("_msg").getField(f.name).alias(f.name) for f in schema.fields]
+    if rescued_col:
+        cols.append(F.when(F.size("_extra") > 0, F.to_json("_extra")).alias(rescued_col))
     return exploded.select(*cols)
 
 

@@ -74,6 +74,24 @@ def stream_topic_rmse(spark: SparkSession, sf: str) -> DataFrame:
     return topic_rmse(_scored(spark, sf))
 
 
+@query(
+    "metric_display",
+    "B11 D4",
+    _EV_MODEL_CTE + "SELECT event_type AS topic, round(sqrt(avg((label - prediction) * (label - prediction))), 4) AS rmse, "
+    "format('{:,}', CAST(round(sqrt(avg((label - prediction) * (label - prediction)))) AS BIGINT)) AS rmse_display "
+    "FROM pred GROUP BY event_type",
+)
+def metric_display(spark: SparkSession, sf: str) -> DataFrame:
+    """The RMSE value box: the metric and its text, rounded to a whole
+    number with thousands marks."""
+    from ..operators.series import count_display
+
+    scored = events_model(spark, sf).validation.withColumnRenamed("event_type", "topic")
+    err2 = F.pow(F.col("label") - F.col("prediction"), 2)
+    per = scored.groupBy("topic").agg(F.sqrt(F.avg(err2)).alias("rmse"))
+    return per.select("topic", F.round("rmse", 4).alias("rmse"), count_display("rmse").alias("rmse_display"))
+
+
 @query(
     "model_save_load",
     "A7 G12",

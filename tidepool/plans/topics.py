@@ -52,6 +52,28 @@ def topic_replay(spark: SparkSession, sf: str) -> DataFrame:
     return sub.history(spark).select("event_id", "ts", "user_id", "event_type", "value", "props")
 
 
+@query(
+    "drift_rescued",
+    "A5 B1 B4",
+    "SELECT event_id, value, CAST(user_id AS VARCHAR) AS rescued_user_id, event_type AS rescued_event_type FROM events",
+)
+def drift_rescued(spark: SparkSession, sf: str) -> DataFrame:
+    """Schema drift: the topic's schema was pinned to (event_id, value);
+    later messages carry more fields, which the history keeps as JSON text
+    in ``_rescued`` instead of dropping them."""
+    src = stage_topic(spark, table(spark, sf, "events"), name="events", files=4, order_col="event_id")
+    pinned = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("value", T.DoubleType())])
+    sub = subscribe(spark, replace(src, max_per_trigger=2), schema=pinned, rescue=True)
+    ingest(spark, sub)
+    hist = sub.history(spark)
+    return hist.select(
+        "event_id",
+        "value",
+        F.get_json_object("_rescued", "$.user_id").alias("rescued_user_id"),
+        F.get_json_object("_rescued", "$.event_type").alias("rescued_event_type"),
+    )
+
+
 @query(
     "history_table",
     "A4 A5",

@@ -15,7 +15,7 @@ Order is never storage order: rows carry the message coordinates
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +38,7 @@ class Subscription:
     history_path: str
     checkpoint_path: str
     sep: str = "_"
-    extra: dict = field(default_factory=dict)
+    rescue: bool = False
 
     def history(self, spark: SparkSession) -> DataFrame:
         """The append-only history written so far (a batch frame)."""
@@ -73,18 +73,21 @@ def subscribe(
     sample_rows: int | None = 10_000,
     sep: str = "_",
     root: str | None = None,
+    rescue: bool = False,
 ) -> Subscription:
-    """Check the source, pin the message schema, allocate history folders."""
+    """Check the source, pin the message schema, allocate history folders.
+    ``rescue=True`` keeps fields unknown to the pinned schema as JSON text
+    in a ``_rescued`` column of the history."""
     check_source(spark, source)
     if schema is None:
         schema = J.infer_schema(read_batch(spark, source), sample_rows=sample_rows, hints=hints)
     elif hints:
         schema = J.apply_hints(schema, hints)
     root = root or scratch_path(spark, "topic")
-    return Subscription(source, schema, f"{root}/history", f"{root}/checkpoint", sep)
+    return Subscription(source, schema, f"{root}/history", f"{root}/checkpoint", sep, rescue)
 
 
-def decoded_rows(messages: DataFrame, schema: T.StructType, sep: str = "_") -> DataFrame:
+def decoded_rows(messages: DataFrame, schema: T.StructType, sep: str = "_", rescue: bool = False) -> DataFrame:
     """Message frame -> one flat row per JSON object (metadata kept)."""
     renamed = messages.select(
         "topic",
@@ -93,8 +96,8 @@ def decoded_rows(messages: DataFrame, schema: T.StructType, sep: str = "_") -> D
         F.col("timestamp").alias("_timestamp"),
         "value",
     )
-    rows = J.decode(renamed, schema, keep=META_COLS, position_col="_pos")
-    payload = [f.name for f in schema.fields]
+    rows = J.decode(renamed, schema, keep=META_COLS, position_col="_pos", rescued_col="_rescued" if rescue else None)
+    payload = [f.name for f in schema.fields] + (["_rescued"] if rescue else [])
     return J.flatten(rows, sep=sep, columns=META_COLS + ["_pos"] + payload)
 
 
@@ -106,7 +109,7 @@ def ingest(
 ) -> StreamingQuery:
     """Start the history stream.  ``trigger="availableNow"`` replays what is
     there and stops (awaited here); ``"1 second"`` etc. runs continuously."""
-    rows = decoded_rows(read_stream(spark, sub.source), sub.schema, sub.sep)
+    rows = decoded_rows(read_stream(spark, sub.source), sub.schema, sub.sep, sub.rescue)
     writer = (
         rows.writeStream.format("parquet")
         .option("path", sub.history_path)
@@ -140,7 +143,7 @@ def live_aggregate(
     """
     root = f"{sub.checkpoint_path}-{name}"
     log_path = f"{root}/table"
-    rows = decoded_rows(read_stream(spark, sub.source), sub.schema, sub.sep)
+    rows = decoded_rows(read_stream(spark, sub.source), sub.schema, sub.sep, sub.rescue)
     result = aggregate(rows)
 
     def sink(batch: DataFrame, batch_id: int) -> None:

@@ -37,7 +37,7 @@ def _run(writer, trigger: str | None) -> StreamingQuery:
 
 
 def scoring_rows(spark: SparkSession, sub: Subscription, label: str | None = None) -> DataFrame:
-    rows = decoded_rows(read_stream(spark, sub.source), sub.schema, sub.sep)
+    rows = decoded_rows(read_stream(spark, sub.source), sub.schema, sub.sep, sub.rescue)
     if label and label != "label":
         rows = rows.withColumnRenamed(label, "label")
     return rows
