@@ -1,6 +1,6 @@
 """Run registered queries against their DuckDB oracles (dev helper).
 
-usage: python tests/run_oracles.py [sf_dir] [name ...]
+usage: python tests/run_oracles.py [--plain] [sf_dir] [name ...]
 """
 import sys
 import time
@@ -13,9 +13,15 @@ from compare import compare, duck  # noqa: E402
 from tidepool.plans.catalog import REGISTRY  # noqa: E402
 from tidepool.session import local_session  # noqa: E402
 
-sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-names = sys.argv[2:] or list(REGISTRY)
-spark = local_session()
+args = [a for a in sys.argv[1:] if a != "--plain"]
+sf = args[0] if args else "/root/testdata/sf0.01"
+names = args[1:] or list(REGISTRY)
+if "--plain" in sys.argv:  # a default session, as a driver would build it
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.builder.master("local[8]").getOrCreate()
+else:
+    spark = local_session()
 con = duck(sf)
 bad = 0
 for n in names:

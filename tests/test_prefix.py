@@ -61,3 +61,23 @@ def test_series_rejects_text(spark):
     ev = _events(spark, 1)
     with pytest.raises(TypeError):
         series_by_time(ev, "props", ["ts", "event_id"], ["topic"])
+
+
+def test_null_group_is_a_group(spark):
+    from tidepool.operators.series import latest
+
+    ev = _events(spark, 3).withColumn("topic", F.when(F.col("topic") == "click", F.lit(None)).otherwise(F.col("topic")))
+    got = ordered_prefix(ev, ["ts", "event_id"], ["topic"], num_partitions=4)
+    assert got.count() == ev.count()
+    assert got.where(F.col("topic").isNull()).agg(F.max("seq")).first()[0] == ev.where(F.col("topic").isNull()).count()
+    newest = latest(ev, ["ts", "event_id"], ["topic"])
+    assert newest.count() == 5 and newest.where(F.col("topic").isNull()).count() == 1
+
+
+def test_latest_with_null_lead_key(spark):
+    from tidepool.operators.series import latest
+
+    rows = [("a", None, 1), ("a", None, 2), ("b", 5, 1), ("b", None, 9)]
+    df = spark.createDataFrame(rows, "g string, t int, id int")
+    got = {r["g"]: (r["t"], r["id"]) for r in latest(df, ["t", "id"], ["g"]).collect()}
+    assert got == {"a": (None, 2), "b": (5, 1)}

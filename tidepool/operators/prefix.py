@@ -145,7 +145,9 @@ def ordered_prefix(
             F.col("n").alias("_pfx_base_n"),
             *[F.col(name).alias(f"_pfx_base_{c}") for name, c in zip(sums, value_cols)],
         )
-        offsets = offsets.join(b, part, "left")
+        offsets = offsets.join(b, [offsets[c].eqNullSafe(b[c]) for c in part], "left").select(
+            offsets["*"], *[b[c] for c in b.columns if c not in part]
+        )
         offsets = offsets.select(
             _B,
             *part,
@@ -158,7 +160,9 @@ def ordered_prefix(
     # only when that bound is actually small.
     if offsets.count() <= broadcast_row_limit(spark):
         offsets = F.broadcast(offsets)
-    joined = local.join(offsets, [_B, *part], "inner")
+    # null-safe on the group keys: a NULL group is a group like any other
+    on = [local[c].eqNullSafe(offsets[c]) for c in [_B, *part]]
+    joined = local.join(offsets, on, "inner").select(local["*"], *[offsets[c] for c in offsets.columns if c not in (_B, *part)])
 
     rank = F.col("_pfx_off_n") + F.col(_R)
     cols = [F.col(f"`{c}`") for c in df.columns]

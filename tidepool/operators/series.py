@@ -102,5 +102,9 @@ def latest(df: DataFrame, order_by: list[str], partition_by: list[str] | None =
     top = df.groupBy(*part).agg(F.max(F.col(f"`{lead}`")).alias("_top"))
     if top.count() > broadcast_row_limit(df.sparkSession):
         return _newest_row(df, order_by, part)
-    at_top = df.join(F.broadcast(top), part).where(F.col(f"`{lead}`") == F.col("_top")).drop("_top")
+    # null-safe: a NULL group is kept, and a group whose lead key is NULL
+    # everywhere keeps those rows (NULL orders lowest, as in max_by)
+    t = F.broadcast(top.select(*[F.col(c).alias(f"_t_{c}") for c in part], "_top"))
+    cond = [df[c].eqNullSafe(t[f"_t_{c}"]) for c in part]
+    at_top = df.join(t, cond).where(F.col(f"`{lead}`").eqNullSafe(F.col("_top"))).select(df["*"])
     return _newest_row(at_top, order_by, part)
