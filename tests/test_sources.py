@@ -67,3 +67,19 @@ def test_restart_resumes_without_duplicates(spark):
     hist = sub.history(spark)
     assert hist.count() == ev.count()
     assert hist.select("event_id").distinct().count() == ev.count()
+
+
+def test_continuous_ingest_one_second_cadence(spark):
+    ev = spark.read.parquet(EV)
+    path = scratch_path(spark, "cadence")
+    target = TopicSource("events", path=path)
+    publish(to_messages(ev.repartition(2)), target)
+    sub = subscribe(spark, TopicSource("events", path=path, max_per_trigger=1), hints={"ts": "timestamp_ntz"})
+    q = ingest(spark, sub, trigger="1 second")
+    try:
+        q.processAllAvailable()
+        publish(to_messages(ev.limit(10)), target, mode="append")  # a message arriving later
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert sub.history(spark).count() == ev.count() + 10

@@ -93,3 +93,22 @@ def test_timed_rebuild_versions(spark):
     assert ML.predict(reloaded, ev).count() == ev.count()
     registry.remove_topic("click")
     assert registry.latest().count() == 0
+
+
+def test_rebuild_on_processing_time_trigger(spark):
+    ev = spark.read.parquet(EV)
+    path = scratch_path(spark, "rebuild-timer")
+    publish(to_messages(ev.repartitionByRange(2, "event_id"), "event_type"), TopicSource(None, path=path))
+    sub = subscribe(spark, TopicSource("view", path=path, max_per_trigger=1), hints=HINTS)
+    registry = ModelRegistry(spark, scratch_path(spark, "reg-timer"))
+    spec = ML.ModelSpec("view", "regression", "decision_tree", "value", ("user_id",), split_key=("event_id",),
+                        rebuild_mode="new", rebuild_minutes=1)
+    root = scratch_path(spark, "job-timer")
+    q = start_rebuild(spark, scoring_rows(spark, sub), spec, registry, f"{root}/rows", f"{root}/ckpt", trigger="1 second")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    log = registry.log()
+    assert log.count() == 2
+    assert log.agg(F.sum("n_build")).first()[0] == ev.where(F.col("event_type") == "view").count()
