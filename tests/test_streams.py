@@ -112,3 +112,24 @@ def test_rebuild_on_processing_time_trigger(spark):
     log = registry.log()
     assert log.count() == 2
     assert log.agg(F.sum("n_build")).first()[0] == ev.where(F.col("event_type") == "view").count()
+
+
+def test_scoring_swaps_in_rebuilt_model(spark):
+    from tidepool.streaming.score import score_with_registry
+
+    ev = spark.read.parquet(EV)
+    path = scratch_path(spark, "swap")
+    target = TopicSource(None, path=path)
+    registry = ModelRegistry(spark, scratch_path(spark, "reg-swap"))
+    spec = ML.ModelSpec("click", "regression", "decision_tree", "value", ("user_id",), split_key=("event_id",))
+    jobs, out = scratch_path(spark, "swap-jobs"), scratch_path(spark, "swap-out")
+    for lo, hi in [(0, 500), (500, 1001)]:
+        part = ev.where((F.col("event_id") >= lo) & (F.col("event_id") < hi))
+        publish(to_messages(part, "event_type"), target, mode="append")
+        click = subscribe(spark, TopicSource("click", path=path), hints=HINTS)
+        view = subscribe(spark, TopicSource("view", path=path), hints=HINTS)
+        start_rebuild(spark, scoring_rows(spark, click), spec, registry, f"{jobs}/rows", f"{jobs}/ckpt", trigger="availableNow")
+        score_with_registry(spark, scoring_rows(spark, view), registry, spec.name, f"{out}/t", f"{out}/ckpt")
+    used = {r["batch_id"]: r["model_version"] for r in spark.read.parquet(f"{out}/t").select("batch_id", "model_version").distinct().collect()}
+    assert used == {0: 0, 1: 1}
+    assert spark.read.parquet(f"{out}/t").count() == ev.where(F.col("event_type") == "view").count()

@@ -22,7 +22,7 @@ from ..streaming.ingest import subscribe
 from ..streaming.rebuild import model_as_of as _model_as_of
 from ..streaming.rebuild import rebuild_plan as _rebuild_plan
 from ..streaming.rebuild import start_rebuild
-from ..streaming.score import running_rmse_stream, score_stream, scoring_rows
+from ..streaming.score import running_rmse_stream, score_stream, score_with_registry, scoring_rows
 from .common import query, r6, stage_topic, table
 from .models import _EV_MODEL_CTE, events_model
 from .topics import EVENT_HINTS
@@ -211,4 +211,35 @@ def model_registry_remove(spark: SparkSession, sf: str) -> DataFrame:
     return rows_covered(registry)
 
 
+_HASH_EV = "('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8))::UBIGINT / 4294967296.0"
+
+
+@query(
+    "model_swap_score",
+    "H4 H1 G15",
+    "WITH ev AS (SELECT event_id, event_type, CAST(user_id >= 75 AS DOUBLE) AS hi_user, value, "
+    f"{_HASH_EV} AS u FROM events), "
+    "m AS (SELECT hi_user, avg(value) AS p FROM ev WHERE event_type = 'click' AND u < 0.5 GROUP BY hi_user) "
+    "SELECT event_id, ev.hi_user, round(p, 4) AS prediction FROM ev JOIN m ON ev.hi_user = m.hi_user "
+    "WHERE event_type = 'view'",
+)
+def model_swap_score(spark: SparkSession, sf: str) -> DataFrame:
+    """A model of the click topic is rebuilt from every arriving file ("all
+    data"); the view topic is then scored by a stream that looks up the
+    newest registered version per micro-batch."""
+    ev = table(spark, sf, "events").withColumn("hi_user", (F.col("user_id") >= 75).cast("double"))
+    src = stage_topic(spark, ev, topic_col="event_type", files=2, order_col="event_id")
+    sub = subscribe(spark, src, hints=EVENT_HINTS)
+    registry = ModelRegistry(spark, scratch_path(spark, "registry"))
+    spec = ML.ModelSpec("click", "regression", "decision_tree", "value", ("hi_user",), split_key=("event_id",))
+    click = replace(sub, source=replace(src, name="click", max_per_trigger=1))
+    jobs = f"{registry.root}/jobs/{spec.name}"
+    start_rebuild(spark, scoring_rows(spark, click), spec, registry, f"{jobs}/rows", f"{jobs}/checkpoint", trigger="availableNow")
+    view = replace(sub, source=replace(src, name="view", max_per_trigger=1))
+    out = scratch_path(spark, "swap-scored")
+    score_with_registry(spark, scoring_rows(spark, view), registry, spec.name, f"{out}/table", f"{out}/checkpoint")
+    scored = spark.read.parquet(f"{out}/table")
+    return scored.select("event_id", "hi_user", F.round("prediction", 4).alias("prediction"))
+
+
 __all__ = ["latest_versions", "topic_rmse"]

@@ -110,3 +110,38 @@ def running_rmse_stream(
 
     writer = scored.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
     return _run(writer, trigger)
+
+
+def score_with_registry(
+    spark: SparkSession,
+    rows: DataFrame,
+    registry,
+    name: str,
+    out_path: str,
+    checkpoint: str,
+    trigger: str | None = "availableNow",
+) -> StreamingQuery:
+    """Score each micro-batch with the newest version of model ``name`` in
+    the registry at the time the batch runs, so a rebuilt model is swapped
+    in without restarting the stream.  Rows carry the ``model_version``
+    used.  Output goes to ``batch_id=N`` folders (overwritten on retry)."""
+    from ..operators.models import load
+
+    loaded: dict[str, PipelineModel] = {}
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        live = registry.latest().where(F.col("name") == name).select("version", "model_path").first()
+        if live is None:
+            return  # no model yet: nothing to score with
+        path = live["model_path"]
+        if path not in loaded:
+            loaded[path] = load(path)
+        scored = predict(loaded[path], batch).withColumn("model_version", F.lit(live["version"]).cast("bigint"))
+        if "probability" in scored.columns:
+            from pyspark.ml.functions import vector_to_array
+
+            scored = scored.withColumn("probability", vector_to_array("probability"))
+        scored.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+
+    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
+    return _run(writer, trigger)
