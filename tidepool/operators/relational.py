@@ -4,9 +4,10 @@ table store (create if absent / append / overwrite / read)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 
 def natural_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -32,60 +33,50 @@ def conditional_update(df: DataFrame, col: str, cond: Column, value) -> DataFram
 
 
 class TableStore:
-    """Named tables as versioned Parquet folders under one root.
-
-    ``overwrite`` never writes into the folder being read: it writes a new
-    version and then records it in the table's version log; readers take the
-    newest recorded version.  ``append`` adds files to the current version.
+    """Named tables in the Spark catalog, stored as external Parquet tables
+    under one root (the shared folder on a cluster).
+
+    ``exists`` / ``create_if_absent`` / ``append`` / ``read`` are the
+    catalog's ``tableExists``, ``saveAsTable`` and ``spark.table``.
+    ``overwrite`` never writes into the folder being read: it writes the new
+    contents to a fresh folder, then points the table at it with ``ALTER
+    TABLE ... SET LOCATION`` (one catalog update), so the new contents may
+    be computed from the table itself.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def _log(self, name: str) -> str:
-        return f"{self.root}/{name}/_versions"
-
-    def _version(self, name: str) -> int | None:
-        try:
-            row = self.spark.read.parquet(self._log(name)).agg(F.max("version").alias("v")).first()
-        except AnalysisException:
-            return None
-        return None if row is None or row["v"] is None else int(row["v"])
-
-    def _path(self, name: str, version: int) -> str:
-        return f"{self.root}/{name}/v{version}"
+    def _fresh_path(self, name: str) -> str:
+        return f"{self.root}/{name}/{uuid.uuid4().hex[:12]}"
 
     def exists(self, name: str) -> bool:
-        return self._version(name) is not None
-
-    def _record(self, name: str, version: int) -> None:
-        self.spark.range(1).select(F.lit(version).cast("bigint").alias("version")).write.mode("append").parquet(self._log(name))
+        return self.spark.catalog.tableExists(name)
 
     def create_if_absent(self, name: str, df: DataFrame) -> bool:
-        """Write ``df`` as the first version unless the table exists."""
+        """Create the table holding ``df`` unless it exists."""
         if self.exists(name):
             return False
-        df.write.parquet(self._path(name, 1))
-        self._record(name, 1)
+        df.write.format("parquet").option("path", self._fresh_path(name)).saveAsTable(name)
         return True
 
     def append(self, name: str, df: DataFrame) -> None:
-        v = self._version(name)
-        if v is None:
-            self.create_if_absent(name, df)
-            return
-        df.write.mode("append").parquet(self._path(name, v))
+        if not self.create_if_absent(name, df):
+            df.write.format("parquet").mode("append").saveAsTable(name)
 
-    def overwrite(self, name: str, df: DataFrame) -> int:
-        """New version holding ``df`` (which may read the current one)."""
-        v = (self._version(name) or 0) + 1
-        df.write.parquet(self._path(name, v))
-        self._record(name, v)
-        return v
+    def overwrite(self, name: str, df: DataFrame) -> str:
+        """Replace the contents with ``df`` (which may read the table)."""
+        if not self.exists(name):
+            self.create_if_absent(name, df)
+            return name
+        path = self._fresh_path(name)
+        df.write.parquet(path)
+        self.spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
+        self.spark.catalog.refreshTable(name)
+        return path
 
     def read(self, name: str) -> DataFrame:
-        v = self._version(name)
-        if v is None:
+        if not self.exists(name):
             raise LookupError(f"table {name!r} does not exist")
-        return self.spark.read.parquet(self._path(name, v))
+        return self.spark.table(name)

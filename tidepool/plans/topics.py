@@ -421,11 +421,14 @@ def conditional_update(spark: SparkSession, sf: str) -> DataFrame:
 @query("table_overwrite_roundtrip", "I3", _UPDATE_SQL)
 def table_overwrite_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Create if absent, append, overwrite from the table itself, read."""
+    import uuid
+
     store = R.TableStore(spark, scratch_path(spark, "tables"))
+    name = f"profiles_{uuid.uuid4().hex[:8]}"
     cust = table(spark, sf, "customer")
-    store.create_if_absent("profiles", cust.where(F.col("c_mktsegment") != "AUTOMOBILE"))
-    store.append("profiles", cust.where(F.col("c_mktsegment") == "AUTOMOBILE"))
-    if store.create_if_absent("profiles", cust):
+    store.create_if_absent(name, cust.where(F.col("c_mktsegment") != "AUTOMOBILE"))
+    store.append(name, cust.where(F.col("c_mktsegment") == "AUTOMOBILE"))
+    if store.create_if_absent(name, cust):
         raise AssertionError("create_if_absent replaced an existing table")
-    store.overwrite("profiles", _update(store.read("profiles")))
-    return store.read("profiles")
+    store.overwrite(name, _update(store.read(name)))
+    return store.read(name)
