@@ -142,8 +142,9 @@ def read_batch(spark: SparkSession, src: TopicSource) -> DataFrame:
     return df
 
 
-def check_source(spark: SparkSession, src: TopicSource) -> None:
-    """Raise ``LookupError`` when a file topic does not exist.
+def check_source(spark: SparkSession, src: TopicSource, probe: bool = True) -> None:
+    """Raise ``LookupError`` when a file topic does not exist; with
+    ``probe`` also when a named topic has no message yet.
 
     (A Kafka topic's existence is checked by the source itself when the
     query starts; there is no broker listing here.)"""
@@ -153,7 +154,7 @@ def check_source(spark: SparkSession, src: TopicSource) -> None:
         df = read_batch(spark, src)
     except AnalysisException as exc:
         raise LookupError(f"topic source {src.path!r} does not exist") from exc
-    if src.name is not None and df.limit(1).count() == 0:
+    if probe and src.name is not None and df.limit(1).count() == 0:
         raise LookupError(f"topic {src.name!r} has no messages under {src.path}")
 
 

@@ -78,9 +78,13 @@ def subscribe(
     """Check the source, pin the message schema, allocate history folders.
     ``rescue=True`` keeps fields unknown to the pinned schema as JSON text
     in a ``_rescued`` column of the history."""
-    check_source(spark, source)
+    # without a given schema, inference reads the messages anyway and an
+    # empty topic shows up as an empty schema
+    check_source(spark, source, probe=schema is not None)
     if schema is None:
         schema = J.infer_schema(read_batch(spark, source), sample_rows=sample_rows, hints=hints)
+        if not schema.fields and source.name is not None:
+            raise LookupError(f"topic {source.name!r} has no readable message")
     elif hints:
         schema = J.apply_hints(schema, hints)
     root = root or scratch_path(spark, "topic")
