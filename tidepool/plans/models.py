@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators import models as ML
-from ..operators.split import hash_fraction, hash_split
+from ..operators.split import hash_split
 from ..session import scratch_path
 from .common import query, r6, table
 
@@ -52,10 +52,6 @@ def _lineitem(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _events(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").withColumnRenamed("event_type", "topic")
-
-
 def _spec(topic, kind, algorithm, label, variables, key, **kw) -> ML.ModelSpec:
     return ML.ModelSpec(topic, kind, algorithm, label, tuple(variables), split_key=tuple(key), **kw)
 
@@ -403,5 +399,3 @@ def cross_stream_score(spark: SparkSession, sf: str) -> DataFrame:
     scored = ML.predict(model, ev.where(F.col("event_type") == spec.scoring_source))
     return scored.select("event_id", "hi_user", F.round("prediction", 4).alias("prediction"))
 
-
-__all__ = ["events_model", "hash_fraction", "read_build_csv"]

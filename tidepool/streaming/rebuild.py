@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators.asof import asof_join
 from ..operators.registry import ModelRegistry
@@ -82,5 +81,3 @@ def model_as_of(rows: DataFrame, versions: DataFrame, group: str, ts: str, built
     """Every row with the newest model version built at or before its time."""
     return asof_join(rows, versions, [group], ts, built_at, width_seconds)
 
-
-__all__ = ["M", "model_as_of", "rebuild_plan", "start_rebuild"]
