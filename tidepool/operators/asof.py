@@ -37,11 +37,13 @@ def asof_join(
     left_ts: str,
     right_ts: str,
     width_seconds: int = 86_400,
+    max_candidates: int = 10_000,
 ) -> DataFrame:
     """Left join: every left row, plus the right columns of the newest right
     row with the same ``on`` keys and ``right_ts <= left_ts`` (NULL when
     there is none).  Right columns other than the keys must not clash with
-    left column names."""
+    left column names.  Raises when more than ``max_candidates`` right rows
+    of one key fall into one bucket (the per-row work bound)."""
     payload = [c for c in right.columns if c not in on]
     clash = set(payload) & set(left.columns)
     if clash:
@@ -53,6 +55,13 @@ def asof_join(
         F.array_sort(F.collect_list(entry)).alias("_cands"),
         F.max_by(entry, F.col(right_ts)).alias("_last"),
     )
+    # Each left row scans its bucket's candidate array: bound its length.
+    widest = per_bucket.agg(F.max(F.size("_cands"))).first()[0] or 0
+    if widest > max_candidates:
+        raise ValueError(
+            f"as-of join: {widest} right rows share one key and {width_seconds}s bucket "
+            f"(bound {max_candidates}); use a narrower width_seconds"
+        )
     probes = left.select(*on, _bucket(left_ts, width_seconds).alias(_B)).distinct()
 
     # Newest right entry of an earlier bucket, for every probed bucket.
