@@ -50,11 +50,29 @@ def rows_of(pdf: pd.DataFrame, places: int) -> list[tuple]:
     return sorted(out, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
+# Spark simple type name -> DuckDB type name
+TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "timestamp_ntz": "TIMESTAMP",
+    "boolean": "BOOLEAN",
+    "float": "FLOAT",
+}
+
+
 def compare(spark_df, con, sql: str, places: int = 6) -> tuple[bool, str]:
+    spark_types = {f.name: f.dataType.simpleString() for f in spark_df.schema.fields}
+    rel = con.sql(sql)
+    duck_types = {d[0]: str(d[1]) for d in rel.description}
     got = spark_df.toPandas()
-    want = con.sql(sql).df()
+    want = rel.df()
     if sorted(got.columns) != sorted(want.columns):
         return False, f"columns differ: {sorted(got.columns)} vs {sorted(want.columns)}"
+    for name, t in spark_types.items():
+        if TYPES.get(t, t) != duck_types.get(name):
+            return False, f"type of {name}: spark {t} vs duckdb {duck_types.get(name)}"
     if len(got) != len(want):
         return False, f"row count {len(got)} vs {len(want)}"
     a, b = rows_of(got, places), rows_of(want, places)

@@ -306,8 +306,9 @@ def read_build_csv(spark: SparkSession, path: str) -> DataFrame:
 @query(
     "csv_build_source",
     "A6",
-    "SELECT event_id, user_id, event_type, CASE WHEN substr(md5(CAST(event_id AS VARCHAR)), 1, 1) = 'a' "
-    "THEN NULL ELSE value END AS value FROM events",
+    # CSV type inference reads these ids as 32-bit integers
+    "SELECT CAST(event_id AS INTEGER) AS event_id, CAST(user_id AS INTEGER) AS user_id, event_type, "
+    "CASE WHEN substr(md5(CAST(event_id AS VARCHAR)), 1, 1) = 'a' THEN NULL ELSE value END AS value FROM events",
 )
 def csv_build_source(spark: SparkSession, sf: str) -> DataFrame:
     return read_build_csv(spark, _csv_events(spark, sf))
@@ -317,7 +318,7 @@ _CSV_MODEL_SQL = (
     "WITH ev AS (SELECT event_id, event_type, CASE WHEN substr(md5(CAST(event_id AS VARCHAR)), 1, 1) = 'a' THEN NULL "
     f"ELSE value END AS value, {HASH_EV} AS u FROM events), "
     "m AS (SELECT event_type, avg(value) AS p FROM ev WHERE u < 0.5 AND value IS NOT NULL GROUP BY event_type) "
-    "SELECT event_id, ev.event_type, round(value, 4) AS label, round(p, 4) AS prediction FROM ev JOIN m "
+    "SELECT CAST(event_id AS INTEGER) AS event_id, ev.event_type, round(value, 4) AS label, round(p, 4) AS prediction FROM ev JOIN m "
     "ON ev.event_type = m.event_type WHERE u >= 0.5 AND value IS NOT NULL"
 )
 
