@@ -133,3 +133,17 @@ def test_scoring_swaps_in_rebuilt_model(spark):
     used = {r["batch_id"]: r["model_version"] for r in spark.read.parquet(f"{out}/t").select("batch_id", "model_version").distinct().collect()}
     assert used == {0: 0, 1: 1}
     assert spark.read.parquet(f"{out}/t").count() == ev.where(F.col("event_type") == "view").count()
+
+
+def test_rebuild_plan_large_tick_table_uses_prefix(spark):
+    from tidepool.streaming.rebuild import rebuild_plan
+
+    ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet").withColumnRenamed("event_type", "topic")
+    small = rebuild_plan(ev, "ts", "1 hour")
+    spark.conf.set("tidepool.broadcast.maxRows", "10")
+    try:
+        large = rebuild_plan(ev, "ts", "1 hour")
+    finally:
+        spark.conf.unset("tidepool.broadcast.maxRows")
+    assert small.count() == large.count() > 10
+    assert small.exceptAll(large.select(*small.columns)).count() == 0

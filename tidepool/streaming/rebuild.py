@@ -22,7 +22,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import models as ML
 from ..operators.asof import asof_join
+from ..operators.prefix import ordered_prefix
 from ..operators.registry import ModelRegistry
+from ..session import broadcast_row_limit
 
 
 def start_rebuild(
@@ -73,8 +75,14 @@ def rebuild_plan(history: DataFrame, ts: str, every: str, group: str = "topic")
     in the tick (what an "only new data" rebuild uses) and rows available
     at the tick's end (what an "all data" rebuild uses)."""
     ticks = history.groupBy(group, F.window(F.col(ts), every).alias("w")).agg(F.count(F.lit(1)).alias("n_new"))
+    ticks = ticks.select(group, F.col("w.end").alias("tick_end"), "n_new")
+    # One row per tick: a window per topic is fine while the tick table is
+    # small; fine ticks over a long history use the distributed prefix.
+    if ticks.count() > broadcast_row_limit(history.sparkSession):
+        ranked = ordered_prefix(ticks, ["tick_end"], [group], sums={"n_all": "n_new"})
+        return ranked.select(group, "tick_end", "n_new", F.col("n_all").cast("bigint").alias("n_all"))
     w = Window.partitionBy(group).orderBy("tick_end").rowsBetween(Window.unboundedPreceding, 0)
-    return ticks.select(group, F.col("w.end").alias("tick_end"), "n_new").withColumn("n_all", F.sum("n_new").over(w))
+    return ticks.withColumn("n_all", F.sum("n_new").over(w))
 
 
 def model_as_of(rows: DataFrame, versions: DataFrame, group: str, ts: str, built_at: str, width_seconds: int) -> DataFrame:
