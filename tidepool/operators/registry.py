@@ -3,7 +3,8 @@
 A row is written per build (``name`` identifies a model: topic, kind,
 label, algorithm).  The latest version per name is a ``max_by`` aggregate;
 removal appends tombstones, so concurrent readers never see a half-written
-table and a retried write only repeats an equal row.
+table.  A retried write repeats a row with the same (name, version); readers
+that sum over versions drop such repeats first.
 """
 
 from __future__ import annotations

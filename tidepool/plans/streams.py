@@ -182,7 +182,9 @@ def rows_covered(registry: ModelRegistry) -> DataFrame:
     """Per live model: rows its data covers -- the latest build's rows for
     "all" rebuilds, the sum over versions for "new" rebuilds."""
     latest = registry.latest()
-    sums = registry.log().where(~F.col("removed")).groupBy("name").agg(F.sum("n_build").alias("n_sum"))
+    # a retried rebuild batch records its version again: count each once
+    versions = registry.log().where(~F.col("removed")).dropDuplicates(["name", "version"])
+    sums = versions.groupBy("name").agg(F.sum("n_build").alias("n_sum"))
     return latest.join(sums, "name").select(
         "name",
         F.when(F.col("rebuild_mode") == "all", F.col("n_build")).otherwise(F.col("n_sum")).cast("bigint").alias("rows_covered"),
