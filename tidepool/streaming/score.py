@@ -10,8 +10,11 @@ whole accumulated frame on every refresh is not reproduced.
 their squared errors prefix-summed with the distributed ordered prefix,
 shifted by the per-topic totals of all earlier batches (a small state
 table).  Output and state are written under ``batch_id=N`` folders with
-overwrite, so a retried batch replaces itself; state for batch N is read
-from batches < N only.  No key's rows ever meet in one task.
+overwrite, so a retried batch replaces itself; batch N reads the complete
+state written by batch N-1 only.  No key's rows ever meet in one task.
+
+``score_with_registry``: each micro-batch is scored with the newest
+registered version of a model, so rebuilt models are swapped in.
 """
 
 from __future__ import annotations
