@@ -81,3 +81,24 @@ def test_latest_with_null_lead_key(spark):
     df = spark.createDataFrame(rows, "g string, t int, id int")
     got = {r["g"]: (r["t"], r["id"]) for r in latest(df, ["t", "id"], ["g"]).collect()}
     assert got == {"a": (None, 2), "b": (5, 1)}
+
+
+@pytest.mark.parametrize("batch_rows", [7, 1000])
+def test_many_arrow_batches_per_partition(spark, batch_rows):
+    """A range partition arrives in several Arrow batches; ranks and sums
+    carry across them (groups may start, continue or end at a boundary)."""
+    ev = _events(spark, 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    try:
+        got = ordered_prefix(ev, ["ts", "event_id"], ["topic"], sums={"cum": "value"}, num_partitions=3)
+        w = Window.partitionBy("topic").orderBy("ts", "event_id")
+        want = ev.select(
+            "event_id",
+            F.row_number().over(w).alias("seq_w"),
+            F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum_w"),
+        )
+        j = got.join(want, "event_id")
+        assert j.count() == ev.count()
+        assert j.where((F.col("seq") != F.col("seq_w")) | (F.abs(F.col("cum") - F.col("cum_w")) > 1e-6)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -56,12 +56,14 @@ def _local_pass(part_cols: list[str], sum_cols: list[str]):
                 starts[1:] |= arr[1:] != arr[:-1]
             first_key = tuple(pdf[c].iloc[0] for c in part_cols)
             starts[0] = carry_key is None or first_key != carry_key
-            run_id = np.cumsum(starts) - 1
+            # run 0 = rows continuing the run carried over from the previous
+            # Arrow batch of this partition (absent when the batch starts a
+            # new group)
+            run_id = np.cumsum(starts)
             rank = pd.Series(run_id).groupby(run_id).cumcount().to_numpy() + 1
             continues = not starts[0]
             if continues:
-                first = run_id == 0
-                rank = rank + np.where(first, carry_rank, 0)
+                rank = rank + np.where(run_id == 0, carry_rank, 0)
             out = pdf.copy()
             out[_B] = np.int32(pid)
             out[_R] = rank.astype(np.int64)
