@@ -133,3 +133,12 @@ def test_summary_names_features(spark, li):
     fitted = ML.build_model(li, s)
     terms = [r["term"] for r in ML.summary(spark, fitted.model, fitted.build_rows.select(*s.variables, "label")).collect()]
     assert any("l_quantity" in t for t in terms) and any("l_linestatus" in t for t in terms)
+
+
+def test_hash_split_covers_every_row_once(spark):
+    df = spark.createDataFrame([(i if i % 5 else None, i) for i in range(200)], "k int, v int")
+    build, validation = hash_split(df, 0.5, "k")
+    assert build.count() + validation.count() == 200
+    assert build.join(validation, "v").count() == 0
+    b2, v2 = hash_split(df, 0.5, ["k", "v"])
+    assert b2.count() + v2.count() == 200

@@ -18,9 +18,11 @@ TWO_POW_32 = 4294967296.0
 
 
 def key_text(key: list[str] | str) -> Column:
+    """The key as text; a NULL key reads as empty text, so its row still
+    lands on exactly one side."""
     cols = [key] if isinstance(key, str) else list(key)
     if len(cols) == 1:
-        return F.col(cols[0]).cast("string")
+        return F.coalesce(F.col(cols[0]).cast("string"), F.lit(""))
     return F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
 
 
