@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from tidepool.sources.topic import TopicSource, publish, read_stream, to_messages
 from tidepool.session import scratch_path
-from tidepool.streaming.ingest import Workspace, ingest, subscribe
+from tidepool.streaming.ingest import ingest, subscribe
+from tidepool.workspace import Workspace
 
 EV = "/root/testdata/sf0.001/events.parquet"
 

@@ -147,3 +147,33 @@ def test_rebuild_plan_large_tick_table_uses_prefix(spark):
         spark.conf.unset("tidepool.broadcast.maxRows")
     assert small.count() == large.count() > 10
     assert small.exceptAll(large.select(*small.columns)).count() == 0
+
+
+def test_workspace_flow(spark):
+    from tidepool.workspace import Workspace
+
+    ev = spark.read.parquet(EV)
+    path = scratch_path(spark, "ws-topics")
+    publish(to_messages(ev, "event_type"), TopicSource(None, path=path))
+    ws = Workspace(spark)
+    for t in ("click", "view"):
+        ws.subscribe(TopicSource(t, path=path), hints=HINTS)
+        ws.ingest(t)
+    spec = ML.ModelSpec("click", "regression", "decision_tree", "value", ("user_id",), split_key=("event_id",),
+                        build_source="click", scoring_source="view")
+    ws.add_model(spec)
+    ws.add_model(spec)  # same name: replaced, still one model
+    assert list(ws.models) == [spec.name]
+    ws.build(spec.name)
+    ws.build(spec.name)
+    assert sorted(r["version"] for r in ws.registry.log().collect()) == [0, 1]
+    _, out = ws.score(spec.name)
+    scored = spark.read.parquet(out)
+    assert scored.count() == ev.where(F.col("event_type") == "view").count()
+    assert {r[0] for r in scored.select("model_version").distinct().collect()} == {1}
+    ws.remove_models("click")
+    assert ws.models == {} and ws.registry.latest().count() == 0
+    import pytest
+
+    with pytest.raises(LookupError):
+        ws.add_model(ML.ModelSpec("nope", "regression", "decision_tree", "value", ("user_id",)))
