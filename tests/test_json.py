@@ -103,3 +103,10 @@ def test_rescued_keeps_unknown_fields(spark):
     assert rows[1]["_rescued"] is None
     assert pyjson.loads(rows[2]["_rescued"]) == {"w": "x"}
     assert rows[3]["_rescued"] is None
+
+
+def test_payload_field_named_like_metadata(spark):
+    df = spark.createDataFrame([("t1", '{"topic":"inner","a":1}')], "topic string, value string")
+    schema = J.infer_schema(df)
+    row = J.decode(df, schema, keep=["topic"]).first()
+    assert row["topic"] == "t1" and row["topic_msg"] == "inner" and row["a"] == 1

@@ -111,7 +111,10 @@ def decode(
     cols = [F.col(k) for k in keep]
     if position_col:
         cols.append(F.col("_pos").alias(position_col))
-    cols += [F.col("_msg").getField(f.name).alias(f.name) for f in schema.fields]
+    # a payload field named like a carried column (e.g. its own "topic")
+    # keeps its value under "<name>_msg"
+    taken = set(keep) | ({position_col} if position_col else set())
+    cols += [F.col("_msg").getField(f.name).alias(f.name if f.name not in taken else f"{f.name}_msg") for f in schema.fields]
     if rescued_col:
         cols.append(F.when(F.size("_extra") > 0, F.to_json("_extra")).alias(rescued_col))
     return exploded.select(*cols)

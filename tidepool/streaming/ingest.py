@@ -93,7 +93,7 @@ def decoded_rows(messages: DataFrame, schema: T.StructType, sep: str = "_", resc
         "value",
     )
     rows = J.decode(renamed, schema, keep=META_COLS, position_col="_pos", rescued_col="_rescued" if rescue else None)
-    payload = [f.name for f in schema.fields] + (["_rescued"] if rescue else [])
+    payload = [c for c in rows.columns if c not in META_COLS and c != "_pos"]
     return J.flatten(rows, sep=sep, columns=META_COLS + ["_pos"] + payload)
 
 
