@@ -84,3 +84,24 @@ def test_continuous_ingest_one_second_cadence(spark):
     finally:
         q.stop()
     assert sub.history(spark).count() == ev.count() + 10
+
+
+def test_live_counts_resume_from_checkpoint_state(spark):
+    from tidepool.streaming.ingest import live_counts, live_latest, read_counts, read_live
+
+    ev = spark.read.parquet(EV)
+    path = scratch_path(spark, "live-restart")
+    target = TopicSource(None, path=path)
+    publish(to_messages(ev.where(F.col("event_id") < 400), "event_type"), target)
+    sub = subscribe(spark, TopicSource(None, path=path, max_per_trigger=2), hints={"ts": "timestamp_ntz"})
+    live_counts(spark, sub)
+    live_latest(spark, sub, ["ts", "event_id"])
+    publish(to_messages(ev.where(F.col("event_id") >= 400), "event_type"), target, mode="append")
+    _, counts = live_counts(spark, sub)  # restarted: state carries the first run's counts
+    _, latest = live_latest(spark, sub, ["ts", "event_id"])
+    want = {r["event_type"]: r["count"] for r in ev.groupBy("event_type").count().collect()}
+    assert {r["topic"]: r["n_messages"] for r in read_counts(spark, counts).collect()} == want
+    newest = ev.groupBy("event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("e"))
+    assert {r["topic"]: r["event_id"] for r in read_live(spark, latest, ["topic"]).collect()} == {
+        r["event_type"]: r["e"] for r in newest.collect()
+    }
