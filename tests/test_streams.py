@@ -177,3 +177,30 @@ def test_workspace_flow(spark):
 
     with pytest.raises(LookupError):
         ws.add_model(ML.ModelSpec("nope", "regression", "decision_tree", "value", ("user_id",)))
+
+
+def test_sequence_stream_across_batches(spark):
+    from tidepool.streaming.score import prefix_stream, read_sequence
+
+    ev = spark.read.parquet(EV)
+    path = scratch_path(spark, "seq-ordered")
+    target = TopicSource(None, path=path)
+    root = scratch_path(spark, "seq")
+    sub = None
+    for lo, hi in [(0, 333), (333, 700), (700, 1001)]:
+        publish(to_messages(ev.where((F.col("event_id") >= lo) & (F.col("event_id") < hi)), "event_type"), target, mode="append")
+        sub = sub or subscribe(spark, TopicSource(None, path=path), hints=HINTS)
+        rows = scoring_rows(spark, sub).select("topic", "ts", "event_id", "value")
+        prefix_stream(spark, rows, f"{root}/out", f"{root}/state", f"{root}/ckpt", ["ts", "event_id"], sums={"cum": "value"})
+    got = read_sequence(spark, f"{root}/out", f"{root}/state")
+    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    want = ev.select(
+        "event_id",
+        F.row_number().over(w).alias("seq_w"),
+        F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id"))).alias("new_w"),
+        F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum_w"),
+    )
+    j = got.join(want, "event_id")
+    assert j.count() == ev.count()
+    bad = j.where((F.col("seq") != F.col("seq_w")) | (F.col("seq_newest") != F.col("new_w")) | (F.abs(F.col("cum") - F.col("cum_w")) > 1e-6))
+    assert bad.count() == 0

@@ -22,7 +22,14 @@ from ..streaming.ingest import subscribe
 from ..streaming.rebuild import model_as_of as _model_as_of
 from ..streaming.rebuild import rebuild_plan as _rebuild_plan
 from ..streaming.rebuild import start_rebuild
-from ..streaming.score import running_rmse_stream, score_stream, score_with_registry, scoring_rows
+from ..streaming.score import (
+    prefix_stream,
+    read_sequence,
+    running_rmse_stream,
+    score_stream,
+    score_with_registry,
+    scoring_rows,
+)
 from .common import query, r6, stage_topic, table
 from .models import _EV_MODEL_CTE, events_model
 from .topics import EVENT_HINTS
@@ -127,6 +134,23 @@ def stream_running_rmse(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("topic", "event_id", F.col("seq").cast("bigint").alias("seq"), r6("running_rmse").alias("running_rmse"))
 
 
+@query(
+    "series_by_time_stream",
+    "B9 D3",
+    "SELECT event_type AS topic, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS seq, "
+    "value AS y FROM events",
+)
+def series_by_time_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The sequence axis kept incrementally by a stream: each arriving row
+    gets its number once; newest-first is derived from the topic total."""
+    sub = _scoring_topic(spark, sf)
+    root = scratch_path(spark, "sequence")
+    rows = scoring_rows(spark, sub).select("topic", "ts", "event_id", "value")
+    prefix_stream(spark, rows, f"{root}/out", f"{root}/state", f"{root}/checkpoint", ["ts", "event_id"])
+    seq = read_sequence(spark, f"{root}/out", f"{root}/state")
+    return seq.select("topic", F.col("seq_newest").cast("bigint").alias("seq"), F.col("value").alias("y"))
+
+
 @query(
     "rebuild_plan",
     "H3",

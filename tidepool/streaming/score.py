@@ -13,6 +13,9 @@ table).  Output and state are written under ``batch_id=N`` folders with
 overwrite, so a retried batch replaces itself; batch N reads the complete
 state written by batch N-1 only.  No key's rows ever meet in one task.
 
+``prefix_stream`` is the general form (sequence axis and running sums of
+any column); ``read_sequence`` adds newest-first numbering at read time.
+
 ``score_with_registry``: each micro-batch is scored with the newest
 registered version of a model, so rebuilt models are swapped in.
 """
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
-from ..operators.metrics import running_rmse
+from ..operators.prefix import ordered_prefix
+from ..session import broadcast_row_limit
 from ..operators.models import predict
 from .ingest import Subscription, decoded_rows
 from ..sources.topic import read_stream
@@ -69,7 +73,7 @@ def score_stream(
     return _run(writer, trigger)
 
 
-def _state_before(spark: SparkSession, state_path: str, batch_id: int, group: str) -> DataFrame | None:
+def _state_before(spark: SparkSession, state_path: str, batch_id: int, group: str, names: list[str]) -> DataFrame | None:
     """Totals per group after batch ``batch_id - 1``.
 
     Every batch writes the complete state (groups absent from it keep their
@@ -79,42 +83,87 @@ def _state_before(spark: SparkSession, state_path: str, batch_id: int, group: st
     if batch_id == 0:
         return None
     try:
-        return spark.read.parquet(f"{state_path}/batch_id={batch_id - 1}").select(group, "n", "sse")
+        return spark.read.parquet(f"{state_path}/batch_id={batch_id - 1}").select(group, "n", *names)
     except AnalysisException:
         return None
 
 
-def running_rmse_stream(
+def prefix_stream(
     spark: SparkSession,
     rows: DataFrame,
-    model: PipelineModel,
     out_path: str,
     state_path: str,
     checkpoint: str,
     order_by: list[str],
     group: str = "topic",
+    sums: dict | None = None,
+    finish=None,
     trigger: str | None = "availableNow",
 ) -> StreamingQuery:
-    """Score each row and emit ``(group, seq, running_rmse)`` with ``seq``
-    counting from the first row ever scored in the group.  Rows are ordered
-    by ``order_by`` inside a micro-batch and by arrival across batches."""
-    scored = predict(model, rows).select(group, *order_by, "label", "prediction")
+    """Sequence number ``seq`` (1 = first row ever seen in the group) and
+    running sums for every arriving row, incrementally.
+
+    Per micro-batch the rows are ranked with the distributed ordered prefix
+    (by ``order_by`` inside the batch), shifted by the group totals carried
+    from the previous batch.  ``finish(ranked)`` may add derived columns
+    before the write.  Newest-first numbering is ``n - seq + 1`` with ``n``
+    from the latest state, so old rows never need rewriting.
+    """
+    sums = dict(sums or {})
+    names = list(sums)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        base = _state_before(spark, state_path, batch_id, group)
-        ranked = running_rmse(batch, order_by, [group], base=base)
+        base = _state_before(spark, state_path, batch_id, group, names)
+        ranked = ordered_prefix(batch, order_by, [group], sums=sums, rank_col="seq", base=base)
+        if finish is not None:
+            ranked = finish(ranked)
         ranked.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
         done = spark.read.parquet(f"{out_path}/batch_id={batch_id}")
-        totals = done.groupBy(group).agg(F.max("seq").alias("n"), F.max_by("sse", "seq").alias("sse"))
+        totals = done.groupBy(group).agg(
+            F.max("seq").alias("n"), *[F.max_by(c, "seq").alias(c) for c in names]
+        )
         if base is not None:
             # groups absent from this batch keep their totals
             totals = base.join(totals, group, "left_anti").unionByName(totals)
         totals.write.mode("overwrite").parquet(f"{state_path}/batch_id={batch_id}")
 
-    writer = scored.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
+    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
     return _run(writer, trigger)
 
 
+def read_sequence(spark: SparkSession, out_path: str, state_path: str, group: str = "topic") -> DataFrame:
+    """Rows of a prefix stream with ``seq_newest`` (1 = newest row)."""
+    out = spark.read.parquet(out_path)
+    last = spark.read.parquet(state_path).groupBy(group).agg(F.max_by("n", "batch_id").alias("_n"))
+    return out.join(F.broadcast(last) if last.count() <= broadcast_row_limit(spark) else last, group).withColumn(
+        "seq_newest", F.col("_n") - F.col("seq") + 1
+    ).drop("_n")
+
+
+def running_rmse_stream(
+    spark: SparkSession,
+    rows: DataFrame,
+    model: PipelineModel,
+    out_path: str,
+    state_path: str,
+    checkpoint: str,
+    order_by: list[str],
+    group: str = "topic",
+    trigger: str | None = "availableNow",
+) -> StreamingQuery:
+    """Score each row and emit ``(group, seq, running_rmse)`` with ``seq``
+    counting from the first row ever scored in the group.  Rows are ordered
+    by ``order_by`` inside a micro-batch and by arrival across batches."""
+    scored = predict(model, rows).select(group, *order_by, "label", "prediction")
+    err2 = F.pow(F.col("label").cast("double") - F.col("prediction").cast("double"), 2)
+    return prefix_stream(
+        spark, scored, out_path, state_path, checkpoint, order_by, group,
+        sums={"sse": err2},
+        finish=lambda r: r.withColumn("running_rmse", F.sqrt(F.col("sse") / F.col("seq"))),
+        trigger=trigger,
+    )
+
+
 def score_with_registry(
     spark: SparkSession,
     rows: DataFrame,
