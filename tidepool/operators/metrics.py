@@ -35,7 +35,7 @@ def confusion_long(df: DataFrame, actual: str = "label", predicted: str = "predi
 
 def class_list(long: DataFrame) -> list[str]:
     """Classes seen on either side (K values; a model's label set)."""
-    rows = long.select(F.col("actual").alias("c")).union(long.select(F.col("predicted").alias("c"))).distinct()
+    rows = long.select(F.explode(F.array("actual", "predicted")).alias("c")).distinct()
     return sorted(r["c"] for r in rows.collect() if r["c"] is not None)
 
 
@@ -43,11 +43,16 @@ def confusion_matrix(
     df: DataFrame, actual: str = "label", predicted: str = "prediction", classes: list[str] | None = None
 ) -> DataFrame:
     """Square contingency table: one row per class (``actual``), one count
-    column per class, zero-filled for pairs that never occur."""
-    long = confusion_long(df, actual, predicted)
-    classes = classes or class_list(long)
-    wide = long.groupBy("actual").pivot("predicted", classes).agg(F.sum("n"))
+    column per class, zero-filled for pairs that never occur.
+
+    The scored rows are aggregated once into at most K x K cells; those
+    cells (bounded by the label set, not by the data) are pivoted."""
     spark = df.sparkSession
+    cells = confusion_long(df, actual, predicted).collect()
+    seen = {c for r in cells for c in (r["actual"], r["predicted"]) if c is not None}
+    classes = classes or sorted(seen)
+    long = spark.createDataFrame(cells, "actual string, predicted string, n bigint")
+    wide = long.groupBy("actual").pivot("predicted", classes).agg(F.sum("n"))
     all_rows = spark.createDataFrame([(c,) for c in classes], "actual string")
     return all_rows.join(wide, "actual", "left").na.fill(0, subset=classes).select(
         "actual", *[F.col(f"`{c}`").cast("bigint").alias(c) for c in classes]
@@ -60,20 +65,20 @@ def accuracy(df: DataFrame, actual: str = "label", predicted: str = "prediction"
 
 
 def _per_class_counts(long: DataFrame) -> DataFrame:
-    as_actual = long.select(
-        F.col("actual").alias("class"),
-        F.col("n").alias("actual_n"),
-        F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(F.lit(0)).alias("tp"),
-        F.lit(0).cast("bigint").alias("pred_n"),
-    )
-    as_pred = long.select(
-        F.col("predicted").alias("class"),
-        F.lit(0).cast("bigint").alias("actual_n"),
-        F.lit(0).cast("bigint").alias("tp"),
-        F.col("n").alias("pred_n"),
+    """Per class: rows actually in it, hits, rows predicted as it, and the
+    grand total.  Each contingency cell contributes to its actual class and
+    to its predicted class (one explode, so the scored rows are read once)."""
+    hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(F.lit(0).cast("bigint"))
+    zero = F.lit(0).cast("bigint")
+    sides = F.array(
+        F.struct(F.col("actual").alias("class"), F.col("n").alias("actual_n"), hit.alias("tp"), zero.alias("pred_n")),
+        F.struct(F.col("predicted").alias("class"), zero.alias("actual_n"), zero.alias("tp"), F.col("n").alias("pred_n")),
     )
-    per = as_actual.unionByName(as_pred).groupBy("class").agg(
-        F.sum("actual_n").alias("actual_n"), F.sum("tp").alias("tp"), F.sum("pred_n").alias("pred_n")
+    per = (
+        long.select(F.explode(sides).alias("s"))
+        .select("s.*")
+        .groupBy("class")
+        .agg(F.sum("actual_n").alias("actual_n"), F.sum("tp").alias("tp"), F.sum("pred_n").alias("pred_n"))
     )
     # K rows: the window over the whole (tiny) table gives the grand total.
     return per.withColumn("total", F.sum("actual_n").over(Window.partitionBy(F.lit(0))))
