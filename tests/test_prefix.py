@@ -13,7 +13,7 @@ def _events(spark, n_parts):
     return ev.repartition(n_parts).withColumnRenamed("event_type", "topic")
 
 
-@pytest.mark.parametrize("in_parts,range_parts", [(1, 1), (4, 3), (7, 16)])
+@pytest.mark.parametrize("in_parts,range_parts", [(1, 1), (4, 3), (7, 16), (5, None)])
 def test_rank_and_sum_equal_window(spark, in_parts, range_parts):
     ev = _events(spark, in_parts)
     got = ordered_prefix(ev, ["ts", "event_id"], ["topic"], sums={"cum": "value"}, num_partitions=range_parts)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import broadcast_row_limit, scratch_path, shuffle_partitions
+from ..session import broadcast_row_limit, scratch_path
 
 _B = "_pfx_part"
 _R = "_pfx_lrank"
@@ -103,7 +103,7 @@ def ordered_prefix(
     spark = df.sparkSession
     part = list(partition_by or [])
     sums = dict(sums or {})
-    n = num_partitions or shuffle_partitions(spark)
+    n = num_partitions
 
     src = df
     if not part:
@@ -116,7 +116,10 @@ def ordered_prefix(
         src = src.withColumn(f"_pfx_v_{name}", F.col(expr) if isinstance(expr, str) else expr)
     value_cols = [f"_pfx_v_{name}" for name in sums]
     keys = part + list(order_by)
-    ranged = src.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # Without an explicit count the range shuffle uses the session's
+    # partition count and AQE may merge small neighbouring partitions --
+    # merging neighbours keeps partition order monotone in the key.
+    ranged = (src.repartitionByRange(n, *keys) if n else src.repartitionByRange(*keys)).sortWithinPartitions(*keys)
 
     out_fields = list(ranged.schema.fields) + [
         T.StructField(_B, T.IntegerType(), False),
