@@ -105,3 +105,14 @@ def test_live_counts_resume_from_checkpoint_state(spark):
     assert {r["topic"]: r["event_id"] for r in read_live(spark, latest, ["topic"]).collect()} == {
         r["event_type"]: r["e"] for r in newest.collect()
     }
+
+
+def test_parquet_topic(spark):
+    ev = spark.read.parquet(EV)
+    path = scratch_path(spark, "pq-topic")
+    publish(to_messages(ev, "event_type"), TopicSource(None, fmt="parquet", path=path))
+    sub = subscribe(spark, TopicSource("click", fmt="parquet", path=path, max_per_trigger=1), hints={"ts": "timestamp_ntz"})
+    ingest(spark, sub)
+    hist = sub.history(spark)
+    assert hist.count() == ev.where(F.col("event_type") == "click").count()
+    assert hist.select("topic").distinct().first()[0] == "click"

@@ -4,8 +4,9 @@ A topic is an unbounded sequence of byte messages.  On a cluster the source
 is Spark's Kafka source (``subscribe``, ``startingOffsets=earliest``; every
 streaming query already consumes with its own group, so each subscription
 replays the whole topic).  The same reader accepts file topics: a folder of
-text files with one JSON message per line, optionally split into
-``topic=<name>`` sub-folders, which is how the tests and the bench stage
+text files with one JSON message per line (``fmt="text"``/``"json"``) or of
+Parquet files with a ``value`` column (``fmt="parquet"``), optionally split
+into ``topic=<name>`` sub-folders.  That is how the tests and the bench stage
 topics derived from the given tables (the Kafka connector jar is not part of
 a plain PySpark install).
 
@@ -27,7 +28,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..functions.json import JSON_OPTIONS
 
-FILE_FORMATS = ("text", "json")
+FILE_FORMATS = ("text", "json", "parquet")
 
 
 @dataclass(frozen=True)
@@ -105,7 +106,7 @@ def _resolve(spark: SparkSession, src: TopicSource) -> tuple[str, dict]:
         return src.path, {}
     sub = f"{src.path.rstrip('/')}/topic={src.name}"
     try:
-        spark.read.format("text").load(sub)
+        spark.read.format("parquet" if src.fmt == "parquet" else "text").load(sub)
     except AnalysisException:
         return src.path, {}
     return sub, {}
@@ -116,7 +117,12 @@ def read_stream(spark: SparkSession, src: TopicSource) -> DataFrame:
     if src.fmt == "kafka":
         return _message_frame(_kafka_reader(spark.readStream, src, True).load(), src)
     folder, opts = _resolve(spark, src)
-    reader = spark.readStream.format("text")
+    if src.fmt == "parquet":
+        # Parquet topics hold the message in a ``value`` column; a file
+        # stream needs the schema up front, taken from what is there.
+        reader = spark.readStream.format("parquet").schema(spark.read.parquet(folder).schema)
+    else:
+        reader = spark.readStream.format("text")
     if src.max_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(src.max_per_trigger))
     for k, v in {**opts, **src.options}.items():
@@ -133,7 +139,7 @@ def read_batch(spark: SparkSession, src: TopicSource) -> DataFrame:
     if src.fmt == "kafka":
         return _message_frame(_kafka_reader(spark.read, src, False).load(), src)
     folder, opts = _resolve(spark, src)
-    reader = spark.read.format("text")
+    reader = spark.read.format("parquet" if src.fmt == "parquet" else "text")
     for k, v in opts.items():
         reader = reader.option(k, v)
     df = _message_frame(reader.load(folder), src)
@@ -187,10 +193,10 @@ def publish(messages: DataFrame, target: TopicSource, mode: str = "append") -> N
             .save()
         )
         return
-    writer = messages.write.mode(mode)
+    fmt = "parquet" if target.fmt == "parquet" else "text"
     if target.name is None:
         if "topic" not in messages.columns:
             raise ValueError("multi-topic folder needs a topic column")
-        writer.partitionBy("topic").text(target.path)
+        messages.select("topic", "value").write.mode(mode).partitionBy("topic").format(fmt).save(target.path)
     else:
-        messages.select("value").write.mode(mode).text(target.path)
+        messages.select("value").write.mode(mode).format(fmt).save(target.path)
