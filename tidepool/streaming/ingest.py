@@ -129,6 +129,7 @@ def live_aggregate(
     aggregate,
     name: str,
     trigger: str | None = "availableNow",
+    state_partitions: int | None = None,
 ) -> tuple[StreamingQuery, str]:
     """Run ``aggregate(rows) -> grouped frame`` as a streaming aggregation.
 
@@ -136,6 +137,10 @@ def live_aggregate(
     appended with the batch id, so a replayed batch only repeats equal rows
     and ``read_live`` picks the newest row per group.  Returns the query and
     the log folder.
+
+    ``state_partitions`` sets the state store's partition count (else the
+    session's shuffle partitions).  It is fixed when the query first starts
+    and kept in its checkpoint.
     """
     root = f"{sub.checkpoint_path}-{name}"
     log_path = f"{root}/table"
@@ -147,10 +152,19 @@ def live_aggregate(
 
     writer = result.writeStream.outputMode("update").option("checkpointLocation", f"{root}/checkpoint").foreachBatch(sink)
     if trigger == "availableNow":
-        q = writer.trigger(availableNow=True).start()
+        writer = writer.trigger(availableNow=True)
+    elif trigger:
+        writer = writer.trigger(processingTime=trigger)
+    # the stream clones the session conf when it starts
+    previous = spark.conf.get("spark.sql.shuffle.partitions")
+    if state_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        q = writer.start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", previous)
+    if trigger == "availableNow":
         q.awaitTermination()
-    else:
-        q = writer.trigger(processingTime=trigger).start() if trigger else writer.start()
     return q, log_path
 
 
@@ -162,12 +176,26 @@ def read_live(spark: SparkSession, log_path: str, group: list[str]) -> DataFrame
     return newest.select(*group, *[F.col("_r").getField(c).alias(c) for c in cols])
 
 
+# Per-topic live aggregates keep one state row per topic, and their input is
+# reduced map-side to at most one row per topic per task before the shuffle:
+# a few state partitions serve any data volume.
+TOPIC_STATE_PARTITIONS = 8
+
+
 def live_counts(
-    spark: SparkSession, sub: Subscription, trigger: str | None = "availableNow"
+    spark: SparkSession,
+    sub: Subscription,
+    trigger: str | None = "availableNow",
+    state_partitions: int | None = TOPIC_STATE_PARTITIONS,
 ) -> tuple[StreamingQuery, str]:
     """Running message count per topic (the "Total number of messages" box)."""
     return live_aggregate(
-        spark, sub, lambda rows: rows.groupBy("topic").agg(F.count(F.lit(1)).alias("n_messages")), "counts", trigger
+        spark,
+        sub,
+        lambda rows: rows.groupBy("topic").agg(F.count(F.lit(1)).alias("n_messages")),
+        "counts",
+        trigger,
+        state_partitions,
     )
 
 
@@ -176,7 +204,11 @@ def read_counts(spark: SparkSession, counts_path: str) -> DataFrame:
 
 
 def live_latest(
-    spark: SparkSession, sub: Subscription, order_by: list[str], trigger: str | None = "availableNow"
+    spark: SparkSession,
+    sub: Subscription,
+    order_by: list[str],
+    trigger: str | None = "availableNow",
+    state_partitions: int | None = TOPIC_STATE_PARTITIONS,
 ) -> tuple[StreamingQuery, str]:
     """Newest message per topic, kept as streaming state: one ``max_by``
     per topic, no sort and no history scan."""
@@ -186,7 +218,7 @@ def live_latest(
         payload = [c for c in rows.columns if c not in ("_partition", "_offset", "_timestamp", "_pos")]
         return latest(rows.select(*payload), order_by, ["topic"])
 
-    return live_aggregate(spark, sub, newest, "latest", trigger)
+    return live_aggregate(spark, sub, newest, "latest", trigger, state_partitions)
 
 
 def start_quarantine(
