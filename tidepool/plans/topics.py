@@ -296,7 +296,7 @@ def latest_message_stream(spark: SparkSession, sf: str) -> DataFrame:
     src = stage_topic(spark, table(spark, sf, "events"), topic_col="event_type", files=3)
     sub = subscribe(spark, replace(src, max_per_trigger=4), hints=EVENT_HINTS)
     _, log = live_latest(spark, sub, ["ts", "event_id"])
-    return read_live(spark, log, ["topic"]).select("topic", "event_id", "ts", "user_id", "value", "props")
+    return read_live(spark, log).select("topic", "event_id", "ts", "user_id", "value", "props")
 
 
 

@@ -14,6 +14,8 @@ Order is never storage order: rows carry the message coordinates
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -133,10 +135,12 @@ def live_aggregate(
 ) -> tuple[StreamingQuery, str]:
     """Run ``aggregate(rows) -> grouped frame`` as a streaming aggregation.
 
-    Update mode emits the groups that changed in each micro-batch; they are
-    appended with the batch id, so a replayed batch only repeats equal rows
-    and ``read_live`` picks the newest row per group.  Returns the query and
-    the log folder.
+    Complete mode: every micro-batch emits the whole current result (one
+    row per group), written to ``batch_id=N`` with overwrite, so a retried
+    batch replaces itself and ``read_live`` reads only the newest snapshot
+    -- reading stays constant-size however long the stream runs.  Meant for
+    aggregates with few groups (per topic); returns the query and the
+    snapshot folder.
 
     ``state_partitions`` sets the state store's partition count (else the
     session's shuffle partitions).  It is fixed when the query first starts
@@ -148,9 +152,9 @@ def live_aggregate(
     result = aggregate(rows)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(log_path)
+        batch.write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
 
-    writer = result.writeStream.outputMode("update").option("checkpointLocation", f"{root}/checkpoint").foreachBatch(sink)
+    writer = result.writeStream.outputMode("complete").option("checkpointLocation", f"{root}/checkpoint").foreachBatch(sink)
     if trigger == "availableNow":
         writer = writer.trigger(availableNow=True)
     elif trigger:
@@ -168,12 +172,14 @@ def live_aggregate(
     return q, log_path
 
 
-def read_live(spark: SparkSession, log_path: str, group: list[str]) -> DataFrame:
-    """Newest emitted row per group from a live aggregate's log."""
-    log = spark.read.parquet(log_path)
-    cols = [c for c in log.columns if c not in group and c != "batch_id"]
-    newest = log.groupBy(*group).agg(F.max_by(F.struct(*cols), "batch_id").alias("_r"))
-    return newest.select(*group, *[F.col("_r").getField(c).alias(c) for c in cols])
+def read_live(spark: SparkSession, log_path: str) -> DataFrame:
+    """The newest snapshot of a live aggregate.  The newest batch folder is
+    found from the file listing; only that folder's rows are read."""
+    files = spark.read.parquet(log_path).inputFiles()
+    ids = [int(m.group(1)) for m in (re.search(r"batch_id=(\d+)", f) for f in files) if m]
+    if not ids:
+        raise LookupError(f"no snapshot under {log_path}")
+    return spark.read.parquet(f"{log_path}/batch_id={max(ids)}")
 
 
 # Per-topic live aggregates keep one state row per topic, and their input is
@@ -200,7 +206,7 @@ def live_counts(
 
 
 def read_counts(spark: SparkSession, counts_path: str) -> DataFrame:
-    return read_live(spark, counts_path, ["topic"])
+    return read_live(spark, counts_path)
 
 
 def live_latest(
