@@ -116,3 +116,19 @@ def test_parquet_topic(spark):
     hist = sub.history(spark)
     assert hist.count() == ev.where(F.col("event_type") == "click").count()
     assert hist.select("topic").distinct().first()[0] == "click"
+
+
+def test_rows_new_since_last_ingest(spark):
+    from tidepool.operators.setops import new_rows_since
+
+    ev = spark.read.parquet(EV)
+    path = scratch_path(spark, "arrivals")
+    target = TopicSource("events", path=path)
+    publish(to_messages(ev.where(F.col("event_id") < 600)), target)
+    sub = subscribe(spark, TopicSource("events", path=path), hints={"ts": "timestamp_ntz"})
+    ingest(spark, sub)
+    built_until = sub.history(spark).agg(F.max("_ingested_at")).first()[0]
+    publish(to_messages(ev.where(F.col("event_id") >= 600)), target, mode="append")
+    ingest(spark, sub)
+    fresh = new_rows_since(sub.history(spark), "_ingested_at", built_until)
+    assert sorted(r[0] for r in fresh.select("event_id").collect()) == list(range(600, ev.count()))

@@ -8,8 +8,9 @@ sink's metadata log gives exactly-once appends, and a restart on the same
 checkpoint resumes where it stopped.
 
 Order is never storage order: rows carry the message coordinates
-(``_partition``, ``_offset``, ``_timestamp``, ``_pos``) and their payload;
-"newest" is decided by a query (see ``operators.series``).
+(``_partition``, ``_offset``, ``_timestamp``, ``_pos``), the micro-batch time
+``_ingested_at`` and their payload; "newest" is decided by a query (see
+``operators.series``).
 """
 
 from __future__ import annotations
@@ -96,7 +97,11 @@ def decoded_rows(messages: DataFrame, schema: T.StructType, sep: str = "_", resc
     )
     rows = J.decode(renamed, schema, keep=META_COLS, position_col="_pos", rescued_col="_rescued" if rescue else None)
     payload = [c for c in rows.columns if c not in META_COLS and c != "_pos"]
-    return J.flatten(rows, sep=sep, columns=META_COLS + ["_pos"] + payload)
+    flat = J.flatten(rows, sep=sep, columns=META_COLS + ["_pos"] + payload)
+    # In a stream, current_timestamp() is the micro-batch's time, kept in the
+    # offset log (a retried batch gets the same value): an arrival coordinate
+    # for "rows new since the last build" on any topic.
+    return flat.withColumn("_ingested_at", F.current_timestamp())
 
 
 def ingest(
@@ -221,7 +226,7 @@ def live_latest(
     from ..operators.series import latest
 
     def newest(rows: DataFrame) -> DataFrame:
-        payload = [c for c in rows.columns if c not in ("_partition", "_offset", "_timestamp", "_pos")]
+        payload = [c for c in rows.columns if c not in ("_partition", "_offset", "_timestamp", "_pos", "_ingested_at")]
         return latest(rows.select(*payload), order_by, ["topic"])
 
     return live_aggregate(spark, sub, newest, "latest", trigger, state_partitions)
