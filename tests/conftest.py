@@ -18,16 +18,3 @@ def spark():
     s = local_session(cpus=8, shuffle_partitions=8, app="tidepool-tests")
     yield s
 
-
-@pytest.fixture(scope="session")
-def con_small():
-    from compare import duck
-
-    return duck(SMALL)
-
-
-@pytest.fixture(scope="session")
-def con_medium():
-    from compare import duck
-
-    return duck(MEDIUM)

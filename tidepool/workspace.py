@@ -82,7 +82,9 @@ class Workspace:
         path = ML.save(fitted.model, self.registry.model_path(name, version))
         metric = ML.evaluate(fitted).first()
         mname = "rmse" if spec.kind == ML.REGRESSION else "accuracy"
-        self.registry.record(spec, version, fitted.build_rows.count(), mname, metric[mname], path)
+        # rows the model was built from (build and validation sides), as in
+        # the timed rebuild
+        self.registry.record(spec, version, data.count(), mname, metric[mname], path)
         return fitted
 
     def _has_log(self) -> bool:
