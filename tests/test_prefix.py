@@ -102,3 +102,39 @@ def test_many_arrow_batches_per_partition(spark, batch_rows):
         assert j.where((F.col("seq") != F.col("seq_w")) | (F.abs(F.col("cum") - F.col("cum_w")) > 1e-6)).count() == 0
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+ROWS = st.lists(
+    st.tuples(st.sampled_from(["a", "b", "c", None]), st.integers(-5, 5), st.floats(-100, 100, allow_nan=False)),
+    min_size=1,
+    max_size=60,
+)
+
+
+@settings(max_examples=8, deadline=None)
+@given(rows=ROWS, parts=st.integers(1, 5), batch=st.sampled_from([3, 10000]), descending=st.booleans())
+def test_prefix_property(spark, rows, parts, batch, descending):
+    data = [(g, t, i, v) for i, (g, t, v) in enumerate(rows)]
+    df = spark.createDataFrame(data, "g string, t int, id int, v double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = {
+            r["id"]: (r["seq"], r["cum"])
+            for r in ordered_prefix(df, ["t", "id"], ["g"], sums={"cum": "v"}, descending=descending, num_partitions=parts).collect()
+        }
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # brute force on the driver for this small fixture
+    want = {}
+    for g in {r[0] for r in data}:
+        members = sorted((r for r in data if r[0] == g), key=lambda r: (r[1], r[2]), reverse=descending)
+        total = 0.0
+        for k, r in enumerate(members, 1):
+            total += r[3]
+            want[r[2]] = (k, total)
+    assert got.keys() == want.keys()
+    for i, (seq, cum) in want.items():
+        assert got[i][0] == seq and abs(got[i][1] - cum) < 1e-6
