@@ -33,3 +33,34 @@ def test_asof_rejects_clashing_columns(spark):
 
     with pytest.raises(ValueError):
         asof_join(df, df, ["k"], "x", "x")
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=8, deadline=None)
+@given(
+    left=st.lists(st.tuples(st.sampled_from(["x", "y"]), st.integers(0, 50)), min_size=1, max_size=30),
+    right=st.lists(st.tuples(st.sampled_from(["x", "y", "z"]), st.integers(0, 50)), max_size=20),
+    width=st.sampled_from([1, 7, 100]),
+)
+def test_asof_property(spark, left, right, width):
+    ldf = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(left)], "k string, lt int, lid int").withColumn(
+        "lt", F.timestamp_seconds("lt")
+    )
+    rrows = [(k, t, i) for i, (k, t) in enumerate(right)]
+    rdf = spark.createDataFrame(rrows, "k string, rt int, rid int").withColumn("rt", F.timestamp_seconds("rt"))
+    got = {r["lid"]: r["rid"] for r in asof_join(ldf, rdf, ["k"], "lt", "rt", width_seconds=width).collect()}
+    want = {}
+    for i, (k, t) in enumerate(left):
+        cands = [(rt, rid) for (rk, rt, rid) in rrows if rk == k and rt <= t]
+        # newest time wins; among equal times the entry that sorts last
+        want[i] = max(cands)[1] if cands else None
+    assert got.keys() == want.keys()
+    for i, rid in want.items():
+        if rid is None:
+            assert got[i] is None
+        else:
+            # equal right times are interchangeable: compare their time
+            assert got[i] is not None and rrows[got[i]][1] == rrows[rid][1]
