@@ -43,3 +43,34 @@ def test_asof_bucket_bound(spark):
     with pytest.raises(ValueError):
         asof_join(left, right, ["k"], "lt", "rt", width_seconds=3600, max_candidates=10)
     assert asof_join(left, right, ["k"], "lt", "rt", width_seconds=3600).first()["version"] == 49
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=8, deadline=None)
+@given(
+    rows=st.lists(
+        st.tuples(st.sampled_from(["a", "b", None]), st.one_of(st.none(), st.integers(0, 5))), min_size=1, max_size=40
+    ),
+    small_bound=st.booleans(),
+)
+def test_latest_property(spark, rows, small_bound):
+    data = [(g, t, i) for i, (g, t) in enumerate(rows)]
+    df = spark.createDataFrame(data, "g string, t int, id int")
+    if small_bound:  # force the single-aggregate plan
+        spark.conf.set("tidepool.broadcast.maxRows", "0")
+    try:
+        got = {r["g"]: (r["t"], r["id"]) for r in S.latest(df, ["t", "id"], ["g"]).collect()}
+    finally:
+        spark.conf.unset("tidepool.broadcast.maxRows")
+
+    def key(r):  # NULL orders lowest
+        return (r[1] is not None, r[1] if r[1] is not None else 0, r[2])
+
+    want = {}
+    for g in {r[0] for r in data}:
+        best = max((r for r in data if r[0] == g), key=key)
+        want[g] = (best[1], best[2])
+    assert got == want
