@@ -4,6 +4,8 @@
     BENCH_CPUS     local[N] (default 8)
     BENCH_REPEATS  timed runs per query, best kept (default 1)
     BENCH_QUERIES  comma list to run a subset (default: the headline set)
+    BENCH_EVENT_LOG=1  write Spark's event log (stage/task times) under
+                   $BENCH_EVENT_LOG_DIR (default /tmp/checkpoints)
 
 Each query's result is fully computed through the ``noop`` sink (every row
 produced, nothing collected).  Warm-up queries (one batch, one streaming)
@@ -53,7 +55,13 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeats = int(os.environ.get("BENCH_REPEATS", "1"))
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
-    spark = local_session(cpus=cpus, shuffle_partitions=max(8, int(cpus)), app="tidepool-bench")
+    extra = {}
+    if os.environ.get("BENCH_EVENT_LOG"):
+        # stage and task timings, read offline from the event log
+        log_dir = os.path.join(os.environ.get("BENCH_EVENT_LOG_DIR", "/tmp/checkpoints"), "tidepool-eventlog")
+        os.makedirs(log_dir, exist_ok=True)
+        extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir}
+    spark = local_session(cpus=cpus, shuffle_partitions=max(8, int(cpus)), app="tidepool-bench", extra=extra)
 
     # warm-up: one batch query and one streaming query (on the smallest
     # tables present), so neither engine's first-use cost is billed

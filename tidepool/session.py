@@ -18,8 +18,11 @@ from pyspark.sql import SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
-def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "tidepool") -> SparkSession:
-    """Session for tests and the local bench (local[N], UI off, AQE on)."""
+def local_session(
+    cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "tidepool", extra: dict | None = None
+) -> SparkSession:
+    """Session for tests and the local bench (local[N], UI off, AQE on);
+    ``extra`` adds configuration (e.g. an event log for stage timings)."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -35,6 +38,8 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     )
+    for k, v in (extra or {}).items():
+        builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_root(spark)
