@@ -33,12 +33,6 @@ def confusion_long(df: DataFrame, actual: str = "label", predicted: str = "predi
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-def class_list(long: DataFrame) -> list[str]:
-    """Classes seen on either side (K values; a model's label set)."""
-    rows = long.select(F.explode(F.array("actual", "predicted")).alias("c")).distinct()
-    return sorted(r["c"] for r in rows.collect() if r["c"] is not None)
-
-
 def confusion_matrix(
     df: DataFrame, actual: str = "label", predicted: str = "prediction", classes: list[str] | None = None
 ) -> DataFrame:
