@@ -132,3 +132,28 @@ def test_rows_new_since_last_ingest(spark):
     ingest(spark, sub)
     fresh = new_rows_since(sub.history(spark), "_ingested_at", built_until)
     assert sorted(r[0] for r in fresh.select("event_id").collect()) == list(range(600, ev.count()))
+
+
+def test_compact_history_into_clustered_table(spark):
+    import uuid
+
+    from tidepool.operators.relational import TableStore
+    from tidepool.streaming.ingest import compact_history
+
+    ev = spark.read.parquet(EV)
+    path = scratch_path(spark, "compact")
+    target = TopicSource(None, path=path)
+    sub = None
+    for lo, hi in [(0, 300), (300, 700), (700, 1001)]:  # three arrivals, many small files
+        publish(to_messages(ev.where((F.col("event_id") >= lo) & (F.col("event_id") < hi)).repartition(4), "event_type"), target, mode="append")
+        sub = sub or subscribe(spark, TopicSource(None, path=path), hints={"ts": "timestamp_ntz"})
+        ingest(spark, sub)
+    store = TableStore(spark, scratch_path(spark, "compact-tables"))
+    name = f"hist_{uuid.uuid4().hex[:8]}"
+    table = compact_history(spark, sub, store, name, ["ts", "event_id"])
+    assert table.count() == ev.count()
+    assert len(table.inputFiles()) < len(sub.history(spark).inputFiles())
+    # a second run replaces the table (new version), same rows
+    assert compact_history(spark, sub, store, name, ["ts", "event_id"]).count() == ev.count()
+    cut = table.where(F.col("ts") >= F.to_timestamp_ntz(F.lit("2024-01-01 12:00:00")))
+    assert cut.count() == ev.where(F.col("ts") >= F.to_timestamp_ntz(F.lit("2024-01-01 12:00:00"))).count()

@@ -253,3 +253,20 @@ def start_quarantine(
     else:
         q = writer.trigger(processingTime=trigger).start() if trigger else writer.start()
     return q, path
+
+
+def compact_history(spark: SparkSession, sub: Subscription, store, table: str, order_by: list[str]) -> DataFrame:
+    """Rewrite the history into a compact, clustered catalog table.
+
+    A fast trigger leaves many small files in the live history.  This batch
+    job (run periodically) range-partitions the rows by ``(topic,
+    *order_by)`` -- AQE sizes the files, and a hot topic spans many of them
+    -- and sorts each file, so every file covers a contiguous key range and
+    Parquet min/max statistics prune time-range scans.  Each run replaces
+    the table through ``TableStore.overwrite`` (a new folder, then one
+    catalog switch); the live history stays untouched for fresh rows.
+    """
+    keys = ["topic", *order_by]
+    clustered = sub.history(spark).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    store.overwrite(table, clustered)
+    return store.read(table)
