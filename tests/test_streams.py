@@ -173,6 +173,10 @@ def test_workspace_flow(spark):
     assert {r[0] for r in scored.select("model_version").distinct().collect()} == {1}
     ws.remove_models("click")
     assert ws.models == {} and ws.registry.latest().count() == 0
+    import uuid
+
+    compacted = ws.compact("click", f"click_{uuid.uuid4().hex[:8]}", ["ts", "event_id"])
+    assert compacted.count() == ws.history("click").count()
     import pytest
 
     with pytest.raises(LookupError):

@@ -53,6 +53,14 @@ class Workspace:
     def history(self, topic: str) -> DataFrame:
         return self._sub(topic).history(self.spark)
 
+    def compact(self, topic: str, table: str, order_by: list[str]) -> DataFrame:
+        """Rewrite a topic's history into a clustered catalog table."""
+        from .operators.relational import TableStore
+        from .streaming.ingest import compact_history
+
+        store = TableStore(self.spark, f"{self.root}/tables")
+        return compact_history(self.spark, self._sub(topic), store, table, order_by)
+
     # --- models ---------------------------------------------------------
 
     def add_model(self, spec: ML.ModelSpec) -> None:
