@@ -23,16 +23,17 @@ registered version of a model, so rebuilt models are swapped in.
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
+from ..operators.models import load, predict
 from ..operators.prefix import ordered_prefix
 from ..session import broadcast_row_limit
-from ..operators.models import predict
-from .ingest import Subscription, decoded_rows
 from ..sources.topic import read_stream
+from .ingest import Subscription, decoded_rows
 
 
 def _run(writer, trigger: str | None) -> StreamingQuery:
@@ -61,8 +62,6 @@ def score_stream(
     """Append every scored row (input columns + prediction) to ``out_path``."""
     scored = predict(model, rows)
     if "probability" in scored.columns:
-        from pyspark.ml.functions import vector_to_array
-
         scored = scored.withColumn("probability", vector_to_array("probability"))
     writer = (
         scored.writeStream.format("parquet")
@@ -177,8 +176,6 @@ def score_with_registry(
     the registry at the time the batch runs, so a rebuilt model is swapped
     in without restarting the stream.  Rows carry the ``model_version``
     used.  Output goes to ``batch_id=N`` folders (overwritten on retry)."""
-    from ..operators.models import load
-
     loaded: dict[str, PipelineModel] = {}
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -190,9 +187,7 @@ def score_with_registry(
             loaded[path] = load(path)
         scored = predict(loaded[path], batch).withColumn("model_version", F.lit(live["version"]).cast("bigint"))
         if "probability" in scored.columns:
-            from pyspark.ml.functions import vector_to_array
-
-            scored = scored.withColumn("probability", vector_to_array("probability"))
+                scored = scored.withColumn("probability", vector_to_array("probability"))
         scored.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)

@@ -16,9 +16,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .operators import models as ML
 from .operators.registry import ModelRegistry
+from .operators.relational import TableStore
 from .session import scratch_path
 from .sources.topic import TopicSource
-from .streaming.ingest import Subscription, ingest, subscribe
+from .streaming.ingest import Subscription, compact_history, ingest, subscribe
 from .streaming.rebuild import start_rebuild
 from .streaming.score import score_with_registry, scoring_rows
 
@@ -55,9 +56,6 @@ class Workspace:
 
     def compact(self, topic: str, table: str, order_by: list[str]) -> DataFrame:
         """Rewrite a topic's history into a clustered catalog table."""
-        from .operators.relational import TableStore
-        from .streaming.ingest import compact_history
-
         store = TableStore(self.spark, f"{self.root}/tables")
         return compact_history(self.spark, self._sub(topic), store, table, order_by)
 
