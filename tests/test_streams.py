@@ -208,3 +208,24 @@ def test_sequence_stream_across_batches(spark):
     assert j.count() == ev.count()
     bad = j.where((F.col("seq") != F.col("seq_w")) | (F.col("seq_newest") != F.col("new_w")) | (F.abs(F.col("cum") - F.col("cum_w")) > 1e-6))
     assert bad.count() == 0
+
+
+def test_workspace_builds_from_csv(spark):
+    from tidepool.workspace import Workspace
+
+    ev = spark.read.parquet(EV)
+    topics = scratch_path(spark, "ws-csv-topics")
+    publish(to_messages(ev, "event_type"), TopicSource(None, path=topics))
+    csv = scratch_path(spark, "upload") + ".csv"
+    ev.select("event_id", "user_id", "value").write.option("header", True).csv(csv)
+    ws = Workspace(spark)
+    ws.subscribe(TopicSource("view", path=topics), hints=HINTS)
+    ws.ingest("view")
+    spec = ML.ModelSpec("view", "regression", "decision_tree", "value", ("user_id",), split_key=("event_id",),
+                        build_source=csv, rebuild_minutes=None)
+    ws.add_model(spec)
+    ws.build(spec.name)
+    (entry,) = ws.registry.latest().collect()
+    assert entry["n_build"] == ev.count() and entry["metric_name"] == "rmse"
+    _, out = ws.score(spec.name)
+    assert spark.read.parquet(out).count() == ev.where(F.col("event_type") == "view").count()
