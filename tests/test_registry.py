@@ -23,10 +23,13 @@ def test_latest_tombstone_and_readd(spark):
     reg.record(b, 0, 5, "rmse", 2.0, "q0", built_at=t)
     latest = {r["name"]: r["version"] for r in reg.latest().collect()}
     assert latest == {a.name: 1, b.name: 0}
+    assert reg.latest_for(a.name)["version"] == 1
     reg.remove_topic("click")
     assert [r["name"] for r in reg.latest().collect()] == [b.name]
+    assert reg.latest_for(a.name) is None and reg.latest_for(b.name)["version"] == 0
     reg.record(a, 3, 30, "rmse", 0.4, "p3", built_at=t)  # defined and built again
     assert {r["name"]: r["version"] for r in reg.latest().collect()} == {a.name: 3, b.name: 0}
+    assert reg.latest_for(a.name)["version"] == 3 and reg.latest_for("unknown") is None
 
 
 def test_remove_names_anti_join(spark):

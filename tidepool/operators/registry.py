@@ -4,15 +4,20 @@ A row is written per build (``name`` identifies a model: topic, kind,
 label, algorithm).  The latest version per name is a ``max_by`` aggregate;
 removal appends tombstones, so concurrent readers never see a half-written
 table.  A retried write repeats a row with the same (name, version); readers
-that sum over versions drop such repeats first.
+that sum over versions drop such repeats first.  Each model also has a
+one-row "current" entry, rewritten on every record or removal, so a scoring
+stream's per-batch lookup (``latest_for``) does not grow with the number
+of versions.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from .models import ModelSpec
 
@@ -75,16 +80,38 @@ class ModelRegistry:
             model_path,
             removed,
         )
-        self.spark.createDataFrame([row], LOG_SCHEMA).write.mode("append").parquet(self.log_path)
+        entry = self.spark.createDataFrame([row], LOG_SCHEMA)
+        entry.write.mode("append").parquet(self.log_path)
+        entry.coalesce(1).write.mode("overwrite").parquet(self._current_path(spec.name))
+
+    def _current_path(self, name: str) -> str:
+        return f"{self.root}/current/{hashlib.md5(name.encode()).hexdigest()}"
 
     def log(self) -> DataFrame:
         return self.spark.read.schema(LOG_SCHEMA).parquet(self.log_path)
 
+    def latest_for(self, name: str):
+        """Newest live entry of one model (a Row) or None.
+
+        Reads the model's one-row current entry, so the lookup does not
+        grow with the number of versions; when that entry is missing or
+        being rewritten, the log answers instead.
+        """
+        try:
+            rows = self.spark.read.schema(LOG_SCHEMA).parquet(self._current_path(name)).collect()
+        except AnalysisException:
+            rows = []
+        if len(rows) != 1:
+            rows = self.latest().where(F.col("name") == name).collect()
+            return rows[0] if rows else None
+        return None if rows[0]["removed"] else rows[0]
+
     def latest(self) -> DataFrame:
         return latest_versions(self.log())
 
     def remove_topic(self, topic: str) -> None:
-        """Remove every model of a topic: tombstones for their names."""
+        """Remove every model of a topic: tombstones for their names (one
+        row per model of the topic, computed before anything is written)."""
         live = self.latest().where(F.col("topic") == topic)
         tomb = live.select(
             "name", "topic", "kind", "algorithm", "label", "rebuild_mode",
@@ -92,5 +119,11 @@ class ModelRegistry:
             F.lit(0).cast("bigint").alias("n_build"), F.lit(None).cast("string").alias("metric_name"),
             F.lit(None).cast("double").alias("metric_value"), F.lit(None).cast("string").alias("model_path"),
             F.lit(True).alias("removed"),
-        )
-        tomb.write.mode("append").parquet(self.log_path)
+        ).collect()
+        if not tomb:
+            return
+        self.spark.createDataFrame(tomb, LOG_SCHEMA).write.mode("append").parquet(self.log_path)
+        for r in tomb:
+            self.spark.createDataFrame([r], LOG_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
+                self._current_path(r["name"])
+            )

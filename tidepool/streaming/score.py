@@ -179,7 +179,7 @@ def score_with_registry(
     loaded: dict[str, PipelineModel] = {}
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        live = registry.latest().where(F.col("name") == name).select("version", "model_path").first()
+        live = registry.latest_for(name)
         if live is None:
             return  # no model yet: nothing to score with
         path = live["model_path"]
