@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import packing, quality_rules, secrets
+from tidepool.llm import packing, quality_rules, secrets, simhash, toxicity
 from tidepool.llm.common import table, written
 
 
@@ -16,6 +16,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_by_rules(docs)
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that do not score as toxic; fitted on this stage's documents and ``labels``."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document (the smallest id) of each group of near copies."""
+    return simhash.deduplicate(docs)
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets masked."""
     return secrets.redact(docs)
@@ -28,6 +38,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality_rules", quality),
+    ("toxicity", clean),
+    ("simhash_near_dedup", near_duplicates),
     ("secret_scan", secret_scan),
     ("packing", pack),
 ]
