@@ -215,7 +215,10 @@ class _Rules:
             return (c("n") >= least) & (c(distance) > floor + noise / F.sqrt(F.greatest(c("n"), F.lit(1))))
 
         failed = c("base_failed") | odd("chars_distance", *chars_limit) | odd("common_distance", *common_limit)
-        return self.add(df, kept=~failed)
+        # A filter on a plain column is pushed below the projections it is made of, and every
+        # name in it is replaced by its expression on the way, which multiplies a plan of this
+        # depth without end.  It does not pass a row number.
+        return self.add(df, kept=~failed & (F.monotonically_increasing_id() >= 0))
 
 
 def language_references(docs: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
