@@ -1,0 +1,423 @@
+"""Each operator against a brute-force version, an exact round trip or held-out labels."""
+
+import collections
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tests_llm_data import edge_rows
+
+from tidepool.llm import packing, pages, pieces, quality_model, quality_rules, secrets, simhash, suffix_tree, topk, toxicity
+
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _rows(df):
+    return sorted(df.collect(), key=lambda r: tuple(str(x) for x in r))
+
+
+# --- quality rules -----------------------------------------------------------------------------
+
+
+def _base(text):
+    words = SPACE.findall(text or "")
+    windows = collections.defaultdict(list)
+    for i in range(len(words) - 7):
+        windows[tuple(words[i : i + 8])].append(i)
+    covered = {j for at in windows.values() if len(at) > 1 for i in at for j in range(i, i + 8)}
+    lines = [x for x in (text or "").split("\n") if SPACE.search(x)]
+    n = len(words)
+    failed = n < 20 or 100 * len(covered) > 30 * n
+    return (n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered), failed)
+
+
+def test_quality_base_counts(spark, edge, sample):
+    for docs in (edge.select("doc_id", "text", "lang", "kept"), sample):
+        texts = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+        got = quality_rules.quality_report(docs).collect()
+        want = sorted((str(i), *_base(t)) for i, t in texts)
+        assert sorted((str(r["doc_id"]), *r[1:7]) for r in got) == want
+        assert all(not (r["base_failed"] and r["kept"]) for r in got)
+
+
+def test_quality_distance_is_jensen_shannon(spark):
+    docs = spark.createDataFrame([(1, "the of and " * 10, "en"), (2, "AAA bb 12 " * 10, "en")], "doc_id long, text string, lang string")
+    refs = quality_rules.language_references(docs)
+    got = {r["doc_id"]: r["chars_distance"] for r in quality_rules.quality_report(docs).collect()}
+    for doc, text in ((1, "the of and " * 10), (2, "AAA bb 12 " * 10)):
+        rest, p = text, []
+        for _, chars in quality_rules.CLASSES:
+            p.append(sum(c in chars for c in rest) / len(text))
+        p.append(0.0)
+        q = refs["en"][0]
+        js = sum((a * math.log2(2 * a / (a + b)) if a else 0) + (b * math.log2(2 * b / (a + b)) if b else 0) for a, b in zip(p, q)) / 2
+        assert got[doc] == pytest.approx(math.sqrt(js), abs=1e-9)
+
+
+def test_quality_keeps_labelled_good(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    r = quality_rules.quality_report(spark.read.parquet(f"{sf}/documents.parquet")).join(labels, "doc_id").toPandas()
+    good = r[(r.quality == 1) & ~r.base_failed]
+    assert good.kept.mean() > 0.99
+    assert (~r[r.quality == 0].kept).mean() > 0.8
+
+
+def test_quality_filter_keeps_columns(spark, edge):
+    kept = quality_rules.keep_by_rules(edge)
+    assert kept.columns == edge.columns and kept.count() < edge.count()
+
+
+# --- packing -----------------------------------------------------------------------------------
+
+
+def test_packing_round_trip(spark, edge):
+    from tokenizers import Tokenizer
+
+    hf = Tokenizer.from_file(packing.tokenizer_path())
+    hf.encode_special_tokens = True
+    docs = edge.repartition(3)
+    rows = packing.pack(docs, length=64).collect()
+    want = collections.Counter(tuple([*hf.encode(r["text"] or "", add_special_tokens=False).ids, 1]) for r in docs.collect())
+    # The stream, in order, is the documents one after the other.
+    rows.sort(key=lambda r: (r["sequence_id"], r["offset"]))
+    got, now = collections.Counter(), []
+    place = 0
+    for r in rows:
+        ids = np.frombuffer(r["ids"], dtype="<u4").tolist()
+        assert len(ids) == r["length"] and r["sequence_id"] * 64 + r["offset"] == place and r["offset"] + r["length"] <= 64
+        assert r["start"] == len(now)
+        place += len(ids)
+        now += ids
+        if len(now) == r["doc_tokens"]:
+            got[tuple(now)] += 1
+            now = []
+    assert got == want and not now
+
+
+def test_packing_digest(spark):
+    docs = spark.createDataFrame([(7, "hello world")], "doc_id long, text string")
+    r = packing.digest(packing.pack(docs)).first()
+    ids = packing.encoder(packing.tokenizer_path())("hello world") + [1]
+    assert r["ids_crc32"] == zlib.crc32(np.array(ids, dtype="<u4").tobytes()) and tuple(r)[:3] == (7, 0, len(ids))
+
+
+@pytest.mark.parametrize("text", ["", " ", "<|endoftext|> x", "  é ü \n\n x\t\t", "日本語 \U0001F600!!", "it's 1234 a" * 50, "z" * 7000])
+def test_fast_encoder_equals_tokenizers(text):
+    from tokenizers import Tokenizer
+
+    hf = Tokenizer.from_file(packing.tokenizer_path())
+    hf.encode_special_tokens = True
+    assert packing.encoder(packing.tokenizer_path())(text) == hf.encode(text, add_special_tokens=False).ids
+
+
+# --- secrets -----------------------------------------------------------------------------------
+
+
+def _base_secrets(text):
+    out = []
+    for k, kind, pattern, ok in (
+        (0, "assign", r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
+        (1, "access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+        (2, "hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+    ):
+        out += [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text) if ok(m)]
+    return [x for _, _, x in sorted(out)]
+
+
+def test_secret_base_spans(spark, edge):
+    rng = random.Random(5)
+    bits = ["password=", "Token : '", "api_key\" = \"", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeef", " ", "é", "x.y-z", "\n", "sECRET:"]
+    texts = ["".join(rng.choices(bits, k=12)) for _ in range(300)] + [t for _, t, *_ in edge_rows()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.scan(docs).collect():
+        want = _base_secrets(texts[r["doc_id"]] or "")
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [x for x in r["spans"].split(",") if x and not x.startswith("entropy")] == want
+        assert r["n_assign"] + r["n_access"] + r["n_hex"] == len(want)
+
+
+def test_entropy_windows_match_direct_computation():
+    rng = random.Random(3)
+    alphabet = "ABCDEFGHabcdefgh0123456789+/"
+    for _ in range(50):
+        run = "".join(rng.choices(alphabet, k=rng.randint(20, 60)))
+        marked = set()
+        for i in range(len(run) - 19):
+            w = run[i : i + 20]
+            h = -sum(c / 20 * math.log2(c / 20) for c in collections.Counter(w).values())
+            if h >= secrets.LEAST_BITS[secrets.char_class(run)] and sum(x.isdigit() for x in w) >= 2 and any(x.isalpha() for x in w):
+                marked |= set(range(i, i + 20))
+        got = {j for a, b in secrets.entropy_spans(run) for j in range(a, b)}
+        assert got == marked
+    assert secrets.entropy_spans("123e4567-e89b-12d3-a456-426614174000") == []
+    assert secrets.entropy_spans("averyveryverylongwordindeed") == []
+
+
+def test_redact(spark, edge):
+    out = {r["doc_id"]: r for r in secrets.redact(edge).collect()}
+    assert list(out[9].asDict()) == edge.columns and "deadbeef" not in out[9]["text"] and out[9]["n_chars"] == len(out[9]["text"])
+    assert out[2]["text"] is None and out[1]["text"] == ""
+
+
+# --- simhash -----------------------------------------------------------------------------------
+
+
+def _fingerprint(text):
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    shingles = [b" ".join(words)] if len(words) < 3 else [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)]
+    h = [xxhash.xxh64(s, seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def _components(rows, bits=3):
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if bin(rows[i][1] ^ rows[j][1]).count("1") <= bits:
+            parent[max(root(i), root(j))] = min(root(i), root(j))
+    least = collections.defaultdict(list)
+    for i, (doc, _) in enumerate(rows):
+        least[root(i)] += [] if doc is None else [doc]
+    return sorted((str(doc), f"{fp:016x}", str(min(least[root(i)], default=None))) for i, (doc, fp) in enumerate(rows))
+
+
+@pytest.mark.parametrize("trees", [4, 2])
+def test_simhash_components(spark, edge, sample, trees):
+    for docs in (edge, sample):
+        rows = [(r["doc_id"], _fingerprint(r["text"])) for r in docs.select("doc_id", "text").collect()]
+        got = simhash.near_duplicates(docs, trees=trees).collect()
+        assert sorted((str(r[0]), r[1], str(r[2])) for r in got) == _components(rows)
+
+
+def test_simhash_dense_cluster_in_chunks(spark, monkeypatch):
+    """A shard far beyond the limit is cut into chunks and loses no link."""
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 40)
+    monkeypatch.setattr(simhash, "SMALL_GROUP", 10)
+    rng = random.Random(1)
+    fps = {0} | {sum(1 << b for b in rng.sample(range(40, 64), rng.randint(1, 4))) for _ in range(300)}
+    fps |= {rng.getrandbits(62) for _ in range(200)}
+    rows = [(i, fp - (1 << 64) if fp >> 63 else fp) for i, fp in enumerate(sorted(fps))]
+    df = spark.createDataFrame([(fp,) for _, fp in rows], "fp long")
+    links = simhash.near_links(df).collect()
+    parent = {fp: fp for _, fp in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        assert a != b
+        parent[root(a)] = root(b)
+    for (_, a), (_, b) in itertools.combinations(rows, 2):
+        if bin((a ^ b) & (2**64 - 1)).count("1") <= 3:
+            assert root(a) == root(b)
+
+
+def test_deduplicate_keeps_one_of_each(spark, edge):
+    kept = simhash.deduplicate(edge)
+    rows = [(r["doc_id"], _fingerprint(r["text"])) for r in edge.select("doc_id", "text").collect()]
+    classes = {c for _, _, c in _components(rows)}
+    assert kept.columns == edge.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(classes)
+
+
+# --- top-k -------------------------------------------------------------------------------------
+
+
+def test_top_k_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    vectors = [(i, rng.normal(0, 0.2, 12).astype(float).tolist()) for i in range(400)]
+    vectors += [(i, vectors[3][1]) for i in range(400, 460)]  # ties
+    vectors += [(460, None), (461, [1.0, None] * 6), (462, [float("nan")] * 12), (463, [float("inf")] * 12), (None, vectors[0][1]), (500, [])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in vectors], "vec_id long, embedding array<double>, score string")
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, block_rows=100, query_rows=4).collect()
+    ok = [(i, [math.floor(256 * x) for x in v]) for i, v in vectors if i is not None and i < 460]
+    want = []
+    for q, a in ok:
+        if q % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok if i != q)[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_sliced_sums_are_sums():
+    rng = np.random.default_rng(1)
+    x, q = rng.integers(-300, 300, (70, 5)), rng.integers(-40, 40, (3, 5))
+    least, low, maps = topk.index_block(x, slices=16)
+    sums = topk.sliced_sums(q, maps)
+    top = (1 << maps.shape[1]) - 1
+    offset = x - least
+    for k in range(3):
+        bits = [np.unpackbits(s[k].view(np.uint8), bitorder="little")[:70].astype(int) for s in sums]
+        want = sum(np.abs(q[k, d]) * (offset[:, d] if q[k, d] >= 0 else top - offset[:, d]) for d in range(5))
+        assert low == 0 and (sum(b << p for p, b in enumerate(bits)) == want).all()
+
+
+# --- pieces ------------------------------------------------------------------------------------
+
+
+def test_pieces_round_trip_and_reproducible(spark, edge):
+    ids = pieces.encode(edge.select(F.monotonically_increasing_id().alias("k"), "text"), key="k")
+    back = {r["k"]: r["text"] for r in pieces.decode(ids, key="k").collect()}
+    rows = edge.select(F.monotonically_increasing_id().alias("k"), "text").collect()
+    assert all(back[r["k"]] == (r["text"] or "") for r in rows)
+    a = sorted(map(str, pieces.round_trip(edge).collect()))
+    b = sorted(map(str, pieces.round_trip(edge.repartition(5)).collect()))
+    assert a == b and all("lossless=True" in x for x in a)
+
+
+def test_pieces_follow_the_lattice_distribution():
+    own = pieces.Pieces(pieces.model_path())
+
+    def all_of(rest):
+        if not rest:
+            yield (), 1.0
+        for n in range(1, len(rest) + 1):
+            if found := own.vocabulary.get(rest[:n]):
+                for ids, w in all_of(rest[n:]):
+                    yield (found[0], *ids), found[1] * w
+
+    weights = dict(all_of("▁there"))
+    n = 20_000
+    seen = collections.Counter(tuple(x.tolist()) for x in own.encode(["there"] * n, [str(i) for i in range(n)]))
+    assert set(seen) <= set(weights)
+    for ids, w in weights.items():
+        p = w / sum(weights.values())
+        assert abs(seen[ids] / n - p) < 5 * math.sqrt(p / n) + 1e-3
+
+
+# --- toxicity and quality classifiers ------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("module", "label", "least"), [(toxicity, "toxic", 0.75), (quality_model, "quality", 0.95)])
+def test_classifiers_on_held_out_labels(spark, module, label, least):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    r = module.score(docs, module.fit(docs, labels)).join(labels, "doc_id").toPandas()
+    held = r[r.held_out]
+    assert all((zlib.crc32(str(i).encode()) % 5 == 0) == h for i, h in zip(r.doc_id, r.held_out))
+    for klass in (0, 1):
+        assert (held[held[label] == klass].predicted == klass).mean() > least
+    assert r.score.between(0, 1).all()
+
+
+@pytest.mark.parametrize("module", [toxicity, quality_model])
+def test_classifiers_on_odd_input(spark, edge, module):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    some = spark.createDataFrame([(i, (i or 0) % 2, (i or 0) % 2) for i in (None, 1, 2, 3, 4, 4, 99)], "doc_id long, quality int, toxic int")
+    for labels in (none, some):
+        model = module.fit(edge, labels)
+        assert module.score(edge, model).count() == edge.count()
+        assert module.score(edge.limit(0), model).count() == 0
+    if module is toxicity:
+        assert toxicity.keep_clean(edge, model).columns == edge.columns
+
+
+def test_label_model_recovers_accuracies():
+    rng = np.random.default_rng(2)
+    y = rng.random(20_000) < 0.2
+    accuracy = np.linspace(0.6, 0.95, toxicity.VOTERS)
+    votes = np.where(rng.random((len(y), toxicity.VOTERS)) < accuracy, y[:, None], ~y[:, None])
+    votes[:, 1] = votes[:, 0]  # two voters that always agree count once
+    masks = (votes.astype(np.int64) << np.arange(toxicity.VOTERS)).sum(1)
+    seen, n = np.unique(masks, return_counts=True)
+    model = toxicity.LabelModel().fit(seen, n.astype(float), masks[:500], y[:500].astype(float))
+    assert ((model.posterior(masks) > 0.5) == y).mean() > 0.97
+
+
+# --- suffix tree -----------------------------------------------------------------------------
+
+
+def test_suffix_tree_base_and_normalisation(spark, edge, sample):
+    for docs in (edge.select("doc_id", "text", "score"), sample):
+        tree, counts = suffix_tree.fit(docs)
+        got = suffix_tree.score(docs, tree, counts).collect()
+        rows = docs.select("doc_id", "text").collect()
+        c = collections.Counter()
+        for i, t in rows:
+            if zlib.crc32(("" if i is None else str(i)).encode()) % 10:
+                c.update(suffix_tree.tokens_of(t or ""))
+        total, distinct = sum(c.values()), len(c)
+        want = []
+        for i, t in rows:
+            tokens = suffix_tree.tokens_of(t or "")
+            base = sum(math.log10((c[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in tokens)
+            want.append((str(i), len(tokens), sum(c[w] > 0 for w in tokens), total, round(base, 4)))
+        assert sorted((str(r["doc_id"]), *tuple(r)[2:5], round(r["base_score"], 4)) for r in got) == sorted(want)
+    # After any context, the probabilities of all words and the unknown one add up to 1.
+    words = list(tree.words)
+    rare = distinct - len(words)
+    unknown = sum((n + 0.1) / (total + 0.1 * (distinct + 1)) for w, n in c.items() if w not in tree.words) + 0.1 / (total + 0.1 * (distinct + 1))
+    assert rare >= 0 and any(d.retained.any() for d in tree.depths)
+    for head in list(range(0, tree.heads, 7))[:5]:
+        ids = np.array([head, *[0] * 0])
+        p = 0.0
+        for w in [*range(len(words)), -1]:
+            ids = np.array([head, w])
+            log = suffix_tree.SuffixTree.log_probability(tree, ids, tree.contexts(ids, np.array([0])))[1]
+            p += 10**log * (unknown if w < 0 else 1)
+        assert p == pytest.approx(1, abs=1e-6)
+
+
+def test_suffix_tree_learns_context(spark):
+    rng = random.Random(0)
+    texts = [" ".join("ab cd" if rng.random() < 0.5 else "ef gh" for _ in range(60)) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    r = suffix_tree.score(docs, *suffix_tree.fit(docs)).where("held_out").toPandas()
+    assert (r.score > 0.7 * r.base_score).all()  # about one bit a pair instead of two a word
+
+
+# --- pages -------------------------------------------------------------------------------------
+
+CASES = [
+    ("<article><h1>T &amp; x</h1><p>a <b>b</b>c<br>d\n e</p></article><footer>f</footer>", "T & x a bc d e"),
+    ("<nav><ul><li>m</li></ul></nav><article><p>one<p>two<div class='ad-box'>buy</div><script>var a='</p>';</script></article>", "one two"),
+    ("<body><header>H</header><main><p>m</p><aside>s</aside></main><div id=comments><p>c</p></div>", "m"),
+    ("<article><header><h1>Title</h1><p>by me</p></header>x<!-- no > --> y</article>", "Title x y"),
+    ("<article><p>a &lt;b&gt; 1 < 2 &nbsp; z</p><form><input><button>go</button></form></article>", "a <b> 1 < 2 z"),
+    ("<article class='comment'>no</article><article>yes<section class=\"cookie-notice\">k</section></article>", "yes"),
+    ("<article><p style='display:none'>h</p><p>s", "s"),
+    ("", ""), ("<html><body></body></html>", ""), ("plain text", "plain text"),
+]
+
+
+@pytest.mark.parametrize(("source", "want"), CASES)
+def test_page_reader(source, want):
+    assert " ".join(pages.read_page(source).content()[1]) == want
+
+
+def test_host_repeats_go_unless_in_articles(spark):
+    line = "All rights reserved by the great company of this host since long ago"
+    soup = [(i, f"http://h.x/{i}", f"<div>Home News</div><div>{line}</div><p>Page {i} tells a story of its own with number {i * 37}</p>") for i in range(5)]
+    article = [(9, "http://h.x/9", f"<article><p>{line}</p><p>more</p></article>"), (10, None, None), (11, "http://one.y/", f"<p>{line}</p>")]
+    df = spark.createDataFrame(soup + article, "page_id long, url string, html string").withColumn("row", F.lit(1))
+    got = {r["page_id"]: r["text"] for r in pages.main_text(df).collect()}
+    assert got == {i: f"Page {i} tells a story of its own with number {i * 37}" for i in range(5)} | {9: f"{line} more", 10: "", 11: line}
+
+
+# --- empty tables ---------------------------------------------------------------------------------
+
+
+def test_empty_documents(spark, edge):
+    none = edge.limit(0)
+    tree = suffix_tree.fit(none)
+    for df in (quality_rules.quality_report(none), quality_rules.keep_by_rules(none), packing.pack(none), secrets.scan(none), secrets.redact(none),
+               simhash.near_duplicates(none), simhash.deduplicate(none), pieces.round_trip(none), suffix_tree.score(none, *tree)):
+        assert df.count() == 0
