@@ -33,13 +33,14 @@ JSON_OPTIONS = {"timestampNTZFormat": TS_NTZ_FORMAT, "timestampFormat": TS_NTZ_F
 def infer_schema(
     messages: DataFrame,
     value_col: str = "value",
-    sample_rows: int | None = 10_000,
+    sample_rows: int | None = None,
     hints: Mapping[str, str] | None = None,
 ) -> T.StructType:
     """Schema of the row objects in a column of JSON texts.
 
-    Inferred once from a bounded sample (the first ``sample_rows`` readable
-    messages; ``None`` scans all) and then pinned by the caller.  Top-level
+    Inferred once, by default over all messages present, so that a late field
+    or a late type change has its place; then pinned by the caller.  A caller
+    may bound the scan to the first ``sample_rows`` readable messages.  Top-level
     arrays contribute their elements.  ``hints`` override the inferred type of
     top-level fields by DDL type name, e.g. ``{"ts": "timestamp_ntz"}``.
     """

@@ -137,9 +137,11 @@ def running_rmse(
     """RMSE over every row scored so far, one value per row, in
     ``order_by`` order (``seq`` 1 = oldest) inside each group; computed with
     the distributed ordered prefix (running count and sum of squared
-    errors).  ``base`` carries ``(group, n, sse)`` of earlier rows."""
+    errors).  Rows without an error (a NULL label or prediction) do not count,
+    as in ``rmse``.  ``base`` carries ``(group, n, sse, n_errors)`` of earlier
+    rows."""
     err2 = F.pow(F.col(label).cast("double") - F.col(prediction).cast("double"), 2)
     ranked = ordered_prefix(
-        df, list(order_by), partition_by, sums={"sse": err2}, rank_col="seq", num_partitions=num_partitions, base=base
+        df, list(order_by), partition_by, sums={"sse": err2, "n_errors": err2.isNotNull().cast("double")}, rank_col="seq", num_partitions=num_partitions, base=base
     )
-    return ranked.withColumn("running_rmse", F.sqrt(F.col("sse") / F.col("seq")))
+    return ranked.withColumn("running_rmse", F.when(F.col("n_errors") > 0, F.sqrt(F.col("sse") / F.col("n_errors"))))

@@ -157,8 +157,10 @@ def _check_inputs(build: DataFrame, spec: ModelSpec) -> None:
 
 
 def fit(build: DataFrame, spec: ModelSpec) -> PipelineModel:
-    """Fit on prepared build rows (``label`` + variables)."""
-    data = build.select(*[F.col(f"`{v}`") for v in spec.variables], "label")
+    """Fit on prepared build rows (``label`` + variables).  Rows without a label
+    (live leaves of the wrong type decode to NULL) have nothing to learn from
+    and are left out."""
+    data = build.select(*[F.col(f"`{v}`") for v in spec.variables], "label").where(F.col("label").isNotNull())
     _check_inputs(data, spec)
     cls = spec.kind == CLASSIFICATION
     formula = RFormula(

@@ -8,11 +8,11 @@ task.  A topic may hold a third of all messages, so instead:
 1. range-partition by ``(k, o)`` into ``n`` balanced partitions (Spark
    samples the key; the partition index is monotone in the key) and sort
    inside each partition;
-2. one Arrow-batched pass per partition computes the *local* rank and running
-   sums of every ``k`` run it holds, and writes them together with the
-   partition index to the shared scratch folder (a lineage cut: the sampled
-   range bounds are fixed once, and a lost executor re-reads files instead of
-   re-sampling);
+2. the rows are written once, with their range partition's number, to the shared
+   scratch folder (a lineage cut: the sampled range bounds are fixed once, and a
+   lost executor re-reads files instead of re-sampling); windows over (partition,
+   ``k``) give the *local* rank and running sums, so no window holds more than
+   one range partition, NULL groups are groups and no value leaves the JVM;
 3. per (partition, k) totals -- at most ``n + #k`` rows -- are prefix-summed
    with a small window and joined back (broadcast behind a row-count check).
 
@@ -24,12 +24,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-import numpy as np
-import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import broadcast_row_limit, scratch_path
 
@@ -37,50 +33,6 @@ _B = "_pfx_part"
 _R = "_pfx_lrank"
 
 
-def _local_pass(part_cols: list[str], sum_cols: list[str]):
-    lsum = [f"_pfx_l_{c}" for c in sum_cols]
-
-    def run(batches):
-        pid = TaskContext.get().partitionId()
-        carry_key = None
-        carry_rank = 0
-        carry_sums = np.zeros(len(sum_cols))
-        for pdf in batches:
-            n = len(pdf)
-            if n == 0:
-                continue
-            starts = np.zeros(n, dtype=bool)
-            last_key = tuple(pdf[c].iloc[-1] for c in part_cols)
-            for c in part_cols:
-                arr = pdf[c].to_numpy()
-                starts[1:] |= arr[1:] != arr[:-1]
-            first_key = tuple(pdf[c].iloc[0] for c in part_cols)
-            starts[0] = carry_key is None or first_key != carry_key
-            # run 0 = rows continuing the run carried over from the previous
-            # Arrow batch of this partition (absent when the batch starts a
-            # new group)
-            run_id = np.cumsum(starts)
-            rank = pd.Series(run_id).groupby(run_id).cumcount().to_numpy() + 1
-            continues = not starts[0]
-            if continues:
-                rank = rank + np.where(run_id == 0, carry_rank, 0)
-            out = pdf.copy()
-            out[_B] = np.int32(pid)
-            out[_R] = rank.astype(np.int64)
-            for j, (c, lc) in enumerate(zip(sum_cols, lsum)):
-                vals = pdf[c].astype("float64").fillna(0.0)
-                cs = vals.groupby(run_id).cumsum().to_numpy()
-                if continues:
-                    cs = cs + np.where(run_id == 0, carry_sums[j], 0.0)
-                out[lc] = cs
-                carry_sums[j] = cs[-1]
-            carry_rank = int(rank[-1])
-            carry_key = last_key
-            yield out
-
-    return run
-
-
 def ordered_prefix(
     df: DataFrame,
     order_by: list[str],
@@ -121,19 +73,18 @@ def ordered_prefix(
     # merging neighbours keeps partition order monotone in the key.
     ranged = (src.repartitionByRange(n, *keys) if n else src.repartitionByRange(*keys)).sortWithinPartitions(*keys)
 
-    out_fields = list(ranged.schema.fields) + [
-        T.StructField(_B, T.IntegerType(), False),
-        T.StructField(_R, T.LongType(), False),
-    ] + [T.StructField(f"_pfx_l_{c}", T.DoubleType(), False) for c in value_cols]
-    local = ranged.mapInPandas(_local_pass(part, value_cols), T.StructType(out_fields))
-
-    # Lineage cut: the local pass is written once to the shared folder.
+    # Lineage cut: the range partitions are written once to the shared folder.
     path = scratch_path(spark, "prefix")
-    local.write.parquet(path)
-    local = spark.read.parquet(path)
-
-    agg = [F.count(F.lit(1)).alias("_pfx_n")] + [F.sum(c).alias(f"_pfx_s_{c}") for c in value_cols]
-    stats = local.groupBy(_B, *part).agg(*agg)
+    ranged = ranged.withColumn(_B, F.spark_partition_id())
+    ranged.write.parquet(path)
+    staged = spark.read.schema(ranged.schema).parquet(path)
+    inside = Window.partitionBy(_B, *part).orderBy(*order_by)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = {f"_pfx_l_{c}": F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).over(so_far) for c in value_cols}
+    local = staged.withColumns({_R: F.row_number().over(inside).cast("bigint"), **running})
+
+    agg = [F.count(F.lit(1)).alias("_pfx_n")] + [F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(f"_pfx_s_{c}") for c in value_cols]
+    stats = staged.groupBy(_B, *part).agg(*agg)
     w_before = Window.partitionBy(*part).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy(*part)
     offsets = stats.select(

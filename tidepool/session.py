@@ -10,6 +10,7 @@ caller ever needs to delete or overwrite somebody else's files.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -50,12 +51,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and intermediates.
 
     Reads ``spark.checkpoint.dir`` (or the context's checkpoint dir); sets a
-    fresh local one only when neither is set (tests, local runs).
+    fresh local one only when neither is set and the session is local (tests).
+    On a cluster a machine's own folder would be unseen by the others: raises.
     """
     sc = spark.sparkContext
     root = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     if not root:
         root = sc.getCheckpointDir()
+    if not root and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that driver and executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="tidepool-ckpt-")
         sc.setCheckpointDir(root)
@@ -69,10 +73,6 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     return f"{checkpoint_root(spark)}/tidepool/{kind}-{uuid.uuid4().hex[:12]}"
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def broadcast_row_limit(spark: SparkSession) -> int:
     """Row bound under which a small derived side (offsets, candidates) is
     broadcast; above it the join stays a shuffle join."""

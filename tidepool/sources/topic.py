@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.json import JSON_OPTIONS
@@ -87,7 +88,6 @@ def _kafka_reader(reader, src: TopicSource, streaming: bool):
         .option("kafka.bootstrap.servers", src.bootstrap_servers)
         .option("subscribe", src.name)
         .option("startingOffsets", "earliest")
-        .option("failOnDataLoss", "false")
     )
     if streaming and src.max_per_trigger:
         r = r.option("maxOffsetsPerTrigger", str(src.max_per_trigger))
@@ -96,37 +96,45 @@ def _kafka_reader(reader, src: TopicSource, streaming: bool):
     return r
 
 
-def _resolve(spark: SparkSession, src: TopicSource) -> tuple[str, dict]:
-    """Folder to list and reader options.  A named topic inside a
+def _resolve(spark: SparkSession, src: TopicSource) -> str:
+    """Folder to list.  A named topic inside a
     multi-topic folder reads only its ``topic=<name>`` sub-folder (the topic
     column then comes from the name), so other topics' files are never
     listed or read."""
     assert src.path is not None
     if src.name is None:
-        return src.path, {}
+        return src.path
     sub = f"{src.path.rstrip('/')}/topic={src.name}"
     try:
         spark.read.format("parquet" if src.fmt == "parquet" else "text").load(sub)
     except AnalysisException:
-        return src.path, {}
-    return sub, {}
+        return src.path
+    return sub
+
+
+def with_text_topic(schema: T.StructType) -> T.StructType:
+    """``schema`` with ``topic`` as STRING: a partition folder's name is text,
+    also where it looks like a number ("007")."""
+    return T.StructType([T.StructField(f.name, T.StringType(), True) if f.name == "topic" else f for f in schema.fields])
+
+
+def _file_reader(spark: SparkSession, reader, src: TopicSource, folder: str):
+    """The reader of a file topic, the same for streams and batches."""
+    fmt = "parquet" if src.fmt == "parquet" else "text"
+    found = spark.read.format(fmt).options(**src.options).load(folder).schema
+    reader = reader.format(fmt).options(**src.options)
+    # A file stream of Parquet needs its schema up front; text needs one only for its folders.
+    return reader.schema(with_text_topic(found)) if fmt == "parquet" or "topic" in found.names else reader
 
 
 def read_stream(spark: SparkSession, src: TopicSource) -> DataFrame:
     """Streaming message frame of a topic, replayed from the earliest message."""
     if src.fmt == "kafka":
         return _message_frame(_kafka_reader(spark.readStream, src, True).load(), src)
-    folder, opts = _resolve(spark, src)
-    if src.fmt == "parquet":
-        # Parquet topics hold the message in a ``value`` column; a file
-        # stream needs the schema up front, taken from what is there.
-        reader = spark.readStream.format("parquet").schema(spark.read.parquet(folder).schema)
-    else:
-        reader = spark.readStream.format("text")
+    folder = _resolve(spark, src)
+    reader = _file_reader(spark, spark.readStream, src, folder)
     if src.max_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(src.max_per_trigger))
-    for k, v in {**opts, **src.options}.items():
-        reader = reader.option(k, v)
     df = _message_frame(reader.load(folder), src)
     if src.name is not None:
         df = df.where(F.col("topic") == src.name)
@@ -138,11 +146,8 @@ def read_batch(spark: SparkSession, src: TopicSource) -> DataFrame:
     and for replays that need no state."""
     if src.fmt == "kafka":
         return _message_frame(_kafka_reader(spark.read, src, False).load(), src)
-    folder, opts = _resolve(spark, src)
-    reader = spark.read.format("parquet" if src.fmt == "parquet" else "text")
-    for k, v in opts.items():
-        reader = reader.option(k, v)
-    df = _message_frame(reader.load(folder), src)
+    folder = _resolve(spark, src)
+    df = _message_frame(_file_reader(spark, spark.read, src, folder).load(folder), src)
     if src.name is not None:
         df = df.where(F.col("topic") == src.name)
     return df

@@ -1,7 +1,7 @@
 """Subscribe to topics and keep their append-only history.
 
-``subscribe`` checks the source, infers the message schema from a bounded
-sample once and pins it.  ``ingest`` starts the Structured Streaming query:
+``subscribe`` checks the source, infers the message schema once over all
+messages present and pins it.  ``ingest`` starts the Structured Streaming query:
 message frame -> JSON decode (array-or-object, unreadable dropped) -> flatten
 -> Parquet file sink partitioned by ``topic`` with a checkpoint.  The file
 sink's metadata log gives exactly-once appends, and a restart on the same
@@ -28,7 +28,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import json as J
 from ..operators.series import latest
 from ..session import scratch_path
-from ..sources.topic import TopicSource, check_source, read_batch, read_stream
+from ..sources.topic import TopicSource, check_source, read_batch, read_stream, with_text_topic
 
 META_COLS = ["topic", "_partition", "_offset", "_timestamp"]
 
@@ -45,28 +45,21 @@ class Subscription:
     rescue: bool = False
 
     def history(self, spark: SparkSession) -> DataFrame:
-        """The append-only history written so far (a batch frame)."""
-        return spark.read.parquet(self.history_path)
+        """The append-only history written so far (a batch frame); topics are
+        text, also where the folder's name looks like a number."""
+        found = spark.read.parquet(self.history_path).schema
+        return spark.read.schema(with_text_topic(found)).parquet(self.history_path)
 
     def attributes(self) -> list[tuple[str, str]]:
         return J.attributes(self.schema, self.sep)
 
 
-def subscribe(self, source: TopicSource, **kwargs) -> Subscription:
-        key = source.name or source.path or ""
-        if key in self.subscriptions:
-            raise ValueError(f"topic {key!r} is already attached")
-        sub = subscribe(self.spark, source, root=f"{self.root}/{len(self.subscriptions)}", **kwargs)
-        self.subscriptions[key] = sub
-        return sub
-
-
 def subscribe(
     spark: SparkSession,
     source: TopicSource,
     schema: T.StructType | None = None,
     hints: Mapping[str, str] | None = None,
-    sample_rows: int | None = 10_000,
+    sample_rows: int | None = None,
     sep: str = "_",
     root: str | None = None,
     rescue: bool = False,
@@ -137,7 +130,6 @@ def live_aggregate(
     aggregate,
     name: str,
     trigger: str | None = "availableNow",
-    state_partitions: int | None = None,
 ) -> tuple[StreamingQuery, str]:
     """Run ``aggregate(rows) -> grouped frame`` as a streaming aggregation.
 
@@ -148,9 +140,8 @@ def live_aggregate(
     aggregates with few groups (per topic); returns the query and the
     snapshot folder.
 
-    ``state_partitions`` sets the state store's partition count (else the
-    session's shuffle partitions).  It is fixed when the query first starts
-    and kept in its checkpoint.
+    The state store has the session's shuffle partitions, fixed when the query
+    first starts and kept in its checkpoint.
     """
     root = f"{sub.checkpoint_path}-{name}"
     log_path = f"{root}/table"
@@ -165,14 +156,7 @@ def live_aggregate(
         writer = writer.trigger(availableNow=True)
     elif trigger:
         writer = writer.trigger(processingTime=trigger)
-    # the stream clones the session conf when it starts
-    previous = spark.conf.get("spark.sql.shuffle.partitions")
-    if state_partitions:
-        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
-    try:
-        q = writer.start()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", previous)
+    q = writer.start()
     if trigger == "availableNow":
         q.awaitTermination()
     return q, log_path
@@ -188,17 +172,10 @@ def read_live(spark: SparkSession, log_path: str) -> DataFrame:
     return spark.read.parquet(f"{log_path}/batch_id={max(ids)}")
 
 
-# Per-topic live aggregates keep one state row per topic, and their input is
-# reduced map-side to at most one row per topic per task before the shuffle:
-# a few state partitions serve any data volume.
-TOPIC_STATE_PARTITIONS = 8
-
-
 def live_counts(
     spark: SparkSession,
     sub: Subscription,
     trigger: str | None = "availableNow",
-    state_partitions: int | None = TOPIC_STATE_PARTITIONS,
 ) -> tuple[StreamingQuery, str]:
     """Running message count per topic (the "Total number of messages" box)."""
     return live_aggregate(
@@ -207,7 +184,6 @@ def live_counts(
         lambda rows: rows.groupBy("topic").agg(F.count(F.lit(1)).alias("n_messages")),
         "counts",
         trigger,
-        state_partitions,
     )
 
 
@@ -220,7 +196,6 @@ def live_latest(
     sub: Subscription,
     order_by: list[str],
     trigger: str | None = "availableNow",
-    state_partitions: int | None = TOPIC_STATE_PARTITIONS,
 ) -> tuple[StreamingQuery, str]:
     """Newest message per topic, kept as streaming state: one ``max_by``
     per topic, no sort and no history scan."""
@@ -228,7 +203,7 @@ def live_latest(
         payload = [c for c in rows.columns if c not in ("_partition", "_offset", "_timestamp", "_pos", "_ingested_at")]
         return latest(rows.select(*payload), order_by, ["topic"])
 
-    return live_aggregate(spark, sub, newest, "latest", trigger, state_partitions)
+    return live_aggregate(spark, sub, newest, "latest", trigger)
 
 
 def start_quarantine(

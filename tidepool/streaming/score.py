@@ -31,7 +31,6 @@ from pyspark.sql.utils import AnalysisException
 
 from ..operators.models import load, predict
 from ..operators.prefix import ordered_prefix
-from ..session import broadcast_row_limit
 from ..sources.topic import read_stream
 from .ingest import Subscription, decoded_rows
 
@@ -83,8 +82,8 @@ def _state_before(spark: SparkSession, state_path: str, batch_id: int, group: st
         return None
     try:
         return spark.read.parquet(f"{state_path}/batch_id={batch_id - 1}").select(group, "n", *names)
-    except AnalysisException:
-        return None
+    except AnalysisException as exc:
+        raise LookupError(f"the state after batch {batch_id - 1} is missing under {state_path}") from exc
 
 
 def prefix_stream(
@@ -123,7 +122,7 @@ def prefix_stream(
         )
         if base is not None:
             # groups absent from this batch keep their totals
-            totals = base.join(totals, group, "left_anti").unionByName(totals)
+            totals = base.join(totals, base[group].eqNullSafe(totals[group]), "left_anti").unionByName(totals)
         totals.write.mode("overwrite").parquet(f"{state_path}/batch_id={batch_id}")
 
     writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
@@ -133,10 +132,10 @@ def prefix_stream(
 def read_sequence(spark: SparkSession, out_path: str, state_path: str, group: str = "topic") -> DataFrame:
     """Rows of a prefix stream with ``seq_newest`` (1 = newest row)."""
     out = spark.read.parquet(out_path)
-    last = spark.read.parquet(state_path).groupBy(group).agg(F.max_by("n", "batch_id").alias("_n"))
-    return out.join(F.broadcast(last) if last.count() <= broadcast_row_limit(spark) else last, group).withColumn(
+    last = spark.read.parquet(state_path).groupBy(F.col(group).alias("_group")).agg(F.max_by("n", "batch_id").alias("_n"))
+    return out.join(last, out[group].eqNullSafe(last["_group"])).withColumn(
         "seq_newest", F.col("_n") - F.col("seq") + 1
-    ).drop("_n")
+    ).drop("_n", "_group")
 
 
 def running_rmse_stream(
@@ -157,8 +156,9 @@ def running_rmse_stream(
     err2 = F.pow(F.col("label").cast("double") - F.col("prediction").cast("double"), 2)
     return prefix_stream(
         spark, scored, out_path, state_path, checkpoint, order_by, group,
-        sums={"sse": err2},
-        finish=lambda r: r.withColumn("running_rmse", F.sqrt(F.col("sse") / F.col("seq"))),
+        sums={"sse": err2, "n_errors": err2.isNotNull().cast("double")},
+        # rows without an error (no label) do not count, as in the batch RMSE
+        finish=lambda r: r.withColumn("running_rmse", F.when(F.col("n_errors") > 0, F.sqrt(F.col("sse") / F.col("n_errors")))),
         trigger=trigger,
     )
 
@@ -171,17 +171,22 @@ def score_with_registry(
     out_path: str,
     checkpoint: str,
     trigger: str | None = "availableNow",
+    prediction_type: str = "double",
 ) -> StreamingQuery:
     """Score each micro-batch with the newest version of model ``name`` in
     the registry at the time the batch runs, so a rebuilt model is swapped
     in without restarting the stream.  Rows carry the ``model_version``
-    used.  Output goes to ``batch_id=N`` folders (overwritten on retry)."""
+    used; rows that come before the first model are kept with a NULL
+    prediction of ``prediction_type`` (string for a classification).  Output goes to ``batch_id=N`` folders (overwritten on retry)."""
     loaded: dict[str, PipelineModel] = {}
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         live = registry.latest_for(name)
         if live is None:
-            return  # no model yet: nothing to score with
+            # No model yet: the rows are kept, without a prediction.
+            none = batch.withColumn("prediction", F.lit(None).cast(prediction_type)).withColumn("model_version", F.lit(None).cast("bigint"))
+            none.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+            return
         path = live["model_path"]
         if path not in loaded:
             loaded[path] = load(path)
