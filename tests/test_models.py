@@ -142,3 +142,28 @@ def test_hash_split_covers_every_row_once(spark):
     assert build.join(validation, "v").count() == 0
     b2, v2 = hash_split(df, 0.5, ["k", "v"])
     assert b2.count() + v2.count() == 200
+
+
+def test_default_split_is_the_same_for_any_partitioning(li):
+    s = ML.ModelSpec("t", "regression", "decision_tree", "l_extendedprice", ("l_quantity",))
+    key = ["l_orderkey", "l_linenumber", "l_partkey"]
+    one = ML.split(li.repartition(1), s)[0].select(*key)
+    for n in (4, 7):
+        other = ML.split(li.repartition(n), s)[0].select(*key)
+        assert one.exceptAll(other).count() == other.exceptAll(one).count() == 0
+    assert 0.4 < one.count() / li.count() < 0.6
+
+
+def test_default_split_uses_the_message_coordinate(spark):
+    rows = [("t", 0, i, 0, None, 1.0) for i in range(100)] + [("t", None, None, 0, None, float(i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "topic string, _partition int, _offset bigint, _pos int, _ingested_at timestamp, v double")
+    build, validation = ML.hash_split(df, 0.5)
+    assert build.count() + validation.count() == 200
+    # equal payloads are told apart by their offsets
+    assert 0 < build.where("_offset IS NOT NULL").count() < 100
+
+
+def test_null_labels_do_not_break_a_fit(li):
+    s = spec("classification", "decision_tree", "l_returnflag", ["l_quantity"])
+    some = li.withColumn("l_returnflag", F.when(F.col("l_orderkey") % 50 != 0, F.col("l_returnflag")))
+    assert ML.build_model(some, s).validation.count() > 0

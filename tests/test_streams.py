@@ -9,7 +9,7 @@ from tidepool.operators.split import hash_fraction
 from tidepool.session import scratch_path
 from tidepool.sources.topic import TopicSource, publish, to_messages
 from tidepool.streaming.ingest import subscribe
-from tidepool.streaming.rebuild import start_rebuild
+from tidepool.streaming.rebuild import rebuild_once, start_rebuild
 from tidepool.streaming.score import running_rmse_stream, score_stream, scoring_rows
 
 EV = "/root/testdata/sf0.001/events.parquet"
@@ -135,18 +135,41 @@ def test_scoring_swaps_in_rebuilt_model(spark):
     assert spark.read.parquet(f"{out}/t").count() == ev.where(F.col("event_type") == "view").count()
 
 
-def test_rebuild_plan_large_tick_table_uses_prefix(spark):
-    from tidepool.streaming.rebuild import rebuild_plan
-
-    ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet").withColumnRenamed("event_type", "topic")
-    small = rebuild_plan(ev, "ts", "1 hour")
-    spark.conf.set("tidepool.broadcast.maxRows", "10")
-    try:
-        large = rebuild_plan(ev, "ts", "1 hour")
-    finally:
-        spark.conf.unset("tidepool.broadcast.maxRows")
-    assert small.count() == large.count() > 10
-    assert small.exceptAll(large.select(*small.columns)).count() == 0
+def test_rebuild_survives_unlucky_batches_and_other_builds(spark, tmp_path):
+    """build -> rebuild -> score -> remove -> rebuild: one answer; a batch with a
+    single row (no build row) is skipped, not fatal."""
+    registry = ModelRegistry(spark, str(tmp_path / "reg"))
+    spec = ML.ModelSpec("click", "regression", "decision_tree", "value", ("user_id",), split_key=("event_id",), rebuild_mode="new")
+    ev = spark.read.parquet(EV).where(F.col("event_type") == "click").select("event_id", "user_id", "value")
+    lone = ev.where(hash_fraction("event_id") >= 0.5).limit(1)
+    assert rebuild_once(spark, ML.training_rows(ev, spec), spec, registry) == 0
+
+    def rebuild():
+        rows = spark.readStream.schema(ev.schema).parquet(str(tmp_path / "in"))
+        start_rebuild(spark, rows, spec, registry, str(tmp_path / "rows"), str(tmp_path / "ckpt"), trigger="availableNow")
+
+    for part in (lone, ev):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        rebuild()
+    log = {r["version"]: r["status"] for r in registry.log().collect()}
+    assert log == {0: "built", 1: "skipped", 2: "built"}
+    assert registry.latest_for(spec)["version"] == registry.latest().first()["version"] == 2
+    registry.remove_topic("click")
+    assert registry.latest_for(spec) is None
+    ev.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rebuild()
+    assert registry.latest_for(spec)["version"] == registry.latest_for(spec.name)["version"] == 4
+
+
+def test_classification_version_keeps_its_cells(spark, tmp_path):
+    registry = ModelRegistry(spark, str(tmp_path / "reg"))
+    ev = spark.read.parquet(EV).withColumn("kind", F.when(F.col("event_id") % 10 != 0, F.col("event_type")))
+    spec = ML.ModelSpec("t", "classification", "decision_tree", "kind", ("value",), split_key=("event_id",))
+    rebuild_once(spark, ML.training_rows(ev, spec), spec, registry)
+    entry = registry.latest_for(spec)
+    validation = ev.where(hash_fraction("event_id") >= 0.5).count()
+    assert sum(c["n"] for c in entry["cells"]) == validation
+    assert entry["n_unlabelled"] == ev.where("kind IS NULL").count() and entry["n_build"] == ev.count()
 
 
 def test_workspace_flow(spark):

@@ -1,91 +1,87 @@
 """As-of join: each left row with the newest right row at or before it.
 
 Spark has no as-of join, and a window over the union of both sides would
-sort every row of one key in one task.  Instead time is cut into buckets:
+sort every row of one key in one task.  Instead the carry of the ordered
+prefix is used (see ``prefix``):
 
-* the right side is summarised per (key, bucket) -- its rows sorted into a
-  candidate array, and its newest row;
-* for each (key, bucket) that occurs on the left, the newest right row of
-  any *earlier* bucket is carried in with a window over those summaries
-  (keys x buckets rows, not data rows);
-* left rows equi-join their (key, bucket) candidates -- a broadcast when the
-  candidate table is provably small, else a shuffle join that AQE can split
-  when a key is hot -- and pick the last candidate not after them.
-
-Per-row work is bounded by the right rows of one bucket; choose the bucket
-width so that is small (e.g. the rebuild interval for model versions).
+1. both sides are range-partitioned together by ``(key, time, side)``, so a key
+   that holds a third of all rows spans many range partitions, and written once
+   to the shared scratch folder;
+2. per (range partition, key) the newest right row is found, and the newest one
+   of all *earlier* range partitions is carried in -- at most range partitions +
+   keys rows, added to the staged rows as one more row per (partition, key);
+3. a window over (range partition, key) fills the last right row forward, so no
+   window holds more than one range partition and nothing is broadcast.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import broadcast_row_limit
+from ..session import scratch_path
 
-_B = "_asof_bucket"
+_B, _K, _T, _SIDE, _P, _L, _H = (f"_asof_{c}" for c in ("part", "keys", "time", "side", "right", "left", "spread"))
 
 
-def _bucket(ts_col: str, width_seconds: int):
-    return F.floor(F.unix_micros(F.col(ts_col).cast("timestamp")) / F.lit(width_seconds * 1_000_000)).cast("bigint")
+def _spread(df: DataFrame):
+    """A hash of the row: left rows at one moment are ordered by it, so that they can be cut apart."""
+    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.typeName() != "variant"]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in plain])
 
 
-def asof_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: list[str],
-    left_ts: str,
-    right_ts: str,
-    width_seconds: int = 86_400,
-    max_candidates: int = 10_000,
-) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, right_ts: str) -> DataFrame:
     """Left join: every left row, plus the right columns of the newest right
     row with the same ``on`` keys and ``right_ts <= left_ts`` (NULL when
-    there is none).  Right columns other than the keys must not clash with
-    left column names.  Raises when more than ``max_candidates`` right rows
-    of one key fall into one bucket (the per-row work bound)."""
+    there is none; a NULL key or time matches nothing).  Among right rows of one
+    key and time the one whose columns compare greatest, in their order, wins.
+    Right columns other than the keys must not clash with left column names."""
     payload = [c for c in right.columns if c not in on]
     clash = set(payload) & set(left.columns)
     if clash:
         raise ValueError(f"right columns clash with left columns: {sorted(clash)}")
+    spark = left.sparkSession
 
-    r = right.withColumn(_B, _bucket(right_ts, width_seconds))
-    entry = F.struct(F.col(right_ts).alias("_t"), F.struct(*[F.col(c) for c in payload]).alias("_p"))
-    per_bucket = r.groupBy(*on, _B).agg(
-        F.array_sort(F.collect_list(entry)).alias("_cands"),
-        F.max_by(entry, F.col(right_ts)).alias("_last"),
-    )
-    # Each left row scans its bucket's candidate array: bound its length.
-    widest = per_bucket.agg(F.max(F.size("_cands"))).first()[0] or 0
-    if widest > max_candidates:
-        raise ValueError(
-            f"as-of join: {widest} right rows share one key and {width_seconds}s bucket "
-            f"(bound {max_candidates}); use a narrower width_seconds"
-        )
-    probes = left.select(*on, _bucket(left_ts, width_seconds).alias(_B)).distinct()
+    def key(df: DataFrame):
+        return F.struct(*[df[f"`{c}`"].cast(left.schema[c].dataType).alias(c) for c in on])
 
-    # Newest right entry of an earlier bucket, for every probed bucket.
-    timeline = probes.select(*on, _B, F.lit(0).alias("_kind"), F.lit(None).cast(per_bucket.schema["_last"].dataType).alias("_last")).unionByName(
-        per_bucket.select(*on, _B, F.lit(1).alias("_kind"), "_last")
-    )
-    w = Window.partitionBy(*on).orderBy(_B, "_kind").rowsBetween(Window.unboundedPreceding, -1)
-    carried = timeline.withColumn("_carry", F.last("_last", ignorenulls=True).over(w)).where(F.col("_kind") == 0)
+    def moment(df: DataFrame, c: str):
+        return df[f"`{c}`"].cast("timestamp")
 
-    cands = carried.join(per_bucket.select(*on, _B, "_cands"), [*on, _B], "left").select(
-        *on,
-        _B,
-        F.concat(
-            F.when(F.col("_carry").isNotNull(), F.array(F.col("_carry"))).otherwise(F.array().cast(per_bucket.schema["_cands"].dataType)),
-            F.coalesce(F.col("_cands"), F.array().cast(per_bucket.schema["_cands"].dataType)),
-        ).alias("_cands"),
+    r_row = F.struct(*[right[f"`{c}`"] for c in payload])
+    l_row = F.struct(*[left[f"`{c}`"] for c in left.columns])
+    usable = moment(right, right_ts).isNotNull()
+    for c in on:
+        usable = usable & right[f"`{c}`"].isNotNull()
+    # right rows sort before left rows of the same moment
+    rights = right.where(usable).select(
+        key(right).alias(_K), moment(right, right_ts).alias(_T), F.lit(0).alias(_SIDE), r_row.alias(_P),
+        F.lit(0).cast("bigint").alias(_H),
+    )
+    lefts = left.select(
+        key(left).alias(_K), moment(left, left_ts).alias(_T), F.lit(1).alias(_SIDE), l_row.alias(_L), _spread(left).alias(_H),
     )
-    if cands.count() <= broadcast_row_limit(left.sparkSession):
-        cands = F.broadcast(cands)
+    both = lefts.unionByName(rights, allowMissingColumns=True)
 
-    lb = left.withColumn(_B, _bucket(left_ts, width_seconds))
-    joined = lb.join(cands, [*on, _B], "left")
-    lt = F.col(left_ts)
-    eligible = F.filter(F.col("_cands"), lambda c: c["_t"] <= lt)
-    best = F.when(F.size(eligible) > 0, F.element_at(eligible, -1))
-    out = joined.withColumn("_best", best)
-    return out.select(*[F.col(f"`{c}`") for c in left.columns], *[F.col("_best._p").getField(c).alias(c) for c in payload])
+    # Lineage cut: range bounds are sampled once, lost executors re-read files.
+    order = [_T, _SIDE, _P, _H]
+    staged_path = scratch_path(spark, "asof")
+    ranged = both.repartitionByRange(_K, *order).sortWithinPartitions(_K, *order).withColumn(_B, F.spark_partition_id())
+    ranged.write.parquet(staged_path)
+    staged = spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in ranged.schema.fields])).parquet(staged_path)
+
+    newest = staged.groupBy(_B, _K).agg(F.max_by(_P, F.when(F.col(_SIDE) == 0, F.struct(_T, _P))).alias(_P))
+    earlier = Window.partitionBy(_K).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    carried = newest.select(
+        _B, _K, F.lit(None).cast("timestamp").alias(_T), F.lit(-1).alias(_SIDE), F.last(_P, ignorenulls=True).over(earlier).alias(_P)
+    )
+    # the carried row leads its (partition, key), whatever NULL times follow
+    rows = staged.unionByName(carried, allowMissingColumns=True).withColumn("_asof_lead", F.col(_SIDE) >= 0)
+    filled = Window.partitionBy(_B, _K).orderBy("_asof_lead", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(_P, ignorenulls=True).over(filled)
+    found = rows.withColumn("_asof_found", last).where(F.col(_SIDE) == 1)
+    at = F.when(F.col(_T).isNotNull(), F.col("_asof_found"))
+    return found.select(
+        *[F.col(_L).getField(c).alias(c) for c in left.columns], *[at.getField(c).alias(c) for c in payload]
+    )

@@ -33,29 +33,29 @@ def confusion_long(df: DataFrame, actual: str = "label", predicted: str = "predi
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
+OTHER = "(other)"
+
+
 def confusion_matrix(
-    df: DataFrame, actual: str = "label", predicted: str = "prediction", classes: list[str] | None = None
+    df: DataFrame, classes: list[str], actual: str = "label", predicted: str = "prediction", other: str = OTHER
 ) -> DataFrame:
     """Square contingency table: one row per class (``actual``), one count
     column per class, zero-filled for pairs that never occur.
 
-    The scored rows are aggregated once into at most K x K cells; those
-    cells (bounded by the label set, not by the data) are pivoted."""
-    spark = df.sparkSession
-    cells = confusion_long(df, actual, predicted).collect()
-    seen = {c for r in cells for c in (r["actual"], r["predicted"]) if c is not None}
-    classes = classes or sorted(seen)
-    long = spark.createDataFrame(cells, "actual string, predicted string, n bigint")
-    wide = long.groupBy("actual").pivot("predicted", classes).agg(F.sum("n"))
-    all_rows = spark.createDataFrame([(c,) for c in classes], "actual string")
-    return all_rows.join(wide, "actual", "left").na.fill(0, subset=classes).select(
-        "actual", *[F.col(f"`{c}`").cast("bigint").alias(c) for c in classes]
-    )
-
-
-def accuracy(df: DataFrame, actual: str = "label", predicted: str = "prediction") -> DataFrame:
-    hit = (F.col(actual).cast("string") == F.col(predicted).cast("string")).cast("double")
-    return df.agg(F.avg(hit).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    ``classes`` are the model's (``models.class_labels``).  Rows whose class is
+    NULL or not among them keep their own row and column ``other``, so the cells
+    always sum to the number of scored rows.  One partial aggregation over the
+    scored rows; nothing is collected."""
+    if other in classes:
+        raise ValueError(f"{other!r} is a class; name the rest otherwise")
+    a = F.col(actual).cast("string")
+    p = F.col(predicted).cast("string")
+    row = F.when(a.isin(classes), a).otherwise(F.lit(other))
+    cells = [F.count(F.when(p == c, 1)).alias(c) for c in classes]
+    cells.append(F.count(F.when(F.coalesce(p.isin(classes), F.lit(False)), None).otherwise(1)).alias(other))
+    counted = df.groupBy(row.alias("actual")).agg(*cells)
+    every = df.sparkSession.createDataFrame([(c,) for c in [*classes, other]], "actual string")
+    return every.join(counted, "actual", "left").na.fill(0, subset=[*classes, other])
 
 
 def _per_class_counts(long: DataFrame) -> DataFrame:

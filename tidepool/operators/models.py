@@ -5,7 +5,7 @@ is ``pyspark.ml``: the formula ``label ~ <variables>`` (``RFormula``: one-hot
 string features, numeric and boolean kept, string label indexed for
 classification), one of five estimators, and for classification an
 ``IndexToString`` stage so predictions come back as label text.  The
-build/validation split defaults to the hash split (reproducible); metrics are
+build/validation split is the hash split (reproducible); metrics are
 aggregates over the scored validation rows (see ``metrics``).
 """
 
@@ -27,9 +27,10 @@ from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
 from . import metrics as M
-from .split import hash_split, random_split
+from .split import default_key, hash_fraction, hash_split
 
 REGRESSION = "regression"
 CLASSIFICATION = "classification"
@@ -39,13 +40,14 @@ CLASSIFICATION_ONLY = {"logit", "naive_bayes", "linear_svm"}
 FEATURES = "_features"
 LABEL_IDX = "_label_idx"
 PRED_IDX = "_prediction_idx"
+SPLIT = "_split"
 INTERNAL = [FEATURES, LABEL_IDX, PRED_IDX, "rawPrediction"]
 
 
 @dataclass(frozen=True)
 class ModelSpec:
-    """One model definition.  ``name`` identifies it: at most one model per
-    (topic, kind, label, algorithm)."""
+    """One model definition: at most one model per (topic, kind, label,
+    algorithm).  ``identity`` is that tuple, ``name`` its display text."""
 
     topic: str
     kind: str
@@ -54,7 +56,7 @@ class ModelSpec:
     variables: tuple[str, ...]
     ratio: float = 0.5
     split_key: tuple[str, ...] | None = None
-    seed: int = 42
+    seed: int = 42  # of the trees
     rebuild_minutes: int | None = 10
     rebuild_mode: str = "all"
     build_source: str | None = None
@@ -86,6 +88,14 @@ class ModelSpec:
     def name(self) -> str:
         return f"{self.topic}{self.kind}{self.label}{self.algorithm}"
 
+    @property
+    def identity(self) -> tuple[str, str, str, str]:
+        return (self.topic, self.kind, self.label, self.algorithm)
+
+
+class UnfitData(ValueError):
+    """The rows at hand cannot build the model (other rows may)."""
+
 
 def prepare(df: DataFrame, spec: ModelSpec) -> DataFrame:
     """Rename the target to ``label`` (all columns kept)."""
@@ -139,45 +149,52 @@ def _check_inputs(build: DataFrame, spec: ModelSpec) -> None:
             bad = F.col(f"`{v}`").isNotNull() & ~F.col(f"`{v}`").cast("double").isin(0.0, 1.0)
             checks.append(F.sum(bad.cast("int")).alias(f"bad_{len(checks)}"))
     if spec.algorithm == "linear_svm":
-        checks.append(F.count_distinct("label").alias("classes"))
+        # two distinct labels are min and max; a third lies strictly between
+        checks += [F.min("label").cast("string").alias("lo"), F.max("label").cast("string").alias("hi")]
     text_vars = [v for v in spec.variables if isinstance(build.schema[v].dataType, T.StringType)]
     for i, v in enumerate(text_vars):
         checks.append(F.approx_count_distinct(F.col(f"`{v}`")).alias(f"levels_{i}"))
     row = build.agg(*checks).first()
     if row["n"] == 0:
-        raise ValueError("the build slice is empty")
+        raise UnfitData("the build slice is empty")
     for k, v in row.asDict().items():
         if k.startswith("bad_") and v:
-            raise ValueError("naive bayes needs features that are 0/1 (binarise them first)")
+            raise UnfitData("naive bayes needs features that are 0/1 (binarise them first)")
     for i, v in enumerate(text_vars):
         if row[f"levels_{i}"] < 2:
-            raise ValueError(f"categorical variable {v!r} has fewer than two values in the build rows")
-    if spec.algorithm == "linear_svm" and row["classes"] > 2:
-        raise ValueError(f"linear SVM is binary; the label has {row['classes']} classes")
+            raise UnfitData(f"categorical variable {v!r} has fewer than two values in the build rows")
+    if spec.algorithm == "linear_svm":
+        between = build.where(~F.col("label").cast("string").isin(row["lo"], row["hi"])).limit(1).count()
+        if row["lo"] == row["hi"] or between:
+            raise UnfitData(f"linear SVM is binary; the label has {'more than two' if between else 'fewer than two'} classes")
 
 
 def fit(build: DataFrame, spec: ModelSpec) -> PipelineModel:
     """Fit on prepared build rows (``label`` + variables).  Rows without a label
     (live leaves of the wrong type decode to NULL) have nothing to learn from
-    and are left out."""
+    and are left out.  The projection is kept (memory, then executors' disks)
+    while the checks, the formula and the estimator's passes read it."""
     data = build.select(*[F.col(f"`{v}`") for v in spec.variables], "label").where(F.col("label").isNotNull())
-    _check_inputs(data, spec)
-    cls = spec.kind == CLASSIFICATION
-    formula = RFormula(
-        formula="label ~ .",
-        featuresCol=FEATURES,
-        labelCol=LABEL_IDX,
-        forceIndexLabel=cls,
-        handleInvalid=spec.handle_invalid,
-    )
-    fitted = Pipeline(stages=[formula, estimator(spec)]).fit(data)
-    if not cls:
-        return fitted
-    rf_model = fitted.stages[0]
-    meta = rf_model.transform(data.limit(0)).schema[LABEL_IDX].metadata
-    labels = list(meta["ml_attr"]["vals"])
-    to_text = IndexToString(inputCol=PRED_IDX, outputCol="prediction", labels=labels)
-    return PipelineModel(stages=[*fitted.stages, to_text])
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        _check_inputs(data, spec)
+        cls = spec.kind == CLASSIFICATION
+        formula = RFormula(
+            formula="label ~ .",
+            featuresCol=FEATURES,
+            labelCol=LABEL_IDX,
+            forceIndexLabel=cls,
+            handleInvalid=spec.handle_invalid,
+        )
+        fitted = Pipeline(stages=[formula, estimator(spec)]).fit(data)
+        if not cls:
+            return fitted
+        meta = fitted.stages[0].transform(data.limit(0)).schema[LABEL_IDX].metadata
+        labels = list(meta["ml_attr"]["vals"])
+        to_text = IndexToString(inputCol=PRED_IDX, outputCol="prediction", labels=labels)
+        return PipelineModel(stages=[*fitted.stages, to_text])
+    finally:
+        data.unpersist()
 
 
 def class_labels(model: PipelineModel) -> list[str] | None:
@@ -209,9 +226,7 @@ class FittedModel:
 
 
 def split(df: DataFrame, spec: ModelSpec) -> tuple[DataFrame, DataFrame]:
-    if spec.split_key:
-        return hash_split(df, spec.ratio, list(spec.split_key))
-    return random_split(df, spec.ratio, spec.seed)
+    return hash_split(df, spec.ratio, list(spec.split_key) if spec.split_key else None)
 
 
 def build_model(data: DataFrame, spec: ModelSpec) -> FittedModel:
@@ -222,6 +237,44 @@ def build_model(data: DataFrame, spec: ModelSpec) -> FittedModel:
     return FittedModel(spec, model, predict(model, validation), build)
 
 
+def training_rows(data: DataFrame, spec: ModelSpec) -> DataFrame:
+    """What building and judging a model need of every row: variables, ``label``
+    and the split's hash fraction (``SPLIT``, taken from the whole row)."""
+    prepared = prepare(data, spec)
+    u = hash_fraction(list(spec.split_key) if spec.split_key else default_key(prepared))
+    return prepared.select(*[F.col(f"`{v}`") for v in spec.variables], "label", u.alias(SPLIT))
+
+
+@dataclass
+class Trained:
+    model: PipelineModel
+    n_rows: int
+    n_unlabelled: int
+    metric_name: str
+    metric_value: float | None
+    cells: list  # contingency cells (actual, predicted, n) of a classification
+
+
+def train(rows: DataFrame, spec: ModelSpec) -> Trained | None:
+    """Build and judge a model on ``training_rows``; None when there are none.
+    The rows are read once and kept while they are counted, fitted and judged."""
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n, labelled = rows.agg(F.count(F.lit(1)), F.count("label")).first()
+        if n == 0:
+            return None
+        model = fit(rows.where(F.col(SPLIT) < spec.ratio), spec)
+        scored = predict(model, rows.where(F.col(SPLIT) >= spec.ratio))
+        if spec.kind == REGRESSION:
+            return Trained(model, n, n - labelled, "rmse", M.rmse(scored).first()["rmse"], [])
+        cells = [tuple(r) for r in M.confusion_long(scored).collect()]  # classes squared
+        judged = sum(c for _, _, c in cells)
+        hits = sum(c for a, p, c in cells if a is not None and a == p)
+        return Trained(model, n, n - labelled, "accuracy", hits / judged if judged else None, cells)
+    finally:
+        rows.unpersist()
+
+
 def evaluate(fitted: FittedModel) -> DataFrame:
     """RMSE for regression; accuracy, kappa, no-information rate for
     classification (one row)."""
@@ -232,30 +285,32 @@ def evaluate(fitted: FittedModel) -> DataFrame:
 
 def summary(spark: SparkSession, model: PipelineModel, data: DataFrame | None = None) -> DataFrame:
     """Model parameters as rows ``(term, value)``: coefficients and
-    intercepts, class priors/likelihoods, or tree sizes and feature
-    importances."""
+    intercepts, class priors/likelihoods (by label text), or tree sizes and
+    feature importances."""
     formula_model = model.stages[0]
     est = model.stages[1]
     names = _feature_names(formula_model, data, est.numFeatures)
     rows: list[tuple[str, float]] = []
     kind = type(est).__name__
+    labels = class_labels(model) or []
     if hasattr(est, "coefficientMatrix") and kind.startswith("LogisticRegression"):
         mat = est.coefficientMatrix.toArray()
         icpt = est.interceptVector.toArray()
-        for k in range(mat.shape[0]):
-            rows.append((f"class{k}:(Intercept)", float(icpt[k])))
+        # a two-class model has one row, the log odds of its second label
+        for k, cls in enumerate(labels if mat.shape[0] > 1 else labels[1:]):
+            rows.append((f"{cls}:(Intercept)", float(icpt[k])))
             for j, n in enumerate(names):
-                rows.append((f"class{k}:{n}", float(mat[k, j])))
+                rows.append((f"{cls}:{n}", float(mat[k, j])))
     elif hasattr(est, "coefficients") and hasattr(est, "intercept"):
         rows.append(("(Intercept)", float(est.intercept)))
         rows.extend((n, float(v)) for n, v in zip(names, est.coefficients.toArray()))
     elif hasattr(est, "pi") and hasattr(est, "theta"):
         pi = est.pi.toArray()
         theta = est.theta.toArray()
-        for k in range(len(pi)):
-            rows.append((f"class{k}:log_prior", float(pi[k])))
+        for k, cls in enumerate(labels):
+            rows.append((f"{cls}:log_prior", float(pi[k])))
             for j, n in enumerate(names):
-                rows.append((f"class{k}:{n}:log_likelihood", float(theta[k, j])))
+                rows.append((f"{cls}:{n}:log_likelihood", float(theta[k, j])))
     if hasattr(est, "featureImportances"):
         rows.extend((f"importance:{n}", float(v)) for n, v in zip(names, est.featureImportances.toArray()))
     if hasattr(est, "numNodes"):

@@ -14,7 +14,9 @@ task.  A topic may hold a third of all messages, so instead:
    ``k``) give the *local* rank and running sums, so no window holds more than
    one range partition, NULL groups are groups and no value leaves the JVM;
 3. per (partition, k) totals -- at most ``n + #k`` rows -- are prefix-summed
-   with a small window and joined back (broadcast behind a row-count check).
+   with a small window and enter the rows' window as one leading row per
+   (partition, k) that brings the count and sums of all earlier partitions, so
+   nothing is joined or broadcast.
 
 The result equals the global window (up to floating summation order) and no
 task holds more than one range partition.
@@ -26,11 +28,12 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import broadcast_row_limit, scratch_path
+from ..session import scratch_path
 
 _B = "_pfx_part"
-_R = "_pfx_lrank"
+_N = "_pfx_n"
 
 
 def ordered_prefix(
@@ -42,6 +45,7 @@ def ordered_prefix(
     descending: bool = False,
     num_partitions: int | None = None,
     base: DataFrame | None = None,
+    staging: str | None = None,
 ) -> DataFrame:
     """Add ``rank_col`` (1-based row number) and one running sum per entry of
     ``sums`` (output name -> value column), in ``order_by`` order inside each
@@ -50,7 +54,9 @@ def ordered_prefix(
     ``descending=True`` numbers newest-first (largest key gets 1) and sums
     from the end.  ``base`` is an optional frame ``(*partition_by, n, <sum
     names>...)`` of counts/sums that precede this frame (a stream's earlier
-    micro-batches); it shifts ranks and sums.
+    micro-batches); it shifts ranks and sums.  ``staging`` names the folder for the
+    range-partitioned rows (overwritten; by default a new scratch folder).  Sums of
+    integer columns stay integers, others are doubles; NULL values add nothing.
     """
     spark = df.sparkSession
     part = list(partition_by or [])
@@ -74,61 +80,51 @@ def ordered_prefix(
     ranged = (src.repartitionByRange(n, *keys) if n else src.repartitionByRange(*keys)).sortWithinPartitions(*keys)
 
     # Lineage cut: the range partitions are written once to the shared folder.
-    path = scratch_path(spark, "prefix")
+    path = staging or scratch_path(spark, "prefix")
     ranged = ranged.withColumn(_B, F.spark_partition_id())
-    ranged.write.parquet(path)
+    ranged.write.mode("overwrite").parquet(path)
     staged = spark.read.schema(ranged.schema).parquet(path)
-    inside = Window.partitionBy(_B, *part).orderBy(*order_by)
-    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = {f"_pfx_l_{c}": F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).over(so_far) for c in value_cols}
-    local = staged.withColumns({_R: F.row_number().over(inside).cast("bigint"), **running})
-
-    agg = [F.count(F.lit(1)).alias("_pfx_n")] + [F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(f"_pfx_s_{c}") for c in value_cols]
-    stats = staged.groupBy(_B, *part).agg(*agg)
-    w_before = Window.partitionBy(*part).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy(*part)
-    offsets = stats.select(
-        _B,
-        *part,
-        F.coalesce(F.sum("_pfx_n").over(w_before), F.lit(0)).alias("_pfx_off_n"),
-        F.sum("_pfx_n").over(w_all).alias("_pfx_tot_n"),
-        *[F.coalesce(F.sum(f"_pfx_s_{c}").over(w_before), F.lit(0.0)).alias(f"_pfx_off_{c}") for c in value_cols],
-        *[F.sum(f"_pfx_s_{c}").over(w_all).alias(f"_pfx_tot_{c}") for c in value_cols],
+
+    def total(c: str) -> str:
+        return "bigint" if isinstance(ranged.schema[c].dataType, T.IntegralType) else "double"
+
+    values = [F.coalesce(F.col(c).cast(total(c)), F.lit(0).cast(total(c))).alias(c) for c in value_cols]
+    stats = staged.groupBy(_B, *part).agg(
+        F.count(F.lit(1)).alias(_N), *[F.coalesce(F.sum(F.col(c).cast(total(c))), F.lit(0).cast(total(c))).alias(c) for c in value_cols]
     )
+    earlier = Window.partitionBy(*part).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy(*part)
+    sizes = [_N, *value_cols]
     if base is not None:
-        b = base.select(
-            *part,
-            F.col("n").alias("_pfx_base_n"),
-            *[F.col(name).alias(f"_pfx_base_{c}") for name, c in zip(sums, value_cols)],
-        )
-        offsets = offsets.join(b, [offsets[c].eqNullSafe(b[c]) for c in part], "left").select(
-            offsets["*"], *[b[c] for c in b.columns if c not in part]
+        # earlier micro-batches count as a partition before the first
+        stats = stats.unionByName(
+            base.select(
+                F.lit(-1).alias(_B), *part, F.col("n").cast("bigint").alias(_N),
+                *[F.col(name).cast(total(c)).alias(c) for name, c in zip(sums, value_cols)],
+            )
         )
-        offsets = offsets.select(
-            _B,
-            *part,
-            (F.col("_pfx_off_n") + F.coalesce("_pfx_base_n", F.lit(0))).alias("_pfx_off_n"),
-            (F.col("_pfx_tot_n") + F.coalesce("_pfx_base_n", F.lit(0))).alias("_pfx_tot_n"),
-            *[(F.col(f"_pfx_off_{c}") + F.coalesce(f"_pfx_base_{c}", F.lit(0.0))).alias(f"_pfx_off_{c}") for c in value_cols],
-            *[(F.col(f"_pfx_tot_{c}") + F.coalesce(f"_pfx_base_{c}", F.lit(0.0))).alias(f"_pfx_tot_{c}") for c in value_cols],
-        )
-    # The offsets table has at most (partitions + groups) rows; broadcast it
-    # only when that bound is actually small.
-    if offsets.count() <= broadcast_row_limit(spark):
-        offsets = F.broadcast(offsets)
-    # null-safe on the group keys: a NULL group is a group like any other
-    on = [local[c].eqNullSafe(offsets[c]) for c in [_B, *part]]
-    joined = local.join(offsets, on, "inner").select(local["*"], *[offsets[c] for c in offsets.columns if c not in (_B, *part)])
-
-    rank = F.col("_pfx_off_n") + F.col(_R)
+    leading = stats.select(
+        _B,
+        *part,
+        *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).cast(stats.schema[c].dataType).alias(c) for c in sizes],
+        *[F.sum(c).over(everything).alias(f"_pfx_tot_{c}") for c in sizes],
+        F.lit(0).alias("_pfx_row"),
+    ).where(F.col(_B) >= 0)
+    rest = [c for c in staged.columns if c not in value_cols]
+    rows = staged.select(
+        *[F.col(f"`{c}`") for c in rest], *values,
+        F.lit(1).cast("bigint").alias(_N), F.lit(1).alias("_pfx_row"),
+    ).unionByName(leading, allowMissingColumns=True)
+    inside = Window.partitionBy(_B, *part).orderBy("_pfx_row", *order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = rows.withColumns(
+        {
+            **{f"_pfx_run_{c}": F.sum(c).over(inside) for c in sizes},
+            **{f"_pfx_end_{c}": F.first(f"_pfx_tot_{c}").over(inside) for c in (sizes if descending else [])},
+        }
+    ).where(F.col("_pfx_row") == 1)
+
     cols = [F.col(f"`{c}`") for c in df.columns]
-    if descending:
-        cols.append((F.col("_pfx_tot_n") - rank + 1).alias(rank_col))
-    else:
-        cols.append(rank.alias(rank_col))
-    for name, c in zip(sums, value_cols):
-        running = F.col(f"_pfx_off_{c}") + F.col(f"_pfx_l_{c}")
-        if descending:
-            running = F.col(f"_pfx_tot_{c}") - running + F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-        cols.append(running.alias(name))
-    return joined.select(*cols)
+    for name, c in zip([rank_col, *sums], sizes):
+        running = F.col(f"_pfx_run_{c}")
+        cols.append((F.col(f"_pfx_end_{c}") - running + F.col(c) if descending else running).alias(name))
+    return numbered.select(*cols)

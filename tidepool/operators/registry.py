@@ -1,58 +1,86 @@
 """Model registry: an append-only log of model versions.
 
-A row is written per build (``name`` identifies a model: topic, kind,
-label, algorithm).  The latest version per name is a ``max_by`` aggregate;
-removal appends tombstones, so concurrent readers never see a half-written
-table.  A retried write repeats a row with the same (name, version); readers
-that sum over versions drop such repeats first.  Each model also has a
-one-row "current" entry, rewritten on every record or removal, so a scoring
-stream's per-batch lookup (``latest_for``) does not grow with the number
-of versions.
+Each entry is one immutable row in its model's own log folder, so readers never
+see a half-written table and looking one model up reads that model's entries
+only.  A model is (topic, kind, label, algorithm); ``name`` is its display text.
+Versions come from one allocator (``allocate``), whoever builds; a retried
+build gets its version again, and model files go to a folder of their own per
+attempt, so a version's files never change.  ``status`` is ``built``,
+``removed`` (a tombstone) or ``skipped`` (rows arrived that could not build
+the model, with the reason; the standing model stays in force).
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import threading
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from .models import ModelSpec
 
 LOG_SCHEMA = (
     "name string, topic string, kind string, algorithm string, label string, rebuild_mode string, "
-    "version bigint, built_at timestamp, n_build bigint, metric_name string, metric_value double, "
-    "model_path string, removed boolean"
+    "version bigint, built_at timestamp, n_build bigint, n_unlabelled bigint, metric_name string, metric_value double, "
+    "cells array<struct<actual:string,predicted:string,n:bigint>>, "
+    "model_path string, removed boolean, status string, reason string, job string, batch_id bigint"
 )
+IDENTITY = ["topic", "kind", "label", "algorithm"]
 
 
 def latest_versions(log: DataFrame) -> DataFrame:
-    """Newest entry per model name, dropping names whose newest entry is a
-    removal."""
-    cols = [c for c in log.columns if c != "name"]
-    newest = log.groupBy("name").agg(F.max_by(F.struct(*cols), F.struct("version", "removed")).alias("_e"))
-    flat = newest.select("name", *[F.col("_e").getField(c).alias(c) for c in cols])
+    """Newest entry per model (skipped builds aside), without models whose newest
+    entry is a removal.  Equal versions: the later, then the greater path."""
+    cols = [c for c in log.columns if c not in IDENTITY]
+    order = F.struct("version", "removed", "built_at", "model_path")
+    newest = log.where(F.col("status") != "skipped").groupBy(*IDENTITY).agg(F.max_by(F.struct(*cols), order).alias("_e"))
+    flat = newest.select(*[F.col(c) if c in IDENTITY else F.col("_e").getField(c).alias(c) for c in log.columns])
     return flat.where(~F.col("removed")).drop("removed")
 
 
-def remove_names(models: DataFrame, removed: DataFrame) -> DataFrame:
-    """Models whose name is not in ``removed`` (anti-join)."""
-    return models.join(removed.select("name").distinct(), "name", "left_anti")
+def _key(identity: tuple[str, ...]) -> str:
+    return hashlib.md5("\x1f".join(identity).encode()).hexdigest()
 
 
 class ModelRegistry:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._lock = threading.Lock()
+        self._given: dict[str, int] = {}
 
     @property
     def log_path(self) -> str:
         return f"{self.root}/log"
 
-    def model_path(self, name: str, version: int) -> str:
-        return f"{self.root}/models/{name}/v{version}"
+    def new_model_path(self, spec: ModelSpec, version: int) -> str:
+        """A folder nobody has used or will use again."""
+        return f"{self.root}/models/{_key(spec.identity)}/v{version}-{uuid.uuid4().hex[:8]}"
+
+    def allocate(self, spec: ModelSpec, job: str = "build", batch_id: int | None = None) -> int:
+        """The version of a build: the next free one, or, for a batch of a
+        job that has its entry already, that entry's."""
+        with self._lock:
+            own = self.entries(spec)
+            top = mine = None
+            if own is not None:
+                again = F.when((F.col("job") == job) & (F.col("batch_id") == batch_id), F.col("version"))
+                top, mine = own.agg(F.max("version"), F.max(again)).first()
+            if mine is not None:
+                return int(mine)
+            key = _key(spec.identity)
+            version = max(-1 if top is None else int(top), self._given.get(key, -1)) + 1
+            self._given[key] = version
+            return version
+
+    def recorded(self, spec: ModelSpec, job: str, batch_id: int) -> bool:
+        """Whether a batch of a job has its entry (a retry has nothing to do)."""
+        own = self.entries(spec)
+        return own is not None and bool(own.where((F.col("job") == job) & (F.col("batch_id") == batch_id)).take(1))
 
     def record(
         self,
@@ -63,67 +91,70 @@ class ModelRegistry:
         metric_value: float | None,
         model_path: str | None,
         built_at: dt.datetime | None = None,
-        removed: bool = False,
+        status: str = "built",
+        reason: str | None = None,
+        n_unlabelled: int = 0,
+        cells: list | None = None,
+        job: str = "build",
+        batch_id: int | None = None,
     ) -> None:
+        built_at = built_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        value = None if metric_value is None else float(metric_value)
         row = (
-            spec.name,
-            spec.topic,
-            spec.kind,
-            spec.algorithm,
-            spec.label,
-            spec.rebuild_mode,
-            int(version),
-            built_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None),
-            int(n_build),
-            metric_name,
-            None if metric_value is None else float(metric_value),
-            model_path,
-            removed,
+            spec.name, spec.topic, spec.kind, spec.algorithm, spec.label, spec.rebuild_mode, int(version), built_at,
+            int(n_build), int(n_unlabelled), metric_name, value, cells, model_path, status == "removed", status, reason, job, batch_id,
         )
-        entry = self.spark.createDataFrame([row], LOG_SCHEMA)
-        entry.write.mode("append").parquet(self.log_path)
-        entry.coalesce(1).write.mode("overwrite").parquet(self._current_path(spec.name))
+        entry = self.spark.createDataFrame([row], LOG_SCHEMA).coalesce(1)
+        entry.write.mode("append").parquet(self._folder(spec.identity))
 
-    def _current_path(self, name: str) -> str:
-        return f"{self.root}/current/{hashlib.md5(name.encode()).hexdigest()}"
+    def _folder(self, identity: tuple[str, ...]) -> str:
+        return f"{self.log_path}/model={_key(identity)}"
 
-    def log(self) -> DataFrame:
-        return self.spark.read.schema(LOG_SCHEMA).parquet(self.log_path)
-
-    def latest_for(self, name: str):
-        """Newest live entry of one model (a Row) or None.
-
-        Reads the model's one-row current entry, so the lookup does not
-        grow with the number of versions; when that entry is missing or
-        being rewritten, the log answers instead.
-        """
+    def _read(self, path: str, schema: str = LOG_SCHEMA) -> DataFrame | None:
         try:
-            rows = self.spark.read.schema(LOG_SCHEMA).parquet(self._current_path(name)).collect()
-        except AnalysisException:
-            rows = []
-        if len(rows) != 1:
-            rows = self.latest().where(F.col("name") == name).collect()
-            return rows[0] if rows else None
-        return None if rows[0]["removed"] else rows[0]
+            return self.spark.read.schema(schema).parquet(path)
+        except AnalysisException as exc:
+            if exc.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+
+    def log(self) -> DataFrame:
+        """All entries (none before the first build)."""
+        found = self._read(self.log_path, LOG_SCHEMA + ", model string")
+        return self.spark.createDataFrame([], LOG_SCHEMA) if found is None else found.drop("model")
+
+    def entries(self, spec: ModelSpec) -> DataFrame | None:
+        """One model's entries, or None."""
+        return self._read(self._folder(spec.identity))
+
+    def latest_for(self, model: ModelSpec | str) -> Row | None:
+        """Newest live entry of one model, or None.  A definition reads its own
+        entries; a display name reads the log and must mean one model."""
+        if isinstance(model, ModelSpec):
+            own = self.entries(model)
+            return None if own is None else latest_versions(own).first()
+        rows = self.latest().where(F.col("name") == model).take(2)
+        if len(rows) > 1:
+            raise ValueError(f"several models are called {model!r}; look it up by its definition")
+        return rows[0] if rows else None
 
     def latest(self) -> DataFrame:
         return latest_versions(self.log())
 
     def remove_topic(self, topic: str) -> None:
-        """Remove every model of a topic: tombstones for their names (one
-        row per model of the topic, computed before anything is written)."""
-        live = self.latest().where(F.col("topic") == topic)
-        tomb = live.select(
-            "name", "topic", "kind", "algorithm", "label", "rebuild_mode",
-            (F.col("version") + 1).alias("version"), F.current_timestamp().cast("timestamp").alias("built_at"),
-            F.lit(0).cast("bigint").alias("n_build"), F.lit(None).cast("string").alias("metric_name"),
-            F.lit(None).cast("double").alias("metric_value"), F.lit(None).cast("string").alias("model_path"),
-            F.lit(True).alias("removed"),
-        ).collect()
-        if not tomb:
-            return
-        self.spark.createDataFrame(tomb, LOG_SCHEMA).write.mode("append").parquet(self.log_path)
-        for r in tomb:
-            self.spark.createDataFrame([r], LOG_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
-                self._current_path(r["name"])
-            )
+        """Remove every model of a topic: one tombstone each, above its newest version."""
+        changed = {
+            "version": F.col("version") + 1, "built_at": F.current_timestamp(), "n_build": F.lit(0), "n_unlabelled": F.lit(0),
+            "removed": F.lit(True), "status": F.lit("removed"), "job": F.lit("remove"),
+        }
+        cleared = ("metric_name", "metric_value", "cells", "model_path", "reason", "batch_id")
+        live = self.latest().where(F.col("topic") == topic).withColumn("removed", F.lit(False))
+        schema = self.log().schema
+        tombs = live.select(
+            F.md5(F.concat_ws("\x1f", *IDENTITY)).alias("model"),
+            *[
+                (F.lit(None) if f.name in cleared else changed.get(f.name, F.col(f.name))).cast(f.dataType).alias(f.name)
+                for f in schema.fields
+            ],
+        )
+        tombs.coalesce(1).write.mode("append").partitionBy("model").parquet(self.log_path)

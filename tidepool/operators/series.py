@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import broadcast_row_limit
 from .prefix import ordered_prefix
 
 
@@ -76,35 +75,13 @@ def stacked_bars(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
-def _newest_row(df: DataFrame, order_by: list[str], part: list[str]) -> DataFrame:
+def latest(df: DataFrame, order_by: list[str], partition_by: list[str] | None = None) -> DataFrame:
+    """Newest row per group (top-1 by ``order_by``; NULL orders lowest, a NULL
+    group is a group): one ``max_by`` pass over batch or stream, reduced in every
+    input partition before the shuffle, so a hot group costs no more than a cold one."""
+    part = list(partition_by or [])
     others = [c for c in df.columns if c not in part]
     key = F.struct(*[F.col(f"`{c}`") for c in order_by])
     row = F.struct(*[F.col(f"`{c}`") for c in others])
-    agg = df.groupBy(*part).agg(F.max_by(row, key).alias("_row")) if part else df.agg(F.max_by(row, key).alias("_row"))
-    return agg.select(*part, *[F.col("_row").getField(c).alias(c) for c in others])
-
-
-def latest(df: DataFrame, order_by: list[str], partition_by: list[str] | None = None) -> DataFrame:
-    """Newest row per group (top-1 by ``order_by``).
-
-    ``max_by(row, order)`` keeps a variable-width buffer, which Spark can
-    only sort-aggregate (every input partition sorted).  So for batch input
-    the newest value of the leading order column is found first with a hash
-    aggregate over two columns; when that per-group table is small enough
-    to broadcast (checked), only rows carrying it -- a handful per group --
-    go through ``max_by``.  Streams, and very many groups, use ``max_by``
-    directly (still with partial aggregation before the shuffle).
-    """
-    part = list(partition_by or [])
-    if df.isStreaming or not part:
-        return _newest_row(df, order_by, part)
-    lead = order_by[0]
-    top = df.groupBy(*part).agg(F.max(F.col(f"`{lead}`")).alias("_top"))
-    if top.count() > broadcast_row_limit(df.sparkSession):
-        return _newest_row(df, order_by, part)
-    # null-safe: a NULL group is kept, and a group whose lead key is NULL
-    # everywhere keeps those rows (NULL orders lowest, as in max_by)
-    t = F.broadcast(top.select(*[F.col(c).alias(f"_t_{c}") for c in part], "_top"))
-    cond = [df[c].eqNullSafe(t[f"_t_{c}"]) for c in part]
-    at_top = df.join(t, cond).where(F.col(f"`{lead}`").eqNullSafe(F.col("_top"))).select(df["*"])
-    return _newest_row(at_top, order_by, part)
+    newest = df.groupBy(*part).agg(F.max_by(row, key).alias("_row"))
+    return newest.select(*part, *[F.col("_row").getField(c).alias(c) for c in others])

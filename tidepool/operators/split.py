@@ -1,12 +1,11 @@
 """Build/validation split.
 
-The default split is a hash of a key: a row goes to the build side when the
+The split is a hash of a key: a row goes to the build side when the
 first 32 bits of ``md5(key)``, read as a fraction of 2^32, are below the
-ratio.  It needs no shuffle and no sample, is the same on every run and for
+ratio.  Without a given key that is the message's coordinate, or, where a row
+has none (file topics, CSV), all of its payload.  It needs no shuffle and no sample, is the same on every run and for
 any partitioning, keeps all rows of one key together, and any SQL engine
-with ``md5`` reproduces it.  ``randomSplit`` (seeded) is offered for parity
-with the unseeded split of the dashboard, but its result depends on the
-input partitioning.
+with ``md5`` reproduces it.
 """
 
 from __future__ import annotations
@@ -26,9 +25,24 @@ def key_text(key: list[str] | str) -> Column:
     return F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
 
 
-def hash_fraction(key: list[str] | str) -> Column:
+#: What a decoded message row carries besides its payload.
+COORDINATE = ("_partition", "_offset", "_pos")
+ARRIVAL = ("_timestamp", "_ingested_at")
+
+
+def default_key(df: DataFrame) -> Column:
+    """The message coordinate as text; rows without one: the payload as JSON."""
+    payload = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns) if c not in COORDINATE + ARRIVAL]))
+    if not set(COORDINATE) <= set(df.columns):
+        return payload
+    place = F.concat_ws("|", *(["topic"] if "topic" in df.columns else []), *[F.col(c).cast("string") for c in COORDINATE])
+    return F.when(F.col("_offset").isNotNull(), place).otherwise(payload)
+
+
+def hash_fraction(key: list[str] | str | Column) -> Column:
     """Uniform value in [0, 1) from the key: md5 prefix / 2^32."""
-    return F.conv(F.substring(F.md5(key_text(key)), 1, 8), 16, 10).cast("double") / F.lit(TWO_POW_32)
+    text = key if isinstance(key, Column) else key_text(key)
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(TWO_POW_32)
 
 
 def _check_ratio(ratio: float) -> None:
@@ -36,14 +50,8 @@ def _check_ratio(ratio: float) -> None:
         raise ValueError(f"ratio must be strictly between 0 and 1 (one side would be empty), got {ratio}")
 
 
-def hash_split(df: DataFrame, ratio: float, key: list[str] | str) -> tuple[DataFrame, DataFrame]:
+def hash_split(df: DataFrame, ratio: float, key: list[str] | str | None = None) -> tuple[DataFrame, DataFrame]:
     """(build, validation) with about ``ratio`` of the keys in build."""
     _check_ratio(ratio)
-    u = hash_fraction(key)
+    u = hash_fraction(default_key(df) if key is None else key)
     return df.where(u < F.lit(ratio)), df.where(u >= F.lit(ratio))
-
-
-def random_split(df: DataFrame, ratio: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    _check_ratio(ratio)
-    build, validation = df.randomSplit([ratio, 1.0 - ratio], seed)
-    return build, validation

@@ -5,8 +5,9 @@ binary feature predicts the build-side mean (regression) or majority class
 (classification) of each feature value; a logistic regression on one binary
 feature is saturated, so its probability is the build-side rate; Bernoulli
 naive Bayes has log priors ``ln(n_c+1) - ln(N+K)`` and log likelihoods
-``ln(s_cf+1) - ln(n_c+2)``.  Everything else is checked by row count here
-and by invariants in the tests.
+``ln(s_cf+1) - ln(n_c+2)``; a forest of whole trees equals its one tree; a
+linear SVM is right on every row of separable classes.  Wider feature sets are
+checked by invariants in the tests.
 """
 
 from __future__ import annotations
@@ -139,7 +140,25 @@ def model_dt_class(spark: SparkSession, sf: str) -> DataFrame:
     "FROM pred GROUP BY label",
 )
 def confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return M.confusion_matrix(_dt_classification(spark, sf).validation, classes=["A", "N", "R"])
+    fitted = _dt_classification(spark, sf)
+    table_ = M.confusion_matrix(fitted.validation, ML.class_labels(fitted.model))
+    return table_.where(F.col("actual") != M.OTHER).select("actual", "A", "N", "R")
+
+
+@query(
+    "confusion_matrix_nulls",
+    "D5",
+    _DT_CLS_SQL + ", m AS (SELECT CASE WHEN substr(md5(CAST(l_orderkey AS VARCHAR)), 1, 1) = 'a' THEN '(other)' "
+    "WHEN label = 'N' THEN '(other)' ELSE label END AS actual, CASE WHEN prediction = 'N' THEN '(other)' ELSE prediction END AS p FROM pred), "
+    "k(actual) AS (VALUES ('A'), ('R'), ('(other)')) "
+    "SELECT k.actual, count(*) FILTER (WHERE p = 'A') AS \"A\", count(*) FILTER (WHERE p = 'R') AS \"R\", "
+    "count(*) FILTER (WHERE p = '(other)') AS \"(other)\" FROM k LEFT JOIN m ON k.actual = m.actual GROUP BY k.actual",
+)
+def confusion_matrix_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows without a label and rows of a class outside the list keep a row and a column."""
+    v = _dt_classification(spark, sf).validation
+    unlabelled = F.substring(F.md5(F.col("l_orderkey").cast("string")), 1, 1) == "a"
+    return M.confusion_matrix(v.withColumn("label", F.when(~unlabelled, F.col("label"))), ["A", "R"])
 
 
 @query(
@@ -238,53 +257,77 @@ def model_logit(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("event_id", "hi", F.round("p_click", 4).alias("p_click"))
 
 
-@query("model_logit_multiclass", "G3", None)
+@query(
+    "model_logit_multiclass",
+    "G3",
+    f"WITH {LI_CTE}, rate AS (SELECT q25, avg(CAST(l_returnflag = 'A' AS DOUBLE)) AS a, avg(CAST(l_returnflag = 'N' AS DOUBLE)) AS n, "
+    "avg(CAST(l_returnflag = 'R' AS DOUBLE)) AS r FROM li WHERE u < 0.5 GROUP BY q25) "
+    "SELECT l_orderkey, l_linenumber, li.q25, l_returnflag AS label, round(a, 4) AS p_a, round(n, 4) AS p_n, round(r, 4) AS p_r "
+    "FROM li JOIN rate ON li.q25 = rate.q25 WHERE u >= 0.5",
+)
 def model_logit_multiclass(spark: SparkSession, sf: str) -> DataFrame:
-    """Multinomial logistic regression, numeric and string features."""
-    spec = _spec(
-        "lineitem",
-        "classification",
-        "logit",
-        "l_returnflag",
-        ["l_quantity", "l_extendedprice", "l_discount", "l_linestatus"],
-        LI_KEY,
-    )
-    v = ML.build_model(_lineitem(spark, sf), spec).validation
-    return v.select(*LI_KEY, "label", "prediction", vector_to_array("probability").alias("probability"))
+    """Saturated multinomial logistic regression: class rates per feature value."""
+    spec = _spec("lineitem", "classification", "logit", "l_returnflag", ["q25"], LI_KEY, params=(("tol", 1e-10),))
+    fitted = ML.build_model(_lineitem(spark, sf), spec)
+    labels = ML.class_labels(fitted.model)
+    p = vector_to_array("probability")
+    rates = [F.round(p[labels.index(c)], 4).alias(f"p_{c.lower()}") for c in ("A", "N", "R")]
+    return fitted.validation.select(*LI_KEY, "q25", "label", *rates)
 
 
-@query("model_svm", "G9", None)
+@query(
+    "model_svm",
+    "G9",
+    f"WITH li AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN 'large' ELSE 'small' END AS label, {HASH_LI} AS u FROM lineitem) "
+    "SELECT l_orderkey, l_linenumber, label, label AS prediction FROM li WHERE u >= 0.5",
+)
 def model_svm(spark: SparkSession, sf: str) -> DataFrame:
-    """Linear SVM on a two-class label."""
-    spec = _spec("lineitem", "classification", "linear_svm", "l_linestatus", ["l_quantity", "q25"], LI_KEY)
-    v = ML.build_model(_lineitem(spark, sf), spec).validation
-    return v.select(*LI_KEY, "label", "prediction")
+    """Linear SVM on separable classes: every validation row is right."""
+    li = _lineitem(spark, sf).withColumn("size", F.when(F.col("l_quantity") > 25, "large").otherwise("small"))
+    spec = _spec("lineitem", "classification", "linear_svm", "size", ["q25"], LI_KEY)
+    return ML.build_model(li, spec).validation.select(*LI_KEY, "label", "prediction")
 
 
-@query("model_rf_reg", "G8", None)
+#: A forest whose trees all see every row and feature: each is the one tree.
+WHOLE_TREES = (("bootstrap", False), ("featureSubsetStrategy", "all"), ("subsamplingRate", 1.0))
+
+
+@query(
+    "model_rf_reg",
+    "G8",
+    _DT_REG_SQL + "SELECT l_orderkey, l_linenumber, q25, round(label, 4) AS label, round(prediction, 4) AS prediction FROM pred",
+)
 def model_rf_reg(spark: SparkSession, sf: str) -> DataFrame:
-    spec = _spec(
-        "lineitem", "regression", "random_forest", "l_extendedprice", ["l_quantity", "l_discount", "l_linestatus"], LI_KEY
-    )
+    spec = _spec("lineitem", "regression", "random_forest", "l_extendedprice", ["q25"], LI_KEY, params=WHOLE_TREES)
     v = ML.build_model(_lineitem(spark, sf), spec).validation
-    return v.select(*LI_KEY, "label", "prediction")
+    return v.select(*LI_KEY, "q25", F.round("label", 4).alias("label"), F.round("prediction", 4).alias("prediction"))
 
 
-@query("model_rf_class", "G7", None)
+@query(
+    "model_rf_class",
+    "G7",
+    _DT_CLS_SQL + "SELECT l_orderkey, l_linenumber, q25, label, prediction FROM pred",
+)
 def model_rf_class(spark: SparkSession, sf: str) -> DataFrame:
-    spec = _spec(
-        "lineitem", "classification", "random_forest", "l_returnflag", ["l_quantity", "l_discount", "l_linestatus"], LI_KEY
-    )
-    v = ML.build_model(_lineitem(spark, sf), spec).validation
-    return v.select(*LI_KEY, "label", "prediction")
+    spec = _spec("lineitem", "classification", "random_forest", "l_returnflag", ["q25"], LI_KEY, params=WHOLE_TREES)
+    return ML.build_model(_lineitem(spark, sf), spec).validation.select(*LI_KEY, "q25", "label", "prediction")
 
 
-@query("model_summary", "G11", None)
+@query(
+    "model_summary",
+    "G11",
+    f"WITH {LI_CTE}, c AS (SELECT l_returnflag, count(*) AS nc, sum(q25) AS s1, sum(d05) AS s2 FROM li "
+    "WHERE u < 0.5 GROUP BY l_returnflag), t AS (SELECT *, sum(nc) OVER () AS n, count(*) OVER () AS k FROM c) "
+    "SELECT l_returnflag || ':log_prior' AS term, round(ln(nc + 1) - ln(n + k), 9) AS value FROM t "
+    "UNION ALL SELECT l_returnflag || ':q25:log_likelihood', round(ln(s1 + 1) - ln(nc + 2), 9) FROM t "
+    "UNION ALL SELECT l_returnflag || ':d05:log_likelihood', round(ln(s2 + 1) - ln(nc + 2), 9) FROM t",
+)
 def model_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Parameters of a multinomial logistic regression, by feature name."""
-    spec = _spec("lineitem", "classification", "logit", "l_returnflag", ["l_quantity", "l_discount", "l_linestatus"], LI_KEY)
-    fitted = ML.build_model(_lineitem(spark, sf), spec)
-    return ML.summary(spark, fitted.model, fitted.build_rows.select(*spec.variables, "label"))
+    """Parameters of a naive Bayes model by label text and feature name."""
+    spec = _spec("lineitem", "classification", "naive_bayes", "l_returnflag", ["q25", "d05"], LI_KEY)
+    build, _ = ML.split(ML.prepare(_lineitem(spark, sf), spec), spec)
+    terms = ML.summary(spark, ML.fit(build, spec), build.select(*spec.variables, "label"))
+    return terms.select("term", F.round("value", 9).alias("value"))
 
 
 # --- A6 / G16: CSV build source ----------------------------------------------
@@ -366,6 +409,29 @@ def running_rmse(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("topic", "event_id", F.col("seq").cast("bigint").alias("seq"), r6("running_rmse").alias("running_rmse"))
 
 
+@query(
+    "running_rmse_nulls",
+    "E1",
+    "WITH ev AS (SELECT event_id, ts, nullif(user_id % 3, 0) AS grp, user_id * 1.0 AS prediction, "
+    "CASE WHEN substr(md5(CAST(event_id AS VARCHAR)), 1, 1) <> 'a' THEN value END AS label FROM events), "
+    "r AS (SELECT event_id, grp, row_number() OVER w AS seq, sum((label - prediction) * (label - prediction)) OVER w AS sse, "
+    "count(label) OVER w AS k FROM ev WINDOW w AS (PARTITION BY grp ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) "
+    "SELECT event_id, grp, seq, CASE WHEN k > 0 THEN round(sqrt(sse / k), 6) END AS running_rmse FROM r",
+)
+def running_rmse_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows without a label do not count; a NULL numeric group is a group."""
+    third = F.col("user_id") % 3
+    scored = table(spark, sf, "events").select(
+        "event_id",
+        "ts",
+        F.when(third != 0, third).alias("grp"),
+        F.col("user_id").cast("double").alias("prediction"),
+        F.when(F.substring(F.md5(F.col("event_id").cast("string")), 1, 1) != "a", F.col("value")).alias("label"),
+    )
+    r = M.running_rmse(scored, ["ts", "event_id"], ["grp"])
+    return r.select("event_id", "grp", F.col("seq").cast("bigint").alias("seq"), r6("running_rmse").alias("running_rmse"))
+
+
 @query(
     "prediction_series",
     "E2",

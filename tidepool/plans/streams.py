@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import models as ML
+from ..operators.asof import asof_join
 from ..operators.registry import ModelRegistry
 from ..operators.series import count_display
 from ..operators.split import hash_fraction
@@ -22,7 +23,7 @@ from ..session import scratch_path
 from ..streaming.ingest import subscribe
 from ..streaming.rebuild import model_as_of as _model_as_of
 from ..streaming.rebuild import rebuild_plan as _rebuild_plan
-from ..streaming.rebuild import start_rebuild
+from ..streaming.rebuild import rebuild_once, score_as_of as _score_as_of, start_rebuild
 from ..streaming.score import (
     prefix_stream,
     read_sequence,
@@ -179,7 +180,72 @@ def model_as_of(spark: SparkSession, sf: str) -> DataFrame:
         "topic", F.col("tick_end").alias("built_at"), F.col("n_all").alias("model_rows")
     )
     rows = hist.select("event_id", "topic", "ts")
-    return _model_as_of(rows, versions, "topic", "ts", "built_at", 86_400).select("event_id", "topic", "built_at", "model_rows")
+    return _model_as_of(rows, versions, "topic", "ts", "built_at").select("event_id", "topic", "built_at", "model_rows")
+
+
+@query(
+    "as_of_dense",
+    "H4",
+    "WITH c AS (SELECT ts AS click_ts, max(event_id) AS click_id FROM events WHERE event_type = 'click' GROUP BY ts) "
+    "SELECT e.event_id, c.click_ts, c.click_id FROM events e ASOF LEFT JOIN c ON e.ts >= c.click_ts",
+)
+def as_of_dense(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event with the newest click: one key that holds all rows."""
+    ev = table(spark, sf, "events").select("event_id", "ts", F.lit(0).alias("all"))
+    clicks = table(spark, sf, "events").where(F.col("event_type") == "click")
+    right = clicks.select(F.lit(0).alias("all"), F.col("ts").alias("click_ts"), F.col("event_id").alias("click_id"))
+    return asof_join(ev, right, ["all"], "ts", "click_ts").select("event_id", "click_ts", "click_id")
+
+
+_VERSIONS_CTE = (
+    "WITH ev AS (SELECT event_id, ts, event_type, CAST(user_id >= 75 AS DOUBLE) AS hi_user, value, "
+    "('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8))::UBIGINT / 4294967296.0 AS u FROM events), "
+    "b AS (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM events), "
+    "c AS (SELECT k, make_timestamp(lo + (hi - lo) // 4 * k) AS cut FROM b, (VALUES (1), (2), (3)) AS t(k)), "
+    "m AS (SELECT k, cut, hi_user, avg(value) AS p FROM ev JOIN c ON ts <= cut WHERE event_type = 'click' AND u < 0.5 GROUP BY ALL) "
+)
+
+
+def _dated_versions(spark: SparkSession, sf: str):
+    """A model of the click topic built at three moments, from the rows until then."""
+    ev = table(spark, sf, "events").withColumn("hi_user", (F.col("user_id") >= 75).cast("double"))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = ev.agg(F.min(micros), F.max(micros)).first()
+    registry = ModelRegistry(spark, scratch_path(spark, "registry"))
+    spec = ML.ModelSpec("click", "regression", "decision_tree", "value", ("hi_user",), split_key=("event_id",))
+    for k in (1, 2, 3):
+        cut = F.timestamp_micros(F.lit(lo + (hi - lo) // 4 * k))
+        until = ev.where((F.col("event_type") == "click") & (F.col("ts").cast("timestamp") <= cut))
+        built_at = spark.range(1).select(cut).first()[0]
+        rebuild_once(spark, ML.training_rows(until, spec), spec, registry, built_at=built_at)
+    return ev, spec, registry
+
+
+@query(
+    "score_as_of",
+    "H4 G12",
+    _VERSIONS_CTE + "SELECT e.event_id, v.k - 1 AS model_version, round(m.p, 4) AS prediction FROM ev e "
+    "ASOF LEFT JOIN c v ON e.ts >= v.cut LEFT JOIN m ON m.k = v.k AND m.hi_user = e.hi_user",
+)
+def score_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Each event scored with the model version in force at its time."""
+    ev, spec, registry = _dated_versions(spark, sf)
+    scored = _score_as_of(spark, ev.select("event_id", "ts", "hi_user"), spec, registry, "ts")
+    return scored.select("event_id", F.col("model_version").cast("int").alias("model_version"), F.round("prediction", 4).alias("prediction"))
+
+
+@query(
+    "model_versions",
+    "D8 D4 H3",
+    _VERSIONS_CTE + "SELECT CAST(m.k - 1 AS BIGINT) AS version, any_value(n.n) AS n_build, "
+    "round(sqrt(avg((value - p) * (value - p))), 6) AS rmse FROM ev JOIN m ON ev.hi_user = m.hi_user AND ev.ts <= m.cut "
+    "JOIN (SELECT k, count(*) AS n FROM ev JOIN c ON ts <= cut WHERE event_type = 'click' GROUP BY k) n ON n.k = m.k "
+    "WHERE event_type = 'click' AND u >= 0.5 GROUP BY m.k",
+)
+def model_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and validation error of every version in the registry."""
+    _, spec, registry = _dated_versions(spark, sf)
+    return registry.entries(spec).select("version", "n_build", F.round("metric_value", 6).alias("rmse"))
 
 
 # --- timed rebuild into the registry -----------------------------------------
@@ -206,7 +272,7 @@ def rows_covered(registry: ModelRegistry) -> DataFrame:
     "all" rebuilds, the sum over versions for "new" rebuilds."""
     latest = registry.latest()
     # a retried rebuild batch records its version again: count each once
-    versions = registry.log().where(~F.col("removed")).dropDuplicates(["name", "version"])
+    versions = registry.log().where(F.col("status") == "built").dropDuplicates(["name", "version"])
     sums = versions.groupBy("name").agg(F.sum("n_build").alias("n_sum"))
     return latest.join(sums, "name").select(
         "name",
@@ -262,7 +328,7 @@ def model_swap_score(spark: SparkSession, sf: str) -> DataFrame:
     start_rebuild(spark, scoring_rows(spark, click), spec, registry, f"{jobs}/rows", f"{jobs}/checkpoint", trigger="availableNow")
     view = replace(sub, source=replace(src, name="view", max_per_trigger=1))
     out = scratch_path(spark, "swap-scored")
-    score_with_registry(spark, scoring_rows(spark, view), registry, spec.name, f"{out}/table", f"{out}/checkpoint")
+    score_with_registry(spark, scoring_rows(spark, view), registry, spec, f"{out}/table", f"{out}/checkpoint")
     scored = spark.read.parquet(f"{out}/table")
     return scored.select("event_id", "hi_user", F.round("prediction", 4).alias("prediction"))
 

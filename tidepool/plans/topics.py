@@ -76,6 +76,39 @@ def drift_rescued(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "schema_drift_full",
+    "A5 B1 B5",
+    "WITH cut AS (SELECT max(event_id) // 10 * 9 AS c FROM events) SELECT event_id, "
+    "CASE WHEN event_id < c THEN floor(value) ELSE value END AS v, CASE WHEN event_id >= c THEN event_type END AS late FROM events, cut",
+)
+def schema_drift_full(spark: SparkSession, sf: str) -> DataFrame:
+    """A number turns from integer to real and a field appears, both only in the
+    last tenth of the messages: the schema is inferred over all of them."""
+    ev = table(spark, sf, "events")
+    cut = F.lit(ev.agg(F.max("event_id")).first()[0] // 10 * 9)
+    early = F.to_json(F.struct("event_id", F.floor("value").cast("bigint").alias("v")))
+    late = F.to_json(F.struct("event_id", F.col("value").alias("v"), F.col("event_type").alias("late")))
+    src = TopicSource("drift", path=scratch_path(spark, "topic-files"))
+    publish(ev.select(F.when(F.col("event_id") < cut, early).otherwise(late).alias("value")), src)
+    sub = subscribe(spark, src)
+    ingest(spark, sub)
+    return sub.history(spark).select("event_id", "v", "late")
+
+
+@query(
+    "topic_numeric_name",
+    "A1 A4",
+    "SELECT lpad(CAST(user_id AS VARCHAR), 5, '0') AS topic, count(*) AS n FROM events GROUP BY ALL",
+)
+def topic_numeric_name(spark: SparkSession, sf: str) -> DataFrame:
+    """Topics that look like numbers keep their names as text, leading zeros too."""
+    ev = table(spark, sf, "events").select("event_id", F.lpad(F.col("user_id").cast("string"), 5, "0").alias("name"))
+    sub = subscribe(spark, stage_topic(spark, ev.repartition("name"), topic_col="name"))
+    ingest(spark, sub)
+    return S.message_counts(sub.history(spark)).withColumnRenamed("n_messages", "n")
+
+
 @query(
     "history_table",
     "A4 A5",
@@ -279,6 +312,18 @@ def series_by_time(spark: SparkSession, sf: str) -> DataFrame:
     return S.series_by_time(_history(spark, sf), "value", ["ts", "event_id"], ["topic"], newest_first=True)
 
 
+@query(
+    "series_by_time_null_group",
+    "B9 D3",
+    "WITH ev AS (SELECT event_id, ts, value, CASE WHEN user_id % 2 = 1 THEN user_id END AS grp FROM events) "
+    "SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY ts DESC, event_id DESC) AS seq, value AS y FROM ev",
+)
+def series_by_time_null_group(spark: SparkSession, sf: str) -> DataFrame:
+    """The sequence axis where half of the rows have no (numeric) group."""
+    ev = table(spark, sf, "events").withColumn("grp", F.when(F.col("user_id") % 2 == 1, F.col("user_id")))
+    return S.series_by_time(ev, "value", ["ts", "event_id"], ["grp"], newest_first=True)
+
+
 # --- C: filters and top-k --------------------------------------------------
 
 _LATEST_SQL = (

@@ -71,9 +71,3 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, kind: str) -> str:
     """A new, unique folder name under the shared root (not created yet)."""
     return f"{checkpoint_root(spark)}/tidepool/{kind}-{uuid.uuid4().hex[:12]}"
-
-
-def broadcast_row_limit(spark: SparkSession) -> int:
-    """Row bound under which a small derived side (offsets, candidates) is
-    broadcast; above it the join stays a shuffle join."""
-    return int(spark.conf.get("tidepool.broadcast.maxRows", "1000000"))

@@ -15,8 +15,6 @@ Order is never storage order: rows carry the message coordinates
 
 from __future__ import annotations
 
-import re
-
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -30,6 +28,9 @@ from ..operators.series import latest
 from ..session import scratch_path
 from ..sources.topic import TopicSource, check_source, read_batch, read_stream, with_text_topic
 
+#: Folders that a live aggregate's snapshots take turns in: a reader has some batches' time.
+SNAPSHOTS = 4
+BATCH = "_batch_id"
 META_COLS = ["topic", "_partition", "_offset", "_timestamp"]
 
 
@@ -134,9 +135,10 @@ def live_aggregate(
     """Run ``aggregate(rows) -> grouped frame`` as a streaming aggregation.
 
     Complete mode: every micro-batch emits the whole current result (one
-    row per group), written to ``batch_id=N`` with overwrite, so a retried
-    batch replaces itself and ``read_live`` reads only the newest snapshot
-    -- reading stays constant-size however long the stream runs.  Meant for
+    row per group).  ``SNAPSHOTS`` folders take turns; each snapshot is one
+    file (committed whole by its rename) whose rows carry the batch number, and
+    ``read_live`` takes the newest -- neither the folder nor the reading grows
+    with the stream's age, and a retried batch replaces itself.  Meant for
     aggregates with few groups (per topic); returns the query and the
     snapshot folder.
 
@@ -149,7 +151,8 @@ def live_aggregate(
     result = aggregate(rows)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
+        snapshot = batch.withColumn(BATCH, F.lit(batch_id).cast("bigint")).coalesce(1)
+        snapshot.write.mode("overwrite").parquet(f"{log_path}/turn={batch_id % SNAPSHOTS}")
 
     writer = result.writeStream.outputMode("complete").option("checkpointLocation", f"{root}/checkpoint").foreachBatch(sink)
     if trigger == "availableNow":
@@ -163,13 +166,12 @@ def live_aggregate(
 
 
 def read_live(spark: SparkSession, log_path: str) -> DataFrame:
-    """The newest snapshot of a live aggregate.  The newest batch folder is
-    found from the file listing; only that folder's rows are read."""
-    files = spark.read.parquet(log_path).inputFiles()
-    ids = [int(m.group(1)) for m in (re.search(r"batch_id=(\d+)", f) for f in files) if m]
-    if not ids:
+    """The newest snapshot of a live aggregate."""
+    turns = spark.read.parquet(log_path).drop("turn")
+    newest = turns.agg(F.max(BATCH)).first()[0]
+    if newest is None:
         raise LookupError(f"no snapshot under {log_path}")
-    return spark.read.parquet(f"{log_path}/batch_id={max(ids)}")
+    return turns.where(F.col(BATCH) == newest).drop(BATCH)
 
 
 def live_counts(

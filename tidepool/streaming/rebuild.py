@@ -3,20 +3,25 @@
 ``start_rebuild`` is a streaming query over a topic with a processing-time
 trigger equal to the rebuild interval.  Each micro-batch holds exactly the
 rows that arrived since the previous rebuild -- Structured Streaming's offset
-tracking *is* "only new data".  The batch is written to the model's own
-row table (under ``batch_id=N``, overwritten on retry); the model is fitted
-on those new rows (``rebuild_mode="new"``) or on the whole table
-(``"all"``), saved under its version, evaluated, and recorded in the
-registry.
+tracking *is* "only new data".  The model is fitted on those rows
+(``rebuild_mode="new"``) or on all rows so far (``"all"``: the training columns
+of every batch are kept under ``batch_id=N``, overwritten on retry), saved,
+judged on the validation side and recorded under the registry's next version.
+A batch that cannot build the model (no build row, one category ...) is
+recorded as skipped with the reason; the standing model stays in force.
 
 ``rebuild_plan`` is the replayable form for analysis: ticks of event time,
-rows new in each tick and rows available in total.  ``model_as_of`` scores
-rows with the newest version built before them (an as-of join).
+rows new in each tick and rows available in total.  ``model_as_of`` finds for
+every row the newest version built before it (an as-of join), ``score_as_of``
+scores it with that version.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import datetime as dt
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -24,7 +29,35 @@ from ..operators import models as ML
 from ..operators.asof import asof_join
 from ..operators.prefix import ordered_prefix
 from ..operators.registry import ModelRegistry
-from ..session import broadcast_row_limit
+from ..session import scratch_path
+
+
+def rebuild_once(
+    spark: SparkSession,
+    rows: DataFrame,
+    spec: ML.ModelSpec,
+    registry: ModelRegistry,
+    job: str = "build",
+    batch_id: int | None = None,
+    built_at: dt.datetime | None = None,
+) -> int | None:
+    """Build, judge and record one version from ``training_rows``; its number.
+    None when there are no rows or they cannot build the model (recorded)."""
+    try:
+        built = ML.train(rows, spec)
+    except ML.UnfitData as exc:
+        version = registry.allocate(spec, job, batch_id)
+        registry.record(spec, version, 0, None, None, None, built_at, status="skipped", reason=str(exc), job=job, batch_id=batch_id)
+        return None
+    if built is None:
+        return None
+    version = registry.allocate(spec, job, batch_id)
+    path = ML.save(built.model, registry.new_model_path(spec, version))
+    registry.record(
+        spec, version, built.n_rows, built.metric_name, built.metric_value, path, built_at,
+        n_unlabelled=built.n_unlabelled, cells=built.cells, job=job, batch_id=batch_id,
+    )
+    return version
 
 
 def start_rebuild(
@@ -40,28 +73,22 @@ def start_rebuild(
     ``"availableNow"`` replays the backlog, one version per micro-batch)."""
     if spec.rebuild_minutes is None:
         raise ValueError("model has no rebuild interval (built from a file)")
-    needed = [*spec.variables, spec.label, *(spec.split_key or ())]
-    cols = list(dict.fromkeys(needed))
+    training = ML.training_rows(rows, spec)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return  # nothing new since the last rebuild: the model stands
-        batch.select(*cols).write.mode("overwrite").parquet(f"{data_path}/batch_id={batch_id}")
+        if registry.recorded(spec, checkpoint, batch_id):
+            return  # a retry of a batch that has its entry
         if spec.rebuild_mode == "new":
-            data = spark.read.parquet(f"{data_path}/batch_id={batch_id}")
-        else:
-            data = spark.read.parquet(data_path).where(F.col("batch_id") <= batch_id).drop("batch_id")
-        n = data.count()
-        if n == 0:
+            rebuild_once(spark, batch, spec, registry, checkpoint, batch_id)
             return
-        fitted = ML.build_model(data, spec)
-        path = registry.model_path(spec.name, batch_id)
-        ML.save(fitted.model, path)
-        metric = ML.evaluate(fitted).first()
-        name, value = ("rmse", metric["rmse"]) if spec.kind == ML.REGRESSION else ("accuracy", metric["accuracy"])
-        registry.record(spec, batch_id, n, name, value, path)
-
-    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
+        batch.write.mode("overwrite").parquet(f"{data_path}/batch_id={batch_id}")
+        schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in training.schema.fields)}, batch_id bigint"
+        so_far = spark.read.schema(schema).parquet(data_path).where(F.col("batch_id") <= batch_id)
+        # nothing new since the last rebuild: the model stands
+        if not so_far.where(F.col("batch_id") == batch_id).isEmpty():
+            rebuild_once(spark, so_far.drop("batch_id"), spec, registry, checkpoint, batch_id)
+
+    writer = training.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
     if trigger == "availableNow":
         q = writer.trigger(availableNow=True).start()
         q.awaitTermination()
@@ -76,16 +103,40 @@ def rebuild_plan(history: DataFrame, ts: str, every: str, group: str = "topic")
     at the tick's end (what an "all data" rebuild uses)."""
     ticks = history.groupBy(group, F.window(F.col(ts), every).alias("w")).agg(F.count(F.lit(1)).alias("n_new"))
     ticks = ticks.select(group, F.col("w.end").alias("tick_end"), "n_new")
-    # One row per tick: a window per topic is fine while the tick table is
-    # small; fine ticks over a long history use the distributed prefix.
-    if ticks.count() > broadcast_row_limit(history.sparkSession):
-        ranked = ordered_prefix(ticks, ["tick_end"], [group], sums={"n_all": "n_new"})
-        return ranked.select(group, "tick_end", "n_new", F.col("n_all").cast("bigint").alias("n_all"))
-    w = Window.partitionBy(group).orderBy("tick_end").rowsBetween(Window.unboundedPreceding, 0)
-    return ticks.withColumn("n_all", F.sum("n_new").over(w))
+    return ordered_prefix(ticks, ["tick_end"], [group], sums={"n_all": "n_new"}).select(group, "tick_end", "n_new", "n_all")
 
 
-def model_as_of(rows: DataFrame, versions: DataFrame, group: str, ts: str, built_at: str, width_seconds: int) -> DataFrame:
+def model_as_of(rows: DataFrame, versions: DataFrame, group: str, ts: str, built_at: str) -> DataFrame:
     """Every row with the newest model version built at or before its time."""
-    return asof_join(rows, versions, [group], ts, built_at, width_seconds)
+    return asof_join(rows, versions, [group], ts, built_at)
+
+
+def score_as_of(spark: SparkSession, rows: DataFrame, spec: ML.ModelSpec, registry: ModelRegistry, ts: str) -> DataFrame:
+    """Every row scored with the model version in force at its time ``ts``:
+    ``prediction`` and ``model_version``, NULL before the first version and
+    after a removal.
+
+    The as-of join's result is written once, a folder per version, so a version's
+    model reads only its own rows (one plan per version in force)."""
+    own = registry.entries(spec)
+    if own is None:
+        raise LookupError(f"model {spec.name!r} has no version")
+    key = "_asof_model"
+    entries = own.where(F.col("status") != "skipped").select(
+        F.lit(0).alias(key), F.col("built_at").alias("_built_at"), F.col("version").alias("model_version"), F.col("model_path").alias("_path")
+    )
+    found = asof_join(rows.withColumn(key, F.lit(0)), entries, [key], ts, "_built_at").drop(key, "_built_at")
+    found = found.withColumn("_version", F.when(F.col("_path").isNotNull(), F.col("model_version")))
+    path = scratch_path(spark, "score-as-of")
+    found.drop("model_version", "_path").write.partitionBy("_version").parquet(path)
+    staged = spark.read.schema(found.drop("model_version", "_path").schema).parquet(path)
+
+    def finish(df: DataFrame, prediction) -> DataFrame:
+        return df.select(*rows.columns, prediction.alias("prediction"), F.col("_version").alias("model_version"))
 
+    as_type = "string" if spec.kind == ML.CLASSIFICATION else "double"
+    parts = [finish(staged.where(F.col("_version").isNull()), F.lit(None).cast(as_type))]
+    for entry in own.where(F.col("status") == "built").select("version", "model_path").dropDuplicates(["version"]).collect():  # versions, not rows
+        slice_ = staged.where(F.col("_version") == entry["version"])
+        parts.append(finish(ML.predict(ML.load(entry["model_path"]), slice_), F.col("prediction")))
+    return reduce(DataFrame.unionByName, parts)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
-from ..operators.models import load, predict
+from ..operators.models import CLASSIFICATION, ModelSpec, load, predict
 from ..operators.prefix import ordered_prefix
 from ..sources.topic import read_stream
 from .ingest import Subscription, decoded_rows
@@ -112,7 +112,10 @@ def prefix_stream(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         base = _state_before(spark, state_path, batch_id, group, names)
-        ranked = ordered_prefix(batch, order_by, [group], sums=sums, rank_col="seq", base=base)
+        # two staging folders take turns: scratch does not grow with the stream
+        ranked = ordered_prefix(
+            batch, order_by, [group], sums=sums, rank_col="seq", base=base, staging=f"{state_path}-staged/turn={batch_id % 2}"
+        )
         if finish is not None:
             ranked = finish(ranked)
         ranked.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
@@ -167,32 +170,36 @@ def score_with_registry(
     spark: SparkSession,
     rows: DataFrame,
     registry,
-    name: str,
+    model: ModelSpec | str,
     out_path: str,
     checkpoint: str,
     trigger: str | None = "availableNow",
-    prediction_type: str = "double",
+    prediction_type: str | None = None,
 ) -> StreamingQuery:
-    """Score each micro-batch with the newest version of model ``name`` in
-    the registry at the time the batch runs, so a rebuilt model is swapped
+    """Score each micro-batch with the newest version of ``model`` (its
+    definition, or its display name) in the registry at the time the batch runs, so a rebuilt model is swapped
     in without restarting the stream.  Rows carry the ``model_version``
     used; rows that come before the first model are kept with a NULL
-    prediction of ``prediction_type`` (string for a classification).  Output goes to ``batch_id=N`` folders (overwritten on retry)."""
+    prediction (text for a classification; ``prediction_type`` says so where only
+    a name is given).  Output goes to ``batch_id=N`` folders (overwritten on retry)."""
     loaded: dict[str, PipelineModel] = {}
+    if prediction_type is None:
+        prediction_type = "string" if isinstance(model, ModelSpec) and model.kind == CLASSIFICATION else "double"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        live = registry.latest_for(name)
+        live = registry.latest_for(model)
         if live is None:
             # No model yet: the rows are kept, without a prediction.
             none = batch.withColumn("prediction", F.lit(None).cast(prediction_type)).withColumn("model_version", F.lit(None).cast("bigint"))
             none.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
             return
         path = live["model_path"]
-        if path not in loaded:
+        if path not in loaded:  # a version's files never change; only the one in force is kept
+            loaded.clear()
             loaded[path] = load(path)
         scored = predict(loaded[path], batch).withColumn("model_version", F.lit(live["version"]).cast("bigint"))
         if "probability" in scored.columns:
-                scored = scored.withColumn("probability", vector_to_array("probability"))
+            scored = scored.withColumn("probability", vector_to_array("probability"))
         scored.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)

@@ -11,7 +11,6 @@ operators; the workspace only keeps names.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .operators import models as ML
@@ -20,7 +19,7 @@ from .operators.relational import TableStore
 from .session import scratch_path
 from .sources.topic import TopicSource
 from .streaming.ingest import Subscription, compact_history, ingest, subscribe
-from .streaming.rebuild import start_rebuild
+from .streaming.rebuild import rebuild_once, start_rebuild
 from .streaming.score import score_with_registry, scoring_rows
 
 
@@ -69,6 +68,9 @@ class Workspace:
         scoring = spec.scoring_source or spec.topic
         if scoring not in self.subscriptions:
             raise LookupError(f"scoring topic {scoring!r} is not attached")
+        known = self.models.get(spec.name, spec)
+        if known.identity != spec.identity:
+            raise ValueError(f"another model is called {spec.name!r}: {known.identity}")
         self.models[spec.name] = spec
 
     def _build_rows(self, spec: ML.ModelSpec) -> DataFrame:
@@ -77,28 +79,11 @@ class Workspace:
             return self.spark.read.csv(src, header=True, inferSchema=True, nullValue="NA")
         return self.history(src)
 
-    def build(self, name: str) -> ML.FittedModel:
-        """Fit, save, evaluate and register a new version of a model."""
+    def build(self, name: str) -> int | None:
+        """Fit, judge, save and register a new version of a model; its number
+        (None when the rows cannot build it: the log says why)."""
         spec = self.models[name]
-        data = self._build_rows(spec)
-        fitted = ML.build_model(data, spec)
-        log = self.registry.log() if self._has_log() else None
-        last = None if log is None else log.where(F.col("name") == name).agg(F.max("version")).first()[0]
-        version = 0 if last is None else int(last) + 1
-        path = ML.save(fitted.model, self.registry.model_path(name, version))
-        metric = ML.evaluate(fitted).first()
-        mname = "rmse" if spec.kind == ML.REGRESSION else "accuracy"
-        # rows the model was built from (build and validation sides), as in
-        # the timed rebuild
-        self.registry.record(spec, version, data.count(), mname, metric[mname], path)
-        return fitted
-
-    def _has_log(self) -> bool:
-        try:
-            self.registry.log().limit(1).count()
-            return True
-        except Exception:
-            return False
+        return rebuild_once(self.spark, ML.training_rows(self._build_rows(spec), spec), spec, self.registry)
 
     def start_rebuild(self, name: str, trigger: str | None = None) -> StreamingQuery:
         """Rebuild on a timer from the build topic's new messages."""
@@ -115,7 +100,7 @@ class Workspace:
         sub = self._sub(spec.scoring_source or spec.topic)
         out = f"{self.root}/scored/{name}"
         q = score_with_registry(
-            self.spark, scoring_rows(self.spark, sub, spec.label), self.registry, name, f"{out}/table", f"{out}/checkpoint", trigger
+            self.spark, scoring_rows(self.spark, sub, spec.label), self.registry, spec, f"{out}/table", f"{out}/checkpoint", trigger
         )
         return q, f"{out}/table"
 
@@ -123,5 +108,4 @@ class Workspace:
         """Remove every model of a topic (definitions and live versions)."""
         for name in [n for n, s in self.models.items() if s.topic == topic]:
             del self.models[name]
-        if self._has_log():
-            self.registry.remove_topic(topic)
+        self.registry.remove_topic(topic)
