@@ -76,3 +76,26 @@ def test_rows_before_the_first_model_are_kept(spark, tmp_path):
     score_with_registry(spark, rows, _NoModel(), "m", str(tmp_path / "out"), str(tmp_path / "ckpt"))
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == 2 and got.where("prediction IS NULL AND model_version IS NULL").count() == 2
+
+
+def test_rescued_by_default_at_any_depth(spark, tmp_path):
+    late = [
+        '{"v":1,"in":{"a":1},"list":[{"b":1}]}',  # fits
+        '{"v":"x","in":{"a":1},"list":[{"b":1}]}',  # a leaf of another type
+        '{"v":1,"in":{"a":1,"new":2},"list":[{"b":1}]}',  # an unknown nested field
+        '{"v":1,"in":{"a":"y"},"list":[{"b":1}]}',  # a nested leaf of another type
+        '{"v":1,"in":{"a":1},"list":[{"b":1},{"b":"z"}]}',  # the same in a list
+        '{"v":1,"in":7,"list":null}',  # no object
+        '[{"v":1},{"v":2,"more":true}]',
+    ]
+    src = TopicSource("t", path=str(tmp_path / "in"))
+    publish(spark.createDataFrame([(x,) for x in late], "value string"), src)
+    schema = spark.createDataFrame([], "v bigint, `in` struct<a:bigint>, list array<struct<b:bigint>>").schema
+    sub = subscribe(spark, src, schema=schema)
+    ingest(spark, sub)
+    got = sorted(((r["v"], r["_rescued"]) for r in sub.history(spark).collect()), key=str)
+    want = [
+        (1, None), (None, '{"v":"x"}'), (1, '{"in":"{\\"a\\":1,\\"new\\":2}"}'), (1, '{"in":"{\\"a\\":\\"y\\"}"}'),
+        (1, '{"list":"[{\\"b\\":1},{\\"b\\":\\"z\\"}]"}'), (1, '{"in":"7"}'), (1, None), (2, '{"more":"true"}'),
+    ]
+    assert got == sorted(want, key=str)

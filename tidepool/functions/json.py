@@ -76,6 +76,23 @@ def apply_hints(schema: T.StructType, hints: Mapping[str, str]) -> T.StructType:
     return T.StructType(fields)
 
 
+def _lost(text: Column, value: Column, dtype: T.DataType) -> Column:
+    """Whether the JSON ``text`` of a field says more than its decoded ``value``:
+    a leaf of another type, or an unknown field of a nested object."""
+    inside = F.lit(False)
+    if isinstance(dtype, T.StructType):
+        parts = F.from_json(text, T.MapType(T.StringType(), T.StringType()), JSON_OPTIONS)
+        names = F.array(*[F.lit(f.name) for f in dtype.fields]).cast("array<string>")
+        inside = F.size(F.map_filter(parts, lambda k, _v: ~F.array_contains(names, k))) > 0
+        for f in dtype.fields:
+            inside = inside | _lost(parts[f.name], value.getField(f.name), f.dataType)
+    elif isinstance(dtype, T.ArrayType):
+        items = F.from_json(text, T.ArrayType(T.StringType()), JSON_OPTIONS)
+        pairs = F.arrays_zip(items.alias("text"), value.alias("value"))
+        inside = F.exists(pairs, lambda p: _lost(p["text"], p["value"], dtype.elementType))
+    return text.isNotNull() & (value.isNull() | F.coalesce(inside, F.lit(False)))
+
+
 def decode(
     messages: DataFrame,
     schema: T.StructType,
@@ -91,8 +108,9 @@ def decode(
     element's index inside an array message (0 for lone objects), which
     together with the message key makes rows unique.  ``rescued_col`` names
     an optional column holding, as JSON text, the fields of the object that
-    the pinned schema does not know (NULL when there are none) -- schema
-    drift is kept instead of silently dropped.
+    the pinned schema cannot hold in full (NULL when there are none): unknown
+    ones, and ones with a value of another type or an unknown field anywhere
+    inside -- schema drift is kept instead of silently dropped.
     """
     keep = list(keep or [])
     text = F.col(value_col).cast("string")
@@ -101,8 +119,22 @@ def decode(
         known = F.array(*[F.lit(f.name) for f in schema.fields])
         kv = T.MapType(T.StringType(), T.StringType())
         # raw fields as text: an array of objects, or a lone object wrapped
-        raw = F.coalesce(F.from_json(text, T.ArrayType(kv), JSON_OPTIONS), F.array(F.from_json(text, kv, JSON_OPTIONS)))
-        extra = F.transform(raw, lambda m: F.map_filter(m, lambda k, _v: ~F.array_contains(known, k)))
+        raw = F.coalesce(
+            F.from_json(text, T.ArrayType(kv), JSON_OPTIONS),
+            F.array(F.from_json(text, kv, JSON_OPTIONS)),
+            F.transform(arr, lambda _m: F.lit(None).cast(kv)),
+        )
+
+        def not_held(pair: Column) -> Column:
+            def kept_aside(k: Column, v: Column) -> Column:
+                out = ~F.array_contains(known, k)
+                for f in schema.fields:
+                    out = out | ((k == f.name) & _lost(v, pair["_msg"].getField(f.name), f.dataType))
+                return out
+
+            return F.map_filter(pair["_raw"], kept_aside)
+
+        extra = F.transform(F.arrays_zip(arr.alias("_msg"), raw.alias("_raw")), not_held)
         both = F.when(arr.isNotNull(), F.arrays_zip(arr.alias("_msg"), extra.alias("_extra")))
         exploded = messages.select(*keep, F.posexplode(both).alias("_pos", "_pair")).select(
             *keep, "_pos", F.col("_pair._msg").alias("_msg"), F.col("_pair._extra").alias("_extra")

@@ -43,7 +43,7 @@ class Subscription:
     history_path: str
     checkpoint_path: str
     sep: str = "_"
-    rescue: bool = False
+    rescue: bool = True
 
     def history(self, spark: SparkSession) -> DataFrame:
         """The append-only history written so far (a batch frame); topics are
@@ -63,11 +63,11 @@ def subscribe(
     sample_rows: int | None = None,
     sep: str = "_",
     root: str | None = None,
-    rescue: bool = False,
+    rescue: bool = True,
 ) -> Subscription:
     """Check the source, pin the message schema, allocate history folders.
-    ``rescue=True`` keeps fields unknown to the pinned schema as JSON text
-    in a ``_rescued`` column of the history."""
+    What the pinned schema cannot hold (unknown fields, values of another type)
+    is kept as JSON text in the history's ``_rescued`` column unless ``rescue=False``."""
     # without a given schema, inference reads the messages anyway and an
     # empty topic shows up as an empty schema
     check_source(spark, source, probe=schema is not None)
@@ -81,7 +81,7 @@ def subscribe(
     return Subscription(source, schema, f"{root}/history", f"{root}/checkpoint", sep, rescue)
 
 
-def decoded_rows(messages: DataFrame, schema: T.StructType, sep: str = "_", rescue: bool = False) -> DataFrame:
+def decoded_rows(messages: DataFrame, schema: T.StructType, sep: str = "_", rescue: bool = True) -> DataFrame:
     """Message frame -> one flat row per JSON object (metadata kept)."""
     renamed = messages.select(
         "topic",

@@ -18,7 +18,7 @@ from .operators.registry import ModelRegistry
 from .operators.relational import TableStore
 from .session import scratch_path
 from .sources.topic import TopicSource
-from .streaming.ingest import Subscription, compact_history, ingest, subscribe
+from .streaming.ingest import Subscription, compact_history, ingest, start_quarantine, subscribe
 from .streaming.rebuild import rebuild_once, start_rebuild
 from .streaming.score import score_with_registry, scoring_rows
 
@@ -50,6 +50,10 @@ class Workspace:
     def ingest(self, topic: str, trigger: str | None = "availableNow") -> StreamingQuery:
         return ingest(self.spark, self._sub(topic), trigger=trigger)
 
+    def quarantine(self, topic: str, trigger: str | None = "availableNow") -> tuple[StreamingQuery, str]:
+        """Keep messages that do not decode cleanly, with the reason; the query and its folder."""
+        return start_quarantine(self.spark, self._sub(topic), trigger=trigger)
+
     def history(self, topic: str) -> DataFrame:
         return self._sub(topic).history(self.spark)
 
