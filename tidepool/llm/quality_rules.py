@@ -74,7 +74,7 @@ class _Rules:
     HELPERS = (
         ["text", "lang", "words", "n", "list", "marks"]
         + [f"left{i}" for i in range(len(CLASSES) + 1)]
-        + ["classes", "common", "hashes", "sorted", "pairs", "rep", "pos", "lines"]
+        + ["short", "classes", "common", "classes_sum", "common_sum", "hashes", "pairs", "rep", "pos", "lines"]
         + ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
         + ["chars_distance", "common_distance", "kept"]
     )
@@ -102,28 +102,37 @@ class _Rules:
         for name, words in COMMON_WORDS.items():
             lists = F.when(c("lang") == name, F.array(*map(F.lit, words))).otherwise(lists)
         df = self.add(df, n=F.size(c("words")), list=lists)
-        # One letter per word: its place in the language's list, a dot for any other.
+        # Longer words than any in a list need no look-up.
+        longest = max(len(w.encode()) for words in COMMON_WORDS.values() for w in words)
+        df = self.add(df, short=F.when(F.size(c("list")) > 0, F.filter(c("words"), lambda w: F.octet_length(w) <= longest)))
+        # One letter per short word: its place in the language's list, a dot for any other.
         df = self.add(
             df,
-            marks=F.when(
-                F.size(c("list")) > 0,
+            marks=F.coalesce(
                 F.array_join(
                     F.transform(
-                        c("words"),
+                        c("short"),
                         lambda w: F.substr(F.lit(_ALPHABET), (F.array_position(c("list"), w) + 1).cast("int"), F.lit(1)),
                     ),
                     "",
                 ),
-            ).otherwise(F.lit("")),
+                F.lit(""),
+            ),
         )
         sizes = [F.length(c(f"left{i}")) for i in range(len(CLASSES) + 1)]
         letters = _ALPHABET[: max(map(len, COMMON_WORDS.values())) + 1]
         count = [F.length(c("marks")) - F.length(F.replace(c("marks"), F.lit(x), F.lit(""))) for x in letters]
-        return self.add(
+        count[0] += F.coalesce(c("n") - F.size(c("short")), F.lit(0))
+        df = self.add(
             df,
             classes=F.array(*[sizes[i] - sizes[i + 1] for i in range(len(CLASSES))], sizes[-1]),
             common=F.array(*count),
         )
+        # Own columns: a sum inside the terms below would be taken anew for each of them.
+        return self.add(df, **{f"{name}_sum": self._whole(name) for name in ("classes", "common")})
+
+    def _whole(self, name: str) -> Column:
+        return F.greatest(F.aggregate(self.c(name), F.lit(0), lambda a, x: a + x), F.lit(1))
 
     def references(self) -> dict[str, tuple[list[float], list[float]]]:
         """Mean histograms per language over all documents with a word."""
@@ -131,8 +140,7 @@ class _Rules:
         df = self.histograms().where(c("n") > 0)
 
         def mean(name: str, k: int) -> list[Column]:
-            whole = F.greatest(F.aggregate(c(name), F.lit(0), lambda a, x: a + x), F.lit(1))
-            return [F.avg(F.get(c(name), F.lit(i)) / whole).alias(f"{name}{i}") for i in range(k)]
+            return [F.avg(F.get(c(name), F.lit(i)) / c(f"{name}_sum")).alias(f"{name}{i}") for i in range(k)]
 
         n_classes, n_common = len(CLASSES) + 1, max(map(len, COMMON_WORDS.values())) + 1
         rows = df.groupBy(c("lang").alias("lang")).agg(*mean("classes", n_classes), *mean("common", n_common)).collect()
@@ -146,10 +154,9 @@ class _Rules:
         reference = F.array().cast("array<double>")
         for lang, q in refs.items():
             reference = F.when(c("lang") == lang, F.array(*map(F.lit, map(float, q)))).otherwise(reference)
-        whole = F.greatest(F.aggregate(c(counts), F.lit(0), lambda a, x: a + x), F.lit(1))
 
         def term(x: Column, q: Column) -> Column:
-            p = x / whole
+            p = x / c(f"{counts}_sum")
             m = (p + q) / 2
             half = lambda v: F.when(v > 0, v * F.log2(v / m)).otherwise(F.lit(0.0))
             return (half(p) + half(q)) / 2
@@ -173,13 +180,9 @@ class _Rules:
         )
         none = F.array().cast("array<bigint>")
         df = self.add(df, hashes=F.when(c("n") >= WINDOW, window).otherwise(none))
-        df = self.add(df, sorted=F.sort_array(c("hashes")))
-        repeats = F.exists(
-            F.sequence(F.lit(1), F.greatest(F.size(c("sorted")) - 1, F.lit(1))),
-            lambda i: F.get(c("sorted"), i) == F.get(c("sorted"), i - 1),
-        )
+        repeats = F.size(F.array_distinct(c("hashes"))) < F.size(c("hashes"))
         pairs = F.sort_array(F.transform(c("hashes"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        df = self.add(df, pairs=F.when(F.coalesce(repeats, F.lit(False)), pairs).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+        df = self.add(df, pairs=F.when(repeats, pairs).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
         df = self.add(
             df,
             rep=F.filter(
