@@ -54,6 +54,32 @@ def test_kafka_source_needs_connector(spark):
         assert "kafka" in str(exc).lower()
 
 
+def test_missing_kafka_topic(spark, monkeypatch):
+    from tidepool.sources import topic
+
+    src = TopicSource("t", fmt="kafka", bootstrap_servers="localhost:1")
+    found = {"frame": spark.createDataFrame([("x",)], "value string")}
+    monkeypatch.setattr(topic, "read_batch", lambda *_: found["frame"])
+    topic.check_source(spark, src)
+    found["frame"] = found["frame"].where("false")
+    with pytest.raises(LookupError, match="no messages"):
+        topic.check_source(spark, src)
+    topic.check_source(spark, src, probe=False)
+
+    def fails(text):
+        def read(*_):
+            raise RuntimeError(text)
+
+        return read
+
+    monkeypatch.setattr(topic, "read_batch", fails("org.apache.kafka.common.errors.UnknownTopicOrPartitionException"))
+    with pytest.raises(LookupError, match="does not exist"):
+        topic.check_source(spark, src, probe=False)
+    monkeypatch.setattr(topic, "read_batch", fails("Timed out waiting for a node assignment"))
+    with pytest.raises(RuntimeError, match="Timed out"):
+        topic.check_source(spark, src)
+
+
 def test_restart_resumes_without_duplicates(spark):
     ev = spark.read.parquet(EV)
     path = scratch_path(spark, "restart")
@@ -153,7 +179,14 @@ def test_compact_history_into_clustered_table(spark):
     table = compact_history(spark, sub, store, name, ["ts", "event_id"])
     assert table.count() == ev.count()
     assert len(table.inputFiles()) < len(sub.history(spark).inputFiles())
-    # a second run replaces the table (new version), same rows
-    assert compact_history(spark, sub, store, name, ["ts", "event_id"]).count() == ev.count()
     cut = table.where(F.col("ts") >= F.to_timestamp_ntz(F.lit("2024-01-01 12:00:00")))
     assert cut.count() == ev.where(F.col("ts") >= F.to_timestamp_ntz(F.lit("2024-01-01 12:00:00"))).count()
+    # a run without new rows writes nothing, a later one appends the new rows only
+    before = set(table.inputFiles())
+    assert set(compact_history(spark, sub, store, name, ["ts", "event_id"]).inputFiles()) == before
+    publish(to_messages(ev.where(F.col("event_id") < 50), "event_type"), target, mode="append")
+    ingest(spark, sub)
+    grown = compact_history(spark, sub, store, name, ["ts", "event_id"])
+    assert before < set(grown.inputFiles())
+    assert grown.groupBy("event_id").count().where("event_id < 50").agg(F.min("count"), F.max("count")).first() == (2, 2)
+    assert grown.count() == sub.history(spark).count() == ev.count() + 50

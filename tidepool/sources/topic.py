@@ -154,12 +154,20 @@ def read_batch(spark: SparkSession, src: TopicSource) -> DataFrame:
 
 
 def check_source(spark: SparkSession, src: TopicSource, probe: bool = True) -> None:
-    """Raise ``LookupError`` when a file topic does not exist; with
-    ``probe`` also when a named topic has no message yet.
+    """Raise ``LookupError`` when a topic does not exist; with ``probe``
+    also when a named topic has no message yet.
 
-    (A Kafka topic's existence is checked by the source itself when the
-    query starts; there is no broker listing here.)"""
+    Listing a Kafka topic's partitions fails where the broker does not know
+    the topic; any other error (no connector, no broker) passes as it is."""
     if src.fmt == "kafka":
+        try:
+            empty = read_batch(spark, src).limit(1).isEmpty()
+        except Exception as exc:
+            if "UnknownTopicOrPartition" in str(exc):
+                raise LookupError(f"topic {src.name!r} does not exist on {src.bootstrap_servers}") from exc
+            raise
+        if probe and empty:
+            raise LookupError(f"topic {src.name!r} has no messages on {src.bootstrap_servers}")
         return
     try:
         df = read_batch(spark, src)
