@@ -70,6 +70,24 @@ def test_quality_keeps_labelled_good(spark):
     assert (~r[r.quality == 0].kept).mean() > 0.8
 
 
+@pytest.mark.parametrize("near", [False, True])
+def test_quality_reference_withstands_copies(spark, near):
+    """A third of all rows as (near) copies of one junk text costs no good document."""
+    rng = random.Random(6)
+    words = [w for n, w in enumerate(quality_rules.COMMON_WORDS["en"]) for _ in range(24 - n)] + ["river", "stone", "morning", "letter"] * 30
+    good = [(i, " ".join(rng.choices(words, k=120)), "en") for i in range(200)]
+    junk = [f"BUY{i % 10} $$$ {'#' * (i % 7)} NOW!!!" for i in range(100)]
+    copies = [(1000 + i, " ".join(junk[: i % 90] + [f"X{i}"] * near + junk[i % 90 :]), "en") for i in range(100)]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_report(spark.createDataFrame(good + copies, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i] for i, _, _ in good) and not any(got[i] for i, _, _ in copies)
+
+
+def test_quality_reference_of_each_language(spark):
+    docs = spark.createDataFrame([(1, "слово " * 9, "ru"), (2, "AB 12 " * 9, "xx"), (3, "AB 12 " * 9, None)], "doc_id long, text string, lang string")
+    refs = quality_rules.language_references(docs)
+    assert set(refs) == {"ru", "xx", ""} and refs["ru"] != refs["xx"] == refs[""]
+
+
 def test_quality_filter_keeps_columns(spark, edge):
     kept = quality_rules.keep_by_rules(edge)
     assert kept.columns == edge.columns and kept.count() < edge.count()

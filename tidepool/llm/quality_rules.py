@@ -4,10 +4,11 @@ Two histograms of every document are held against references per language:
 character classes (lower case, upper case, digits, ...) and the language's
 common words.  The distance is Jensen-Shannon's (square root of the
 divergence, logarithm to base 2, so 0 to 1).  The references are the mean
-histograms of all documents of the language; they are at most
-``len(COMMON_WORDS) + 1`` rows whatever the corpus holds (all languages without
-a word list share one reference) and go back into the plan as literals, so the
-second pass needs no join and no shuffle.
+histograms of all distinct texts of the language, one for each ``lang``; they are
+joined to the rows.  So that no hot group of copies moves its reference, texts
+count once that have the smallest or the largest hash of their windows in common:
+copies and most near copies do, other texts only where they share that passage.
+Counts and histograms are taken once and written; means and verdicts read them.
 
 Guards: a distance counts from a least number of words on, and its limit is
 ``floor + noise / sqrt(words)``: a sample of few words lies farther from its own
@@ -15,7 +16,8 @@ language's reference by chance alone, by about one over the square root.
 Beside them stand the base rules (too short, too many repeated windows).
 
 Defined results: a null text is an empty one (no words, base rule fails); a null
-or unknown ``lang`` uses the shared reference and character classes only; every
+``lang`` is an empty one; a ``lang`` without a word list is judged by character
+classes only; one without a reference has the distance 0; every
 input row gives one result row, repeated rows and ids too; an empty table gives
 an empty result.  Columns beyond ``doc_id``, ``text`` and ``lang`` are ignored;
 helper columns never clash (they are prefixed until free).  Windows are
@@ -27,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, LlmQuery, fresh_names, table
+from .common import WS, LlmQuery, fresh_names, table, written
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -58,6 +60,7 @@ MAX_REPEAT_PERCENT = 30
 #: Of each distance: least words, floor and noise of its limit.
 CHARS_LIMIT = (20, 0.14, 1.2)
 COMMON_LIMIT = (40, 0.12, 2.4)
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 _ALPHABET = ".ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -76,7 +79,7 @@ class _Rules:
         + [f"left{i}" for i in range(len(CLASSES) + 1)]
         + ["short", "classes", "common", "classes_sum", "common_sum", "hashes", "pairs", "rep", "pos", "lines"]
         + ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-        + ["chars_distance", "common_distance", "kept"]
+        + ["least", "most", "ref_lang", "ref_classes", "ref_common", "chars_distance", "common_distance", "kept"]
     )
 
     def __init__(self, docs: DataFrame) -> None:
@@ -93,7 +96,7 @@ class _Rules:
         """``classes`` (counts per character class) and ``common`` (counts per
         common word, then the other words) of every document."""
         c, df = self.c, self.docs
-        lang = F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")).otherwise(F.lit(""))
+        lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
         df = self.add(df, text=F.coalesce(F.col("text"), F.lit("")), lang=lang)
         df = self.add(df, words=_words(c("text")), left0=c("text"))
         for i, (_, chars) in enumerate(CLASSES):
@@ -134,26 +137,22 @@ class _Rules:
     def _whole(self, name: str) -> Column:
         return F.greatest(F.aggregate(self.c(name), F.lit(0), lambda a, x: a + x), F.lit(1))
 
-    def references(self) -> dict[str, tuple[list[float], list[float]]]:
-        """Mean histograms per language over all documents with a word."""
+    def references(self, counted: DataFrame) -> DataFrame:
+        """Mean histograms per language over the distinct texts with a word."""
+        c, names = self.c, self.names
+        sizes = {"classes": len(CLASSES) + 1, "common": max(map(len, COMMON_WORDS.values())) + 1}
+        bins = [(name, i) for name, size in sizes.items() for i in range(size)]
+        shares = [(F.get(c(name), F.lit(i)) / c(f"{name}_sum")).alias(f"{name}{i}") for name, i in bins]
+        df = counted.where(c("n") > 0).select(c("lang").alias("lang"), c("least").alias("least"), c("most").alias("most"), *shares)
+        for keys, rest in ((["lang", "least"], [F.min("most").alias("most")]), (["lang", "most"], []), (["lang"], [])):
+            df = df.groupBy(*keys).agg(*rest, F.count("*").alias("n"), *[F.sum(f"{name}{i}").alias(f"{name}{i}") for name, i in bins])
+            df = df.select(*keys, *(["most"] if rest else []), *[(F.col(f"{name}{i}") / F.col("n")).alias(f"{name}{i}") for name, i in bins])
+        means = {name: F.array(*[F.col(f"{name}{i}") for i in range(size)]) for name, size in sizes.items()}
+        return df.select(F.col("lang").alias(names["ref_lang"]), *[m.alias(names[f"ref_{name}"]) for name, m in means.items()])
+
+    def _distance(self, counts: str) -> Column:
         c = self.c
-        df = self.histograms().where(c("n") > 0)
-
-        def mean(name: str, k: int) -> list[Column]:
-            return [F.avg(F.get(c(name), F.lit(i)) / c(f"{name}_sum")).alias(f"{name}{i}") for i in range(k)]
-
-        n_classes, n_common = len(CLASSES) + 1, max(map(len, COMMON_WORDS.values())) + 1
-        rows = df.groupBy(c("lang").alias("lang")).agg(*mean("classes", n_classes), *mean("common", n_common)).collect()
-        return {
-            r["lang"]: ([r[f"classes{i}"] for i in range(n_classes)], [r[f"common{i}"] for i in range(n_common)])
-            for r in rows
-        }
-
-    def _distance(self, counts: str, refs: dict[str, list[float]]) -> Column:
-        c = self.c
-        reference = F.array().cast("array<double>")
-        for lang, q in refs.items():
-            reference = F.when(c("lang") == lang, F.array(*map(F.lit, map(float, q)))).otherwise(reference)
+        reference = F.coalesce(c(f"ref_{counts}"), F.array().cast("array<double>"))
 
         def term(x: Column, q: Column) -> Column:
             p = x / c(f"{counts}_sum")
@@ -164,14 +163,8 @@ class _Rules:
         terms = F.zip_with(c(counts), reference, term)
         return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))))
 
-    def judged(
-        self,
-        refs: dict[str, tuple[list[float], list[float]]] | None = None,
-        chars_limit: tuple[int, float, float] = CHARS_LIMIT,
-        common_limit: tuple[int, float, float] = COMMON_LIMIT,
-    ) -> DataFrame:
-        """``docs`` with the base counts, both distances and ``kept``."""
-        refs = self.references() if refs is None else refs
+    def counted(self) -> DataFrame:
+        """Histograms, base counts and the ends of the sorted window hashes of every document."""
         c = self.c
         df = self.histograms()
         df = self.add(df, hashes=F.transform(c("words"), lambda w: F.xxhash64(w)))
@@ -180,6 +173,9 @@ class _Rules:
         )
         none = F.array().cast("array<bigint>")
         df = self.add(df, hashes=F.when(c("n") >= WINDOW, window).otherwise(none))
+        # Shorter texts have no window: their copies meet by the whole text.
+        ends = {"least": F.array_min(c("hashes")), "most": F.array_max(c("hashes"))}
+        df = self.add(df, **{k: F.coalesce(v, F.xxhash64(c("text"))) for k, v in ends.items()})
         repeats = F.size(F.array_distinct(c("hashes"))) < F.size(c("hashes"))
         pairs = F.sort_array(F.transform(c("hashes"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         df = self.add(df, pairs=F.when(repeats, pairs).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
@@ -205,15 +201,39 @@ class _Rules:
             n_symbols=F.get(c("classes"), F.lit(at.index("symbol"))).cast("long"),
             n_dup_lines=(F.size(c("lines")) - F.size(F.array_distinct(c("lines")))).cast("long"),
             n_repeat_words=F.aggregate(new, F.lit(0), lambda a, x: a + x).cast("long"),
-            chars_distance=self._distance("classes", {k: v[0] for k, v in refs.items()}),
-            common_distance=F.when(
-                F.size(c("list")) > 0, self._distance("common", {k: v[1] for k, v in refs.items()})
-            ).otherwise(F.lit(0.0)),
         )
-        df = self.add(
+        return self.add(
             df, base_failed=(c("n_words") < MIN_WORDS) | (100 * c("n_repeat_words") > MAX_REPEAT_PERCENT * c("n_words"))
         )
 
+    def kept_counts(self, columns: list[str]) -> DataFrame:
+        """``columns`` of ``docs`` and what the later steps need, written once."""
+        held = ["lang", "n", "classes", "common", "classes_sum", "common_sum", "least", "most", *COUNTS]
+        return written(self.counted().select(*columns, *[self.names[x] for x in held]), "quality")
+
+    def judged(
+        self,
+        columns: list[str],
+        refs: dict[str, tuple[list[float], list[float]]] | None = None,
+        chars_limit: tuple[int, float, float] = CHARS_LIMIT,
+        common_limit: tuple[int, float, float] = COMMON_LIMIT,
+    ) -> DataFrame:
+        """``columns`` of ``docs`` with the base counts, both distances and ``kept``."""
+        c, df = self.c, self.kept_counts(columns)
+        if refs is None:
+            means = written(self.references(df), "references")
+        else:
+            rows = [(lang, list(map(float, a)), list(map(float, b))) for lang, (a, b) in refs.items()]
+            schema = "{} string, {} array<double>, {} array<double>".format(*(self.names[f"ref_{x}"] for x in ("lang", "classes", "common")))
+            means = self.docs.sparkSession.createDataFrame(rows, schema)
+        df = df.join(means, c("lang") == c("ref_lang"), "left")
+        listed = c("lang").isin(*COMMON_WORDS)
+        df = self.add(
+            df,
+            chars_distance=self._distance("classes"),
+            common_distance=F.when(listed, self._distance("common")).otherwise(F.lit(0.0)),
+        )
+
         def odd(distance: str, least: int, floor: float, noise: float) -> Column:
             return (c("n") >= least) & (c(distance) > floor + noise / F.sqrt(F.greatest(c("n"), F.lit(1))))
 
@@ -226,21 +246,22 @@ class _Rules:
 
 def language_references(docs: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     """Mean character-class and common-word histograms per language of ``docs``."""
-    return _Rules(docs).references()
+    rules = _Rules(docs)
+    rows = rules.references(rules.kept_counts([])).collect()
+    return {r[0]: (r[1], r[2]) for r in rows}
 
 
 def quality_report(docs: DataFrame, references: dict | None = None, **limits: tuple[int, float, float]) -> DataFrame:
     """One row per document: base counts, both distances, the verdict ``kept``."""
     rules = _Rules(docs)
-    out = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    out += ["chars_distance", "common_distance"]
-    return rules.judged(references, **limits).select("doc_id", *[rules.c(x).alias(x) for x in out])
+    out = [*COUNTS, "kept", "chars_distance", "common_distance"]
+    return rules.judged(["doc_id"], references, **limits).select("doc_id", *[rules.c(x).alias(x) for x in out])
 
 
 def keep_by_rules(docs: DataFrame, references: dict | None = None, **limits: tuple[int, float, float]) -> DataFrame:
     """The rows of ``docs`` that pass, with their columns as they came."""
     rules = _Rules(docs)
-    return rules.judged(references, **limits).where(rules.c("kept")).select(*docs.columns)
+    return rules.judged(docs.columns, references, **limits).where(rules.c("kept")).select(*docs.columns)
 
 
 def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
