@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tests_llm_data import edge_rows
 
-from tidepool.llm import packing, pages, pieces, quality_model, quality_rules, secrets, simhash, suffix_tree, topk, toxicity
+from tidepool.llm import labelled, packing, pages, pieces, quality_model, quality_rules, secrets, simhash, suffix_tree, topk, toxicity
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -336,6 +336,20 @@ def test_classifiers_on_held_out_labels(spark, module, label, least):
     assert r.score.between(0, 1).all()
 
 
+def test_labelled_sample_drops_copies_only(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(300)]
+    unrelated = [(i, " ".join(["same", "start", *rng.choices(vocabulary, k=60)])) for i in range(200)]
+    words = rng.choices(vocabulary, k=200)
+    near = [(1000 + i, " ".join([f"x{i}", *words[: i * 3], f"y{i}", *words[i * 3 :]])) for i in range(50)]
+    docs = spark.createDataFrame(unrelated + near + [(i + 5000, t) for i, t in unrelated[:50]], "doc_id long, text string")
+    labels = docs.select("doc_id", F.lit(1).alias("toxic"))
+    train = [i for i, *_ in docs.collect() if zlib.crc32(str(i).encode()) % 5]
+    got = {r["doc_id"] for r in labelled.labelled_sample(docs, labels, "toxic").collect()}
+    want = {i for i in train if i < 1000} | {min(i for i in train if 1000 <= i < 5000)}
+    assert got == want | {i for i in train if i >= 5000 and i - 5000 not in train}
+
+
 @pytest.mark.parametrize("module", [toxicity, quality_model])
 def test_classifiers_on_odd_input(spark, edge, module):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
