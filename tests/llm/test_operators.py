@@ -435,6 +435,26 @@ def test_page_reader(source, want):
     assert " ".join(pages.read_page(source).content()[1]) == want
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ('<article class="post comments-open"><p>a</p></article>', "a"),
+        ('<article class="has-sidebar"><p>a</p></article>', "a"),
+        ('<div class="page no-sidebar"><article><p>a</p></article></div>', "a"),
+        ('<div class="widget"><p>w</p><main><p>a</p></main></div>', "a"),
+        ('<div class="widget"><article><p>a</p></article></div><p>x</p>', "a"),
+        ('<div class="comments"><article>c</article></div><article>a</article>', "a"),
+        ('<article class="comment">only</article>', "only"),
+        ('<article id="search" class="notice"><p>a</p></article>', "a"),
+        ('<article><section id="related-work"><p>a</p></section><p class="notice">b</p><h2 id="search">c</h2></article>', "a b c"),
+        ('<article>a<div class="site-sidebar">s</div><div class="sidebar"><p>t</p></div></article>', "a"),
+        ('<article>a<p class="advert">s</p><div class="sponsored"><article>t</article></div></article>', "a"),
+    ],
+)
+def test_class_words_spare_content(source, want):
+    assert " ".join(pages.read_page(source).content()[1]) == want
+
+
 def test_host_repeats_go_unless_in_articles(spark):
     line = "All rights reserved by the great company of this host since long ago"
     soup = [(i, f"http://h.x/{i}", f"<div>Home News</div><div>{line}</div><p>Page {i} tells a story of its own with number {i * 37}</p>") for i in range(5)]
