@@ -3,8 +3,9 @@
 Three base patterns (assignment, access key, long hexadecimal run) and, beside
 them, runs of key characters whose sliding windows have a high Shannon entropy
 for their character class.  The entropy of the next window follows from counts
-of one character that leaves and one that enters.  An allow-list takes out what
-is random but no secret (UUIDs, plain words, placeholders).
+of one character that leaves and one that enters.  The parts of a run between
+separators are judged by their own class besides the whole.  An allow-list takes out
+the windows that meet what is random but no secret (UUIDs, placeholders).
 
 Every text is scanned whole, in one pass over its runs of key characters: hex
 and access matches of the least length lie inside such a run of 20 characters,
@@ -42,11 +43,11 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _ALLOW = re.compile(
-    r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}"  # UUID
-    r"|[0-9+/_=-]+"  # numbers, rules, separators
-    r"|[a-z+/_=-]+"  # words and words joined
-    r"|.*(example|placeholder|lorem|xxxx|0123456|abcdef).*"
+    r"(?i)(?<![0-9a-z])[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}(?![0-9a-z])"  # UUID
+    r"|example|placeholder|lorem|x{4,}|0123456|abcdef"
 )
+# A slash or plus may belong to a base64 key: it parts only hexadecimal digits.
+_PART, _HEX_PART = re.compile(r"[A-Za-z0-9+/]+"), re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]+(?![A-Za-z0-9])")
 _HEX_RUN, _ALNUM_RUN = re.compile(r"[0-9a-fA-F]+"), re.compile(r"[A-Za-z0-9]+")
 _BITS = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
@@ -55,21 +56,13 @@ def char_class(run: str) -> str:
     return "hex" if _HEX_RUN.fullmatch(run) else "alnum" if _ALNUM_RUN.fullmatch(run) else "base64"
 
 
-def entropy_spans(run: str, window: int = WINDOW, least_bits: dict[str, float] | None = None) -> list[tuple[int, int]]:
-    """Unions of the windows of ``run`` with at least the class's entropy, a
-    letter and two digits; none if the allow-list has the run."""
-    if len(run) < window or _ALLOW.fullmatch(run):
-        return []
-    least = (least_bits or LEAST_BITS)[char_class(run)]
+def _high_windows(run: str, window: int, least: float) -> list[int]:
+    """Starts of the windows of ``run`` with at least ``least`` bits, a letter and two digits."""
     counts: dict[str, int] = {}
-    sums, digits, letters, out = 0.0, 0, 0, []
+    sums, digits, letters = 0.0, 0, 0
+    out: list[int] = []
     bits = _BITS if window == WINDOW else [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
     for i, x in enumerate(run):
-        c = counts.get(x, 0)
-        sums += bits[c + 1] - bits[c]
-        counts[x] = c + 1
-        digits += x.isdigit()
-        letters += x.isalpha()
         if i >= window:
             y = run[i - window]
             c = counts[y]
@@ -77,12 +70,32 @@ def entropy_spans(run: str, window: int = WINDOW, least_bits: dict[str, float] |
             counts[y] = c - 1
             digits -= y.isdigit()
             letters -= y.isalpha()
+        c = counts.get(x, 0)
+        sums += bits[c + 1] - bits[c]
+        counts[x] = c + 1
+        digits += x.isdigit()
+        letters += x.isalpha()
         begin = i - window + 1
         if begin >= 0 and digits >= 2 and letters >= 1 and math.log2(window) - sums / window >= least:
-            if out and begin <= out[-1][1]:
-                out[-1] = (out[-1][0], i + 1)
-            else:
-                out.append((begin, i + 1))
+            out.append(begin)
+    return out
+
+
+def entropy_spans(run: str, window: int = WINDOW, least_bits: dict[str, float] | None = None) -> list[tuple[int, int]]:
+    """Unions of the windows of ``run`` with at least the entropy of the class of the
+    run or of their part of it, a letter and two digits, that meet nothing on the allow-list."""
+    if len(run) < window:
+        return []
+    limits = least_bits or LEAST_BITS
+    parts = {(0, len(run))} | {m.span() for p in (_PART, _HEX_PART) for m in p.finditer(run) if m.end() - m.start() >= window}
+    starts = {a + i for a, b in parts for i in _high_windows(run[a:b], window, limits[char_class(run[a:b])])}
+    allowed = [m.span() for m in _ALLOW.finditer(run)] if starts else []
+    out: list[tuple[int, int]] = []
+    for begin in sorted(starts - {i for a, b in allowed for i in range(a - window + 1, b)}):
+        if out and begin <= out[-1][1]:
+            out[-1] = (out[-1][0], begin + window)
+        else:
+            out.append((begin, begin + window))
     return out
 
 
