@@ -4,7 +4,7 @@ the big side of derived joins is never shuffled, no cartesian products."""
 import contextlib
 import io
 
-from conftest import SMALL
+from paths import SMALL
 
 from tidepool.plans.catalog import REGISTRY
 
