@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from . import packing, pages, pieces, quality_model, quality_rules, secrets, simhash, suffix_tree, topk, toxicity
+from . import (
+    packing,
+    pages,
+    pieces,
+    quality_model,
+    quality_rules,
+    secrets,
+    simhash,
+    suffix_tree,
+    topk,
+    toxicity,
+    url_filter,
+)
 from .common import LlmQuery
 
 __all__ = ["QUERIES", "LlmQuery"]
@@ -18,4 +30,5 @@ QUERIES = {
     "op8_secret_scan": secrets.QUERY,
     "op9_quality_rules": quality_rules.QUERY,
     "op10_lm_scoring": suffix_tree.QUERY,
+    "op11_url_filter": url_filter.QUERY,
 }
