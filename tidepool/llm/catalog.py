@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import (
+    divergence,
     packing,
     pages,
     pieces,
@@ -31,4 +32,5 @@ QUERIES = {
     "op9_quality_rules": quality_rules.QUERY,
     "op10_lm_scoring": suffix_tree.QUERY,
     "op11_url_filter": url_filter.QUERY,
+    "op12_source_divergence": divergence.QUERY,
 }
