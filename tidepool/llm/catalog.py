@@ -6,6 +6,7 @@ from . import (
     divergence,
     packing,
     pages,
+    phrases,
     pieces,
     quality_model,
     quality_rules,
@@ -33,4 +34,5 @@ QUERIES = {
     "op10_lm_scoring": suffix_tree.QUERY,
     "op11_url_filter": url_filter.QUERY,
     "op12_source_divergence": divergence.QUERY,
+    "op13_phrase_collocations": phrases.QUERY,
 }
