@@ -1,26 +1,35 @@
 """Message decoding: schema inference, JSON -> rows, flattening, quarantine.
 
 A message is one JSON text.  An object becomes one row, a top-level array of
-objects becomes one row per element.  Both shapes go through one code path:
-``from_json`` with an ``array<struct>`` schema wraps a lone object into a
-one-element array, so ``explode`` yields the rows.  Unreadable text, JSON
-scalars, arrays of scalars and NULL values decode to a NULL array and are
-dropped by ``explode`` (the consumer's "skip and go on"); ``classify`` names
-the reason so a caller can keep them in a quarantine output instead.
-
-Everything here is JVM-side column expressions (``from_json``, ``explode``,
+objects becomes one row per element.  Unreadable text, JSON scalars, arrays of
+scalars and NULL values give no row (the consumer's "skip and go on");
+``classify`` names the reason so a caller can keep them in a quarantine output.
+
+Reading is strict: a message is read inside an array that ends with a marker
+of our own, so a second object, text behind the object or an unbalanced bracket
+makes it unreadable instead of being dropped in silence.  That needs one
+``from_json`` a message, also for a plain count.
+
+Decoding is lossless where it is asked for (``rescued_col``): beside the typed row
+the message is read as a VARIANT, and every field that the typed value does not hold in
+full is kept as text -- unknown fields, other types, numbers with more digits than
+the column's type keeps.  Of a repeated key the last value counts, as in the
+consumer's parser; a message that no variant can hold (repeated keys, bare NaN, numbers of
+more digits or greater exponents than a variant keeps) is kept whole under ``_message``.
+
+Everything here is JVM-side column expressions (``from_json``, variants, ``explode``,
 field access); no Python runs per message.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch_path
+from .schema import END, STRICT, observed_schema, pinned
 
 CORRUPT_COL = "_corrupt_record"
 
@@ -28,6 +37,16 @@ CORRUPT_COL = "_corrupt_record"
 # fraction to milliseconds without it.
 TS_NTZ_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 JSON_OPTIONS = {"timestampNTZFormat": TS_NTZ_FORMAT, "timestampFormat": TS_NTZ_FORMAT + "XXX"}
+_READ = JSON_OPTIONS | STRICT
+
+#: Key under which a message that no variant can hold is kept whole.
+WHOLE = "_message"
+#: Numbers whose text a variant changes: over 38 digits, or long or far ones with an exponent.
+_BEYOND_VARIANT = r"[:\[,]\s*-?([0-9][0-9.]{37,}|[0-9.]{17,}[eE]|[0-9.]+[eE][+-]?[0-9]{3,})"
+#: What a decoded value is to its text, the worst of a message counts.
+HELD, UNKNOWN_FIELD, INEXACT, WRONG_TYPE = range(4)
+#: Decimal digits that a type keeps of any number.
+_DIGITS = {T.DoubleType: 15, T.FloatType: 6}
 
 
 def infer_schema(
@@ -40,25 +59,14 @@ def infer_schema(
 
     Inferred once, by default over all messages present, so that a late field
     or a late type change has its place; then pinned by the caller.  A caller
-    may bound the scan to the first ``sample_rows`` readable messages.  Top-level
+    may bound the scan to the first ``sample_rows`` messages.  Top-level
     arrays contribute their elements.  ``hints`` override the inferred type of
     top-level fields by DDL type name, e.g. ``{"ts": "timestamp_ntz"}``.
+    One aggregate over one scan (see ``schema``); nothing is written.
     """
-    spark = messages.sparkSession
-    texts = messages.select(F.col(value_col).cast("string").alias("value")).where(F.col("value").isNotNull())
-    if sample_rows is not None:
-        texts = texts.limit(sample_rows)
-    # The sample is staged as text in the shared folder and read back by the
-    # JSON reader, which infers per partition and merges: no row leaves the
-    # JVM.  Newlines inside a message would split it, so they are escaped
-    # (JSON allows none outside strings, and inside strings they are \n).
-    sample = scratch_path(spark, "schema-sample")
-    texts.select(F.regexp_replace("value", "[\r\n]+", " ").alias("value")).write.text(sample)
-    inferred = spark.read.option("mode", "DROPMALFORMED").json(sample)
-    schema = T.StructType([f for f in inferred.schema.fields if f.name != CORRUPT_COL])
-    if hints:
-        schema = apply_hints(schema, hints)
-    return schema
+    found = pinned(observed_schema(messages, value_col, sample_rows))
+    schema = found if isinstance(found, T.StructType) else T.StructType([])
+    return apply_hints(schema, hints) if hints else schema
 
 
 def apply_hints(schema: T.StructType, hints: Mapping[str, str]) -> T.StructType:
@@ -76,21 +84,71 @@ def apply_hints(schema: T.StructType, hints: Mapping[str, str]) -> T.StructType:
     return T.StructType(fields)
 
 
-def _lost(text: Column, value: Column, dtype: T.DataType) -> Column:
-    """Whether the JSON ``text`` of a field says more than its decoded ``value``:
-    a leaf of another type, or an unknown field of a nested object."""
-    inside = F.lit(False)
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name`` with ``_msg`` behind it until nothing in ``taken`` is called so (in any case)."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_msg"
+    return name
+
+
+def _first_char(text: Column) -> Column:
+    return F.substring(F.regexp_replace(F.substring(text, 1, 64), r"\s", ""), 1, 1)
+
+
+def message_rows(text: Column, schema: T.StructType) -> Column:
+    """The row objects of a message as an array of structs (with a field for the end
+    marker behind the schema's); NULL where the text is not an object or an
+    array of objects from its first to its last character."""
+    end = free_name(END, schema.names)
+    row = T.StructType([*schema.fields, T.StructField(end, T.IntegerType())])
+    mark = f'{{"{end}":0}}'
+    lone = F.from_json(F.concat(F.lit("["), text, F.lit(f",{mark}]")), T.ArrayType(row), _READ)
+    many = F.from_json(F.concat(F.lit("["), text, F.lit(f",[{mark}]]")), T.ArrayType(T.ArrayType(row)), _READ)
+    is_lone = (F.size(lone) == 2) & (F.try_element_at(lone, F.lit(2))[end] == 0)
+    is_many = (F.size(many) == 2) & (F.try_element_at(F.try_element_at(many, F.lit(2)), F.lit(1))[end] == 0)
+    rows = F.try_element_at(many, F.lit(1))
+    return F.when(_first_char(text) == "{", F.when(is_lone, F.slice(lone, 1, 1))).when(
+        (_first_char(text) == "[") & is_many & F.forall(rows, lambda r: r.isNotNull()), rows
+    )
+
+
+def _digits(number: Column) -> Column:
+    """The significant digits of a number's text."""
+    return F.btrim(F.regexp_replace(F.substring_index(F.upper(number), "E", 1), "[^0-9]", ""), F.lit("0"))
+
+
+def _loss(found: Column, value: Column, dtype: T.DataType) -> Column:
+    """How much of the variant ``found`` its decoded ``value`` holds (``HELD`` ...)."""
+    text = found.cast("string")
+    inside = F.lit(HELD)
     if isinstance(dtype, T.StructType):
-        parts = F.from_json(text, T.MapType(T.StringType(), T.StringType()), JSON_OPTIONS)
+        parts = F.try_variant_get(found, "$", "map<string,variant>")
         names = F.array(*[F.lit(f.name) for f in dtype.fields]).cast("array<string>")
-        inside = F.size(F.map_filter(parts, lambda k, _v: ~F.array_contains(names, k))) > 0
-        for f in dtype.fields:
-            inside = inside | _lost(parts[f.name], value.getField(f.name), f.dataType)
+        unknown = F.size(F.map_filter(parts, lambda k, _v: ~F.array_contains(names, k))) > 0
+        losses = [_loss(parts[f.name], value.getField(f.name), f.dataType) for f in dtype.fields]
+        inside = F.greatest(F.when(unknown, F.lit(UNKNOWN_FIELD)).otherwise(F.lit(HELD)), F.lit(HELD), *losses)
     elif isinstance(dtype, T.ArrayType):
-        items = F.from_json(text, T.ArrayType(T.StringType()), JSON_OPTIONS)
-        pairs = F.arrays_zip(items.alias("text"), value.alias("value"))
-        inside = F.exists(pairs, lambda p: _lost(p["text"], p["value"], dtype.elementType))
-    return text.isNotNull() & (value.isNull() | F.coalesce(inside, F.lit(False)))
+        items = F.try_variant_get(found, "$", "array<variant>")
+        pairs = F.arrays_zip(items.alias("found"), value.alias("value"))
+        inside = F.coalesce(F.array_max(F.transform(pairs, lambda p: _loss(p["found"], p["value"], dtype.elementType))), F.lit(HELD))
+    elif isinstance(dtype, T.DecimalType):
+        inside = F.when(_digits(text) != _digits(value.cast("string")), F.lit(INEXACT)).otherwise(F.lit(HELD))
+    elif type(dtype) in _DIGITS:
+        digits = _digits(text)
+        more = F.length(digits) > _DIGITS[type(dtype)]
+        inside = F.when(more & (digits != _digits(value.cast("string"))), F.lit(INEXACT)).otherwise(F.lit(HELD))
+    elif isinstance(dtype, T.StringType):
+        # a long fraction that is not a JSON string was read as a double on its way to text
+        fraction = text.rlike(r"(?=[0-9.]{18})[0-9]*\.[0-9]") & (text != value)
+        inside = F.when(fraction & (F.schema_of_variant(found) != "STRING"), F.lit(INEXACT)).otherwise(F.lit(HELD))
+    return F.when(text.isNull(), F.lit(HELD)).when(value.isNull(), F.lit(WRONG_TYPE)).otherwise(F.coalesce(inside, F.lit(HELD)))
+
+
+def _row_variants(text: Column) -> Column:
+    """The row objects of a (whole) message as variants; NULL where no variant can hold it."""
+    value = F.when(~text.rlike(_BEYOND_VARIANT), F.try_parse_json(text))
+    return F.when(_first_char(text) == "[", F.try_variant_get(value, "$", "array<variant>")).when(value.isNotNull(), F.array(value))
 
 
 def decode(
@@ -100,6 +158,7 @@ def decode(
     keep: list[str] | None = None,
     position_col: str | None = None,
     rescued_col: str | None = None,
+    reserved: Iterable[str] = (),
 ) -> DataFrame:
     """Decode JSON messages into rows of ``schema`` (one per object).
 
@@ -109,68 +168,83 @@ def decode(
     together with the message key makes rows unique.  ``rescued_col`` names
     an optional column holding, as JSON text, the fields of the object that
     the pinned schema cannot hold in full (NULL when there are none): unknown
-    ones, and ones with a value of another type or an unknown field anywhere
-    inside -- schema drift is kept instead of silently dropped.
+    ones, and ones with a value of another type, more digits than the type
+    keeps, or an unknown field anywhere inside.  A message that no variant can
+    hold stands there whole (key ``_message``, on its first row).
+
+    A payload field named like a carried, position, rescued or ``reserved``
+    column is called ``<name>_msg`` (again until the name is free).
     """
     keep = list(keep or [])
     text = F.col(value_col).cast("string")
-    arr = F.from_json(text, T.ArrayType(schema), JSON_OPTIONS)
+    rows = message_rows(text, schema)
     if rescued_col:
-        known = F.array(*[F.lit(f.name) for f in schema.fields])
-        kv = T.MapType(T.StringType(), T.StringType())
-        # raw fields as text: an array of objects, or a lone object wrapped
-        raw = F.coalesce(
-            F.from_json(text, T.ArrayType(kv), JSON_OPTIONS),
-            F.array(F.from_json(text, kv, JSON_OPTIONS)),
-            F.transform(arr, lambda _m: F.lit(None).cast(kv)),
-        )
+        known = F.array(*[F.lit(f.name) for f in schema.fields]).cast("array<string>")
+        # (a null array would make the zipped one null)
+        found = F.coalesce("_found", F.array().cast("array<variant>"))
+        both = F.arrays_zip(F.col("_rows").alias("row"), found.alias("found"))
 
-        def not_held(pair: Column) -> Column:
-            def kept_aside(k: Column, v: Column) -> Column:
+        def aside(pair: Column, i: Column) -> Column:
+            def not_held(k: Column, v: Column) -> Column:
                 out = ~F.array_contains(known, k)
                 for f in schema.fields:
-                    out = out | ((k == f.name) & _lost(v, pair["_msg"].getField(f.name), f.dataType))
+                    out = out | ((k == f.name) & (_loss(v, pair["row"].getField(f.name), f.dataType) > HELD))
                 return out
 
-            return F.map_filter(pair["_raw"], kept_aside)
+            fields = F.try_variant_get(pair["found"], "$", "map<string,variant>")
+            kept = F.transform_values(F.map_filter(fields, not_held), lambda _k, v: v.cast("string"))
+            whole = F.when(i == 0, F.create_map(F.lit(WHOLE), F.col("_text")))
+            return F.struct(pair["row"].alias("row"), F.when(F.col("_found").isNull(), whole).otherwise(kept).alias("extra"))
 
-        extra = F.transform(F.arrays_zip(arr.alias("_msg"), raw.alias("_raw")), not_held)
-        both = F.when(arr.isNotNull(), F.arrays_zip(arr.alias("_msg"), extra.alias("_extra")))
-        exploded = messages.select(*keep, F.posexplode(both).alias("_pos", "_pair")).select(
-            *keep, "_pos", F.col("_pair._msg").alias("_msg"), F.col("_pair._extra").alias("_extra")
+        read = messages.select(*keep, text.alias("_text"), rows.alias("_rows")).where(F.size("_rows") > 0)
+        read = read.withColumn("_found", _row_variants(F.col("_text")))
+        exploded = read.select(*keep, F.posexplode(F.transform(both, aside)).alias("_pos", "_pair")).select(
+            *keep, "_pos", F.col("_pair.row").alias("_msg"), F.col("_pair.extra").alias("_extra")
         )
     else:
-        exploded = messages.select(*keep, F.posexplode(arr).alias("_pos", "_msg"))
+        exploded = messages.select(*keep, F.posexplode(rows).alias("_pos", "_msg"))
     cols = [F.col(k) for k in keep]
     if position_col:
         cols.append(F.col("_pos").alias(position_col))
-    # a payload field named like a carried column (e.g. its own "topic")
-    # keeps its value under "<name>_msg"
-    taken = set(keep) | ({position_col} if position_col else set())
-    cols += [F.col("_msg").getField(f.name).alias(f.name if f.name not in taken else f"{f.name}_msg") for f in schema.fields]
+    own = {f.name for f in schema.fields}
+    taken = [*keep, *(c for c in (position_col, rescued_col) if c), *reserved]
+    names: list[str] = []
+    for f in schema.fields:
+        clash = f.name.lower() in {t.lower() for t in taken}
+        names.append(free_name(f.name, [*taken, *names, *(own - {f.name})]) if clash else f.name)
+    cols += [F.col("_msg").getField(f.name).alias(name) for f, name in zip(schema.fields, names, strict=True)]
     if rescued_col:
         cols.append(F.when(F.size("_extra") > 0, F.to_json("_extra")).alias(rescued_col))
     return exploded.select(*cols)
 
 
+#: Statuses of messages that go to a quarantine.
+BAD = ("unreadable", "wrong_type", "inexact")
+
+
 def classify(messages: DataFrame, schema: T.StructType, value_col: str = "value") -> Column:
-    """Status of each message: ok | empty | unreadable | wrong_type.
+    """Status of each message: ok | empty | unreadable | wrong_type | inexact.
 
     ``empty``: NULL or blank value (a tombstone; a text file can only hold
-    a NULL message as an empty line).  ``unreadable``: not JSON, cut off,
-    a JSON scalar or an array that is not of objects.  ``wrong_type``: an
-    object whose leaf does not fit the pinned type (the leaf decodes to NULL
-    but the raw text is worth keeping).
+    a NULL message as an empty line).  ``unreadable``: not one JSON text from end to
+    end (cut off, a second object, text behind it), a JSON scalar or an array that is
+    not of objects.  ``wrong_type``: a leaf does not fit the pinned type (it
+    decodes to NULL but the raw text is worth keeping).  ``inexact``: a number
+    has more digits than its column keeps.
     """
     text = F.col(value_col).cast("string")
-    arr = F.from_json(text, T.ArrayType(schema), JSON_OPTIONS)
+    rows = message_rows(text, schema)
+    found = _row_variants(text)
+    worst = F.array_max(F.transform(F.arrays_zip(found.alias("found"), rows.alias("row")), lambda p: _loss(p["found"], p["row"], schema)))
+    # Without a variant only a lone object's misfits can be told.
     with_corrupt = T.StructType(schema.fields + [T.StructField(CORRUPT_COL, T.StringType(), True)])
-    obj = F.from_json(text, with_corrupt, {**JSON_OPTIONS, "columnNameOfCorruptRecord": CORRUPT_COL})
-    is_object = F.ltrim(text).startswith("{")
+    obj = F.from_json(text, with_corrupt, {**_READ, "columnNameOfCorruptRecord": CORRUPT_COL})
+    misfit = (_first_char(text) == "{") & obj.getField(CORRUPT_COL).isNotNull()
     return (
         F.when(text.isNull() | (F.trim(text) == ""), F.lit("empty"))
-        .when(arr.isNull(), F.lit("unreadable"))
-        .when(is_object & obj.getField(CORRUPT_COL).isNotNull(), F.lit("wrong_type"))
+        .when(rows.isNull(), F.lit("unreadable"))
+        .when(F.when(found.isNull(), misfit).otherwise(worst == WRONG_TYPE), F.lit("wrong_type"))
+        .when(F.when(found.isNull(), text.rlike(_BEYOND_VARIANT)).otherwise(worst == INEXACT), F.lit("inexact"))
         .otherwise(F.lit("ok"))
     )
 
@@ -180,13 +254,13 @@ def split_quarantine(
 ) -> tuple[DataFrame, DataFrame]:
     """(messages that decode, messages kept aside with a ``reason``).
 
-    Wrong-typed objects go to both sides: their row survives with a NULL leaf
-    and the raw text is quarantined.  Empty (NULL) messages are tombstones and
-    go to neither.
+    Wrong-typed and inexact objects go to both sides: their row survives (a wrong
+    leaf is NULL) and the raw text is quarantined.  Empty (NULL) messages are
+    tombstones and go to neither.
     """
     tagged = messages.withColumn("_status", classify(messages, schema, value_col))
-    good = tagged.where(F.col("_status").isin("ok", "wrong_type")).drop("_status")
-    bad = tagged.where(F.col("_status").isin("unreadable", "wrong_type")).withColumnRenamed("_status", "reason")
+    good = tagged.where(F.col("_status").isin("ok", "wrong_type", "inexact")).drop("_status")
+    bad = tagged.where(F.col("_status").isin(*BAD)).withColumnRenamed("_status", "reason")
     return good, bad
 
 
@@ -219,9 +293,9 @@ def flatten(df: DataFrame, sep: str = "_", columns: list[str] | None = None) ->
         for path in paths:
             flat = sep.join(path)
             if flat in names:
-                raise ValueError(f"flattened name {flat!r} is produced by {names[flat]} and {path}")
+                raise ValueError(f"flattened name {flat!r} is produced by {names[flat]} and {path}: choose another separator than {sep!r}")
             names[flat] = path
-            c = F.col(f"`{path[0]}`")
+            c = F.col("`" + path[0].replace("`", "``") + "`")
             for part in path[1:]:
                 c = c.getField(part)
             selected.append(c.alias(flat))

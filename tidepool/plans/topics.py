@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import json as J
+from ..functions.schema import SchemaLog, observed_schema, pinned, track_schema
 from ..operators import relational as R
 from ..operators import series as S
 from ..operators import setops as X
 from ..operators.models import ModelSpec, training_projection
 from ..session import scratch_path
-from ..sources.topic import TopicSource, publish, to_messages
+from ..sources.topic import TopicSource, publish, read_batch, read_stream, to_messages
 from ..streaming.ingest import ingest, live_counts, live_latest, read_counts, read_live, start_quarantine, subscribe
 from .common import query, r6, stage_topic, table
 
@@ -259,6 +260,86 @@ def quarantine_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(qpath).groupBy("reason").agg(F.count(F.lit(1)).alias("n_messages"))
 
 
+#: Messages of ``lossless_decode`` by ``event_id % 8`` (SQL over ``id``, the id as text);
+#: 2**53 + 2 + an odd id is a whole number that no double holds.
+_LOSSLESS = {
+    0: """'{"event_id":' || id || ',"value":' || id || '.5}'""",
+    1: """'{"event_id":' || id || ',"value":1.5}{"event_id":' || id || '}'""",
+    2: """'{"event_id":' || id || ',"value":2.5} and more'""",
+    3: """'{"event_id":' || id || ',"value":' || CAST(9007199254740994 + event_id AS VARCHAR(20)) || '}'""",
+    4: """'{"event_id":0,"event_id":' || id || ',"value":4.5}'""",
+    5: """'{"event_id":' || id || ',"value":"' || id || '"}'""",
+    6: """'{"event_id":' || id || ',"value":6.5,"more":{"a":[' || id || ']}}'""",
+    7: """'[{"event_id":' || id || ',"value":7.5},{"event_id":-' || id || ',"value":null}]'""",
+}
+_LOSSLESS_TEXT = "CASE event_id % 8 " + " ".join(f"WHEN {k} THEN {v}" for k, v in _LOSSLESS.items()) + " END"
+
+
+@query(
+    "lossless_decode",
+    "B1 B4 A5",
+    f"""
+WITH m AS (SELECT event_id, id, event_id % 8 AS kind, {_LOSSLESS_TEXT} AS text FROM (SELECT event_id, CAST(event_id AS VARCHAR) AS id FROM events))
+SELECT 'row' AS kept_as, event_id,
+  CASE kind WHEN 0 THEN event_id + 0.5 WHEN 3 THEN CAST(9007199254740994 + event_id AS DOUBLE) WHEN 4 THEN 4.5 WHEN 6 THEN 6.5 WHEN 7 THEN 7.5 END AS value,
+  CASE kind WHEN 3 THEN CAST(9007199254740994 + event_id AS VARCHAR) WHEN 4 THEN text WHEN 5 THEN id WHEN 6 THEN '{{"a":[' || id || ']}}' END AS rest,
+  CAST(NULL AS VARCHAR) AS reason FROM m WHERE kind NOT IN (1, 2)
+UNION ALL SELECT 'row', -event_id, NULL, NULL, NULL FROM m WHERE kind = 7
+UNION ALL SELECT 'quarantine', NULL, NULL, text, CASE kind WHEN 5 THEN 'wrong_type' WHEN 3 THEN 'inexact' ELSE 'unreadable' END
+FROM m WHERE kind IN (1, 2, 3, 5)
+""",
+)
+def lossless_decode(spark: SparkSession, sf: str) -> DataFrame:
+    """A topic with second objects, text behind objects, numbers beyond 2**53 in a DOUBLE
+    column, repeated keys, other types and unknown fields: what the typed row does not
+    hold is in ``_rescued`` or in the quarantine."""
+    ev = table(spark, sf, "events").select("event_id", F.col("event_id").cast("string").alias("id"))
+    src = TopicSource("lossless", path=scratch_path(spark, "topic-files"))
+    publish(ev.select(F.expr(_LOSSLESS_TEXT.replace("VARCHAR(20)", "STRING")).alias("value")), src)
+    sub = subscribe(spark, src, schema=DAMAGED_SCHEMA)
+    ingest(spark, sub)
+    _, quarantine = start_quarantine(spark, sub)
+    rest = F.coalesce(*[F.get_json_object("_rescued", f"$.{c}") for c in ("value", "more", "_message")])
+    rows = sub.history(spark).select(F.lit("row").alias("kept_as"), "event_id", "value", rest.alias("rest"), F.lit(None).cast("string").alias("reason"))
+    bad = spark.read.parquet(quarantine).select(
+        F.lit("quarantine").alias("kept_as"), F.lit(None).cast("bigint").alias("event_id"), F.lit(None).cast("double").alias("value"),
+        F.col("value").alias("rest"), "reason",
+    )
+    return rows.unionByName(bad)
+
+
+_SCHEMA_ATTRS = [("event_id", "bigint"), ("l", "array<bigint>"), ("m", "string"), ("n", "double"), ("o_x", "bigint"), ("o_y", "string"), ("z", "string")]
+
+
+@query(
+    "schema_by_batches",
+    "B5 A3",
+    "WITH e AS (SELECT event_id, event_id * 10 // (max(event_id) OVER () + 1) AS tenth FROM events) "
+    + " UNION ALL ".join(f"SELECT DISTINCT '{n}' AS name, '{t}' AS type, true AS same_as_at_once FROM e" for n, t in _SCHEMA_ATTRS)
+    + " UNION ALL SELECT DISTINCT 'f' || CAST(tenth AS VARCHAR), 'bigint', true FROM e",
+)
+def schema_by_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """A topic whose messages change their shape every tenth: the schema merged over its
+    micro-batches, and whether it is the schema of all messages observed at once."""
+    ev = table(spark, sf, "events").select("event_id")
+    tenth = F.floor(F.col("event_id") * 10 / F.lit(ev.agg(F.max("event_id") + 1).first()[0])).cast("int")
+    d = F.col("tenth")
+    value = F.concat(
+        F.lit('{"event_id":'), F.col("event_id"), F.lit(',"n":'), F.when(d < 5, F.lit("3")).otherwise(F.lit("3.25")),
+        F.lit(',"m":'), F.when(d % 2 == 0, F.lit("3")).otherwise(F.lit('"x"')), F.lit(',"f'), d, F.lit('":1,"o":'),
+        F.when(d < 3, F.lit('{"x":1}')).otherwise(F.lit('{"x":1,"y":"t"}')),
+        F.lit(',"l":'), F.when(d < 7, F.lit("[]")).otherwise(F.lit("[1]")), F.lit(',"z":null}'),
+    )
+    src = TopicSource("shapes", path=scratch_path(spark, "topic-files"), max_per_trigger=1)
+    publish(ev.repartitionByRange(10, "event_id").withColumn("tenth", tenth).select(value.alias("value")), src)
+    log = SchemaLog(spark, scratch_path(spark, "schema-log"))
+    track_schema(read_stream(spark, src), log, scratch_path(spark, "schema-checkpoint"))
+    merged = pinned(log.current()[1])
+    at_once = dict(J.attributes(pinned(observed_schema(read_batch(spark, src)))))
+    attributes = [(name, kind, at_once.get(name) == kind and len(at_once) == len(J.attributes(merged))) for name, kind in J.attributes(merged)]
+    return spark.createDataFrame(attributes, "name string, type string, same_as_at_once boolean")
+
+
 _ATTRS = [
     ("event_id", "bigint"),
     ("event_type", "string"),

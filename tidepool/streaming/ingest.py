@@ -33,6 +33,7 @@ from ..sources.topic import TopicSource, check_source, read_batch, read_stream,
 SNAPSHOTS = 4
 BATCH = "_batch_id"
 META_COLS = ["topic", "_partition", "_offset", "_timestamp"]
+ARRIVAL = "_ingested_at"
 
 
 @dataclass
@@ -83,7 +84,8 @@ def subscribe(
 
 
 def decoded_rows(messages: DataFrame, schema: T.StructType, sep: str = "_", rescue: bool = True) -> DataFrame:
-    """Message frame -> one flat row per JSON object (metadata kept)."""
+    """Message frame -> one flat row per JSON object (metadata kept); a payload
+    field called like one of the columns added here gets ``_msg`` behind its name."""
     renamed = messages.select(
         "topic",
         F.col("partition").alias("_partition"),
@@ -91,13 +93,14 @@ def decoded_rows(messages: DataFrame, schema: T.StructType, sep: str = "_", resc
         F.col("timestamp").alias("_timestamp"),
         "value",
     )
-    rows = J.decode(renamed, schema, keep=META_COLS, position_col="_pos", rescued_col="_rescued" if rescue else None)
+    rescued = "_rescued" if rescue else None
+    rows = J.decode(renamed, schema, keep=META_COLS, position_col="_pos", rescued_col=rescued, reserved=[ARRIVAL, "_rescued"])
     payload = [c for c in rows.columns if c not in META_COLS and c != "_pos"]
     flat = J.flatten(rows, sep=sep, columns=META_COLS + ["_pos"] + payload)
     # In a stream, current_timestamp() is the micro-batch's time, kept in the
     # offset log (a retried batch gets the same value): an arrival coordinate
     # for "rows new since the last build" on any topic.
-    return flat.withColumn("_ingested_at", F.current_timestamp())
+    return flat.withColumn(ARRIVAL, F.current_timestamp())
 
 
 def ingest(
@@ -132,8 +135,11 @@ def live_aggregate(
     aggregate,
     name: str,
     trigger: str | None = "availableNow",
+    rescue: bool = False,
 ) -> tuple[StreamingQuery, str]:
     """Run ``aggregate(rows) -> grouped frame`` as a streaming aggregation.
+    Its rows have no ``_rescued`` unless ``rescue=True``: an aggregate rarely reads it,
+    and it is most of the decoding.
 
     Complete mode: every micro-batch emits the whole current result (one
     row per group).  ``SNAPSHOTS`` folders take turns; each snapshot is one
@@ -148,7 +154,7 @@ def live_aggregate(
     """
     root = f"{sub.checkpoint_path}-{name}"
     log_path = f"{root}/table"
-    rows = decoded_rows(read_stream(spark, sub.source), sub.schema, sub.sep, sub.rescue)
+    rows = decoded_rows(read_stream(spark, sub.source), sub.schema, sub.sep, rescue)
     result = aggregate(rows)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
@@ -213,11 +219,11 @@ def start_quarantine(
     spark: SparkSession, sub: Subscription, path: str | None = None, trigger: str | None = "availableNow"
 ) -> tuple[StreamingQuery, str]:
     """Keep messages that do not decode cleanly -- unreadable text, JSON
-    that is not objects, objects with a wrong-typed leaf -- with a
-    ``reason``, in their own Parquet folder."""
+    that is not objects, objects with a wrong-typed leaf or a number of more
+    digits than its column -- with a ``reason``, in their own Parquet folder."""
     path = path or f"{sub.checkpoint_path}-quarantine/table"
     msgs = read_stream(spark, sub.source)
-    bad = msgs.withColumn("reason", J.classify(msgs, sub.schema)).where(F.col("reason").isin("unreadable", "wrong_type"))
+    bad = msgs.withColumn("reason", J.classify(msgs, sub.schema)).where(F.col("reason").isin(*J.BAD))
     writer = (
         bad.writeStream.format("parquet")
         .option("path", path)

@@ -43,8 +43,10 @@ def _run(writer, trigger: str | None) -> StreamingQuery:
     return writer.trigger(processingTime=trigger).start() if trigger else writer.start()
 
 
-def scoring_rows(spark: SparkSession, sub: Subscription, label: str | None = None) -> DataFrame:
-    rows = decoded_rows(read_stream(spark, sub.source), sub.schema, sub.sep, sub.rescue)
+def scoring_rows(spark: SparkSession, sub: Subscription, label: str | None = None, rescue: bool = False) -> DataFrame:
+    """The topic's rows with the label column as ``label``; ``_rescued`` only if asked for
+    (the history keeps it, and no model reads it)."""
+    rows = decoded_rows(read_stream(spark, sub.source), sub.schema, sub.sep, rescue)
     if label and label != "label":
         rows = rows.withColumnRenamed(label, "label")
     return rows
