@@ -38,6 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -55,6 +56,8 @@ FILTER_BITS = 27
 PARTITION_MASS = 16_000_000
 MAX_PARTITIONS = 1 << 14
 _SLICE_CHARS = 4_000_000
+_FOLD_ROWS = 1_000_000
+_SALTS = 64
 _BREAK = b"\xff"
 _MARKS = b".,;:!?\n\x0b\x0c\r"
 #: A-Z lower-cased, marks and line ends as a byte that no UTF-8 text holds.
@@ -259,9 +262,13 @@ def frequent_bits(docs: DataFrame, sizes: tuple[int, ...], threshold: int, parti
     return out
 
 
-def exact_counts(docs: DataFrame, threshold: int, longest: int, short: Column, long: Column) -> DataFrame:
+def exact_counts(docs: DataFrame, threshold: int, longest: int, partitions: int, short: Column, long: Column) -> DataFrame:
     """``lang, size, phrase, n`` of phrases with at least ``threshold`` occurrences;
-    size 0 stands for all words of a language."""
+    size 0 stands for all words of a language.
+
+    A stretch sends each hash partition its phrases as lists, a row per language and
+    size; a partition has all counts of its phrases."""
+    shift = np.uint64(64 - (partitions.bit_length() - 1))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.frombuffer(short.value, np.uint8)
@@ -270,23 +277,55 @@ def exact_counts(docs: DataFrame, threshold: int, longest: int, short: Column, l
             words = read_words(rows)
             text, width = words.vocabulary, np.int64(len(words.vocabulary) + 1)
             per_lang = np.bincount(words.lang[words.code >= 0], minlength=len(words.langs))
-            out = [(words.langs[k], 0, "", n) for k, n in enumerate(per_lang.tolist()) if n]
+            out = [(xxhash.xxh32_intdigest(x) % partitions, x, 0, [""], [n]) for x, n in zip(words.langs, per_lang.tolist()) if n]
             for n, at, h in _windows(words, tuple(range(1, longest + 1)), pairs):
-                at = at[_has(pairs if n <= 2 else longer, h)]
+                hit = _has(pairs if n <= 2 else longer, h)
+                at, h = at[hit], h[hit]
                 # Exact numbers of the phrases: word by word, renumbered where they would grow too long.
                 key = words.lang[at]
                 for k in range(n):
                     key = np.unique(key * width + words.code[at + k], return_inverse=True)[1]
                 _, first, count = np.unique(key, return_index=True, return_counts=True)
-                phrase = words.code[at[first][:, None] + np.arange(n)]
-                lang = words.lang[at[first]].tolist()
-                out += [(words.langs[g], n, b" ".join([text[c] for c in row]).decode(), x) for g, row, x in zip(lang, phrase.tolist(), count.tolist(), strict=True)]
-            for i in range(0, len(out), 50_000):
-                columns = list(zip(*out[i : i + 50_000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["lang", "size", "phrase", "n"])
+                lang = words.lang[at[first]]
+                part = (h[first] >> shift).astype(np.int64) if partitions > 1 else np.zeros(len(first), np.int64)
+                by = np.lexsort((lang, part))
+                phrase = words.code[at[first][by][:, None] + np.arange(n)].tolist()
+                phrases = [b" ".join([text[c] for c in row]).decode() for row in phrase]
+                part, lang, count = part[by], lang[by], count[by]
+                cuts = [0, *(np.flatnonzero((np.diff(part) != 0) | (np.diff(lang) != 0)) + 1).tolist(), len(by)]
+                out += [(int(part[i]), words.langs[lang[i]], n, phrases[i:j], count[i:j]) for i, j in zip(cuts, cuts[1:]) if i < j]
+            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    names = ["part", "lang", "size", "phrases", "counts"]
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64())]
+
+    def flat(batch: pa.RecordBatch) -> pa.Table:
+        phrases, counts = batch.column(3), batch.column(4)
+        row = pc.list_parent_indices(phrases)
+        return pa.table({"lang": batch.column(1).take(row), "size": batch.column(2).take(row), "phrase": phrases.flatten(), "n": counts.flatten()})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        size = kept = 0
+        keys = ["lang", "size", "phrase"]
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by(keys).aggregate([("n", "sum")]).rename_columns([*keys, "n"])
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                held.append(flat(batch.slice(i, 1000)))
+                size += held[-1].num_rows
+                if size - kept > max(kept, _FOLD_ROWS):
+                    held = [summed()]
+                    size = kept = held[0].num_rows
+        if held:
+            found = summed()
+            yield from found.filter(pc.or_(pc.equal(found["size"], 0), pc.greater_equal(found["n"], threshold))).to_batches(max_chunksize=50_000)
 
-    found = _given(docs).mapInArrow(emit, "lang string, size int, phrase string, n long")
-    return found.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where((F.col("size") == 0) | (F.col("n") >= threshold))
+    sent = _given(docs).mapInArrow(emit, "part int, lang string, size int, phrases array<string>, counts array<bigint>")
+    return sent.repartitionById(partitions, "part").mapInArrow(count, "lang string, size int, phrase string, n long")
 
 
 def _part(first: Column, count: Column) -> Column:
@@ -302,10 +341,12 @@ def rank_phrases(counts: DataFrame, top: int, cover_percent: int) -> DataFrame:
     single = counts.where(F.col("size") > 0).select("lang", F.col("phrase").alias("part"), F.col("n").alias("part_n"))
     for side, name in (("left", "l"), ("right", "r")):
         cuts = cuts.join(single.select("lang", F.col("part").alias(side), F.col("part_n").alias(name)), ["lang", side])
-    totals = counts.where(F.col("size") == 0).select("lang", F.col("n").alias("all_n"))
+    # A language's total goes to its phrases in some parts, so that a language is not one task's.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
+    totals = counts.where(F.col("size") == 0).select("lang", F.col("n").alias("all_n"), salts)
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     score = F.call_function("div", wide("n") * F.lit(1000).cast("decimal(4,0)") * F.col("all_n").cast("decimal(15,0)"), wide("l") * wide("r"))
-    cuts = cuts.join(totals, "lang").withColumn("score", score.cast("bigint"))
+    cuts = cuts.withColumn("salt", F.pmod(F.hash("phrase"), F.lit(_SALTS))).join(totals, ["lang", "salt"]).withColumn("score", score.cast("bigint"))
     lowest = cuts.groupBy("lang", "phrase").agg(
         F.first("n").alias("a"), F.first("all_n").alias("n"), F.min(F.struct("score", "cut", "l", "r")).alias("low")
     )
@@ -331,7 +372,7 @@ def mine(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, to
     share: Callable = spark.sparkContext.broadcast
     short = share(frequent_bits(docs, (1, 2), threshold, partitions).tobytes())
     long = share(frequent_bits(docs, tuple(range(3, longest + 1)), threshold, partitions, short).tobytes()) if longest > 2 else short
-    counts = written(exact_counts(docs, threshold, longest, short, long), "phrase-counts")
+    counts = written(exact_counts(docs, threshold, longest, partitions, short, long), "phrase-counts")
     return rank_phrases(counts, top, cover_percent)
 
 
