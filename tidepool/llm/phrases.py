@@ -56,7 +56,9 @@ FILTER_BITS = 27
 PARTITION_MASS = 16_000_000
 MAX_PARTITIONS = 1 << 14
 _SLICE_CHARS = 4_000_000
-_FOLD_ROWS = 1_000_000
+_FOLD_ROWS = 250_000
+#: The second pass holds phrases as text, so it has more (smaller) partitions than the first.
+_COUNT_SPLIT = 8
 _SALTS = 64
 _BREAK = b"\xff"
 _MARKS = b".,;:!?\n\x0b\x0c\r"
@@ -372,7 +374,7 @@ def mine(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, to
     share: Callable = spark.sparkContext.broadcast
     short = share(frequent_bits(docs, (1, 2), threshold, partitions).tobytes())
     long = share(frequent_bits(docs, tuple(range(3, longest + 1)), threshold, partitions, short).tobytes()) if longest > 2 else short
-    counts = written(exact_counts(docs, threshold, longest, partitions, short, long), "phrase-counts")
+    counts = written(exact_counts(docs, threshold, longest, partitions * _COUNT_SPLIT, short, long), "phrase-counts")
     return rank_phrases(counts, top, cover_percent)
 
 
