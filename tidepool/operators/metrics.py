@@ -26,11 +26,13 @@ def rmse(df: DataFrame, label: str = "label", prediction: str = "prediction", by
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 
-def confusion_long(df: DataFrame, actual: str = "label", predicted: str = "prediction") -> DataFrame:
-    """Non-zero contingency cells ``(actual, predicted, n)``."""
+def confusion_long(df: DataFrame, actual: str = "label", predicted: str = "prediction", weight: str | None = None) -> DataFrame:
+    """Non-zero contingency cells ``(actual, predicted, n)``; ``weight`` names a column
+    that says how many rows a row stands for."""
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight).cast("bigint")
     return df.groupBy(
         F.col(actual).cast("string").alias("actual"), F.col(predicted).cast("string").alias("predicted")
-    ).agg(F.count(F.lit(1)).alias("n"))
+    ).agg(n.alias("n"))
 
 
 OTHER = "(other)"

@@ -237,12 +237,13 @@ def build_model(data: DataFrame, spec: ModelSpec) -> FittedModel:
     return FittedModel(spec, model, predict(model, validation), build)
 
 
-def training_rows(data: DataFrame, spec: ModelSpec) -> DataFrame:
+def training_rows(data: DataFrame, spec: ModelSpec, keep: tuple[str, ...] = ()) -> DataFrame:
     """What building and judging a model need of every row: variables, ``label``
-    and the split's hash fraction (``SPLIT``, taken from the whole row)."""
+    and the split's hash fraction (``SPLIT``, taken from the whole row); ``keep`` names
+    columns to carry along."""
     prepared = prepare(data, spec)
     u = hash_fraction(list(spec.split_key) if spec.split_key else default_key(prepared))
-    return prepared.select(*[F.col(f"`{v}`") for v in spec.variables], "label", u.alias(SPLIT))
+    return prepared.select(*[F.col(f"`{v}`") for v in spec.variables], "label", u.alias(SPLIT), *keep)
 
 
 @dataclass

@@ -3,9 +3,11 @@
 Each entry is one immutable row in its model's own log folder, so readers never
 see a half-written table and looking one model up reads that model's entries
 only.  A model is (topic, kind, label, algorithm); ``name`` is its display text.
-Versions come from one allocator (``allocate``), whoever builds; a retried
-build gets its version again, and model files go to a folder of their own per
-attempt, so a version's files never change.  ``status`` is ``built``,
+Versions come from one allocator (``allocate``), whoever builds, in whichever driver:
+a version is taken by creating its claim file, which the file system allows once, so two
+drivers never get one number.  A retried build gets its version again, and model
+files go to a folder of their own per attempt, so a version's files never change.
+What a version computes is also kept as a record (see ``model_data``), in a table per model.  ``status`` is ``built``,
 ``removed`` (a tombstone) or ``skipped`` (rows arrived that could not build
 the model, with the reason; the standing model stays in force).
 """
@@ -14,9 +16,11 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
-import threading
+import os
 import uuid
+from urllib.parse import unquote, urlparse
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +33,7 @@ LOG_SCHEMA = (
     "cells array<struct<actual:string,predicted:string,n:bigint>>, "
     "model_path string, removed boolean, status string, reason string, job string, batch_id bigint"
 )
+RECORD_SCHEMA = "version bigint, record string"
 IDENTITY = ["topic", "kind", "label", "algorithm"]
 
 
@@ -46,12 +51,42 @@ def _key(identity: tuple[str, ...]) -> str:
     return hashlib.md5("\x1f".join(identity).encode()).hexdigest()
 
 
+def claim(spark: SparkSession, path: str, owner: str) -> bool:
+    """Create ``path`` holding ``owner`` unless it exists; whether it is ``owner``'s now.
+
+    Creation without overwriting is atomic in HDFS and in object stores with
+    conditional writes (for S3A from Hadoop 3.4.2 on, others behind their connectors'
+    documentation); local and mounted folders are opened exclusively, because
+    Hadoop's local file system looks first and creates then."""
+    local = urlparse(path).scheme in ("", "file")
+    if local:
+        name = unquote(urlparse(path).path) if path.startswith("file:") else path
+        os.makedirs(os.path.dirname(name), exist_ok=True)
+        try:
+            with open(name, "x", encoding="utf-8") as f:
+                f.write(owner)
+            return True
+        except FileExistsError:
+            with open(name, encoding="utf-8") as f:
+                return f.read() == owner
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        out = fs.create(target, False)
+        out.write(bytearray(owner.encode()))
+        out.close()
+        return True
+    except Py4JJavaError as exc:
+        if not fs.exists(target):
+            raise exc
+        return spark.read.option("wholetext", True).text(path).first()["value"] == owner
+
+
 class ModelRegistry:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self._lock = threading.Lock()
-        self._given: dict[str, int] = {}
 
     @property
     def log_path(self) -> str:
@@ -63,19 +98,29 @@ class ModelRegistry:
 
     def allocate(self, spec: ModelSpec, job: str = "build", batch_id: int | None = None) -> int:
         """The version of a build: the next free one, or, for a batch of a
-        job that has its entry already, that entry's."""
-        with self._lock:
-            own = self.entries(spec)
-            top = mine = None
-            if own is not None:
-                again = F.when((F.col("job") == job) & (F.col("batch_id") == batch_id), F.col("version"))
-                top, mine = own.agg(F.max("version"), F.max(again)).first()
-            if mine is not None:
-                return int(mine)
-            key = _key(spec.identity)
-            version = max(-1 if top is None else int(top), self._given.get(key, -1)) + 1
-            self._given[key] = version
-            return version
+        job that has its entry (or its claim) already, that one's."""
+        own = self.entries(spec)
+        top = mine = None
+        if own is not None:
+            again = F.when((F.col("job") == job) & (F.col("batch_id") == batch_id), F.col("version"))
+            top, mine = own.agg(F.max("version"), F.max(again)).first()
+        if mine is not None:
+            return int(mine)
+        owner = uuid.uuid4().hex if batch_id is None else f"{job} {batch_id}"
+        version = 0 if top is None else int(top) + 1
+        while not claim(self.spark, f"{self.root}/claims/{_key(spec.identity)}/v{version}", owner):
+            version += 1  # another driver's, or a build that never finished
+        return version
+
+    def put_record(self, spec: ModelSpec, version: int, record: str) -> None:
+        """Keep what a version computes, as data."""
+        row = self.spark.createDataFrame([(int(version), record)], RECORD_SCHEMA).coalesce(1)
+        row.write.mode("append").parquet(f"{self.root}/records/model={_key(spec.identity)}")
+
+    def records(self, spec: ModelSpec) -> DataFrame:
+        """``version, record`` of a model's versions (of a retried build: one)."""
+        found = self._read(f"{self.root}/records/model={_key(spec.identity)}", RECORD_SCHEMA)
+        return self.spark.createDataFrame([], RECORD_SCHEMA) if found is None else found.dropDuplicates(["version"])
 
     def recorded(self, spec: ModelSpec, job: str, batch_id: int) -> bool:
         """Whether a batch of a job has its entry (a retry has nothing to do)."""

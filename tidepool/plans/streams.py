@@ -9,17 +9,22 @@ the stream scores the validation side.
 
 from __future__ import annotations
 
+import json
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import models as ML
 from ..operators.asof import asof_join
+from ..operators.model_data import score_versions
+from ..operators.prefix import ordered_prefix
 from ..operators.registry import ModelRegistry
 from ..operators.series import count_display
 from ..operators.split import hash_fraction
+from ..operators.tally import N, fit_tallies, tally
 from ..session import scratch_path
+from ..sources.topic import TopicSource, publish, to_messages
 from ..streaming.ingest import subscribe
 from ..streaming.rebuild import model_as_of as _model_as_of
 from ..streaming.rebuild import rebuild_plan as _rebuild_plan
@@ -309,26 +314,113 @@ _HASH_EV = "('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8))::UBIGINT / 42
     "model_swap_score",
     "H4 H1 G15",
     "WITH ev AS (SELECT event_id, event_type, CAST(user_id >= 75 AS DOUBLE) AS hi_user, value, "
-    f"{_HASH_EV} AS u FROM events), "
-    "m AS (SELECT hi_user, avg(value) AS p FROM ev WHERE event_type = 'click' AND u < 0.5 GROUP BY hi_user) "
-    "SELECT event_id, ev.hi_user, round(p, 4) AS prediction FROM ev JOIN m ON ev.hi_user = m.hi_user "
-    "WHERE event_type = 'view'",
+    f"{_HASH_EV} AS u, event_id * 2 // (max(event_id) OVER () + 1) AS half FROM events), "
+    "m AS (SELECT v, hi_user, avg(value) AS p FROM ev JOIN (VALUES (0), (1)) AS t(v) ON half <= v "
+    "WHERE event_type = 'click' AND u < 0.5 GROUP BY ALL) "
+    "SELECT event_id, ev.hi_user, round(p, 4) AS prediction, CAST(half AS BIGINT) AS model_version FROM ev "
+    "JOIN m ON ev.hi_user = m.hi_user AND m.v = half WHERE event_type = 'view'",
 )
 def model_swap_score(spark: SparkSession, sf: str) -> DataFrame:
-    """A model of the click topic is rebuilt from every arriving file ("all
-    data"); the view topic is then scored by a stream that looks up the
-    newest registered version per micro-batch."""
+    """The click topic's model is rebuilt ("all data") while the view topic is scored: the
+    first half of the messages arrives, is built on and scored, then the second; each
+    message carries the version that was newest when it came."""
     ev = table(spark, sf, "events").withColumn("hi_user", (F.col("user_id") >= 75).cast("double"))
-    src = stage_topic(spark, ev, topic_col="event_type", files=2, order_col="event_id")
-    sub = subscribe(spark, src, hints=EVENT_HINTS)
+    half = F.floor(F.col("event_id") * 2 / F.lit(ev.agg(F.max("event_id") + 1).first()[0]))
+    target = TopicSource(None, path=scratch_path(spark, "swap-topics"))
     registry = ModelRegistry(spark, scratch_path(spark, "registry"))
     spec = ML.ModelSpec("click", "regression", "decision_tree", "value", ("hi_user",), split_key=("event_id",))
-    click = replace(sub, source=replace(src, name="click", max_per_trigger=1))
-    jobs = f"{registry.root}/jobs/{spec.name}"
-    start_rebuild(spark, scoring_rows(spark, click), spec, registry, f"{jobs}/rows", f"{jobs}/checkpoint", trigger="availableNow")
-    view = replace(sub, source=replace(src, name="view", max_per_trigger=1))
-    out = scratch_path(spark, "swap-scored")
-    score_with_registry(spark, scoring_rows(spark, view), registry, spec, f"{out}/table", f"{out}/checkpoint")
+    jobs, out = f"{registry.root}/jobs/{spec.name}", scratch_path(spark, "swap-scored")
+    sub = None
+    for part in (0, 1):
+        publish(to_messages(ev.where(half == part), "event_type"), target)
+        sub = sub or subscribe(spark, target, hints=EVENT_HINTS)
+        click, view = (replace(sub, source=replace(target, name=n)) for n in ("click", "view"))
+        start_rebuild(spark, scoring_rows(spark, click), spec, registry, f"{jobs}/rows", f"{jobs}/checkpoint", trigger="availableNow")
+        score_with_registry(spark, scoring_rows(spark, view), registry, spec, f"{out}/table", f"{out}/checkpoint")
     scored = spark.read.parquet(f"{out}/table")
-    return scored.select("event_id", "hi_user", F.round("prediction", 4).alias("prediction"))
+    return scored.select("event_id", "hi_user", F.round("prediction", 4).alias("prediction"), "model_version")
+
+
+# --- models as data and counts that add up ------------------------------------
+
+_BAYES_CTE = (
+    "WITH ev AS (SELECT event_id, ts, CAST(user_id >= 75 AS DOUBLE) AS hi_user, CAST(value > 50 AS DOUBLE) AS hi_value, "
+    "CASE WHEN event_id % 5 = 0 THEN 'mixed' WHEN user_id >= 75 THEN 'upper' ELSE 'lower' END AS kind, "
+    f"{_HASH_EV} AS u FROM events), "
+)
+
+
+def _bayes(spark: SparkSession, sf: str) -> tuple[DataFrame, ML.ModelSpec]:
+    ev = table(spark, sf, "events").withColumns({
+        "hi_user": (F.col("user_id") >= 75).cast("double"), "hi_value": (F.col("value") > 50).cast("double"),
+        "kind": F.when(F.col("event_id") % 5 == 0, "mixed").when(F.col("user_id") >= 75, "upper").otherwise("lower"),
+    })
+    spec = ML.ModelSpec("events", "classification", "naive_bayes", "kind", ("hi_user", "hi_value"), split_key=("event_id",))
+    return ev.select("event_id", "ts", "hi_user", "hi_value", "kind"), spec
+
 
+@query(
+    "rebuild_by_counts",
+    "H3 G4 G11",
+    _BAYES_CTE + "c AS (SELECT kind, count(*) AS n, sum(hi_user) AS s1, sum(hi_value) AS s2 FROM ev WHERE u < 0.5 GROUP BY kind), "
+    "t AS (SELECT *, ln(n + 1) - ln(sum(n) OVER () + count(*) OVER ()) AS prior FROM c) "
+    "SELECT 'rows' AS term, CAST(count(*) AS DOUBLE) AS value FROM ev UNION ALL SELECT kind || ':log_prior', round(prior, 9) FROM t "
+    "UNION ALL SELECT kind || ':hi_user:log_likelihood', round(ln(s1 + 1) - ln(n + 2), 9) FROM t "
+    "UNION ALL SELECT kind || ':hi_value:log_likelihood', round(ln(s2 + 1) - ln(n + 2), 9) FROM t",
+)
+def rebuild_by_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """A naive Bayes model rebuilt on all data after each of five micro-batches, by adding
+    each batch's counts: rows covered and parameters of the last version."""
+    ev, spec = _bayes(spark, sf)
+    path = scratch_path(spark, "bayes-rows")
+    ev.repartitionByRange(5, "event_id").write.parquet(path)
+    rows = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    registry = ModelRegistry(spark, scratch_path(spark, "registry"))
+    jobs = f"{registry.root}/jobs/bayes"
+    start_rebuild(spark, rows, spec, registry, f"{jobs}/rows", f"{jobs}/checkpoint", trigger="availableNow")
+    live = registry.latest_for(spec)
+    model = json.loads(registry.records(spec).where(F.col("version") == live["version"]).first()["record"])
+    terms = [("rows", float(live["n_build"]))]
+    for label, prior, theta in zip(model["labels"], model["pi"], model["theta"], strict=True):
+        terms.append((f"{label}:log_prior", prior))
+        terms += [(f"{label}:{v}:log_likelihood", t) for v, t in zip(spec.variables, theta, strict=True)]
+    return spark.createDataFrame(terms, "term string, value double").select("term", F.round("value", 9).alias("value"))
+
+
+@query(
+    "score_many_versions",
+    "H4 G12 G4",
+    _BAYES_CTE + "b AS (SELECT date_trunc('day', min(ts)) + INTERVAL 1 DAY AS lo, max(ts) AS hi FROM ev), "
+    "v AS (SELECT k AS version, lo + k * INTERVAL 2 HOUR AS built_at FROM b, range(0, 12 * 60) AS t(k) WHERE lo + k * INTERVAL 2 HOUR <= hi), "
+    "c AS (SELECT version, kind, count(*) AS n, sum(hi_user) AS s1, sum(hi_value) AS s2 FROM v JOIN ev ON ts < built_at AND u < 0.5 GROUP BY ALL), "
+    "m AS (SELECT *, ln(n + 1) - ln(sum(n) OVER (PARTITION BY version) + count(*) OVER (PARTITION BY version)) AS prior, "
+    "(s1 + 1) / (n + 2) AS p1, (s2 + 1) / (n + 2) AS p2 FROM c), "
+    "a AS (SELECT event_id, hi_user, hi_value, version FROM ev ASOF LEFT JOIN v ON ev.ts >= v.built_at), "
+    "s AS (SELECT event_id, a.version, kind, row_number() OVER (PARTITION BY event_id ORDER BY round(prior "
+    "+ ln(CASE WHEN hi_user = 1 THEN p1 ELSE 1 - p1 END) + ln(CASE WHEN hi_value = 1 THEN p2 ELSE 1 - p2 END), 9) DESC, n DESC, kind) AS r "
+    "FROM a LEFT JOIN m ON a.version = m.version) "
+    "SELECT event_id, CAST(version AS BIGINT) AS model_version, kind AS prediction FROM s WHERE r = 1",
+)
+def score_many_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """A model rebuilt on all data every two hours for a month (hundreds of versions, made
+    from counts), and each event scored with the version in force at its time, in one plan."""
+    ev, spec = _bayes(spark, sf)
+    every = 2 * 3600 * 10**6
+    lo, hi = ev.agg(F.min(F.unix_micros(F.date_trunc("day", "ts"))) + 24 * 3600 * 10**6, F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    last = (hi - lo) // every
+    # the first version that knows a row: built after its time
+    first = F.greatest(F.lit(0), F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(lo)) / F.lit(every)) + 1).cast("bigint")
+    counts = tally(ML.training_rows(ev.withColumn("first", first), spec, keep=("first",)), spec, keep=("first",))
+    group = [c for c in counts.columns if c not in ("first", N)]
+    running = ordered_prefix(counts, ["first"], group, sums={"total": N}, rank_col="nth")
+    until = F.lead("first", 1, last + 1).over(Window.partitionBy(*group).orderBy("first"))
+    cumulative = running.withColumn("until", until - 1).where(F.col("first") <= F.col("until")).select(
+        *group, F.col("total").alias(N), F.explode(F.sequence("first", "until")).alias("version")
+    )
+    records = fit_tallies(cumulative, spec, "version")
+    versions = spark.range(last + 1).select(F.lit(0).alias("all"), F.col("id").alias("model_version"), F.timestamp_micros(F.lit(lo) + F.col("id") * every).alias("built_at"))
+    found = asof_join(ev.withColumn("all", F.lit(0)), versions, ["all"], "ts", "built_at").drop("all", "built_at", "kind")
+    path = scratch_path(spark, "as-of")
+    found.withColumn("part", F.spark_partition_id()).write.parquet(path)
+    scored = score_versions(spark.read.parquet(path), records, "model_version", "part", "prediction", as_text=True)
+    return scored.select("event_id", "model_version", "prediction")

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
+from ..operators.model_data import score_rows
 from ..operators.models import CLASSIFICATION, ModelSpec, load, predict
 from ..operators.prefix import ordered_prefix
 from ..sources.topic import read_stream
@@ -196,6 +197,14 @@ def score_with_registry(
             none.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
             return
         path = live["model_path"]
+        if path is None:  # built from counts: there is only its record
+            if not isinstance(model, ModelSpec):
+                raise ValueError("a model that is built from counts is scored by its definition, not its name")
+            record = registry.records(model).where(F.col("version") == live["version"]).first()["record"]
+            scored = score_rows(batch, record, "prediction", model.kind == CLASSIFICATION)
+            scored = scored.withColumn("model_version", F.lit(live["version"]).cast("bigint"))
+            scored.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+            return
         if path not in loaded:  # a version's files never change; only the one in force is kept
             loaded.clear()
             loaded[path] = load(path)

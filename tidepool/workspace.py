@@ -90,13 +90,15 @@ class Workspace:
         return rebuild_once(self.spark, ML.training_rows(self._build_rows(spec), spec), spec, self.registry)
 
     def start_rebuild(self, name: str, trigger: str | None = None) -> StreamingQuery:
-        """Rebuild on a timer from the build topic's new messages."""
+        """Rebuild on a timer from the build topic's new messages; "all" rebuilds read
+        the topic's history as it is then."""
         spec = self.models[name]
         sub = self._sub(spec.build_source or spec.topic)
         jobs = f"{self.registry.root}/jobs/{name}"
         return start_rebuild(
-            self.spark, scoring_rows(self.spark, sub), spec, self.registry, f"{jobs}/rows", f"{jobs}/checkpoint", trigger
-        )
+            self.spark, scoring_rows(self.spark, sub), spec, self.registry, f"{jobs}/rows", f"{jobs}/checkpoint", trigger,
+            history=lambda: sub.history(self.spark),
+        )
 
     def score(self, name: str, trigger: str | None = "availableNow") -> tuple[StreamingQuery, str]:
         """Score the scoring topic with the newest registered version."""
