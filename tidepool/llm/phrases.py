@@ -268,8 +268,8 @@ def exact_counts(docs: DataFrame, threshold: int, longest: int, partitions: int,
     """``lang, size, phrase, n`` of phrases with at least ``threshold`` occurrences;
     size 0 stands for all words of a language.
 
-    A stretch sends each hash partition its phrases as lists, a row per language and
-    size; a partition has all counts of its phrases."""
+    A stretch sends each hash partition one row, its phrases as lists (in runs of one
+    language and size); a partition has all counts of its phrases."""
     shift = np.uint64(64 - (partitions.bit_length() - 1))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +279,7 @@ def exact_counts(docs: DataFrame, threshold: int, longest: int, partitions: int,
             words = read_words(rows)
             text, width = words.vocabulary, np.int64(len(words.vocabulary) + 1)
             per_lang = np.bincount(words.lang[words.code >= 0], minlength=len(words.langs))
-            out = [(xxhash.xxh32_intdigest(x) % partitions, x, 0, [""], [n]) for x, n in zip(words.langs, per_lang.tolist()) if n]
+            runs = [(xxhash.xxh32_intdigest(x) % partitions, x, 0, [""], [n]) for x, n in zip(words.langs, per_lang.tolist()) if n]
             for n, at, h in _windows(words, tuple(range(1, longest + 1)), pairs):
                 hit = _has(pairs if n <= 2 else longer, h)
                 at, h = at[hit], h[hit]
@@ -293,19 +293,26 @@ def exact_counts(docs: DataFrame, threshold: int, longest: int, partitions: int,
                 by = np.lexsort((lang, part))
                 phrase = words.code[at[first][by][:, None] + np.arange(n)].tolist()
                 phrases = [b" ".join([text[c] for c in row]).decode() for row in phrase]
-                part, lang, count = part[by], lang[by], count[by]
+                part, lang, count = part[by], lang[by], count[by].tolist()
                 cuts = [0, *(np.flatnonzero((np.diff(part) != 0) | (np.diff(lang) != 0)) + 1).tolist(), len(by)]
-                out += [(int(part[i]), words.langs[lang[i]], n, phrases[i:j], count[i:j]) for i, j in zip(cuts, cuts[1:]) if i < j]
-            columns = list(zip(*out, strict=True)) or [()] * len(names)
+                runs += [(int(part[i]), words.langs[lang[i]], n, phrases[i:j], count[i:j]) for i, j in zip(cuts, cuts[1:]) if i < j]
+            by_part: dict[int, list] = {}
+            for run in runs:
+                by_part.setdefault(run[0], []).append(run)
+            columns = [
+                list(by_part), [[r[1] for r in own] for own in by_part.values()], [[r[2] for r in own] for own in by_part.values()],
+                [[len(r[3]) for r in own] for own in by_part.values()], [[p for r in own for p in r[3]] for own in by_part.values()],
+                [[c for r in own for c in r[4]] for own in by_part.values()],
+            ]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    names = ["part", "lang", "size", "phrases", "counts"]
-    kinds = [pa.int32(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64())]
+    names = ["part", "langs", "sizes", "lengths", "phrases", "counts"]
+    kinds = [pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64())]
 
     def flat(batch: pa.RecordBatch) -> pa.Table:
-        phrases, counts = batch.column(3), batch.column(4)
-        row = pc.list_parent_indices(phrases)
-        return pa.table({"lang": batch.column(1).take(row), "size": batch.column(2).take(row), "phrase": phrases.flatten(), "n": counts.flatten()})
+        langs, sizes, lengths, phrases, counts = (batch.column(k).flatten() for k in range(1, 6))
+        run = pa.array(np.repeat(np.arange(len(lengths)), lengths.to_numpy()))
+        return pa.table({"lang": langs.take(run), "size": sizes.take(run), "phrase": phrases, "n": counts})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -316,8 +323,8 @@ def exact_counts(docs: DataFrame, threshold: int, longest: int, partitions: int,
             return pa.concat_tables(held).group_by(keys).aggregate([("n", "sum")]).rename_columns([*keys, "n"])
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                held.append(flat(batch.slice(i, 1000)))
+            for i in range(0, batch.num_rows, 100):
+                held.append(flat(batch.slice(i, 100)))
                 size += held[-1].num_rows
                 if size - kept > max(kept, _FOLD_ROWS):
                     held = [summed()]
@@ -326,7 +333,7 @@ def exact_counts(docs: DataFrame, threshold: int, longest: int, partitions: int,
             found = summed()
             yield from found.filter(pc.or_(pc.equal(found["size"], 0), pc.greater_equal(found["n"], threshold))).to_batches(max_chunksize=50_000)
 
-    sent = _given(docs).mapInArrow(emit, "part int, lang string, size int, phrases array<string>, counts array<bigint>")
+    sent = _given(docs).mapInArrow(emit, "part int, langs array<string>, sizes array<int>, lengths array<int>, phrases array<string>, counts array<bigint>")
     return sent.repartitionById(partitions, "part").mapInArrow(count, "lang string, size int, phrase string, n long")
 
 
@@ -370,7 +377,7 @@ def mine(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, to
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     # About six bytes a word, two or three phrase sizes a round: a power of two partitions.
-    partitions = min(MAX_PARTITIONS, 1 << max(3, int(size // 3 // PARTITION_MASS).bit_length()))
+    partitions = min(MAX_PARTITIONS, 1 << max(1, int(size // 3 // PARTITION_MASS).bit_length()))
     share: Callable = spark.sparkContext.broadcast
     short = share(frequent_bits(docs, (1, 2), threshold, partitions).tobytes())
     long = share(frequent_bits(docs, tuple(range(3, longest + 1)), threshold, partitions, short).tobytes()) if longest > 2 else short
