@@ -159,6 +159,8 @@ def decode(
     position_col: str | None = None,
     rescued_col: str | None = None,
     reserved: Iterable[str] = (),
+    reason_col: str | None = None,
+    raw_col: str | None = None,
 ) -> DataFrame:
     """Decode JSON messages into rows of ``schema`` (one per object).
 
@@ -174,11 +176,15 @@ def decode(
 
     A payload field named like a carried, position, rescued or ``reserved``
     column is called ``<name>_msg`` (again until the name is free).
+
+    With ``reason_col`` and ``raw_col`` every message that belongs in a quarantine
+    (see ``classify``) gives one more row, whose payload is NULL and which holds the
+    reason and the message's text: rows and quarantine out of one reading.
     """
     keep = list(keep or [])
     text = F.col(value_col).cast("string")
     rows = message_rows(text, schema)
-    if rescued_col:
+    if rescued_col or reason_col:
         known = F.array(*[F.lit(f.name) for f in schema.fields]).cast("array<string>")
         # (a null array would make the zipped one null)
         found = F.coalesce("_found", F.array().cast("array<variant>"))
@@ -196,18 +202,31 @@ def decode(
             whole = F.when(i == 0, F.create_map(F.lit(WHOLE), F.col("_text")))
             return F.struct(pair["row"].alias("row"), F.when(F.col("_found").isNull(), whole).otherwise(kept).alias("extra"))
 
-        read = messages.select(*keep, text.alias("_text"), rows.alias("_rows")).where(F.size("_rows") > 0)
-        read = read.withColumn("_found", _row_variants(F.col("_text")))
-        exploded = read.select(*keep, F.posexplode(F.transform(both, aside)).alias("_pos", "_pair")).select(
-            *keep, "_pos", F.col("_pair.row").alias("_msg"), F.col("_pair.extra").alias("_extra")
-        )
+        read = messages.select(*keep, text.alias("_text"), rows.alias("_rows"))
+        read = (read if reason_col else read.where(F.size("_rows") > 0)).withColumn("_found", _row_variants(F.col("_text")))
+        entries = F.transform(both, aside)
+        if reason_col:
+            status = _status(F.col("_text"), F.col("_rows"), F.col("_found"), schema)
+            kind = read.select(entries.alias("e")).schema["e"].dataType
+            bad = F.array(F.lit(None).cast(kind.elementType))
+            # the quarantine's entry comes behind the rows, as a null
+            good = F.coalesce(entries, F.array().cast(kind))
+            read = read.withColumn("_status", status)
+            entries = F.when(F.col("_status").isin(*BAD), F.concat(good, bad)).otherwise(good)
+        exploded = read.select(*keep, *(["_status", "_text"] if reason_col else []), F.posexplode(entries).alias("_pos", "_pair"))
+        extra_cols = []
+        if reason_col:
+            aside_here = F.col("_pair").isNull()
+            extra_cols = [F.when(aside_here, F.col("_status")).alias("_status"), F.when(aside_here, F.col("_text")).alias("_text")]
+        position = F.when(F.col("_pair").isNotNull(), F.col("_pos")) if reason_col else F.col("_pos")
+        exploded = exploded.select(*keep, position.alias("_pos"), F.col("_pair.row").alias("_msg"), F.col("_pair.extra").alias("_extra"), *extra_cols)
     else:
         exploded = messages.select(*keep, F.posexplode(rows).alias("_pos", "_msg"))
     cols = [F.col(k) for k in keep]
     if position_col:
         cols.append(F.col("_pos").alias(position_col))
     own = {f.name for f in schema.fields}
-    taken = [*keep, *(c for c in (position_col, rescued_col) if c), *reserved]
+    taken = [*keep, *(c for c in (position_col, rescued_col, reason_col, raw_col) if c), *reserved]
     names: list[str] = []
     for f in schema.fields:
         clash = f.name.lower() in {t.lower() for t in taken}
@@ -215,6 +234,8 @@ def decode(
     cols += [F.col("_msg").getField(f.name).alias(name) for f, name in zip(schema.fields, names, strict=True)]
     if rescued_col:
         cols.append(F.when(F.size("_extra") > 0, F.to_json("_extra")).alias(rescued_col))
+    if reason_col:
+        cols += [F.col("_status").alias(reason_col), F.col("_text").alias(raw_col or "_raw")]
     return exploded.select(*cols)
 
 
@@ -233,8 +254,10 @@ def classify(messages: DataFrame, schema: T.StructType, value_col: str = "value"
     has more digits than its column keeps.
     """
     text = F.col(value_col).cast("string")
-    rows = message_rows(text, schema)
-    found = _row_variants(text)
+    return _status(text, message_rows(text, schema), _row_variants(text), schema)
+
+
+def _status(text: Column, rows: Column, found: Column, schema: T.StructType) -> Column:
     worst = F.array_max(F.transform(F.arrays_zip(found.alias("found"), rows.alias("row")), lambda p: _loss(p["found"], p["row"], schema)))
     # Without a variant only a lone object's misfits can be told.
     with_corrupt = T.StructType(schema.fields + [T.StructField(CORRUPT_COL, T.StringType(), True)])

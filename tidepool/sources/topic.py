@@ -14,8 +14,11 @@ Every reader returns the same message frame::
 
     topic STRING, partition INT, offset BIGINT, timestamp TIMESTAMP, value STRING
 
-``partition``/``offset``/``timestamp`` are NULL for file topics; order of
-rows is then a property of the payload (event time, id), never of arrival.
+Files of a Parquet topic are its partitions and rows their offsets: ``partition`` is a
+31-bit hash of the file's path, ``offset`` the row's place in the file, ``timestamp``
+the time the file was written (Spark's file metadata, so they are the same in
+streams, batches and after a restart).  Text files have no row numbers: the three are
+NULL for text topics, whose order is a property of the payload (event time, id).
 """
 
 from __future__ import annotations
@@ -73,6 +76,14 @@ def _message_frame(df: DataFrame, src: TopicSource) -> DataFrame:
             F.col("value").cast("string").alias("value"),
         )
     topic = F.col("topic").cast("string") if "topic" in df.columns else F.lit(src.name)
+    if src.fmt == "parquet":
+        return df.select(
+            topic.alias("topic"),
+            F.xxhash64("_metadata.file_path").bitwiseAND(0x7FFFFFFF).cast("int").alias("partition"),
+            F.col("_metadata.row_index").alias("offset"),
+            F.col("_metadata.file_modification_time").alias("timestamp"),
+            F.col("value"),
+        )
     return df.select(
         topic.alias("topic"),
         F.lit(None).cast("int").alias("partition"),

@@ -34,6 +34,8 @@ SNAPSHOTS = 4
 BATCH = "_batch_id"
 META_COLS = ["topic", "_partition", "_offset", "_timestamp"]
 ARRIVAL = "_ingested_at"
+#: With a quarantine in the history: the folder a row is in, a message's reason and text.
+KIND, REASON, RAW, ROWS = "_kind", "_reason", "_raw", "rows"
 
 
 @dataclass
@@ -46,12 +48,24 @@ class Subscription:
     checkpoint_path: str
     sep: str = "_"
     rescue: bool = True
+    quarantine: bool = False
+
+    def _written(self, spark: SparkSession) -> DataFrame:
+        found = spark.read.parquet(self.history_path).schema
+        return spark.read.schema(with_text_topic(found)).parquet(self.history_path)
 
     def history(self, spark: SparkSession) -> DataFrame:
         """The append-only history written so far (a batch frame); topics are
         text, also where the folder's name looks like a number."""
-        found = spark.read.parquet(self.history_path).schema
-        return spark.read.schema(with_text_topic(found)).parquet(self.history_path)
+        rows = self._written(spark)
+        return rows.where(F.col(KIND) == ROWS).drop(KIND, REASON, RAW) if self.quarantine else rows
+
+    def quarantined(self, spark: SparkSession) -> DataFrame:
+        """The messages kept aside so far: coordinates, ``value`` and ``reason``."""
+        if not self.quarantine:
+            raise LookupError("the topic is not subscribed with quarantine=True")
+        bad = self._written(spark).where(F.col(KIND) != ROWS)
+        return bad.select(*META_COLS, ARRIVAL, F.col(RAW).alias("value"), F.col(REASON).alias("reason"))
 
     def attributes(self) -> list[tuple[str, str]]:
         return J.attributes(self.schema, self.sep)
@@ -66,8 +80,11 @@ def subscribe(
     sep: str = "_",
     root: str | None = None,
     rescue: bool = True,
+    quarantine: bool = False,
 ) -> Subscription:
     """Check the source, pin the message schema, allocate history folders.
+    With ``quarantine`` the history's stream keeps messages that do not decode cleanly,
+    too, in a folder of their own beside the rows: one reading, one commit for both.
     What the pinned schema cannot hold (unknown fields, values of another type)
     is kept as JSON text in the history's ``_rescued`` column unless ``rescue=False``."""
     # without a given schema, inference reads the messages anyway and an
@@ -80,10 +97,10 @@ def subscribe(
     elif hints:
         schema = J.apply_hints(schema, hints)
     root = root or scratch_path(spark, "topic")
-    return Subscription(source, schema, f"{root}/history", f"{root}/checkpoint", sep, rescue)
+    return Subscription(source, schema, f"{root}/history", f"{root}/checkpoint", sep, rescue, quarantine)
 
 
-def decoded_rows(messages: DataFrame, schema: T.StructType, sep: str = "_", rescue: bool = True) -> DataFrame:
+def decoded_rows(messages: DataFrame, schema: T.StructType, sep: str = "_", rescue: bool = True, quarantine: bool = False) -> DataFrame:
     """Message frame -> one flat row per JSON object (metadata kept); a payload
     field called like one of the columns added here gets ``_msg`` behind its name."""
     renamed = messages.select(
@@ -94,7 +111,9 @@ def decoded_rows(messages: DataFrame, schema: T.StructType, sep: str = "_", resc
         "value",
     )
     rescued = "_rescued" if rescue else None
-    rows = J.decode(renamed, schema, keep=META_COLS, position_col="_pos", rescued_col=rescued, reserved=[ARRIVAL, "_rescued"])
+    bad = {"reason_col": REASON, "raw_col": RAW} if quarantine else {}
+    reserved = [ARRIVAL, "_rescued", KIND, REASON, RAW]
+    rows = J.decode(renamed, schema, keep=META_COLS, position_col="_pos", rescued_col=rescued, reserved=reserved, **bad)
     payload = [c for c in rows.columns if c not in META_COLS and c != "_pos"]
     flat = J.flatten(rows, sep=sep, columns=META_COLS + ["_pos"] + payload)
     # In a stream, current_timestamp() is the micro-batch's time, kept in the
@@ -111,12 +130,16 @@ def ingest(
 ) -> StreamingQuery:
     """Start the history stream.  ``trigger="availableNow"`` replays what is
     there and stops (awaited here); ``"1 second"`` etc. runs continuously."""
-    rows = decoded_rows(read_stream(spark, sub.source), sub.schema, sub.sep, sub.rescue)
+    rows = decoded_rows(read_stream(spark, sub.source), sub.schema, sub.sep, sub.rescue, sub.quarantine)
+    folders = ["topic"]
+    if sub.quarantine:
+        rows = rows.withColumn(KIND, F.when(F.col(REASON).isNull(), F.lit(ROWS)).otherwise(F.lit("quarantine")))
+        folders = [KIND, "topic"]
     writer = (
         rows.writeStream.format("parquet")
         .option("path", sub.history_path)
         .option("checkpointLocation", sub.checkpoint_path)
-        .partitionBy("topic")
+        .partitionBy(*folders)
         .outputMode("append")
     )
     if query_name:
@@ -218,7 +241,8 @@ def live_latest(
 def start_quarantine(
     spark: SparkSession, sub: Subscription, path: str | None = None, trigger: str | None = "availableNow"
 ) -> tuple[StreamingQuery, str]:
-    """Keep messages that do not decode cleanly -- unreadable text, JSON
+    """Keep messages that do not decode cleanly (a stream of its own; ``subscribe`` with
+    ``quarantine=True`` reads each message once for both) -- unreadable text, JSON
     that is not objects, objects with a wrong-typed leaf or a number of more
     digits than its column -- with a ``reason``, in their own Parquet folder."""
     path = path or f"{sub.checkpoint_path}-quarantine/table"

@@ -9,9 +9,9 @@ whole accumulated frame on every refresh is not reproduced.
 ``running_rmse_stream``: per micro-batch, the batch's rows are ranked and
 their squared errors prefix-summed with the distributed ordered prefix,
 shifted by the per-topic totals of all earlier batches (a small state
-table).  Output and state are written under ``batch_id=N`` folders with
-overwrite, so a retried batch replaces itself; batch N reads the complete
-state written by batch N-1 only.  No key's rows ever meet in one task.
+table).  Output is written under ``batch_id=N`` folders and state in two folders
+that take turns, both with overwrite, so a retried batch replaces itself; batch N
+reads the complete state written by batch N-1 only.  No key's rows ever meet in one task.
 
 ``prefix_stream`` is the general form (sequence axis and running sums of
 any column); ``read_sequence`` adds newest-first numbering at read time.
@@ -74,19 +74,27 @@ def score_stream(
     return _run(writer, trigger)
 
 
+#: Number of the micro-batch that a state folder stands for.
+STATE_BATCH = "_state_batch"
+
+
 def _state_before(spark: SparkSession, state_path: str, batch_id: int, group: str, names: list[str]) -> DataFrame | None:
     """Totals per group after batch ``batch_id - 1``.
 
     Every batch writes the complete state (groups absent from it keep their
-    totals), and micro-batch ids are consecutive, so only the previous
-    batch's folder is read -- the cost does not grow with the stream's age.
+    totals); two folders take turns, so neither the files nor the reading
+    grow with the stream's age, and a batch that is run again finds its predecessor's.
     """
     if batch_id == 0:
         return None
     try:
-        return spark.read.parquet(f"{state_path}/batch_id={batch_id - 1}").select(group, "n", *names)
+        state = spark.read.parquet(f"{state_path}/turn={(batch_id - 1) % 2}")
     except AnalysisException as exc:
         raise LookupError(f"the state after batch {batch_id - 1} is missing under {state_path}") from exc
+    known = state.agg(F.max(STATE_BATCH)).first()[0]
+    if known is not None and known != batch_id - 1:
+        raise LookupError(f"the state under {state_path} is of batch {known}, not {batch_id - 1}")
+    return state.select(group, "n", *names)
 
 
 def prefix_stream(
@@ -129,7 +137,7 @@ def prefix_stream(
         if base is not None:
             # groups absent from this batch keep their totals
             totals = base.join(totals, base[group].eqNullSafe(totals[group]), "left_anti").unionByName(totals)
-        totals.write.mode("overwrite").parquet(f"{state_path}/batch_id={batch_id}")
+        totals.withColumn(STATE_BATCH, F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{state_path}/turn={batch_id % 2}")
 
     writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
     return _run(writer, trigger)
@@ -138,7 +146,7 @@ def prefix_stream(
 def read_sequence(spark: SparkSession, out_path: str, state_path: str, group: str = "topic") -> DataFrame:
     """Rows of a prefix stream with ``seq_newest`` (1 = newest row)."""
     out = spark.read.parquet(out_path)
-    last = spark.read.parquet(state_path).groupBy(F.col(group).alias("_group")).agg(F.max_by("n", "batch_id").alias("_n"))
+    last = spark.read.parquet(state_path).groupBy(F.col(group).alias("_group")).agg(F.max_by("n", STATE_BATCH).alias("_n"))
     return out.join(last, out[group].eqNullSafe(last["_group"])).withColumn(
         "seq_newest", F.col("_n") - F.col("seq") + 1
     ).drop("_n", "_group")
