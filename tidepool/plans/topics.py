@@ -308,6 +308,49 @@ def lossless_decode(spark: SparkSession, sf: str) -> DataFrame:
     return rows.unionByName(bad)
 
 
+@query(
+    "ingest_two_outputs",
+    "A5 B4 A1",
+    "WITH m AS (SELECT event_id % 8 AS kind FROM events) "
+    "SELECT 'rows' AS output, CAST(NULL AS VARCHAR) AS reason, sum(CASE WHEN kind = 7 THEN 2 WHEN kind IN (1, 2) THEN 0 ELSE 1 END)::BIGINT AS n FROM m "
+    "UNION ALL SELECT 'quarantine', CASE kind WHEN 5 THEN 'wrong_type' WHEN 3 THEN 'inexact' ELSE 'unreadable' END AS r, count(*) "
+    "FROM m WHERE kind IN (1, 2, 3, 5) GROUP BY r",
+)
+def ingest_two_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """The messages of ``lossless_decode`` ingested by one stream that reads each once and
+    commits rows and quarantine together."""
+    ev = table(spark, sf, "events").select("event_id", F.col("event_id").cast("string").alias("id"))
+    src = TopicSource("two", path=scratch_path(spark, "topic-files"), max_per_trigger=2)
+    publish(ev.repartition(4).select(F.expr(_LOSSLESS_TEXT.replace("VARCHAR(20)", "STRING")).alias("value")), src)
+    sub = subscribe(spark, src, schema=DAMAGED_SCHEMA, quarantine=True)
+    ingest(spark, sub)
+    n = F.count(F.lit(1)).alias("n")
+    rows = sub.history(spark).agg(n).select(F.lit("rows").alias("output"), F.lit(None).cast("string").alias("reason"), "n")
+    return rows.unionByName(sub.quarantined(spark).groupBy(F.lit("quarantine").alias("output"), "reason").agg(n))
+
+
+@query(
+    "topic_coordinates",
+    "A1 A3 F3",
+    "SELECT event_id, value FROM events, (SELECT max(event_id) // 10 * 9 AS c FROM events) WHERE event_id >= c",
+)
+def topic_coordinates(spark: SparkSession, sf: str) -> DataFrame:
+    """A Parquet topic in two stretches: the messages behind the newest offset of every
+    partition that the first ingest has seen."""
+    ev = table(spark, sf, "events").select("event_id", "value")
+    late = F.col("event_id") >= F.lit(ev.agg(F.max("event_id")).first()[0] // 10 * 9)
+    src = TopicSource("coords", fmt="parquet", path=scratch_path(spark, "topic-files"))
+    publish(to_messages(ev.where(~late).repartition(4)), src)
+    sub = subscribe(spark, src, schema=DAMAGED_SCHEMA)
+    ingest(spark, sub)
+    path = scratch_path(spark, "offsets")
+    sub.history(spark).groupBy("_partition").agg(F.max("_offset").alias("newest")).write.parquet(path)
+    publish(to_messages(ev.where(late).repartition(2)), src)
+    ingest(spark, sub)
+    behind = sub.history(spark).join(spark.read.parquet(path), "_partition", "left").where(F.col("newest").isNull() | (F.col("_offset") > F.col("newest")))
+    return behind.select("event_id", "value")
+
+
 _SCHEMA_ATTRS = [("event_id", "bigint"), ("l", "array<bigint>"), ("m", "string"), ("n", "double"), ("o_x", "bigint"), ("o_y", "string"), ("z", "string")]
 
 
