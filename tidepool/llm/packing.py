@@ -64,9 +64,11 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     ranks = {bytes(letters[x] for x in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
     fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
 
     def encode(text: str) -> list[int]:
+        # an added token's text is that token, as the library takes it by default
+        if any(x in text for x in special):
+            return slow.encode(text, add_special_tokens=False).ids
         if len(text) > LONG_RUN and max(map(len, text.split()), default=0) > LONG_RUN:
             return slow.encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
