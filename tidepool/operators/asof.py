@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..session import scratch_path
 
-_B, _K, _T, _SIDE, _P, _L, _H = (f"_asof_{c}" for c in ("part", "keys", "time", "side", "right", "left", "spread"))
+_B, _K, _T, _SIDE, _P, _L, _H, _O = (f"_asof_{c}" for c in ("part", "keys", "time", "side", "right", "left", "spread", "order"))
 
 
 def _spread(df: DataFrame):
@@ -35,7 +35,8 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, ri
     """Left join: every left row, plus the right columns of the newest right
     row with the same ``on`` keys and ``right_ts <= left_ts`` (NULL when
     there is none; a NULL key or time matches nothing).  Among right rows of one
-    key and time the one whose columns compare greatest, in their order, wins.
+    key and time the one whose columns compare greatest, in their order, wins (as JSON
+    text where a column is of a type without an order, such as a map).
     Right columns other than the keys must not clash with left column names."""
     payload = [c for c in right.columns if c not in on]
     clash = set(payload) & set(left.columns)
@@ -51,13 +52,15 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, ri
 
     r_row = F.struct(*[right[f"`{c}`"] for c in payload])
     l_row = F.struct(*[left[f"`{c}`"] for c in left.columns])
+    ordered = not any("map<" in right.schema[c].dataType.simpleString() or right.schema[c].dataType.typeName() == "variant" for c in payload)
+    rank = _P if ordered else _O
     usable = moment(right, right_ts).isNotNull()
     for c in on:
         usable = usable & right[f"`{c}`"].isNotNull()
     # right rows sort before left rows of the same moment
     rights = right.where(usable).select(
         key(right).alias(_K), moment(right, right_ts).alias(_T), F.lit(0).alias(_SIDE), r_row.alias(_P),
-        F.lit(0).cast("bigint").alias(_H),
+        F.lit(0).cast("bigint").alias(_H), *([] if ordered else [F.to_json(r_row).alias(_O)]),
     )
     lefts = left.select(
         key(left).alias(_K), moment(left, left_ts).alias(_T), F.lit(1).alias(_SIDE), l_row.alias(_L), _spread(left).alias(_H),
@@ -65,13 +68,13 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, ri
     both = lefts.unionByName(rights, allowMissingColumns=True)
 
     # Lineage cut: range bounds are sampled once, lost executors re-read files.
-    order = [_T, _SIDE, _P, _H]
+    order = [_T, _SIDE, rank, _H]
     staged_path = scratch_path(spark, "asof")
     ranged = both.repartitionByRange(_K, *order).sortWithinPartitions(_K, *order).withColumn(_B, F.spark_partition_id())
     ranged.write.parquet(staged_path)
     staged = spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in ranged.schema.fields])).parquet(staged_path)
 
-    newest = staged.groupBy(_B, _K).agg(F.max_by(_P, F.when(F.col(_SIDE) == 0, F.struct(_T, _P))).alias(_P))
+    newest = staged.groupBy(_B, _K).agg(F.max_by(_P, F.when(F.col(_SIDE) == 0, F.struct(_T, rank))).alias(_P))
     earlier = Window.partitionBy(_K).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     carried = newest.select(
         _B, _K, F.lit(None).cast("timestamp").alias(_T), F.lit(-1).alias(_SIDE), F.last(_P, ignorenulls=True).over(earlier).alias(_P)

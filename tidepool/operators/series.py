@@ -62,6 +62,59 @@ def line_by_x(df: DataFrame, x: str, y: str) -> DataFrame:
     return series_xy(df, x, y).orderBy("x", "y")
 
 
+def line_columns(df: DataFrame, x: str, y: str, start, end, width: int, partition_by: list[str] | None = None) -> DataFrame:
+    """A line's points reduced to what ``width`` pixel columns between ``start`` and
+    ``end`` (numbers, dates or timestamps; the end included) can show: per column the
+    first, last, lowest and highest point (the earliest where several are equal).
+
+    A line drawn through these at most four points a column covers the same pixels as one
+    through all points.  One aggregate, reduced in every input partition; its rows are as
+    many as columns, however long the series, and can be merged (``merge_line_columns``).
+    Points with a NULL, or outside, are left out."""
+    _require_numeric(df, y)
+    if width < 1:
+        raise ValueError("a line needs at least one pixel column")
+    part = list(partition_by or [])
+    dated = isinstance(df.schema[x].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+
+    def place(c: Column) -> Column:
+        return F.unix_micros(c.cast("timestamp")) if dated else c.cast("double")
+
+    at = place(F.col(f"`{x}`"))
+    lo, hi = (place(F.lit(v).cast(df.schema[x].dataType)) for v in (start, end))
+    column = F.least(F.floor((at - lo) * F.lit(width) / F.greatest(hi - lo, F.lit(1 if dated else 1e-300))), F.lit(width - 1)).cast("int")
+    value = F.col(f"`{y}`").cast("double")
+    points = df.where(at.isNotNull() & value.isNotNull() & at.between(lo, hi))
+    point = F.struct(F.col(f"`{x}`").alias("x"), value.alias("y"))
+    tagged = points.select(*part, column.alias("column"), *[point.alias(c) for c in _CORNERS])
+    return merge_line_columns(tagged, partition_by=part)
+
+
+_CORNERS = ("first", "last", "lowest", "highest")
+
+
+def merge_line_columns(*parts: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+    """The pixel columns of several stretches of one series (batches, say) as one: the
+    same as those of all their points."""
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    x, y = (lambda c: F.col(f"{c}.x")), (lambda c: F.col(f"{c}.y"))
+    # A structure that is least at the earliest of the highest points needs the x turned round, so ask for the least -y.
+    best = {
+        "first": F.min(F.struct(x("first"), y("first"), F.col("first").alias("p"))), "last": F.max(F.struct(x("last"), y("last"), F.col("last").alias("p"))),
+        "lowest": F.min(F.struct(y("lowest"), x("lowest"), F.col("lowest").alias("p"))),
+        "highest": F.min(F.struct(-y("highest"), x("highest"), F.col("highest").alias("p"))),
+    }
+    return both.groupBy(*(partition_by or []), "column").agg(*[best[c]["p"].alias(c) for c in _CORNERS])
+
+
+def line_points(columns: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+    """The points of pixel columns, each once, as ``(x, y)`` rows in x order."""
+    points = columns.select(*(partition_by or []), F.explode(F.array_distinct(F.array(*_CORNERS))).alias("p"))
+    return points.select(*(partition_by or []), "p.x", "p.y").orderBy(*(partition_by or []), "x", "y")
+
+
 def stacked_bars(df: DataFrame, x: str, y: str) -> DataFrame:
     """Bar height per x when bars with equal x stack: positive and negative
     parts are summed apart (map-side partial aggregation, so a hot x costs

@@ -482,6 +482,30 @@ def line_by_x(spark: SparkSession, sf: str) -> DataFrame:
     return S.line_by_x(table(spark, sf, "events"), "ts", "value")
 
 
+_COLUMNS = 200
+
+
+@query(
+    "line_columns",
+    "C3 B8",
+    f"""
+WITH b AS (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM events),
+p AS (SELECT event_type AS topic, ts AS x, value AS y,
+  least(floor((epoch_us(ts) - lo) * {_COLUMNS} / (hi - lo)), {_COLUMNS - 1}) AS c FROM events, b)
+SELECT DISTINCT topic, x, y FROM (
+  SELECT *, row_number() OVER (PARTITION BY topic, c ORDER BY x, y) AS f, row_number() OVER (PARTITION BY topic, c ORDER BY x DESC, y DESC) AS l,
+    row_number() OVER (PARTITION BY topic, c ORDER BY y, x) AS lo, row_number() OVER (PARTITION BY topic, c ORDER BY y DESC, x) AS hi FROM p)
+WHERE f = 1 OR l = 1 OR lo = 1 OR hi = 1
+""",
+)
+def line_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of all topics at 200 pixel columns, merged from two halves of the history."""
+    hist = _history(spark, sf).select("topic", "event_id", "ts", "value")
+    lo, hi = hist.agg(F.min("ts"), F.max("ts")).first()
+    halves = [S.line_columns(hist.where(F.col("event_id") % 2 == k), "ts", "value", lo, hi, _COLUMNS, ["topic"]) for k in (0, 1)]
+    return S.line_points(S.merge_line_columns(*halves, partition_by=["topic"]), ["topic"])
+
+
 # --- D: aggregations -------------------------------------------------------
 
 
@@ -552,6 +576,22 @@ def new_rows_bag(spark: SparkSession, sf: str) -> DataFrame:
     return X.new_rows(history, ev, bag=True)
 
 
+_RANGE_EDITS = (
+    "cur AS (SELECT event_id, event_type, value FROM events UNION ALL SELECT event_id, event_type, value FROM events WHERE event_id % 500 = 3), "
+    "old AS (SELECT event_id, event_type, CASE WHEN event_id % 700 = 5 THEN value + 1 ELSE value END AS value FROM events) "
+)
+
+
+@query("new_rows_by_range", "F2", f"WITH {_RANGE_EDITS} (SELECT * FROM cur EXCEPT ALL SELECT * FROM old)")
+def new_rows_by_range(spark: SparkSession, sf: str) -> DataFrame:
+    """Bag difference of two histories that differ in a few rows: only ranges of 100 ids
+    whose fingerprints differ are compared."""
+    ev = table(spark, sf, "events").select("event_id", "event_type", "value")
+    current = ev.unionByName(ev.where(F.col("event_id") % 500 == 3))
+    old = ev.withColumn("value", F.when(F.col("event_id") % 700 == 5, F.col("value") + 1).otherwise(F.col("value")))
+    return X.new_rows_by_range(current, old, "event_id", 100, bag=True)
+
+
 @query(
     "new_rows_by_offset",
     "F3",

@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +26,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import json as J
 from ..operators.series import latest
-from ..operators.setops import new_rows_since
 from ..session import scratch_path
 from ..sources.topic import TopicSource, check_source, read_batch, read_stream, with_text_topic
 
@@ -34,6 +34,8 @@ SNAPSHOTS = 4
 BATCH = "_batch_id"
 META_COLS = ["topic", "_partition", "_offset", "_timestamp"]
 ARRIVAL = "_ingested_at"
+#: In a compact table: the compaction run that brought a row.
+RUN = "_compacted_by"
 #: With a quarantine in the history: the folder a row is in, a message's reason and text.
 KIND, REASON, RAW, ROWS = "_kind", "_reason", "_raw", "rows"
 
@@ -269,18 +271,44 @@ def compact_history(spark: SparkSession, sub: Subscription, store, table: str, o
     job (run periodically) range-partitions the rows by ``(topic,
     *order_by)`` -- AQE sizes the files, and a hot topic spans many of them
     -- and sorts each file, so every file covers a contiguous key range and
-    Parquet min/max statistics prune time-range scans.  The first run takes
-    the whole history, each later one appends only the rows of micro-batches
-    newer than the table's newest (a batch reaches the history whole or not at
-    all, in the order of its time).  The live history stays untouched.
+    Parquet min/max statistics prune time-range scans.  The live history stays untouched.
+
+    Which rows are new is told by the history's files, not by a clock: the files whose
+    rows the table has are listed under ``<history>-compacted``, in numbered runs.  A
+    run first writes down its files, then its rows, which carry the run's number (``RUN``),
+    then that it is done; a run that died is finished by the next call with the same
+    files, without the rows it may have left.  One compaction at a time.
     """
     keys = ["topic", *order_by]
-    rows = sub.history(spark)
-    if store.exists(table):
-        newest = store.read(table).agg(F.max("_ingested_at")).first()[0]
-        if newest is not None:
-            rows = new_rows_since(rows, "_ingested_at", newest)
-        if rows.isEmpty():
+    log = f"{sub.history_path.rstrip('/')}-compacted"
+
+    def runs(kind: str) -> DataFrame | None:
+        try:
+            return spark.read.schema("run bigint, file string").parquet(f"{log}/{kind}")
+        except AnalysisException as exc:
+            if exc.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+
+    listed, done = runs("listed"), runs("done")
+    last = -1 if listed is None else listed.agg(F.coalesce(F.max("run"), F.lit(-1))).first()[0]
+    finished = -1 if done is None else done.agg(F.coalesce(F.max("run"), F.lit(-1))).first()[0]
+    rows = sub.history(spark).withColumn("_file", F.col("_metadata.file_path"))
+    run = last
+    if last == finished:
+        run = last + 1
+        new = rows.select(F.col("_file").alias("file")).distinct()
+        if listed is not None:
+            new = new.join(listed.select("file"), "file", "left_anti")
+        if new.isEmpty() and store.exists(table):
             return store.read(table)
-    store.append(table, rows.repartitionByRange(*keys).sortWithinPartitions(*keys))
+        new.select(F.lit(run).cast("bigint").alias("run"), "file").coalesce(1).write.mode("overwrite").parquet(f"{log}/listed/n={run}")
+    files = runs("listed").where(F.col("run") == run).select(F.col("file").alias("_file"))
+    fresh = rows.join(files, "_file", "left_semi").drop("_file").withColumn(RUN, F.lit(run).cast("bigint"))
+    if run == last and store.exists(table) and not store.read(table).where(F.col(RUN) == run).isEmpty():
+        # rows of a run that died while, or after, it wrote
+        store.overwrite(table, store.read(table).where(F.col(RUN) != run))
+    store.append(table, fresh.repartitionByRange(*keys).sortWithinPartitions(*keys))
+    marker = spark.range(1).select(F.lit(run).cast("bigint").alias("run"), F.lit(None).cast("string").alias("file"))
+    marker.coalesce(1).write.mode("overwrite").parquet(f"{log}/done/n={run}")
     return store.read(table)
