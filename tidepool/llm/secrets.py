@@ -22,7 +22,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -104,13 +106,19 @@ def find_spans(text: str) -> list[tuple[int, str, int]]:
     found = []
     if ":" in text or "=" in text:
         found += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
+    added = []
     for run in _RUN.finditer(text):
         at, key = run.start(), run[0]
         found += [(at + m.start(), 1, at + m.end()) for m in _ACCESS.finditer(key)]
         found += [(at + m.start(), 2, at + m.end()) for m in _HEX.finditer(key)]
-        for a, b in entropy_spans(key):
-            if not any(s <= at + a and at + b <= e for s, _, e in found):
-                found.append((at + a, 3, at + b))
+        added += [(at + a, 3, at + b) for a, b in entropy_spans(key)]
+    # An added span goes where one base span holds it: of those that start before, the one that ends last.
+    found.sort()
+    starts, ends = [s for s, _, _ in found], list(accumulate((e for _, _, e in found), max))
+    for a, k, b in added:
+        i = bisect_right(starts, a)
+        if not i or ends[i - 1] < b:
+            found.append((a, k, b))
     return [(s, KINDS[k], e) for s, k, e in sorted(found)]
 
 
