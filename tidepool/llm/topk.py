@@ -207,9 +207,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, scale: int = SCALE, b
         return pa.Table.from_pylist([row], schema=pa.schema([("set", pa.int32()), ("dim", pa.int32()), ("q_vectors", pa.binary()), ("q_rows", pa.binary()), ("q_ids", pa.binary())]))
 
     asked = asked.groupBy("set", "dim").applyInArrow(gather, "set int, dim int, q_vectors binary, q_rows binary, q_ids binary")
-    left = index.withColumn("set", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
+    # The queries (a small part of the rows) go to the blocks: the index is dealt once, and each
+    # block meets the query sets one after another.
     right = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    cells = left.join(right.hint("shuffle_merge"), ["set", "block", "dim"])
+    cells = index.join(right.hint("shuffle_merge"), ["block", "dim"])
     found = cells.mapInArrow(_search(k), "q_row long, query_id long, vec_id long, score long")
     best = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
