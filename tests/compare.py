@@ -8,6 +8,7 @@ import os
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -28,9 +29,7 @@ def _norm(v, places: int):
     if v is None or v is pd.NA or v is pd.NaT:
         return None
     if isinstance(v, float):
-        if math.isnan(v):
-            return None
-        return round(v, places)
+        return "NaN" if math.isnan(v) else round(v, places)
     if isinstance(v, pd.Timestamp):
         return v.tz_localize(None).isoformat() if v.tzinfo else v.isoformat()
     if hasattr(v, "isoformat"):
@@ -42,10 +41,10 @@ def _norm(v, places: int):
     return v
 
 
-def rows_of(pdf: pd.DataFrame, places: int) -> list[tuple]:
-    cols = sorted(pdf.columns)
+def rows_of(rows: pa.Table, places: int) -> list[tuple]:
+    """Sorted rows; from Arrow, which tells NULL from NaN."""
     out = []
-    for rec in pdf[cols].itertuples(index=False, name=None):
+    for rec in zip(*(rows.column(c).to_pylist() for c in sorted(rows.column_names)), strict=True):
         out.append(tuple(_norm(v, places) for v in rec))
     return sorted(out, key=lambda r: tuple((x is None, str(x)) for x in r))
 
@@ -66,17 +65,16 @@ def compare(spark_df, con, sql: str, places: int = 6) -> tuple[bool, str]:
     spark_types = {f.name: f.dataType.simpleString() for f in spark_df.schema.fields}
     rel = con.sql(sql)
     duck_types = {d[0]: str(d[1]) for d in rel.description}
-    got = spark_df.toPandas()
-    want = rel.df()
-    if sorted(got.columns) != sorted(want.columns):
-        return False, f"columns differ: {sorted(got.columns)} vs {sorted(want.columns)}"
+    got, want = spark_df.toArrow(), rel.to_arrow_table()
+    if sorted(got.column_names) != sorted(want.column_names):
+        return False, f"columns differ: {sorted(got.column_names)} vs {sorted(want.column_names)}"
     for name, t in spark_types.items():
         if TYPES.get(t, t) != duck_types.get(name):
             return False, f"type of {name}: spark {t} vs duckdb {duck_types.get(name)}"
-    if len(got) != len(want):
-        return False, f"row count {len(got)} vs {len(want)}"
+    if got.num_rows != want.num_rows:
+        return False, f"row count {got.num_rows} vs {want.num_rows}"
     a, b = rows_of(got, places), rows_of(want, places)
     for i, (x, y) in enumerate(zip(a, b)):
         if x != y:
             return False, f"first difference at sorted row {i}: {x} vs {y}"
-    return True, f"{len(got)} rows equal"
+    return True, f"{got.num_rows} rows equal"

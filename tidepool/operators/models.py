@@ -169,13 +169,15 @@ def _check_inputs(build: DataFrame, spec: ModelSpec) -> None:
             raise UnfitData(f"linear SVM is binary; the label has {'more than two' if between else 'fewer than two'} classes")
 
 
-def fit(build: DataFrame, spec: ModelSpec) -> PipelineModel:
+def fit(build: DataFrame, spec: ModelSpec, kept: bool = False) -> PipelineModel:
     """Fit on prepared build rows (``label`` + variables).  Rows without a label
     (live leaves of the wrong type decode to NULL) have nothing to learn from
     and are left out.  The projection is kept (memory, then executors' disks)
-    while the checks, the formula and the estimator's passes read it."""
+    while the checks, the formula and the estimator's passes read it, unless the
+    caller keeps the rows itself (``kept``)."""
     data = build.select(*[F.col(f"`{v}`") for v in spec.variables], "label").where(F.col("label").isNotNull())
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    if not kept:
+        data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         _check_inputs(data, spec)
         cls = spec.kind == CLASSIFICATION
@@ -194,7 +196,8 @@ def fit(build: DataFrame, spec: ModelSpec) -> PipelineModel:
         to_text = IndexToString(inputCol=PRED_IDX, outputCol="prediction", labels=labels)
         return PipelineModel(stages=[*fitted.stages, to_text])
     finally:
-        data.unpersist()
+        if not kept:
+            data.unpersist()
 
 
 def class_labels(model: PipelineModel) -> list[str] | None:
@@ -264,7 +267,7 @@ def train(rows: DataFrame, spec: ModelSpec) -> Trained | None:
         n, labelled = rows.agg(F.count(F.lit(1)), F.count("label")).first()
         if n == 0:
             return None
-        model = fit(rows.where(F.col(SPLIT) < spec.ratio), spec)
+        model = fit(rows.where(F.col(SPLIT) < spec.ratio), spec, kept=True)
         scored = predict(model, rows.where(F.col(SPLIT) >= spec.ratio))
         if spec.kind == REGRESSION:
             return Trained(model, n, n - labelled, "rmse", M.rmse(scored).first()["rmse"], [])
