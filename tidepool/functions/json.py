@@ -23,7 +23,7 @@ field access); no Python runs per message.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,7 +93,19 @@ def free_name(name: str, taken: Iterable[str]) -> str:
 
 
 def _first_char(text: Column) -> Column:
-    return F.substring(F.regexp_replace(F.substring(text, 1, 64), r"\s", ""), 1, 1)
+    return F.substring(F.ltrim(text, F.lit(" \t\r\n")), 1, 1)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it: Spark
+    evaluates a costly expression again wherever it stands in a conditional branch."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _once(messages: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """``keep`` and new columns that later steps read instead of computing them again."""
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return messages.select(*keep, F.inline(F.array(row)))
 
 
 def message_rows(text: Column, schema: T.StructType) -> Column:
@@ -105,12 +117,18 @@ def message_rows(text: Column, schema: T.StructType) -> Column:
     mark = f'{{"{end}":0}}'
     lone = F.from_json(F.concat(F.lit("["), text, F.lit(f",{mark}]")), T.ArrayType(row), _READ)
     many = F.from_json(F.concat(F.lit("["), text, F.lit(f",[{mark}]]")), T.ArrayType(T.ArrayType(row)), _READ)
-    is_lone = (F.size(lone) == 2) & (F.try_element_at(lone, F.lit(2))[end] == 0)
-    is_many = (F.size(many) == 2) & (F.try_element_at(F.try_element_at(many, F.lit(2)), F.lit(1))[end] == 0)
-    rows = F.try_element_at(many, F.lit(1))
-    return F.when(_first_char(text) == "{", F.when(is_lone, F.slice(lone, 1, 1))).when(
-        (_first_char(text) == "[") & is_many & F.forall(rows, lambda r: r.isNotNull()), rows
-    )
+
+    def lone_rows(read: Column) -> Column:
+        whole = (F.size(read) == 2) & (F.try_element_at(read, F.lit(2))[end] == 0)
+        return F.when(whole, F.slice(read, 1, 1))
+
+    def many_rows(read: Column) -> Column:
+        whole = (F.size(read) == 2) & (F.try_element_at(F.try_element_at(read, F.lit(2)), F.lit(1))[end] == 0)
+        rows = F.try_element_at(read, F.lit(1))
+        return F.when(whole & F.forall(rows, lambda r: r.isNotNull()), rows)
+
+    first = _first_char(text)
+    return F.when(first == "{", _let(lone, lone_rows)).when(first == "[", _let(many, many_rows))
 
 
 def _digits(number: Column) -> Column:
@@ -120,7 +138,10 @@ def _digits(number: Column) -> Column:
 
 def _loss(found: Column, value: Column, dtype: T.DataType) -> Column:
     """How much of the variant ``found`` its decoded ``value`` holds (``HELD`` ...)."""
-    text = found.cast("string")
+    return _let(found.cast("string"), lambda text: _text_loss(text, found, value, dtype))
+
+
+def _text_loss(text: Column, found: Column, value: Column, dtype: T.DataType) -> Column:
     inside = F.lit(HELD)
     if isinstance(dtype, T.StructType):
         parts = F.try_variant_get(found, "$", "map<string,variant>")
@@ -135,12 +156,12 @@ def _loss(found: Column, value: Column, dtype: T.DataType) -> Column:
     elif isinstance(dtype, T.DecimalType):
         inside = F.when(_digits(text) != _digits(value.cast("string")), F.lit(INEXACT)).otherwise(F.lit(HELD))
     elif type(dtype) in _DIGITS:
-        digits = _digits(text)
-        more = F.length(digits) > _DIGITS[type(dtype)]
+        digits, most = _digits(text), _DIGITS[type(dtype)]
+        more = (F.length(text) > most) & (F.length(digits) > most)
         inside = F.when(more & (digits != _digits(value.cast("string"))), F.lit(INEXACT)).otherwise(F.lit(HELD))
     elif isinstance(dtype, T.StringType):
         # a long fraction that is not a JSON string was read as a double on its way to text
-        fraction = text.rlike(r"(?=[0-9.]{18})[0-9]*\.[0-9]") & (text != value)
+        fraction = (F.length(text) >= 18) & (text != value) & text.rlike(r"(?=[0-9.]{18})[0-9]*\.[0-9]")
         inside = F.when(fraction & (F.schema_of_variant(found) != "STRING"), F.lit(INEXACT)).otherwise(F.lit(HELD))
     return F.when(text.isNull(), F.lit(HELD)).when(value.isNull(), F.lit(WRONG_TYPE)).otherwise(F.coalesce(inside, F.lit(HELD)))
 
@@ -148,7 +169,8 @@ def _loss(found: Column, value: Column, dtype: T.DataType) -> Column:
 def _row_variants(text: Column) -> Column:
     """The row objects of a (whole) message as variants; NULL where no variant can hold it."""
     value = F.when(~text.rlike(_BEYOND_VARIANT), F.try_parse_json(text))
-    return F.when(_first_char(text) == "[", F.try_variant_get(value, "$", "array<variant>")).when(value.isNotNull(), F.array(value))
+    is_array = _first_char(text) == "["
+    return _let(value, lambda v: F.when(is_array, F.try_variant_get(v, "$", "array<variant>")).when(v.isNotNull(), F.array(v)))
 
 
 def decode(
@@ -202,8 +224,8 @@ def decode(
             whole = F.when(i == 0, F.create_map(F.lit(WHOLE), F.col("_text")))
             return F.struct(pair["row"].alias("row"), F.when(F.col("_found").isNull(), whole).otherwise(kept).alias("extra"))
 
-        read = messages.select(*keep, text.alias("_text"), rows.alias("_rows"))
-        read = (read if reason_col else read.where(F.size("_rows") > 0)).withColumn("_found", _row_variants(F.col("_text")))
+        read = _once(messages, keep, _text=text, _rows=rows, _found=_row_variants(text))
+        read = read if reason_col else read.where(F.size("_rows") > 0)
         entries = F.transform(both, aside)
         if reason_col:
             status = _status(F.col("_text"), F.col("_rows"), F.col("_found"), schema)
@@ -211,7 +233,7 @@ def decode(
             bad = F.array(F.lit(None).cast(kind.elementType))
             # the quarantine's entry comes behind the rows, as a null
             good = F.coalesce(entries, F.array().cast(kind))
-            read = read.withColumn("_status", status)
+            read = _once(read, [*keep, "_text", "_rows", "_found"], _status=status)
             entries = F.when(F.col("_status").isin(*BAD), F.concat(good, bad)).otherwise(good)
         exploded = read.select(*keep, *(["_status", "_text"] if reason_col else []), F.posexplode(entries).alias("_pos", "_pair"))
         extra_cols = []

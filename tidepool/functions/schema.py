@@ -46,8 +46,12 @@ def whole_variant(text: Column) -> Column:
     than one or other text behind it (also for repeated keys and bare NaN, which a
     variant cannot hold)."""
     wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{END}"]')))
-    ends = (F.try_variant_get(wrapped, "$[1]", "string") == END) & F.try_variant_get(wrapped, "$[2]", "variant").isNull()
-    return F.when(ends, F.try_variant_get(wrapped, "$[0]", "variant"))
+
+    def only(w: Column) -> Column:
+        ends = (F.try_variant_get(w, "$[1]", "string") == END) & F.try_variant_get(w, "$[2]", "variant").isNull()
+        return F.when(ends, F.try_variant_get(w, "$[0]", "variant"))
+
+    return F.transform(F.array(wrapped), only)[0]  # parsed once
 
 
 def _only_parsed_loosely(text: Column) -> Column:
@@ -178,8 +182,9 @@ def observed_schema(messages: DataFrame, value_col: str = "value", sample_rows:
     if sample_rows is not None:
         texts = texts.limit(sample_rows)
     value = whole_variant(F.col("text"))
-    first = F.substring(F.ltrim(F.regexp_replace(F.substring("text", 1, 64), r"\s", "")), 1, 1)
-    read = texts.select("text", first.alias("first"), value.alias("value"))
+    first = F.substring(F.ltrim(F.col("text"), F.lit(" \t\r\n")), 1, 1)
+    # one row out of a generator, so that the aggregates below read the value instead of parsing again
+    read = texts.select("text", F.inline(F.array(F.struct(first.alias("first"), value.alias("value")))))
     rows = F.schema_of_variant("value").startswith("ARRAY<OBJECT<")
     found = read.agg(
         F.schema_of_variant_agg(F.when(F.col("first") == "{", F.col("value"))).alias("lone"),
