@@ -387,48 +387,6 @@ def test_label_model_recovers_accuracies():
     assert ((model.posterior(masks) > 0.5) == y).mean() > 0.97
 
 
-# --- suffix tree -----------------------------------------------------------------------------
-
-
-def test_suffix_tree_base_and_normalisation(spark, edge, sample):
-    for docs in (edge.select("doc_id", "text", "score"), sample):
-        tree, counts = suffix_tree.fit(docs)
-        got = suffix_tree.score(docs, tree, counts).collect()
-        rows = docs.select("doc_id", "text").collect()
-        c = collections.Counter()
-        for i, t in rows:
-            if zlib.crc32(("" if i is None else str(i)).encode()) % 10:
-                c.update(suffix_tree.tokens_of(t or ""))
-        total, distinct = sum(c.values()), len(c)
-        want = []
-        for i, t in rows:
-            tokens = suffix_tree.tokens_of(t or "")
-            base = sum(math.log10((c[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in tokens)
-            want.append((str(i), len(tokens), sum(c[w] > 0 for w in tokens), total, round(base, 4)))
-        assert sorted((str(r["doc_id"]), *tuple(r)[2:5], round(r["base_score"], 4)) for r in got) == sorted(want)
-    # After any context, the probabilities of all words and the unknown one add up to 1.
-    words = list(tree.words)
-    rare = distinct - len(words)
-    unknown = sum((n + 0.1) / (total + 0.1 * (distinct + 1)) for w, n in c.items() if w not in tree.words) + 0.1 / (total + 0.1 * (distinct + 1))
-    assert rare >= 0 and any(d.retained.any() for d in tree.depths)
-    for head in list(range(0, tree.heads, 7))[:5]:
-        ids = np.array([head, *[0] * 0])
-        p = 0.0
-        for w in [*range(len(words)), -1]:
-            ids = np.array([head, w])
-            log = suffix_tree.SuffixTree.log_probability(tree, ids, tree.contexts(ids, np.array([0])))[1]
-            p += 10**log * (unknown if w < 0 else 1)
-        assert p == pytest.approx(1, abs=1e-6)
-
-
-def test_suffix_tree_learns_context(spark):
-    rng = random.Random(0)
-    texts = [" ".join("ab cd" if rng.random() < 0.5 else "ef gh" for _ in range(60)) for _ in range(120)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    r = suffix_tree.score(docs, *suffix_tree.fit(docs)).where("held_out").toPandas()
-    assert (r.score > 0.7 * r.base_score).all()  # about one bit a pair instead of two a word
-
-
 # --- pages -------------------------------------------------------------------------------------
 
 CASES = [
@@ -482,7 +440,6 @@ def test_host_repeats_go_unless_in_articles(spark):
 
 def test_empty_documents(spark, edge):
     none = edge.limit(0)
-    tree = suffix_tree.fit(none)
     for df in (quality_rules.quality_report(none), quality_rules.keep_by_rules(none), packing.pack(none), secrets.scan(none), secrets.redact(none),
-               simhash.near_duplicates(none), simhash.deduplicate(none), pieces.round_trip(none), suffix_tree.score(none, *tree)):
+               simhash.near_duplicates(none), simhash.deduplicate(none), pieces.round_trip(none), suffix_tree.score(none)):
         assert df.count() == 0

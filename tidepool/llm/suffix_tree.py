@@ -3,20 +3,33 @@
 Tokens are words and one end per text.  Learned from all training texts:
 
 * unigram counts of every token, exact, as a distributed table;
-* the tree: contexts of up to ``MAX_DEPTH`` preceding words whose share of all
-  tokens is at least ``LEAST_CONTEXT``, retained if their next-token distribution
-  diverges from their longest retained suffix's by more than chance explains.
+* the tree: contexts of up to ``MAX_DEPTH`` preceding words, whatever their share
+  of the corpus.  A context is retained if the next words seen at least
+  ``LEAST_COUNT`` times after it diverge from what its longest retained suffix
+  says by more than chance explains; it is lengthened unless it was seen once or
+  a single word ever followed it.  So contexts, next words and depth follow the
+  data, and what the tree gathers grows with the corpus.
 
 A context's distribution is smoothed by absolute discounting: what discounts and
-next tokens without a row of their own leave over is dealt out as the suffix
+next words without a row of their own leave over is dealt out as the suffix
 context deals; the root is the add-0.1 unigram distribution.  A token is scored in
 the longest retained suffix of what stands before it.
 
-What is held in memory everywhere is bounded by shares of the token count, not by
-the corpus: at most ``1 / LEAST_FREQUENT`` words, ``1 / LEAST_CONTEXT`` contexts a
-depth and ``1 / LEAST_ENTRY`` next-token rows a depth (every counted unit is at
-least that share of all tokens).  All rarer words meet their counts in a shuffled
-join; being rare, none of them is a hot key.
+The tree is never in one place.  Every occurrence (preceding words, next word,
+text) goes once, as a packed array per slice of texts, to the bucket of its last
+preceding word.  All contexts that end in that word, their counts, their tests
+and the probabilities of their occurrences are then that bucket's alone: a
+bucket sends back a sum per text.  Words that would overfill a bucket are spread
+over several by the word before them; what follows them is counted
+beforehand and added to each of their buckets.  Only one and the same pair of
+words is never split, and occurrences equal within a slice's text are sent as one.
+
+A probability in the tree is ``a + b * root``.  Words whose share of all tokens
+is at least ``LEAST_FREQUENT`` (at most 1 / LEAST_FREQUENT of them) have their
+root everywhere; rarer words meet their counts in a shuffled join, with ``a`` and
+``b`` where they have a row.  The divergence test alone takes ``LEAST_FREQUENT``, an upper
+bound, as a rarer word's root.  Words meet as 64-bit hashes inside the tree; the
+base score and its counts compare the words themselves.
 
 Defined results: a null text is an empty one (only the end is scored); a null
 ``doc_id`` counts as empty text for the fold; repeated rows count and are scored
@@ -27,12 +40,13 @@ and ``text`` are read, so other columns cannot clash.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,18 +55,20 @@ from .common import LlmQuery, id_remainder, table, written
 
 FOLDS = 10
 ADD = 0.1
-MAX_DEPTH = 2
+MAX_DEPTH = 3
 LEAST_FREQUENT = 2e-6
-LEAST_SYMBOL = 2e-5
-LEAST_CONTEXT = 2e-4
-LEAST_ENTRY = 1e-6
 LEAST_COUNT = 2
 LEAST_DIVERGENCE = 0.01
 DISCOUNT = 0.5
+#: Occurrences a bucket should hold, about; a task's memory is about 150 bytes each.
+BUCKET_MASS = 1_500_000
 #: The end token; no word is empty.
 END = b""
+_SEED = 42  # that of Spark's xxhash64
 _FLUSH = 400_000
-_CHUNK = 200_000
+_CHUNK = 1_000_000
+_ROW_BITS = 20  # a slice has fewer than 2^20 texts, a task fewer than 2^20 slices
+_DOC, _CELLS, _HOT, _SIZE = range(4)
 
 
 def tokens_of(text: str) -> list[bytes]:
@@ -75,107 +91,87 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(counts)
 
 
-@dataclass
-class Depth:
-    """Candidate contexts of one length; a key is the older word's number times
-    the number of shorter candidates, plus the shorter candidate's number."""
+# --- packed arrays -------------------------------------------------------------------------------
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Unsigned integer arrays as bytes, each in the narrowest type that holds it."""
+    small = [a.astype(np.min_scalar_type(int(a.max())) if len(a) else np.uint8) for a in arrays]
+    head = np.array([x for a in small for x in (a.itemsize, len(a))], np.uint32)
+    return b"".join([np.uint32(len(small)).tobytes(), head.tobytes(), *[a.tobytes() for a in small]])
 
-    keys: np.ndarray
-    counts: np.ndarray
-    retained: np.ndarray
-    backoff: np.ndarray  # log10 of the share dealt out as the suffix context deals
-    entries: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))  # candidate * symbols + next word
-    logs: np.ndarray = field(default_factory=lambda: np.empty(0))
 
+def _unpack(data: bytes) -> list[np.ndarray]:
+    count = int(np.frombuffer(data, np.uint32, 1)[0])
+    head, at, out = np.frombuffer(data, np.uint32, 2 * count, 4).tolist(), 4 + 8 * count, []
+    for width, size in zip(head[::2], head[1::2], strict=True):
+        out.append(np.frombuffer(data, f"u{width}", size, at))
+        at += width * size
+    return out
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places of ``wanted`` in the sorted ``keys``, -1 where absent."""
-    if not len(keys):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
+
+def _hash(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w, _SEED) for w in words), np.uint64, len(words))
+
+
+# --- what every task knows -----------------------------------------------------------------------
 
 
 @dataclass
-class SuffixTree:
+class Root:
+    """The root distribution: totals, the frequent words by hash, the buckets."""
+
     total: int
     distinct: int
-    words: dict[bytes, int]  # frequent words, most frequent first
-    log_root: np.ndarray
-    symbols: int  # words that can have a row of their own
-    heads: int  # words that can stand in a context
-    depths: list[Depth] = field(default_factory=list)
-
-    def numbered(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of all tokens (-1: rare) and each text's first place."""
-        get = self.words.get
-        sizes = [len(t) for t in texts]
-        ids = np.fromiter((get(w, -1) for t in texts for w in t), dtype=np.int64, count=sum(sizes))
-        return ids, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-
-    def contexts(self, ids: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-        """Candidate number per depth before each token, -1 where there is none."""
-        place = np.arange(len(ids)) - np.repeat(starts, np.diff(np.append(starts, len(ids))))
-        out: list[np.ndarray] = []
-        for d, depth in enumerate(self.depths, 1):
-            older = np.full(len(ids), -1)
-            older[d:] = ids[:-d] if d < len(ids) else ids[:0]
-            ok = (place >= d) & (older >= 0) & (older < self.heads)
-            if out:
-                ok &= out[-1] >= 0
-            found = np.full(len(ids), -1)
-            size = len(self.depths[d - 2].keys) if d > 1 else 1
-            found[ok] = _find(depth.keys, older[ok] * size + (out[-1][ok] if out else 0))
-            out.append(found)
-        return out
-
-    def log_probability(self, ids: np.ndarray, before: list[np.ndarray]) -> np.ndarray:
-        """log10 of each token's probability; for a rare token without its
-        root part, which only its count can tell."""
-        out, open_ = np.zeros(len(ids)), np.ones(len(ids), dtype=bool)
-        for depth, at in zip(reversed(self.depths), reversed(before), strict=True):
-            here = np.flatnonzero(open_ & (at >= 0))
-            here = here[depth.retained[at[here]]]
-            own = ids[here]
-            row = np.where((own >= 0) & (own < self.symbols), _find(depth.entries, at[here] * self.symbols + own), -1)
-            hit = row >= 0
-            out[here[hit]] += depth.logs[row[hit]]
-            open_[here[hit]] = False
-            out[here[~hit]] += depth.backoff[at[here[~hit]]]
-        left = open_ & (ids >= 0)
-        out[left] += self.log_root[ids[left]]
-        return out
-
-    def grow(self, keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray, n: np.ndarray) -> None:
-        """Adds a depth: candidate ``keys`` with their ``counts``, and the rows
-        (``pairs``: candidate * symbols + next word, sorted) counted ``n`` times."""
-        candidate, word = pairs // max(self.symbols, 1), pairs % max(self.symbols, 1)
-        size = len(keys)
-        # The probability in the longest retained proper suffix: the same word after the shorter context.
-        below = np.array([self._suffix_log(int(k), int(w)) for k, w in zip(keys[candidate], word, strict=True)]) if self.depths else self.log_root[word]
-        p = 10.0**below
-        kept = np.bincount(candidate, n, size)
-        rest, rest_p = counts - kept, np.clip(1 - np.bincount(candidate, p, size), 1e-12, 1)
-        gain = 2 * np.bincount(candidate, n * np.log(n / (counts[candidate] * p)), size)
-        gain += 2 * np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-9) / (counts * rest_p)), 0)
-        freedom = np.bincount(candidate, minlength=size).astype(float)
-        retained = (gain - freedom > 3 * np.sqrt(2 * freedom)) & ((gain - freedom) / (2 * counts) >= LEAST_DIVERGENCE) & (freedom > 0)
-        over = (counts - kept + DISCOUNT * freedom) / counts
-        logs = np.log10((n - DISCOUNT) / counts[candidate] + over[candidate] * p)
-        use = retained[candidate]
-        self.depths.append(Depth(keys, counts, retained, np.log10(np.maximum(over, 1e-300)), pairs[use], logs[use]))
-
-    def _suffix_log(self, key: int, word: int) -> float:
-        out, number = 0.0, key % len(self.depths[-1].keys)
-        for d in range(len(self.depths), 0, -1):
-            depth = self.depths[d - 1]
-            if depth.retained[number]:
-                row = int(_find(depth.entries, np.array([number * self.symbols + word]))[0])
-                if row >= 0:
-                    return out + float(depth.logs[row])
-                out += float(depth.backoff[number])
-            number = int(depth.keys[number]) % len(self.depths[d - 2].keys) if d > 1 else 0
-        return out + float(self.log_root[word])
+    hashes: np.ndarray  # of the frequent words, sorted
+    counts: np.ndarray
+    logs: np.ndarray  # log10 of their root probabilities
+    buckets: int
+    heavy: float  # counts above this are spread over buckets
+    max_depth: int
+    least_frequent: float
+
+    @property
+    def scale(self) -> float:
+        return self.total + ADD * (self.distinct + 1)
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of ``hashes`` among the frequent words, -1 for rare ones."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
+    def spread(self, hashes: np.ndarray) -> np.ndarray:
+        """Over how many buckets each word goes."""
+        at = self.places(hashes)
+        n = np.where(at >= 0, self.counts[at] if len(self.counts) else 0, 0)
+        return np.where(n > self.heavy, np.ceil(n / self.heavy), 1).astype(np.uint64)
+
+    def bucket(self, hashes: np.ndarray, salts: np.ndarray) -> np.ndarray:
+        x = hashes + salts * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return ((x ^ (x >> np.uint64(29))) % np.uint64(self.buckets)).astype(np.int64)
+
+
+def fit_root(
+    docs: DataFrame, max_depth: int = MAX_DEPTH, folds: int = FOLDS, bucket_mass: int = BUCKET_MASS, least_frequent: float = LEAST_FREQUENT
+) -> tuple[Root, DataFrame]:
+    """The root and the table (``word, n``) of all training tokens' counts."""
+    train = docs.where(id_remainder("doc_id", folds) != 0)
+    counts = train.select("text").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = written(counts, "unigrams")
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    frequent = counts.where(F.col("n") >= least_frequent * total).toArrow()  # at most 1 / least_frequent rows
+    hashes, n = _hash(frequent.column("word").to_pylist()), frequent.column("n").to_numpy().astype(float)
+    order = np.argsort(hashes)
+    logs = np.log10((n + ADD) / (total + ADD * (distinct + 1)))
+    buckets = 1 + size // (6 * bucket_mass)  # about six bytes a token
+    return Root(total, distinct, hashes[order], n[order], logs[order], buckets, bucket_mass / 2, max_depth, least_frequent), counts
+
+
+# --- texts to occurrences ------------------------------------------------------------------------
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
@@ -192,150 +188,365 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa
             yield batch.slice(first, len(texts)), texts
 
 
-def _pair_counts(train: DataFrame, tree: SuffixTree, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted (candidate of the last depth * symbols + next word) and counts of all
-    training texts, where at least ``least``; at most 1 / LEAST_ENTRY rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def out() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["pair", "n"])
-
+@dataclass
+class _Slice:
+    """The tokens of some texts as numbers into ``words`` (from 1; 0: none)."""
+
+    words: list[bytes]
+    hashes: np.ndarray
+    ids: np.ndarray
+    starts: np.ndarray
+    texts: np.ndarray  # each token's text
+    places: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[list[bytes]]) -> _Slice:
+        numbers: defaultdict[bytes, int] = defaultdict()
+        numbers.default_factory = lambda: len(numbers) + 1
+        sizes = np.array([len(t) for t in texts])
+        ids = np.fromiter((numbers[w] for t in texts for w in t), np.int64, int(sizes.sum()))
+        words = list(numbers)
+        starts = np.cumsum(sizes) - sizes
+        return cls(
+            words,
+            np.concatenate([np.zeros(1, np.uint64), _hash(words)]),
+            ids,
+            starts,
+            np.repeat(np.arange(len(texts)), sizes),
+            np.arange(len(ids)) - np.repeat(starts, sizes),
+        )
+
+    def before(self, distance: int, at: np.ndarray) -> np.ndarray:
+        """The word ``distance`` tokens before each place of ``at``, 0 where there is none."""
+        return np.where(self.places[at] >= distance, self.ids[at - distance], 0)
+
+
+def _order(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sort order by ``columns`` and where equal entries begin in it."""
+    keys, room = [], 0
+    for c in columns:
+        bits = int(c.max()).bit_length() if len(c) else 0
+        if keys and room + bits <= 63:
+            keys[-1], room = (keys[-1] << bits) | c, room + bits
+        else:
+            keys.append(c.astype(np.int64))
+            room = bits
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([np.diff(k[order]) != 0 for k in keys], axis=0)
+    return order, np.flatnonzero(new)
+
+
+def _cells(part: _Slice, held: np.ndarray, root: Root) -> Iterator[tuple[int, bytes]]:
+    """Per bucket: word hashes, texts (number in the slice, twice, plus one if
+    held out) and occurrences (text, next word, preceding words, times)."""
+    at = np.flatnonzero(part.places > 0)
+    if not len(at):
+        return
+    last, second = part.before(1, at), part.before(2, at)
+    bucket = root.bucket(part.hashes[last], part.hashes[second] % root.spread(part.hashes)[last])
+    columns = [bucket, last, *([second] if root.max_depth > 1 else []), *[part.before(d, at) for d in range(3, root.max_depth + 1)], part.ids[at], part.texts[at]]
+    order, first = _order(columns)
+    times = np.diff(np.append(first, len(order)))
+    bucket, *heads, following, text = [c[order[first]] for c in columns]
+    edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        rows, row = np.unique(text[a:b], return_inverse=True)
+        used, numbers = np.unique(np.concatenate([[0], following[a:b], *[h[a:b] for h in heads]]), return_inverse=True)
+        each = [numbers[1 + i * (b - a) : 1 + (i + 1) * (b - a)] for i in range(1 + len(heads))]
+        yield int(bucket[a]), _pack(part.hashes[used], 2 * rows + held[rows], row, *each, times[a:b])
+
+
+def _hot_pairs(train: DataFrame, root: Root) -> DataFrame:
+    """What follows the words that are spread: ``bucket, cells`` with all pairs
+    counted at least ``LEAST_COUNT`` times, for each of the words' buckets."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _chunks(batches, 0):
-            ids, starts = tree.numbered(texts)
-            at = tree.contexts(ids, starts)[-1]
-            ok = (at >= 0) & (ids >= 0) & (ids < tree.symbols)
-            held.append(at[ok] * tree.symbols + ids[ok])
-            size += len(held[-1])
-            if size > 4_000_000:
-                yield out()
-                held, size = [], 0
-        if size:
-            yield out()
-
-    pairs = train.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    rows = pairs.where(F.col("n") >= least).toArrow()
-    pair, n = rows.column("pair").to_numpy(), rows.column("n").to_numpy()
-    order = np.argsort(pair)
-    return pair[order], n[order].astype(float)
-
-
-def fit(docs: DataFrame, max_depth: int = MAX_DEPTH, folds: int = FOLDS) -> tuple[SuffixTree, DataFrame]:
-    """The tree and the table (``word, n``) of all training tokens' counts."""
-    train = docs.where(id_remainder("doc_id", folds) != 0)
-    counts = train.select("text").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = written(counts, "unigrams")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = counts.where(F.col("n") >= LEAST_FREQUENT * total).toArrow()  # at most 1 / LEAST_FREQUENT rows
-    known = sorted(zip(frequent.column("word").to_pylist(), frequent.column("n").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
-    n = np.array([x[1] for x in known], dtype=float)
-    log_root = np.log10((n + ADD) / (total + ADD * (distinct + 1)))
-    symbols, heads = int((n >= LEAST_SYMBOL * total).sum()), int((n >= LEAST_CONTEXT * total).sum())
-    tree = SuffixTree(total, distinct, {w: i for i, (w, _) in enumerate(known)}, log_root, symbols, heads)
-    # Nothing follows the end.
-    keys = np.array([i for i in range(heads) if known[i][0] != END], dtype=np.int64)
-    sizes = n[keys]
-    for depth in range(1, max_depth + 1):
-        if not len(keys):
+            part = _Slice.of(texts)
+            at = np.flatnonzero(part.places > 0)
+            at = at[(root.spread(part.hashes) > 1)[part.before(1, at)]]
+            order, first = _order(columns := [part.before(1, at), part.ids[at]])
+            hashes = [part.hashes[c[order[first]]].view(np.int64) for c in columns]
+            times = np.diff(np.append(first, len(order)))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, hashes), pa.array(times.astype(np.int64))], names=["last", "following", "n"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last, following, n = (c.to_numpy() for c in batch.columns)
+            last, following, spread = last.view(np.uint64), following.view(np.uint64), root.spread(last.view(np.uint64))
+            at = np.repeat(np.arange(len(last)), spread.astype(np.int64))
+            salt = np.arange(len(at)) - np.repeat(np.cumsum(spread.astype(np.int64)) - spread.astype(np.int64), spread.astype(np.int64))
+            bucket = root.bucket(last[at], salt.astype(np.uint64))
+            order, first = _order([bucket, at])  # two salts of a word may share a bucket
+            bucket, at = bucket[order[first]], at[order[first]]
+            edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+            rows = [(int(bucket[a]), _pack(last[at[a:b]], following[at[a:b]], n[at[a:b]])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "cells"]
+            )
+
+    pairs = train.select("text").mapInArrow(count, "last long, following long, n long")
+    pairs = pairs.groupBy("last", "following").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
+    return pairs.mapInArrow(send, "bucket int, cells binary")
+
+
+# --- a bucket's contexts -------------------------------------------------------------------------
+
+
+def _bucket_scores(cells: list[bytes], hot: list[bytes], root: Root) -> tuple[list[tuple[np.ndarray, np.ndarray]], dict[str, np.ndarray], list[tuple[int, int]]]:
+    """Grows the contexts of a bucket and scores its occurrences in them.
+
+    Returns each message's texts and their sums of log10 probabilities (rare next
+    words without their root part), the occurrences of rare next words that have
+    rows (message, text, hash, times, a, b), and candidates and retained contexts a depth.
+    """
+    messages, pairs = [_unpack(m) for m in cells], [_unpack(m) for m in hot]
+    whole = np.concatenate([*[m[0] for m in messages], *[x for p in pairs for x in p[:2]]]).astype(np.uint64)
+    known, numbers = np.unique(whole, return_inverse=True)
+    base = np.cumsum([0, *[len(m[0]) for m in messages]])
+    def joined(i: int) -> np.ndarray:
+        return np.concatenate([numbers[s + m[i].astype(np.int64)] for m, s in zip(messages, base, strict=False)])
+
+    following, heads = joined(3), [joined(4 + d) for d in range(root.max_depth)]
+    rows = np.concatenate([m[1] for m in messages]).astype(np.int64)
+    row_base = np.cumsum([0, *[len(m[1]) for m in messages]])
+    row = np.concatenate([m[2].astype(np.int64) + s for m, s in zip(messages, row_base, strict=False)])
+    times = np.concatenate([m[-1] for m in messages]).astype(float)
+    learned = np.where(rows[row] % 2 == 0, times, 0.0)
+
+    size = len(known)
+    place = root.places(known)
+    frequent = place >= 0
+    p_root = np.where(frequent, 10.0 ** root.logs[place] if len(root.logs) else 1.0, min(root.least_frequent, 1.0))
+    a, b = np.zeros(len(row)), np.ones(len(row))
+    context, open_ = np.zeros(len(row), np.int64), np.ones(len(row), bool)
+    sizes = []
+    for depth, head in enumerate(heads, 1):
+        at = np.flatnonzero(open_ & (known[head] != 0))
+        if not len(at):
             break
-        empty = np.zeros(len(keys))
-        tree.depths.append(Depth(keys, sizes, empty.astype(bool), empty))
-        pairs, times = _pair_counts(train, tree, max(LEAST_COUNT, LEAST_ENTRY * total))
-        tree.depths.pop()
-        tree.grow(keys, sizes, pairs, times)
-        # Longer candidates: a candidate's first word, then what it and its next word make
-        # as a context one shorter (that candidate exists: it is as frequent).
-        often = times >= LEAST_CONTEXT * total
-        candidate, word = pairs[often] // symbols, pairs[often] % symbols
-        keys, sizes = _longer(tree, candidate, word, times[often], known)
-    return tree, counts
-
-
-def _longer(tree: SuffixTree, candidate: np.ndarray, word: np.ndarray, times: np.ndarray, known: list) -> tuple[np.ndarray, np.ndarray]:
-    found = {}
-    size = [1, *[len(d.keys) for d in tree.depths]]
-    for c, w, n in zip(candidate.tolist(), word.tolist(), times.tolist(), strict=True):
-        if known[w][0] == END or w >= tree.heads:
-            continue
-        # The candidate's words, oldest first.
-        words, number = [], c
-        for d in range(len(tree.depths), 0, -1):
-            key = int(tree.depths[d - 1].keys[number])
-            words.append(key // size[d - 1])
-            number = key % size[d - 1]
-        words.append(w)
-        number = 0
-        for d in range(1, len(tree.depths) + 1):
-            number = int(_find(tree.depths[d - 1].keys, np.array([words[-d] * size[d - 1] + number]))[0])
-            if number < 0:
-                break
-        if number >= 0:
-            found[words[0] * size[-1] + number] = n
-    keys = np.array(sorted(found), dtype=np.int64)
-    return keys, np.array([found[k] for k in keys.tolist()])
-
-
-_LOCAL = (
-    "row long, doc_id {id}, held_out boolean, n_tokens long, known long, base double, score double, "
-    "rare array<struct<word:binary,n:int>>"
+        key, word, n, lower = context[at] * size + head[at], following[at], learned[at], a[at] + b[at] * p_root[following[at]]
+        if depth == 1 and pairs:
+            # Spread words: all that follows them, instead of what follows them here.
+            n = np.where(root.spread(known)[head[at]] > 1, 0.0, n)
+            more = numbers[base[-1] :]
+            lasts, nexts, s = [], [], 0
+            for p in pairs:
+                lasts.append(more[s : s + len(p[0])])
+                nexts.append(more[s + len(p[0]) : s + 2 * len(p[0])])
+                s += 2 * len(p[0])
+            key, word = np.concatenate([key, *lasts]), np.concatenate([word, *nexts])
+            n = np.concatenate([n, *[p[2].astype(float) for p in pairs]])
+            lower = np.concatenate([lower, *[p_root[x] for x in nexts]])
+        keys, candidate = np.unique(key, return_inverse=True)
+        seen = np.bincount(candidate, n)
+        if depth == 1:
+            spread = root.spread(known)[keys] > 1
+            seen = np.where(spread, root.counts[place[keys]] if len(root.counts) else 0.0, seen)
+        pair, one, entry = np.unique(candidate * size + word, return_index=True, return_inverse=True)
+        n, lower, of = np.bincount(entry, n), lower[one], pair // size
+        row_of = n >= LEAST_COUNT
+        kept, p, c = np.where(row_of, n, 0.0), np.where(row_of, lower, 0.0), np.maximum(seen, 1)
+        freedom = np.bincount(of, row_of, len(keys))
+        total, total_p = np.bincount(of, kept, len(keys)), np.bincount(of, p, len(keys))
+        rest, rest_p = seen - total, np.clip(1 - total_p, 1e-12, 1)
+        gain = 2 * np.bincount(of, kept * np.log(np.where(row_of, n / (c[of] * lower), 1.0)), len(keys))
+        gain += 2 * np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-9) / (c * rest_p)), 0)
+        retained = (freedom > 0) & (gain - freedom > 3 * np.sqrt(2 * freedom)) & ((gain - freedom) / (2 * c) >= LEAST_DIVERGENCE)
+        over = (rest + DISCOUNT * freedom) / c
+        sizes.append((int((seen >= LEAST_COUNT).sum()), int(retained.sum())))
+        mine, own = candidate[: len(at)], entry[: len(at)]
+        use = retained[mine]
+        rows_a = np.where(row_of, (n - DISCOUNT) / c[of], 0.0)[own]
+        a[at] = np.where(use, rows_a + over[mine] * a[at], a[at])
+        b[at] = np.where(use, over[mine] * b[at], b[at])
+        context[at] = mine
+        several = np.bincount(of, n > 0, len(keys)) > 1
+        if depth == 1:
+            several |= spread
+        open_[:] = False
+        open_[at] = ((seen >= LEAST_COUNT) & several)[mine]
+
+    root_p = p_root[following]
+    often = frequent[following]
+    logs = times * np.log10(np.where(often, a + b * root_p, np.where(a > 0, 1.0, b)))
+    sums = np.bincount(row, logs, len(rows))
+    answers = [(rows[s:e] // 2, sums[s:e]) for s, e in zip(row_base[:-1], row_base[1:], strict=True)]
+    rare = np.flatnonzero(~often & (a > 0))
+    message = np.searchsorted(row_base, row[rare], "right") - 1
+    extra = {"message": message, "text": rows[row[rare]] // 2, "hash": known[following[rare]].view(np.int64), "times": times[rare], "a": a[rare], "b": b[rare]}
+    return answers, extra, sizes
+
+
+# --- scoring -------------------------------------------------------------------------------------
+
+_RARE = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
+_SENT = (
+    "bucket int, kind int, slice long, cells binary, row long, doc_id {id}, held_out boolean, n_tokens long, known long, base double, "
+    "first double, rare array<struct<word:binary,n:int>>"
 )
+_EXTRA = pa.list_(pa.struct([("row", pa.int64()), ("hash", pa.int64()), ("times", pa.float64()), ("a", pa.float64()), ("b", pa.float64())]))
+_GROWN = _SENT + ", sums binary, extra array<struct<row:long,hash:long,times:double,a:double,b:double>>, depth int, candidates long, retained long"
 
 
-def score(docs: DataFrame, tree: SuffixTree, counts: DataFrame, folds: int = FOLDS) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document."""
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
-        for batch, texts in _chunks(batches, 2):
-            ids, starts = tree.numbered(texts)
-            logs = tree.log_probability(ids, tree.contexts(ids, starts))
-            known = ids >= 0
-            base = np.where(known, tree.log_root[ids] if len(tree.log_root) else 0.0, 0.0)
-            rare = [Counter(t[j] for j in np.flatnonzero(~known[s : s + len(t)])) for s, t in zip(starts, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(row, row + len(texts))),
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([len(t) for t in texts], pa.int64()),
-                    pa.array(np.add.reduceat(known.astype(np.int64), starts)),
-                    pa.array(np.add.reduceat(base, starts)),
-                    pa.array(np.add.reduceat(logs, starts)),
-                    pa.array([[{"word": w, "n": n} for w, n in r.items()] for r in rare], rare_type),
-                ],
-                names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"],
-            )
-            row += len(texts)
-
+def grow(docs: DataFrame, root: Root, folds: int = FOLDS) -> DataFrame:
+    """The tree's growth and every text's scores in it, written once: texts (own
+    columns), sums of texts per message, sizes per bucket and depth."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    source = docs.select("doc_id", (id_remainder("doc_id", folds) == 0).alias("held_out"), "text")
-    local = written(source.mapInArrow(run, _LOCAL.format(id=kind)), "scored")
+    texts = docs.select("doc_id", (id_remainder("doc_id", folds) == 0).alias("held_out"), "text")
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slice_ = TaskContext.get().partitionId() << _ROW_BITS
+        for batch, tokens in _chunks(batches, 2):
+            part = _Slice.of(tokens)
+            at = root.places(part.hashes)[part.ids]
+            logs = np.where(at >= 0, root.logs[at] if len(root.logs) else 0.0, 0.0)
+            rare = [Counter() for _ in tokens]
+            for i in np.flatnonzero(at < 0).tolist():
+                rare[part.texts[i]][part.words[part.ids[i] - 1]] += 1
+            n = len(tokens)
+            docs_ = {
+                "bucket": pa.array(np.full(n, slice_ % root.buckets, np.int32)),
+                "kind": pa.array(np.full(n, _DOC, np.int32)),
+                "row": pa.array((slice_ << _ROW_BITS) + np.arange(n)),
+                "doc_id": batch.column(0),
+                "held_out": batch.column(1),
+                "n_tokens": pa.array([len(t) for t in tokens], pa.int64()),
+                "known": pa.array(np.add.reduceat((at >= 0).astype(np.int64), part.starts)),
+                "base": pa.array(np.add.reduceat(logs, part.starts)),
+                "first": pa.array(logs[part.starts]),
+                "rare": pa.array([[{"word": w, "n": c} for w, c in r.items()] for r in rare], _RARE),
+            }
+            yield _batch(docs_, n, batch.schema.field(0).type)
+            held = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), np.int64)
+            for bucket, cells in _cells(part, held, root):
+                one = {"bucket": pa.array([bucket], pa.int32()), "kind": pa.array([_CELLS], pa.int32()), "slice": pa.array([slice_]), "cells": pa.array([cells])}
+                yield _batch(one, 1, batch.schema.field(0).type)
+            slice_ += 1
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, slices, hot, type_ = [], [], [], None
+        for batch in batches:
+            kinds, type_ = batch.column(1).to_numpy(), batch.schema.field("doc_id").type
+            own = batch.filter(pa.array(kinds == _DOC))
+            if own.num_rows:
+                yield _batch(dict(zip(own.schema.names, own.columns, strict=True)), own.num_rows, type_, True)
+            for name, bin_ in ((_CELLS, cells), (_HOT, hot)):
+                chosen = batch.filter(pa.array(kinds == name))
+                bin_ += chosen.column(3).to_pylist()
+                if name == _CELLS:
+                    slices += chosen.column(2).to_pylist()
+        if not cells:
+            return
+        # In one order, whatever order the messages came in.
+        order = sorted(range(len(slices)), key=slices.__getitem__)
+        slices, cells = [slices[i] for i in order], [cells[i] for i in order]
+        answers, extra, sizes = _bucket_scores(cells, hot, root)
+        back = {
+            "kind": pa.array(np.full(len(slices), _CELLS, np.int32)),
+            "slice": pa.array(slices, pa.int64()),
+            "cells": pa.array([_pack(r) for r, _ in answers], pa.binary()),
+            "sums": pa.array([s.tobytes() for _, s in answers], pa.binary()),
+        }
+        yield _batch(back, len(slices), type_, True)
+        row = (np.array(slices, np.int64)[extra["message"]] << _ROW_BITS) + extra["text"]
+        fields = [pa.array(x) for x in (row, extra["hash"], extra["times"], extra["a"], extra["b"])]
+        struct = pa.StructArray.from_arrays(fields, fields=list(_EXTRA.value_type))
+        listed = pa.ListArray.from_arrays(pa.array([0, len(struct)], pa.int32()), struct)
+        yield _batch({"kind": pa.array([_CELLS], pa.int32()), "extra": listed}, 1, type_, True)
+        n = len(sizes)
+        counted = {
+            "kind": pa.array(np.full(n, _SIZE, np.int32)),
+            "depth": pa.array(np.arange(1, n + 1, dtype=np.int32)),
+            "candidates": pa.array([c for c, _ in sizes], pa.int64()),
+            "retained": pa.array([r for _, r in sizes], pa.int64()),
+        }
+        yield _batch(counted, n, type_, True)
+
+    sent = texts.mapInArrow(emit, _SENT.format(id=kind))
+    if (root.counts > root.heavy).any():
+        train = docs.where(id_remainder("doc_id", folds) != 0)
+        pairs = _hot_pairs(train, root).withColumn("kind", F.lit(_HOT))
+        sent = sent.unionByName(pairs, allowMissingColumns=True)
+    return written(sent.repartitionById(root.buckets, "bucket").mapInArrow(reduce, _GROWN.format(id=kind)), "suffix-tree")
+
+
+def _batch(columns: dict[str, pa.Array], rows: int, id_type: pa.DataType, grown: bool = False) -> pa.RecordBatch:
+    """A batch of all columns of ``_SENT`` (``_GROWN``), null where none are given."""
+    types = {
+        "bucket": pa.int32(), "kind": pa.int32(), "slice": pa.int64(), "cells": pa.binary(), "row": pa.int64(), "doc_id": id_type,
+        "held_out": pa.bool_(), "n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "first": pa.float64(), "rare": _RARE,
+    }
+    if grown:
+        types |= {"sums": pa.binary(), "extra": _EXTRA, "depth": pa.int32(), "candidates": pa.int64(), "retained": pa.int64()}
+    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(rows, t) for c, t in types.items()], names=list(types))
+
+
+def tree_size(grown: DataFrame) -> DataFrame:
+    """``depth, candidates, retained``: contexts seen at least ``LEAST_COUNT``
+    times, and those retained (a spread word counts in each of its buckets)."""
+    sizes = grown.where(F.col("kind") == _SIZE)
+    return sizes.groupBy("depth").agg(F.sum("candidates").alias("candidates"), F.sum("retained").alias("retained"))
+
+
+def _text_sums(grown: DataFrame) -> DataFrame:
+    """``row, log``: the sums of a slice's texts over all buckets."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for slice_, cells, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = _unpack(cells)[0].astype(np.int64)
+                have = held.get(slice_, np.zeros(0))
+                if len(have) <= rows[-1]:
+                    have = held[slice_] = np.concatenate([have, np.zeros(rows[-1] + 1 - len(have))])
+                have[rows] += np.frombuffer(sums)
+        for slice_, sums in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array((slice_ << _ROW_BITS) + np.arange(len(sums))), pa.array(sums)], names=["row", "log"])
+
+    answers = grown.where((F.col("kind") == _CELLS) & F.col("sums").isNotNull()).select("slice", "cells", "sums")
+    return answers.repartition("slice").sortWithinPartitions("slice").mapInArrow(add, "row long, log double")
+
+
+def score_in(grown: DataFrame, root: Root, counts: DataFrame) -> DataFrame:
+    """The contract's columns from what ``grow`` wrote and the unigram counts."""
+    local = grown.where(F.col("kind") == _DOC)
     # Rare words meet their counts; none has more than LEAST_FREQUENT of all tokens.
-    least, scale = LEAST_FREQUENT * tree.total, tree.total + ADD * (tree.distinct + 1)
-    words = local.select("row", F.inline("rare")).withColumnRenamed("n", "times")
-    words = words.join(counts.where(F.col("n") < least), "word", "left")
-    log = F.log10((F.coalesce("n", F.lit(0)) + ADD) / scale)
-    words = words.groupBy("row").agg(
-        F.sum(F.col("times") * log).alias("rare_log"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known")
+    few = counts.where(F.col("n") < root.least_frequent * root.total)
+    log_root = F.log10((F.coalesce("n", F.lit(0)) + ADD) / root.scale)
+    words = local.select("row", F.inline("rare")).withColumnRenamed("n", "times").join(few, "word", "left")
+    words = words.select(
+        "row", (F.col("times") * log_root).alias("rare_log"), F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("rare_known"), F.lit(0.0).alias("log")
     )
-    zero = F.coalesce("rare_log", F.lit(0.0))
-    return local.drop("rare").join(words, "row", "left").select(
+    hashed = few.groupBy(F.xxhash64("word").alias("hash")).agg(F.max("n").alias("n"))
+    rows = grown.where(F.col("kind") == _CELLS).select(F.inline("extra")).join(hashed, "hash", "left")
+    gain = F.col("times") * (F.log10(F.col("a") + F.col("b") * F.pow(F.lit(10.0), log_root)) - log_root)
+    rows = rows.select("row", F.lit(0.0).alias("rare_log"), F.lit(0).alias("rare_known"), gain.alias("log"))
+    sums = _text_sums(grown).select("row", F.lit(0.0).alias("rare_log"), F.lit(0).alias("rare_known"), "log")
+    parts = words.unionByName(rows).unionByName(sums).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("rare_log", "rare_known", "log")])
+    of = lambda c: F.coalesce(c, F.lit(0.0))
+    return local.join(parts, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(tree.total).cast("long").alias("train_tokens"),
-        (F.col("base") + zero).alias("base_score"),
-        (F.col("score") + zero).alias("score"),
+        F.lit(root.total).cast("long").alias("train_tokens"),
+        (F.col("base") + of("rare_log")).alias("base_score"),
+        (F.col("first") + of("rare_log") + of("log")).alias("score"),
     )
 
 
+def score(docs: DataFrame, folds: int = FOLDS, **options: float) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every
+    document; ``options`` are those of ``fit_root``."""
+    root, counts = fit_root(docs, folds=folds, **options)
+    return score_in(grow(docs, root, folds), root, counts)
+
+
 def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return score(docs, *fit(docs))
+    return score(table(spark, sf_dir, "documents"))
 
 
 QUERY = LlmQuery(_run)
