@@ -25,7 +25,10 @@ class _Plain:
             for i, w in enumerate(tokens):
                 for d in range(1, min(max_depth, i) + 1):
                     self.next[tuple(tokens[i - d : i])][w] += 1
-        self.total, self.max_depth, self.bound = sum(self.uni.values()), max_depth, least_frequent
+        self.total, self.max_depth = sum(self.uni.values()), max_depth
+        self.often = {w for w, n in self.uni.items() if n >= least_frequent * self.total}
+        asked = sum(2 ** int(math.log2(n)) for w, n in self.uni.items() if w not in self.often) + 0.1
+        self.unit = (1 - sum(self.base(w) for w in self.often)) / asked
         self.retained = {}
         self.candidates = collections.Counter()
         for context in sorted(self.next, key=len):
@@ -35,6 +38,11 @@ class _Plain:
             self._test(context)
 
     def root(self, w):
+        if w in self.often:
+            return self.base(w)
+        return self.unit * (2 ** int(math.log2(self.uni[w])) if w in self.uni else 0.1)
+
+    def base(self, w):
         return (self.uni[w] + 0.1) / (self.total + 0.1 * (len(self.uni) + 1))
 
     def p(self, context, w, root):
@@ -51,7 +59,7 @@ class _Plain:
         often = {w: n for w, n in self.next[context].items() if n >= 2}
         if not often:
             return
-        low = {w: self.p(context[1:], w, self.root(w) if self.uni[w] >= self.bound * self.total else self.bound) for w in often}
+        low = {w: self.p(context[1:], w, self.root(w)) for w in often}
         rest, rest_p = c - sum(often.values()), min(max(1 - sum(low.values()), 1e-12), 1)
         gain = 2 * sum(n * math.log(n / (c * low[w])) for w, n in often.items())
         gain += 2 * rest * math.log(rest / (c * rest_p)) if rest else 0
@@ -90,14 +98,14 @@ def _texts():
 def test_scores_and_retention_against_plain_version(spark, options):
     rows = list(enumerate(_texts()))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    root, counts = suffix_tree.fit_root(docs, **options)
+    root = suffix_tree.fit_root(docs, **options)
     grown = suffix_tree.grow(docs, root)
-    plain = _Plain([t or "" for i, t in rows if _fold(i)], root.max_depth, root.least_frequent)
-    got = {r["doc_id"]: r for r in suffix_tree.score_in(grown, root, counts).collect()}
+    plain = _Plain([t or "" for i, t in rows if _fold(i)], root.max_depth, options.get("least_frequent", suffix_tree.LEAST_FREQUENT))
+    got = {r["doc_id"]: r for r in suffix_tree.score_in(grown, root).collect()}
     assert len(got) == len(rows)
     for i, t in rows:
         assert got[i]["score"] == pytest.approx(plain.score(t or ""), abs=1e-8), (i, t)
-        assert got[i]["base_score"] == pytest.approx(sum(math.log10(plain.root(w)) for w in suffix_tree.tokens_of(t or "")), abs=1e-8)
+        assert got[i]["base_score"] == pytest.approx(sum(math.log10(plain.base(w)) for w in suffix_tree.tokens_of(t or "")), abs=1e-8)
     if root.buckets == 1:
         sizes = {r["depth"]: (r["candidates"], r["retained"]) for r in suffix_tree.tree_size(grown).collect()}
         kept = collections.Counter(map(len, plain.retained))
@@ -106,8 +114,7 @@ def test_scores_and_retention_against_plain_version(spark, options):
         assert (root.counts > root.heavy).any() == (options["bucket_mass"] == 300)
     # After any context the words and the unseen one share a probability of 1.
     for context in [(), *list(plain.retained)[::9]]:
-        unseen = 0.1 / (plain.total + 0.1 * (len(plain.uni) + 1))
-        assert sum(plain.p(context, w, plain.root(w)) for w in plain.uni) + plain.p(context, b"?", unseen) == pytest.approx(1)
+        assert sum(plain.p(context, w, plain.root(w)) for w in [*plain.uni, b"?"]) == pytest.approx(1)
 
 
 def test_base_counts(spark, edge, sample):
@@ -150,7 +157,7 @@ def test_learns_context(spark):
 
 def test_grows_with_the_corpus(spark):
     few, many = (
-        {r["depth"]: r["retained"] for r in suffix_tree.tree_size(suffix_tree.grow(d, suffix_tree.fit_root(d)[0])).collect()}
+        {r["depth"]: r["retained"] for r in suffix_tree.tree_size(suffix_tree.grow(d, suffix_tree.fit_root(d))).collect()}
         for d in (spark.read.parquet(f"/root/testdata/sf{s}/documents.parquet") for s in ("0.001", "0.01"))
     )
     assert all(many[d] > 4 * few[d] for d in (1, 2))

@@ -12,24 +12,26 @@ Tokens are words and one end per text.  Learned from all training texts:
 
 A context's distribution is smoothed by absolute discounting: what discounts and
 next words without a row of their own leave over is dealt out as the suffix
-context deals; the root is the add-0.1 unigram distribution.  A token is scored in
-the longest retained suffix of what stands before it.
+context deals.  A token is scored in the longest retained suffix of what stands before it.
+
+The root gives words whose share of all tokens is at least ``LEAST_FREQUENT`` (at most
+1 / LEAST_FREQUENT of them) their add-0.1 share.  The rest is dealt to rarer
+words by their counts rounded down to powers of two, which a table of ``CELLS``
+hashed cells tells every task (the largest of a cell's words counts); an empty
+cell counts ``ADD``.  Known words and an unseen one of an empty cell add up to 1.
 
 The tree is never in one place.  Every occurrence (preceding words, next word,
 text) goes once, as a packed array per slice of texts, to the bucket of its last
 preceding word.  All contexts that end in that word, their counts, their tests
-and the probabilities of their occurrences are then that bucket's alone: a
-bucket sends back a sum per text.  Words that would overfill a bucket are spread
+and the probabilities of their occurrences are then that bucket's alone, and so
+is the word's own count for the base score: a bucket sends back sums per text.  Words that would overfill a bucket are spread
 over several by the word before them; what follows them is counted
 beforehand and added to each of their buckets.  Only one and the same pair of
 words is never split, and occurrences equal within a slice's text are sent as one.
 
-A probability in the tree is ``a + b * root``.  Words whose share of all tokens
-is at least ``LEAST_FREQUENT`` (at most 1 / LEAST_FREQUENT of them) have their
-root everywhere; rarer words meet their counts in a shuffled join, with ``a`` and
-``b`` where they have a row.  The divergence test alone takes ``LEAST_FREQUENT``, an upper
-bound, as a rarer word's root.  Words meet as 64-bit hashes inside the tree; the
-base score and its counts compare the words themselves.
+A bucket tells the words it counts for the base score by 64 bits of their hash,
+next words and earlier words of its contexts by 40: two of them are taken for one
+only if they agree there after the same word.
 
 Defined results: a null text is an empty one (only the end is scored); a null
 ``doc_id`` counts as empty text for the fold; repeated rows count and are scored
@@ -40,6 +42,7 @@ and ``text`` are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -55,19 +58,22 @@ from .common import LlmQuery, id_remainder, table, written
 
 FOLDS = 10
 ADD = 0.1
-MAX_DEPTH = 3
+MAX_DEPTH = 2
 LEAST_FREQUENT = 2e-6
 LEAST_COUNT = 2
 LEAST_DIVERGENCE = 0.01
 DISCOUNT = 0.5
 #: Occurrences a bucket should hold, about; a task's memory is about 150 bytes each.
-BUCKET_MASS = 1_500_000
+BUCKET_MASS = 2_000_000
+#: Cells of the table of rare words' counts, a byte each.
+CELLS = 1 << 22
 #: The end token; no word is empty.
 END = b""
 _SEED = 42  # that of Spark's xxhash64
 _FLUSH = 400_000
 _CHUNK = 1_000_000
 _ROW_BITS = 20  # a slice has fewer than 2^20 texts, a task fewer than 2^20 slices
+_STRIPE = 1 << 16
 _DOC, _CELLS, _HOT, _SIZE = range(4)
 
 
@@ -95,13 +101,15 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Unsigned integer arrays as bytes, each in the narrowest type that holds it."""
+    """Unsigned integer arrays as bytes, each in the narrowest type that holds it, compressed."""
     small = [a.astype(np.min_scalar_type(int(a.max())) if len(a) else np.uint8) for a in arrays]
     head = np.array([x for a in small for x in (a.itemsize, len(a))], np.uint32)
-    return b"".join([np.uint32(len(small)).tobytes(), head.tobytes(), *[a.tobytes() for a in small]])
+    data = b"".join([np.uint32(len(small)).tobytes(), head.tobytes(), *[a.tobytes() for a in small]])
+    return np.uint32(len(data)).tobytes() + pa.compress(data, "zstd", asbytes=True)
 
 
-def _unpack(data: bytes) -> list[np.ndarray]:
+def _unpack(packed: bytes) -> list[np.ndarray]:
+    data = pa.decompress(memoryview(packed)[4:], int(np.frombuffer(packed, np.uint32, 1)[0]), "zstd", asbytes=True)
     count = int(np.frombuffer(data, np.uint32, 1)[0])
     head, at, out = np.frombuffer(data, np.uint32, 2 * count, 4).tolist(), 4 + 8 * count, []
     for width, size in zip(head[::2], head[1::2], strict=True):
@@ -110,10 +118,20 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def _gaps(values: np.ndarray) -> np.ndarray:
+    """Sorted ``values`` by their differences; ``np.cumsum`` of 64 bits gives them back."""
+    return np.diff(values, prepend=np.zeros(1, values.dtype))
+
+
 def _hash(words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, _SEED) for w in words), np.uint64, len(words))
 
 
+def _key(hashes: np.ndarray) -> np.ndarray:
+    """40 bits of word hashes, never 0."""
+    return np.maximum(hashes & np.uint64((1 << 40) - 1), np.uint64(1))
+
+
 # --- what every task knows -----------------------------------------------------------------------
 
 
@@ -125,11 +143,13 @@ class Root:
     distinct: int
     hashes: np.ndarray  # of the frequent words, sorted
     counts: np.ndarray
-    logs: np.ndarray  # log10 of their root probabilities
+    logs: np.ndarray  # log10 of their add-0.1 shares
+    end: int  # count of the end token
     buckets: int
     heavy: float  # counts above this are spread over buckets
     max_depth: int
-    least_frequent: float
+    classes: np.ndarray  # per cell 0, or 1 + log2 of the largest rare count, rounded down
+    unit: float = 1.0  # what a count of one is dealt at the root
 
     @property
     def scale(self) -> float:
@@ -142,6 +162,18 @@ class Root:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, at, -1)
 
+    def share(self, keys: np.ndarray) -> np.ndarray:
+        """Root probabilities by 40-bit keys."""
+        own = _key(self.hashes)
+        order = np.argsort(own)
+        own, logs = own[order], self.logs[order]
+        classes = self.classes[(keys % np.uint64(len(self.classes))).astype(np.int64)].astype(int)
+        out = self.unit * np.where(classes > 0, 2.0 ** (classes - 1), ADD)
+        if len(own):
+            at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+            out = np.where(own[at] == keys, 10.0 ** logs[at], out)
+        return out
+
     def spread(self, hashes: np.ndarray) -> np.ndarray:
         """Over how many buckets each word goes."""
         at = self.places(hashes)
@@ -156,19 +188,63 @@ class Root:
 
 def fit_root(
     docs: DataFrame, max_depth: int = MAX_DEPTH, folds: int = FOLDS, bucket_mass: int = BUCKET_MASS, least_frequent: float = LEAST_FREQUENT
-) -> tuple[Root, DataFrame]:
-    """The root and the table (``word, n``) of all training tokens' counts."""
+) -> Root:
+    """The root, from the exact counts of all training tokens."""
     train = docs.where(id_remainder("doc_id", folds) != 0)
     counts = train.select("text").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = written(counts, "unigrams")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    end = counts.where(F.col("word") == F.lit(bytearray(END))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     frequent = counts.where(F.col("n") >= least_frequent * total).toArrow()  # at most 1 / least_frequent rows
     hashes, n = _hash(frequent.column("word").to_pylist()), frequent.column("n").to_numpy().astype(float)
     order = np.argsort(hashes)
     logs = np.log10((n + ADD) / (total + ADD * (distinct + 1)))
     buckets = 1 + size // (6 * bucket_mass)  # about six bytes a token
-    return Root(total, distinct, hashes[order], n[order], logs[order], buckets, bucket_mass / 2, max_depth, least_frequent), counts
+    classes = _classes(counts.where(F.col("n") < least_frequent * total))
+    root = Root(total, distinct, hashes[order], n[order], logs[order], end, buckets, bucket_mass / 2, max_depth, classes)
+    root.unit = _unit(counts, root)
+    return root
+
+
+def _classes(rare: DataFrame) -> np.ndarray:
+    """The cells' classes, put together per stripe of cells: ``CELLS`` bytes, whatever the corpus."""
+
+    def stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: defaultdict[int, np.ndarray] = defaultdict(lambda: np.zeros(_STRIPE, np.uint8))
+        for batch in batches:
+            stripe, cell, n = (c.to_numpy() for c in batch.columns)
+            for one in np.unique(stripe):
+                at = stripe == one
+                np.maximum.at(held[int(one)], cell[at] % _STRIPE, (1 + np.log2(n[at])).astype(np.uint8))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int32()), pa.array([x.tobytes() for x in held.values()])], names=["stripe", "cells"])
+
+    key = F.greatest(F.xxhash64("word").bitwiseAND(F.lit((1 << 40) - 1)), F.lit(1))
+    cells = rare.select((key % CELLS).alias("cell"), "n").groupBy("cell").agg(F.max("n").alias("n"))
+    cells = cells.select(F.floor(F.col("cell") / _STRIPE).cast("int").alias("stripe"), F.col("cell").cast("int").alias("cell"), "n")
+    out = np.zeros(CELLS, np.uint8)
+    for stripe, data in cells.repartition("stripe").mapInArrow(stripes, "stripe int, cells binary").toArrow().to_pandas().itertuples(index=False):
+        out[stripe * _STRIPE : (stripe + 1) * _STRIPE] = np.frombuffer(data, np.uint8)
+    return out
+
+
+def _unit(counts: DataFrame, root: Root) -> float:
+    """What frequent words leave over, per unit of what the other words ask for."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _key(root.hashes)
+        own.sort()
+        fixed = asked = 0.0
+        for batch in batches:
+            keys = _key(_hash(batch.column(0).to_pylist()))
+            share = root.share(keys)
+            at = np.isin(keys, own)
+            fixed, asked = fixed + float(share[at].sum()), asked + float(share[~at].sum())
+        yield pa.RecordBatch.from_arrays([pa.array([fixed]), pa.array([asked])], names=["fixed", "asked"])
+
+    fixed, asked = counts.select("word").mapInArrow(ask, "fixed double, asked double").agg(F.sum("fixed"), F.sum("asked")).first()
+    return (1 - (fixed or 0.0)) / ((asked or 0.0) + ADD)
 
 
 # --- texts to occurrences ------------------------------------------------------------------------
@@ -239,8 +315,9 @@ def _order(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cells(part: _Slice, held: np.ndarray, root: Root) -> Iterator[tuple[int, bytes]]:
-    """Per bucket: word hashes, texts (number in the slice, twice, plus one if
-    held out) and occurrences (text, next word, preceding words, times)."""
+    """Per bucket: last preceding words (hashes), other words (keys, 0 first), texts
+    (number in the slice, twice, plus one if held out) and occurrences (text,
+    times, last preceding word, next word, earlier words)."""
     at = np.flatnonzero(part.places > 0)
     if not len(at):
         return
@@ -250,12 +327,15 @@ def _cells(part: _Slice, held: np.ndarray, root: Root) -> Iterator[tuple[int, by
     order, first = _order(columns)
     times = np.diff(np.append(first, len(order)))
     bucket, *heads, following, text = [c[order[first]] for c in columns]
+    last, *earlier = heads
+    keys = np.concatenate([np.zeros(1, np.uint64), _key(part.hashes[1:])])
     edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         rows, row = np.unique(text[a:b], return_inverse=True)
-        used, numbers = np.unique(np.concatenate([[0], following[a:b], *[h[a:b] for h in heads]]), return_inverse=True)
-        each = [numbers[1 + i * (b - a) : 1 + (i + 1) * (b - a)] for i in range(1 + len(heads))]
-        yield int(bucket[a]), _pack(part.hashes[used], 2 * rows + held[rows], row, *each, times[a:b])
+        lasts, number = np.unique(part.hashes[last[a:b]], return_inverse=True)
+        others, numbers = np.unique(keys[np.concatenate([[0], *[c[a:b] for c in (following, *earlier)]])], return_inverse=True)
+        each = np.split(numbers[1:], 1 + len(earlier))
+        yield int(bucket[a]), _pack(_gaps(lasts), _gaps(others), 2 * rows + held[rows], row, times[a:b], number, *each)
 
 
 def _hot_pairs(train: DataFrame, root: Root) -> DataFrame:
@@ -282,7 +362,7 @@ def _hot_pairs(train: DataFrame, root: Root) -> DataFrame:
             order, first = _order([bucket, at])  # two salts of a word may share a bucket
             bucket, at = bucket[order[first]], at[order[first]]
             edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
-            rows = [(int(bucket[a]), _pack(last[at[a:b]], following[at[a:b]], n[at[a:b]])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            rows = [(int(bucket[a]), _pack(last[at[a:b]], _key(following[at[a:b]]), n[at[a:b]])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "cells"]
             )
@@ -295,56 +375,52 @@ def _hot_pairs(train: DataFrame, root: Root) -> DataFrame:
 # --- a bucket's contexts -------------------------------------------------------------------------
 
 
-def _bucket_scores(cells: list[bytes], hot: list[bytes], root: Root) -> tuple[list[tuple[np.ndarray, np.ndarray]], dict[str, np.ndarray], list[tuple[int, int]]]:
+def _bucket_scores(cells: list[bytes], hot: list[bytes], root: Root) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple[int, int]]]:
     """Grows the contexts of a bucket and scores its occurrences in them.
 
-    Returns each message's texts and their sums of log10 probabilities (rare next
-    words without their root part), the occurrences of rare next words that have
-    rows (message, text, hash, times, a, b), and candidates and retained contexts a depth.
+    Returns each message's texts with three sums (log10 probabilities of next
+    words; base logs and known tokens of rare last words), and the
+    candidates and retained contexts of each depth.
     """
     messages, pairs = [_unpack(m) for m in cells], [_unpack(m) for m in hot]
-    whole = np.concatenate([*[m[0] for m in messages], *[x for p in pairs for x in p[:2]]]).astype(np.uint64)
-    known, numbers = np.unique(whole, return_inverse=True)
-    base = np.cumsum([0, *[len(m[0]) for m in messages]])
-    def joined(i: int) -> np.ndarray:
-        return np.concatenate([numbers[s + m[i].astype(np.int64)] for m, s in zip(messages, base, strict=False)])
-
-    following, heads = joined(3), [joined(4 + d) for d in range(root.max_depth)]
-    rows = np.concatenate([m[1] for m in messages]).astype(np.int64)
-    row_base = np.cumsum([0, *[len(m[1]) for m in messages]])
-    row = np.concatenate([m[2].astype(np.int64) + s for m, s in zip(messages, row_base, strict=False)])
-    times = np.concatenate([m[-1] for m in messages]).astype(float)
+    lasts = [np.cumsum(m[0], dtype=np.uint64) for m in messages]
+    others = [np.cumsum(m[1], dtype=np.uint64) for m in messages]
+    words, word_of = np.unique(np.concatenate([*lasts, *[p[0] for p in pairs]]).astype(np.uint64), return_inverse=True)
+    keys_, key_of = np.unique(np.concatenate([*others, *[p[1] for p in pairs]]).astype(np.uint64), return_inverse=True)
+    last_base, other_base, row_base = (np.cumsum([0, *[len(m[i]) for m in messages]]) for i in range(3))
+
+    def joined(i: int, base: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+        places = np.concatenate([m[i].astype(np.int64) + s for m, s in zip(messages, base, strict=False)])
+        return places if of is None else of[places]
+
+    rows = np.concatenate([m[2] for m in messages]).astype(np.int64)
+    row, times = joined(3, row_base), np.concatenate([m[4] for m in messages]).astype(float)
+    last, following = joined(5, last_base, word_of), joined(6, other_base, key_of)
+    heads = [last, *[joined(5 + d, other_base, key_of) for d in range(2, root.max_depth + 1)]]
     learned = np.where(rows[row] % 2 == 0, times, 0.0)
 
-    size = len(known)
-    place = root.places(known)
-    frequent = place >= 0
-    p_root = np.where(frequent, 10.0 ** root.logs[place] if len(root.logs) else 1.0, min(root.least_frequent, 1.0))
+    size, spread_words, p_root = len(keys_), root.spread(words) > 1, root.share(keys_)
     a, b = np.zeros(len(row)), np.ones(len(row))
     context, open_ = np.zeros(len(row), np.int64), np.ones(len(row), bool)
     sizes = []
     for depth, head in enumerate(heads, 1):
-        at = np.flatnonzero(open_ & (known[head] != 0))
+        at = np.flatnonzero(open_ if depth == 1 else open_ & (keys_[head] != 0))
         if not len(at):
             break
         key, word, n, lower = context[at] * size + head[at], following[at], learned[at], a[at] + b[at] * p_root[following[at]]
         if depth == 1 and pairs:
             # Spread words: all that follows them, instead of what follows them here.
-            n = np.where(root.spread(known)[head[at]] > 1, 0.0, n)
-            more = numbers[base[-1] :]
-            lasts, nexts, s = [], [], 0
-            for p in pairs:
-                lasts.append(more[s : s + len(p[0])])
-                nexts.append(more[s + len(p[0]) : s + 2 * len(p[0])])
-                s += 2 * len(p[0])
-            key, word = np.concatenate([key, *lasts]), np.concatenate([word, *nexts])
-            n = np.concatenate([n, *[p[2].astype(float) for p in pairs]])
-            lower = np.concatenate([lower, *[p_root[x] for x in nexts]])
+            more = key_of[other_base[-1] :]
+            n = np.concatenate([np.where(spread_words[key], 0.0, n), *[p[2].astype(float) for p in pairs]])
+            key, word = np.concatenate([key, word_of[last_base[-1] :]]), np.concatenate([word, more])
+            lower = np.concatenate([lower, p_root[more]])
         keys, candidate = np.unique(key, return_inverse=True)
         seen = np.bincount(candidate, n)
         if depth == 1:
-            spread = root.spread(known)[keys] > 1
-            seen = np.where(spread, root.counts[place[keys]] if len(root.counts) else 0.0, seen)
+            place, spread = root.places(words[keys]), spread_words[keys]
+            seen = np.where(spread, root.counts[place] if len(root.counts) else 0.0, seen)
+            base = np.where(place < 0, np.log10((seen + ADD) / root.scale), 0.0)[candidate[: len(at)]]
+            found = ((place < 0) & (seen > 0))[candidate[: len(at)]]
         pair, one, entry = np.unique(candidate * size + word, return_index=True, return_inverse=True)
         n, lower, of = np.bincount(entry, n), lower[one], pair // size
         row_of = n >= LEAST_COUNT
@@ -369,26 +445,17 @@ def _bucket_scores(cells: list[bytes], hot: list[bytes], root: Root) -> tuple[li
         open_[:] = False
         open_[at] = ((seen >= LEAST_COUNT) & several)[mine]
 
-    root_p = p_root[following]
-    often = frequent[following]
-    logs = times * np.log10(np.where(often, a + b * root_p, np.where(a > 0, 1.0, b)))
-    sums = np.bincount(row, logs, len(rows))
-    answers = [(rows[s:e] // 2, sums[s:e]) for s, e in zip(row_base[:-1], row_base[1:], strict=True)]
-    rare = np.flatnonzero(~often & (a > 0))
-    message = np.searchsorted(row_base, row[rare], "right") - 1
-    extra = {"message": message, "text": rows[row[rare]] // 2, "hash": known[following[rare]].view(np.int64), "times": times[rare], "a": a[rare], "b": b[rare]}
-    return answers, extra, sizes
+    each = (times * np.log10(a + b * p_root[following]), times * base, times * found)
+    sums = np.stack([np.bincount(row, x, len(rows)) for x in each])
+    return [(rows[s:e] // 2, sums[:, s:e]) for s, e in zip(row_base[:-1], row_base[1:], strict=True)], sizes
 
 
 # --- scoring -------------------------------------------------------------------------------------
 
-_RARE = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
 _SENT = (
-    "bucket int, kind int, slice long, cells binary, row long, doc_id {id}, held_out boolean, n_tokens long, known long, base double, "
-    "first double, rare array<struct<word:binary,n:int>>"
+    "bucket int, kind int, slice long, cells binary, row long, doc_id {id}, held_out boolean, n_tokens long, known long, base double, first double"
 )
-_EXTRA = pa.list_(pa.struct([("row", pa.int64()), ("hash", pa.int64()), ("times", pa.float64()), ("a", pa.float64()), ("b", pa.float64())]))
-_GROWN = _SENT + ", sums binary, extra array<struct<row:long,hash:long,times:double,a:double,b:double>>, depth int, candidates long, retained long"
+_GROWN = _SENT + ", sums binary, depth int, candidates long, retained long"
 
 
 def grow(docs: DataFrame, root: Root, folds: int = FOLDS) -> DataFrame:
@@ -403,9 +470,10 @@ def grow(docs: DataFrame, root: Root, folds: int = FOLDS) -> DataFrame:
             part = _Slice.of(tokens)
             at = root.places(part.hashes)[part.ids]
             logs = np.where(at >= 0, root.logs[at] if len(root.logs) else 0.0, 0.0)
-            rare = [Counter() for _ in tokens]
-            for i in np.flatnonzero(at < 0).tolist():
-                rare[part.texts[i]][part.words[part.ids[i] - 1]] += 1
+            # The end is no context's last word: its count is known here.
+            end = part.starts + np.diff(np.append(part.starts, len(logs))) - 1
+            logs[end], known = math.log10((root.end + ADD) / root.scale), at >= 0
+            known[end] = root.end > 0
             n = len(tokens)
             docs_ = {
                 "bucket": pa.array(np.full(n, slice_ % root.buckets, np.int32)),
@@ -414,10 +482,9 @@ def grow(docs: DataFrame, root: Root, folds: int = FOLDS) -> DataFrame:
                 "doc_id": batch.column(0),
                 "held_out": batch.column(1),
                 "n_tokens": pa.array([len(t) for t in tokens], pa.int64()),
-                "known": pa.array(np.add.reduceat((at >= 0).astype(np.int64), part.starts)),
+                "known": pa.array(np.add.reduceat(known.astype(np.int64), part.starts)),
                 "base": pa.array(np.add.reduceat(logs, part.starts)),
-                "first": pa.array(logs[part.starts]),
-                "rare": pa.array([[{"word": w, "n": c} for w, c in r.items()] for r in rare], _RARE),
+                "first": pa.array(np.log10(root.share(_key(part.hashes[part.ids[part.starts]])))),
             }
             yield _batch(docs_, n, batch.schema.field(0).type)
             held = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), np.int64)
@@ -443,19 +510,14 @@ def grow(docs: DataFrame, root: Root, folds: int = FOLDS) -> DataFrame:
         # In one order, whatever order the messages came in.
         order = sorted(range(len(slices)), key=slices.__getitem__)
         slices, cells = [slices[i] for i in order], [cells[i] for i in order]
-        answers, extra, sizes = _bucket_scores(cells, hot, root)
+        answers, sizes = _bucket_scores(cells, hot, root)
         back = {
             "kind": pa.array(np.full(len(slices), _CELLS, np.int32)),
             "slice": pa.array(slices, pa.int64()),
-            "cells": pa.array([_pack(r) for r, _ in answers], pa.binary()),
-            "sums": pa.array([s.tobytes() for _, s in answers], pa.binary()),
+            "cells": pa.array([_pack(r, x[2].astype(np.int64)) for r, x in answers], pa.binary()),
+            "sums": pa.array([x[:2].tobytes() for _, x in answers], pa.binary()),
         }
         yield _batch(back, len(slices), type_, True)
-        row = (np.array(slices, np.int64)[extra["message"]] << _ROW_BITS) + extra["text"]
-        fields = [pa.array(x) for x in (row, extra["hash"], extra["times"], extra["a"], extra["b"])]
-        struct = pa.StructArray.from_arrays(fields, fields=list(_EXTRA.value_type))
-        listed = pa.ListArray.from_arrays(pa.array([0, len(struct)], pa.int32()), struct)
-        yield _batch({"kind": pa.array([_CELLS], pa.int32()), "extra": listed}, 1, type_, True)
         n = len(sizes)
         counted = {
             "kind": pa.array(np.full(n, _SIZE, np.int32)),
@@ -477,10 +539,10 @@ def _batch(columns: dict[str, pa.Array], rows: int, id_type: pa.DataType, grown:
     """A batch of all columns of ``_SENT`` (``_GROWN``), null where none are given."""
     types = {
         "bucket": pa.int32(), "kind": pa.int32(), "slice": pa.int64(), "cells": pa.binary(), "row": pa.int64(), "doc_id": id_type,
-        "held_out": pa.bool_(), "n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "first": pa.float64(), "rare": _RARE,
+        "held_out": pa.bool_(), "n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "first": pa.float64(),
     }
     if grown:
-        types |= {"sums": pa.binary(), "extra": _EXTRA, "depth": pa.int32(), "candidates": pa.int64(), "retained": pa.int64()}
+        types |= {"sums": pa.binary(), "depth": pa.int32(), "candidates": pa.int64(), "retained": pa.int64()}
     return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(rows, t) for c, t in types.items()], names=list(types))
 
 
@@ -492,57 +554,44 @@ def tree_size(grown: DataFrame) -> DataFrame:
 
 
 def _text_sums(grown: DataFrame) -> DataFrame:
-    """``row, log``: the sums of a slice's texts over all buckets."""
+    """``row, log, rare_log, rare_known``: the sums of a slice's texts over all buckets."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for slice_, cells, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows = _unpack(cells)[0].astype(np.int64)
-                have = held.get(slice_, np.zeros(0))
-                if len(have) <= rows[-1]:
-                    have = held[slice_] = np.concatenate([have, np.zeros(rows[-1] + 1 - len(have))])
-                have[rows] += np.frombuffer(sums)
+                rows, known = (x.astype(np.int64) for x in _unpack(cells))
+                have = held.get(slice_, np.zeros((3, 0)))
+                if have.shape[1] <= rows[-1]:
+                    have = held[slice_] = np.pad(have, ((0, 0), (0, rows[-1] + 1 - have.shape[1])))
+                have[:, rows] += np.vstack([np.frombuffer(sums).reshape(2, -1), known])
         for slice_, sums in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array((slice_ << _ROW_BITS) + np.arange(len(sums))), pa.array(sums)], names=["row", "log"])
+            columns = [(slice_ << _ROW_BITS) + np.arange(sums.shape[1]), sums[0], sums[1], sums[2].astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row", "log", "rare_log", "rare_known"])
 
-    answers = grown.where((F.col("kind") == _CELLS) & F.col("sums").isNotNull()).select("slice", "cells", "sums")
-    return answers.repartition("slice").sortWithinPartitions("slice").mapInArrow(add, "row long, log double")
+    answers = grown.where(F.col("kind") == _CELLS).select("slice", "cells", "sums")
+    return answers.repartition("slice").mapInArrow(add, "row long, log double, rare_log double, rare_known long")
 
 
-def score_in(grown: DataFrame, root: Root, counts: DataFrame) -> DataFrame:
-    """The contract's columns from what ``grow`` wrote and the unigram counts."""
-    local = grown.where(F.col("kind") == _DOC)
-    # Rare words meet their counts; none has more than LEAST_FREQUENT of all tokens.
-    few = counts.where(F.col("n") < root.least_frequent * root.total)
-    log_root = F.log10((F.coalesce("n", F.lit(0)) + ADD) / root.scale)
-    words = local.select("row", F.inline("rare")).withColumnRenamed("n", "times").join(few, "word", "left")
-    words = words.select(
-        "row", (F.col("times") * log_root).alias("rare_log"), F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("rare_known"), F.lit(0.0).alias("log")
-    )
-    hashed = few.groupBy(F.xxhash64("word").alias("hash")).agg(F.max("n").alias("n"))
-    rows = grown.where(F.col("kind") == _CELLS).select(F.inline("extra")).join(hashed, "hash", "left")
-    gain = F.col("times") * (F.log10(F.col("a") + F.col("b") * F.pow(F.lit(10.0), log_root)) - log_root)
-    rows = rows.select("row", F.lit(0.0).alias("rare_log"), F.lit(0).alias("rare_known"), gain.alias("log"))
-    sums = _text_sums(grown).select("row", F.lit(0.0).alias("rare_log"), F.lit(0).alias("rare_known"), "log")
-    parts = words.unionByName(rows).unionByName(sums).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("rare_log", "rare_known", "log")])
+def score_in(grown: DataFrame, root: Root) -> DataFrame:
+    """The contract's columns from what ``grow`` wrote."""
     of = lambda c: F.coalesce(c, F.lit(0.0))
-    return local.join(parts, "row", "left").select(
+    return grown.where(F.col("kind") == _DOC).join(_text_sums(grown), "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(root.total).cast("long").alias("train_tokens"),
         (F.col("base") + of("rare_log")).alias("base_score"),
-        (F.col("first") + of("rare_log") + of("log")).alias("score"),
+        (F.col("first") + of("log")).alias("score"),
     )
 
 
 def score(docs: DataFrame, folds: int = FOLDS, **options: float) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every
     document; ``options`` are those of ``fit_root``."""
-    root, counts = fit_root(docs, folds=folds, **options)
-    return score_in(grow(docs, root, folds), root, counts)
+    root = fit_root(docs, folds=folds, **options)
+    return score_in(grow(docs, root, folds), root)
 
 
 def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
