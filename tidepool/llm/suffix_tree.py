@@ -64,15 +64,16 @@ LEAST_COUNT = 2
 LEAST_DIVERGENCE = 0.01
 DISCOUNT = 0.5
 #: Occurrences a bucket should hold, about; a task's memory is about 150 bytes each.
-BUCKET_MASS = 2_000_000
+BUCKET_MASS = 1_500_000
 #: Cells of the table of rare words' counts, a byte each.
 CELLS = 1 << 22
 #: The end token; no word is empty.
 END = b""
 _SEED = 42  # that of Spark's xxhash64
 _FLUSH = 400_000
-_CHUNK = 1_000_000
-_ROW_BITS = 20  # a slice has fewer than 2^20 texts, a task fewer than 2^20 slices
+_CHUNK = 1_500_000
+_ROW_BITS = 21  # a slice has fewer than 2^21 texts, a task fewer than 2^21 slices
+_UNIT = 2.0**32  # sums of logs travel as whole numbers of this part, so their order doesn't matter
 _STRIPE = 1 << 16
 _DOC, _CELLS, _HOT, _SIZE = range(4)
 
@@ -250,18 +251,22 @@ def _unit(counts: DataFrame, root: Root) -> float:
 # --- texts to occurrences ------------------------------------------------------------------------
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
-    """Slices of batches with their tokens, about ``_CHUNK`` tokens at once."""
+def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.Table, list[list[bytes]]]]:
+    """A task's rows in slices of about ``_CHUNK`` tokens, whatever the batches' size."""
+    rows, texts, size = [], [], 0
     for batch in batches:
-        first, texts, size = 0, [], 0
+        first = 0
+        others = batch.drop_columns([batch.schema.names[column]])
         for i, text in enumerate(batch.column(column).to_pylist()):
             texts.append(tokens_of(text or ""))
             size += len(texts[-1])
             if size >= _CHUNK:
-                yield batch.slice(first, len(texts)), texts
-                first, texts, size = i + 1, [], 0
-        if texts:
-            yield batch.slice(first, len(texts)), texts
+                yield pa.Table.from_batches([*rows, others.slice(first, i + 1 - first)]), texts
+                first, rows, texts, size = i + 1, [], [], 0
+        if first < batch.num_rows:
+            rows.append(others.slice(first))
+    if texts:
+        yield pa.Table.from_batches(rows), texts
 
 
 @dataclass
@@ -378,8 +383,8 @@ def _hot_pairs(train: DataFrame, root: Root) -> DataFrame:
 def _bucket_scores(cells: list[bytes], hot: list[bytes], root: Root) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple[int, int]]]:
     """Grows the contexts of a bucket and scores its occurrences in them.
 
-    Returns each message's texts with three sums (log10 probabilities of next
-    words; base logs and known tokens of rare last words), and the
+    Returns each message's texts with three sums (minus log10 probabilities of next
+    words and base logs of rare last words, times ``_UNIT``; known rare last words), and the
     candidates and retained contexts of each depth.
     """
     messages, pairs = [_unpack(m) for m in cells], [_unpack(m) for m in hot]
@@ -390,38 +395,44 @@ def _bucket_scores(cells: list[bytes], hot: list[bytes], root: Root) -> tuple[li
     last_base, other_base, row_base = (np.cumsum([0, *[len(m[i]) for m in messages]]) for i in range(3))
 
     def joined(i: int, base: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
-        places = np.concatenate([m[i].astype(np.int64) + s for m, s in zip(messages, base, strict=False)])
-        return places if of is None else of[places]
+        places = np.concatenate([m[i].astype(np.int32) + np.int32(s) for m, s in zip(messages, base, strict=False)])
+        return places if of is None else of[places].astype(np.int32)
 
-    rows = np.concatenate([m[2] for m in messages]).astype(np.int64)
-    row, times = joined(3, row_base), np.concatenate([m[4] for m in messages]).astype(float)
+    rows, sent = [m[2].astype(np.int64) for m in messages], len(messages)
+    train = np.concatenate(rows) % 2 == 0
+    row, times = joined(3, row_base), np.concatenate([m[4] for m in messages])
     last, following = joined(5, last_base, word_of), joined(6, other_base, key_of)
     heads = [last, *[joined(5 + d, other_base, key_of) for d in range(2, root.max_depth + 1)]]
-    learned = np.where(rows[row] % 2 == 0, times, 0.0)
+    more = (word_of[last_base[-1] :], key_of[other_base[-1] :])
+    del messages, lasts, others, word_of, key_of
 
     size, spread_words, p_root = len(keys_), root.spread(words) > 1, root.share(keys_)
     a, b = np.zeros(len(row)), np.ones(len(row))
-    context, open_ = np.zeros(len(row), np.int64), np.ones(len(row), bool)
+    context, open_ = np.zeros(len(row), np.int32), np.ones(len(row), bool)
+    sums = np.zeros((3, len(train)))
     sizes = []
     for depth, head in enumerate(heads, 1):
         at = np.flatnonzero(open_ if depth == 1 else open_ & (keys_[head] != 0))
         if not len(at):
             break
-        key, word, n, lower = context[at] * size + head[at], following[at], learned[at], a[at] + b[at] * p_root[following[at]]
+        key, word = context[at].astype(np.int64) * size + head[at], following[at]
+        n, lower = np.where(train[row[at]], times[at], 0.0), a[at] + b[at] * p_root[word]
         if depth == 1 and pairs:
             # Spread words: all that follows them, instead of what follows them here.
-            more = key_of[other_base[-1] :]
             n = np.concatenate([np.where(spread_words[key], 0.0, n), *[p[2].astype(float) for p in pairs]])
-            key, word = np.concatenate([key, word_of[last_base[-1] :]]), np.concatenate([word, more])
-            lower = np.concatenate([lower, p_root[more]])
+            key, word, lower = np.concatenate([key, more[0]]), np.concatenate([word, more[1]]), np.concatenate([lower, p_root[more[1]]])
         keys, candidate = np.unique(key, return_inverse=True)
         seen = np.bincount(candidate, n)
         if depth == 1:
             place, spread = root.places(words[keys]), spread_words[keys]
             seen = np.where(spread, root.counts[place] if len(root.counts) else 0.0, seen)
-            base = np.where(place < 0, np.log10((seen + ADD) / root.scale), 0.0)[candidate[: len(at)]]
-            found = ((place < 0) & (seen > 0))[candidate[: len(at)]]
-        pair, one, entry = np.unique(candidate * size + word, return_index=True, return_inverse=True)
+            base, found = np.where(place < 0, np.log10((seen + ADD) / root.scale), 0.0), (place < 0) & (seen > 0)
+            for i, x in ((1, base), (2, found)):
+                sums[i] = np.bincount(row, times * x[candidate[: len(at)]], len(train))
+        candidate = candidate.astype(np.int32)
+        key = candidate.astype(np.int64) * size + word
+        pair, one, entry = np.unique(key, return_index=True, return_inverse=True)
+        del key, word
         n, lower, of = np.bincount(entry, n), lower[one], pair // size
         row_of = n >= LEAST_COUNT
         kept, p, c = np.where(row_of, n, 0.0), np.where(row_of, lower, 0.0), np.maximum(seen, 1)
@@ -445,9 +456,10 @@ def _bucket_scores(cells: list[bytes], hot: list[bytes], root: Root) -> tuple[li
         open_[:] = False
         open_[at] = ((seen >= LEAST_COUNT) & several)[mine]
 
-    each = (times * np.log10(a + b * p_root[following]), times * base, times * found)
-    sums = np.stack([np.bincount(row, x, len(rows)) for x in each])
-    return [(rows[s:e] // 2, sums[:, s:e]) for s, e in zip(row_base[:-1], row_base[1:], strict=True)], sizes
+    sums[0] = np.bincount(row, times * np.log10(a + b * p_root[following]), len(train))
+    sums[:2] = np.rint(np.maximum(-sums[:2], 0) * _UNIT)
+    sums = sums.astype(np.int64)
+    return [(rows[i] // 2, sums[:, row_base[i] : row_base[i + 1]]) for i in range(sent)], sizes
 
 
 # --- scoring -------------------------------------------------------------------------------------
@@ -455,7 +467,7 @@ def _bucket_scores(cells: list[bytes], hot: list[bytes], root: Root) -> tuple[li
 _SENT = (
     "bucket int, kind int, slice long, cells binary, row long, doc_id {id}, held_out boolean, n_tokens long, known long, base double, first double"
 )
-_GROWN = _SENT + ", sums binary, depth int, candidates long, retained long"
+_GROWN = _SENT + ", depth int, candidates long, retained long"
 
 
 def grow(docs: DataFrame, root: Root, folds: int = FOLDS) -> DataFrame:
@@ -479,18 +491,18 @@ def grow(docs: DataFrame, root: Root, folds: int = FOLDS) -> DataFrame:
                 "bucket": pa.array(np.full(n, slice_ % root.buckets, np.int32)),
                 "kind": pa.array(np.full(n, _DOC, np.int32)),
                 "row": pa.array((slice_ << _ROW_BITS) + np.arange(n)),
-                "doc_id": batch.column(0),
-                "held_out": batch.column(1),
+                "doc_id": batch["doc_id"].combine_chunks(),
+                "held_out": batch["held_out"].combine_chunks(),
                 "n_tokens": pa.array([len(t) for t in tokens], pa.int64()),
                 "known": pa.array(np.add.reduceat(known.astype(np.int64), part.starts)),
                 "base": pa.array(np.add.reduceat(logs, part.starts)),
                 "first": pa.array(np.log10(root.share(_key(part.hashes[part.ids[part.starts]])))),
             }
-            yield _batch(docs_, n, batch.schema.field(0).type)
-            held = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), np.int64)
+            yield _batch(docs_, n, batch.schema.field("doc_id").type)
+            held = batch["held_out"].to_numpy().astype(np.int64)
             for bucket, cells in _cells(part, held, root):
                 one = {"bucket": pa.array([bucket], pa.int32()), "kind": pa.array([_CELLS], pa.int32()), "slice": pa.array([slice_]), "cells": pa.array([cells])}
-                yield _batch(one, 1, batch.schema.field(0).type)
+                yield _batch(one, 1, batch.schema.field("doc_id").type)
             slice_ += 1
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -514,8 +526,7 @@ def grow(docs: DataFrame, root: Root, folds: int = FOLDS) -> DataFrame:
         back = {
             "kind": pa.array(np.full(len(slices), _CELLS, np.int32)),
             "slice": pa.array(slices, pa.int64()),
-            "cells": pa.array([_pack(r, x[2].astype(np.int64)) for r, x in answers], pa.binary()),
-            "sums": pa.array([x[:2].tobytes() for _, x in answers], pa.binary()),
+            "cells": pa.array([_pack(r, *x) for r, x in answers], pa.binary()),
         }
         yield _batch(back, len(slices), type_, True)
         n = len(sizes)
@@ -542,7 +553,7 @@ def _batch(columns: dict[str, pa.Array], rows: int, id_type: pa.DataType, grown:
         "held_out": pa.bool_(), "n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "first": pa.float64(),
     }
     if grown:
-        types |= {"sums": pa.binary(), "depth": pa.int32(), "candidates": pa.int64(), "retained": pa.int64()}
+        types |= {"depth": pa.int32(), "candidates": pa.int64(), "retained": pa.int64()}
     return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(rows, t) for c, t in types.items()], names=list(types))
 
 
@@ -559,17 +570,17 @@ def _text_sums(grown: DataFrame) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for slice_, cells, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows, known = (x.astype(np.int64) for x in _unpack(cells))
-                have = held.get(slice_, np.zeros((3, 0)))
+            for slice_, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows, *sums = (x.astype(np.int64) for x in _unpack(cells))
+                have = held.get(slice_, np.zeros((3, 0), np.int64))
                 if have.shape[1] <= rows[-1]:
                     have = held[slice_] = np.pad(have, ((0, 0), (0, rows[-1] + 1 - have.shape[1])))
-                have[:, rows] += np.vstack([np.frombuffer(sums).reshape(2, -1), known])
+                have[:, rows] += np.stack(sums)
         for slice_, sums in held.items():
-            columns = [(slice_ << _ROW_BITS) + np.arange(sums.shape[1]), sums[0], sums[1], sums[2].astype(np.int64)]
+            columns = [(slice_ << _ROW_BITS) + np.arange(sums.shape[1]), *(-sums[:2] / _UNIT), sums[2]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row", "log", "rare_log", "rare_known"])
 
-    answers = grown.where(F.col("kind") == _CELLS).select("slice", "cells", "sums")
+    answers = grown.where(F.col("kind") == _CELLS).select("slice", "cells")
     return answers.repartition("slice").mapInArrow(add, "row long, log double, rare_log double, rare_known long")
 
 
