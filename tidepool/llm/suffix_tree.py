@@ -18,7 +18,8 @@ The root gives words whose share of all tokens is at least ``LEAST_FREQUENT`` (a
 1 / LEAST_FREQUENT of them) their add-0.1 share.  The rest is dealt to rarer
 words by their counts rounded down to powers of two, which a table of ``CELLS``
 hashed cells tells every task (the largest of a cell's words counts); an empty
-cell counts ``ADD``.  Known words and an unseen one of an empty cell add up to 1.
+cell counts ``ADD``.  Known words and an unseen one of an empty cell add up to 1
+(but for rare words that share 40 bits of their hash with a frequent one).
 
 The tree is never in one place.  Every occurrence (preceding words, next word,
 text) goes once, as a packed array per slice of texts, to the bucket of its last
@@ -64,14 +65,14 @@ LEAST_COUNT = 2
 LEAST_DIVERGENCE = 0.01
 DISCOUNT = 0.5
 #: Occurrences a bucket should hold, about; a task's memory is about 150 bytes each.
-BUCKET_MASS = 1_500_000
+BUCKET_MASS = 1_300_000
 #: Cells of the table of rare words' counts, a byte each.
 CELLS = 1 << 22
 #: The end token; no word is empty.
 END = b""
 _SEED = 42  # that of Spark's xxhash64
 _FLUSH = 400_000
-_CHUNK = 1_500_000
+_CHUNK = 800_000
 _ROW_BITS = 21  # a slice has fewer than 2^21 texts, a task fewer than 2^21 slices
 _UNIT = 2.0**32  # sums of logs travel as whole numbers of this part, so their order doesn't matter
 _STRIPE = 1 << 16
@@ -150,7 +151,7 @@ class Root:
     heavy: float  # counts above this are spread over buckets
     max_depth: int
     classes: np.ndarray  # per cell 0, or 1 + log2 of the largest rare count, rounded down
-    unit: float = 1.0  # what a count of one is dealt at the root
+    unit: float  # what a count of one is dealt at the root
 
     @property
     def scale(self) -> float:
@@ -202,14 +203,14 @@ def fit_root(
     order = np.argsort(hashes)
     logs = np.log10((n + ADD) / (total + ADD * (distinct + 1)))
     buckets = 1 + size // (6 * bucket_mass)  # about six bytes a token
-    classes = _classes(counts.where(F.col("n") < least_frequent * total))
-    root = Root(total, distinct, hashes[order], n[order], logs[order], end, buckets, bucket_mass / 2, max_depth, classes)
-    root.unit = _unit(counts, root)
-    return root
+    classes, asked = _classes(counts.where(F.col("n") < least_frequent * total))
+    unit = (1 - float((10.0**logs).sum())) / (asked + ADD)
+    return Root(total, distinct, hashes[order], n[order], logs[order], end, buckets, bucket_mass / 2, max_depth, classes, unit)
 
 
-def _classes(rare: DataFrame) -> np.ndarray:
-    """The cells' classes, put together per stripe of cells: ``CELLS`` bytes, whatever the corpus."""
+def _classes(rare: DataFrame) -> tuple[np.ndarray, float]:
+    """The cells' classes, put together per stripe of cells (``CELLS`` bytes, whatever
+    the corpus), and what all rare words ask for by them."""
 
     def stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: defaultdict[int, np.ndarray] = defaultdict(lambda: np.zeros(_STRIPE, np.uint8))
@@ -222,30 +223,14 @@ def _classes(rare: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int32()), pa.array([x.tobytes() for x in held.values()])], names=["stripe", "cells"])
 
     key = F.greatest(F.xxhash64("word").bitwiseAND(F.lit((1 << 40) - 1)), F.lit(1))
-    cells = rare.select((key % CELLS).alias("cell"), "n").groupBy("cell").agg(F.max("n").alias("n"))
+    cells = rare.select((key % CELLS).alias("cell"), "n").groupBy("cell").agg(F.max("n").alias("n"), F.count("*").alias("words"))
+    cells = written(cells, "word-cells")
+    asked = cells.agg(F.sum(F.col("words") * F.pow(F.lit(2.0), F.floor(F.log2("n"))))).first()[0] or 0.0
     cells = cells.select(F.floor(F.col("cell") / _STRIPE).cast("int").alias("stripe"), F.col("cell").cast("int").alias("cell"), "n")
     out = np.zeros(CELLS, np.uint8)
     for stripe, data in cells.repartition("stripe").mapInArrow(stripes, "stripe int, cells binary").toArrow().to_pandas().itertuples(index=False):
         out[stripe * _STRIPE : (stripe + 1) * _STRIPE] = np.frombuffer(data, np.uint8)
-    return out
-
-
-def _unit(counts: DataFrame, root: Root) -> float:
-    """What frequent words leave over, per unit of what the other words ask for."""
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _key(root.hashes)
-        own.sort()
-        fixed = asked = 0.0
-        for batch in batches:
-            keys = _key(_hash(batch.column(0).to_pylist()))
-            share = root.share(keys)
-            at = np.isin(keys, own)
-            fixed, asked = fixed + float(share[at].sum()), asked + float(share[~at].sum())
-        yield pa.RecordBatch.from_arrays([pa.array([fixed]), pa.array([asked])], names=["fixed", "asked"])
-
-    fixed, asked = counts.select("word").mapInArrow(ask, "fixed double, asked double").agg(F.sum("fixed"), F.sum("asked")).first()
-    return (1 - (fixed or 0.0)) / ((asked or 0.0) + ADD)
+    return out, asked
 
 
 # --- texts to occurrences ------------------------------------------------------------------------
@@ -285,7 +270,7 @@ class _Slice:
         numbers: defaultdict[bytes, int] = defaultdict()
         numbers.default_factory = lambda: len(numbers) + 1
         sizes = np.array([len(t) for t in texts])
-        ids = np.fromiter((numbers[w] for t in texts for w in t), np.int64, int(sizes.sum()))
+        ids = np.fromiter((numbers[w] for t in texts for w in t), np.int32, int(sizes.sum()))
         words = list(numbers)
         starts = np.cumsum(sizes) - sizes
         return cls(
@@ -293,8 +278,8 @@ class _Slice:
             np.concatenate([np.zeros(1, np.uint64), _hash(words)]),
             ids,
             starts,
-            np.repeat(np.arange(len(texts)), sizes),
-            np.arange(len(ids)) - np.repeat(starts, sizes),
+            np.repeat(np.arange(len(texts), dtype=np.int32), sizes),
+            np.arange(len(ids), dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes),
         )
 
     def before(self, distance: int, at: np.ndarray) -> np.ndarray:
