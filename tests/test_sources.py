@@ -190,3 +190,29 @@ def test_compact_history_into_clustered_table(spark):
     assert before < set(grown.inputFiles())
     assert grown.groupBy("event_id").count().where("event_id < 50").agg(F.min("count"), F.max("count")).first() == (2, 2)
     assert grown.count() == sub.history(spark).count() == ev.count() + 50
+
+
+def test_many_topics_share_files(spark):
+    """Names stay text in both layouts; files grow with the topics only where each has a folder."""
+    from tidepool.plans.common import stage_topic
+
+    rows = spark.range(600).select("id", F.lpad((F.col("id") % 200).cast("string"), 5, "0").alias("name")).repartition(3)
+    want = sorted((f"{i:05d}", 3) for i in range(200))
+    src = stage_topic(spark, rows, topic_col="name", topic_folders=False)
+    assert len(spark.read.parquet(src.path).inputFiles()) <= 3
+    for quarantine in (False, True):
+        sub = subscribe(spark, src, quarantine=quarantine)
+        ingest(spark, sub)
+        history = sub.history(spark)
+        assert history.schema["topic"].dataType.simpleString() == "string"
+        assert sorted(map(tuple, history.groupBy("topic").count().collect())) == want
+        assert len(history.inputFiles()) <= 3
+    one = TopicSource("00007", fmt="parquet", path=src.path, topic_folders=False)
+    sub = subscribe(spark, one)
+    ingest(spark, sub)
+    assert sorted(r["id"] for r in sub.history(spark).collect()) == [7, 207, 407]
+    folders = subscribe(spark, stage_topic(spark, rows.where("id % 200 < 4"), topic_col="name"))
+    ingest(spark, folders)
+    assert sorted(map(tuple, folders.history(spark).groupBy("topic").count().collect())) == want[:4]
+    with pytest.raises(ValueError):
+        TopicSource(None, path=src.path, topic_folders=False)

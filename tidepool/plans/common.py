@@ -53,9 +53,11 @@ def stage_topic(
     name: str | None = None,
     files: int | None = None,
     order_col: str | None = None,
+    topic_folders: bool = True,
 ) -> TopicSource:
     """Publish rows as JSON messages into a fresh file topic and return its
-    source.  With ``topic_col`` each value becomes its own topic folder.
+    source.  With ``topic_col`` each value becomes its own topic folder, or with
+    ``topic_folders=False`` its own topic in files that hold many.
     ``files``/``order_col`` spread the messages over range-cut files so a
     throttled replay runs several micro-batches."""
     path = scratch_path(spark, "topic-files")
@@ -64,7 +66,7 @@ def stage_topic(
         msgs = msgs.repartitionByRange(files, order_col) if order_col else msgs.repartition(files)
     msgs = to_messages(msgs, topic_col=topic_col)
     if topic_col:
-        target = TopicSource(None, path=path)
+        target = TopicSource(None, fmt="text" if topic_folders else "parquet", path=path, topic_folders=topic_folders)
     else:
         target = TopicSource(name or "topic", path=path)
     publish(msgs, target)

@@ -103,9 +103,10 @@ def schema_drift_full(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT lpad(CAST(user_id AS VARCHAR), 5, '0') AS topic, count(*) AS n FROM events GROUP BY ALL",
 )
 def topic_numeric_name(spark: SparkSession, sf: str) -> DataFrame:
-    """Topics that look like numbers keep their names as text, leading zeros too."""
+    """Topics that look like numbers keep their names as text, leading zeros too.
+    There is a topic for every user: the topic is a column of files, not a folder each."""
     ev = table(spark, sf, "events").select("event_id", F.lpad(F.col("user_id").cast("string"), 5, "0").alias("name"))
-    sub = subscribe(spark, stage_topic(spark, ev.repartition("name"), topic_col="name"))
+    sub = subscribe(spark, stage_topic(spark, ev.repartition("name"), topic_col="name", topic_folders=False))
     ingest(spark, sub)
     return S.message_counts(sub.history(spark)).withColumnRenamed("n_messages", "n")
 

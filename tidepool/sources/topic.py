@@ -6,7 +6,8 @@ streaming query already consumes with its own group, so each subscription
 replays the whole topic).  The same reader accepts file topics: a folder of
 text files with one JSON message per line (``fmt="text"``/``"json"``) or of
 Parquet files with a ``value`` column (``fmt="parquet"``), optionally split
-into ``topic=<name>`` sub-folders.  That is how the tests and the bench stage
+into ``topic=<name>`` sub-folders or, where topics are many, with the ``topic`` as a column
+of the files.  That is how the tests and the bench stage
 topics derived from the given tables (the Kafka connector jar is not part of
 a plain PySpark install).
 
@@ -41,7 +42,9 @@ class TopicSource:
 
     ``name`` is the topic (``None`` with a file folder = every ``topic=``
     sub-folder, the topic becoming a column).  ``max_per_trigger`` throttles a
-    micro-batch (files for file topics, offsets for Kafka).
+    micro-batch (files for file topics, offsets for Kafka).  ``topic_folders=False``:
+    the topic is a column of Parquet files instead, also in the history, so that
+    files do not grow with the number of topics.
     """
 
     name: str | None
@@ -50,8 +53,11 @@ class TopicSource:
     bootstrap_servers: str | None = None
     max_per_trigger: int | None = None
     options: dict = field(default_factory=dict)
+    topic_folders: bool = True
 
     def __post_init__(self):
+        if not self.topic_folders and self.fmt != "parquet":
+            raise ValueError("only Parquet files hold the topic as a column")
         if self.fmt == "kafka":
             if not self.bootstrap_servers or not self.bootstrap_servers.strip():
                 raise ValueError("bootstrap servers are empty")
@@ -113,7 +119,7 @@ def _resolve(spark: SparkSession, src: TopicSource) -> str:
     column then comes from the name), so other topics' files are never
     listed or read."""
     assert src.path is not None
-    if src.name is None:
+    if src.name is None or not src.topic_folders:
         return src.path
     sub = f"{src.path.rstrip('/')}/topic={src.name}"
     try:
@@ -206,7 +212,8 @@ def publish(messages: DataFrame, target: TopicSource, mode: str = "append") -> N
 
     Kafka: the DataFrame Kafka sink (``topic`` column decides the topic when
     the target has no name).  Files: text files, split into ``topic=``
-    folders when the frame has a topic column and the target is multi-topic.
+    folders when the frame has a topic column and the target is multi-topic; with
+    ``topic_folders=False`` every file keeps the topic as a column.
     The write is one distributed job; no rows pass through the driver.
     """
     if target.fmt == "kafka":
@@ -221,9 +228,12 @@ def publish(messages: DataFrame, target: TopicSource, mode: str = "append") -> N
         )
         return
     fmt = "parquet" if target.fmt == "parquet" else "text"
-    if target.name is None:
+    if target.name is None or not target.topic_folders:
         if "topic" not in messages.columns:
             raise ValueError("multi-topic folder needs a topic column")
+    if not target.topic_folders:
+        messages.select("topic", "value").write.mode(mode).format(fmt).save(target.path)
+    elif target.name is None:
         messages.select("topic", "value").write.mode(mode).partitionBy("topic").format(fmt).save(target.path)
     else:
         messages.select("value").write.mode(mode).format(fmt).save(target.path)

@@ -3,7 +3,8 @@
 ``subscribe`` checks the source, infers the message schema once over all
 messages present and pins it.  ``ingest`` starts the Structured Streaming query:
 message frame -> JSON decode (array-or-object, unreadable dropped) -> flatten
--> Parquet file sink partitioned by ``topic`` with a checkpoint.  The file
+-> Parquet file sink partitioned by ``topic`` with a checkpoint (unpartitioned, the topic a
+column of its files, where the source keeps no folder per topic).  The file
 sink's metadata log gives exactly-once appends, and a restart on the same
 checkpoint resumes where it stopped.
 
@@ -133,17 +134,18 @@ def ingest(
     """Start the history stream.  ``trigger="availableNow"`` replays what is
     there and stops (awaited here); ``"1 second"`` etc. runs continuously."""
     rows = decoded_rows(read_stream(spark, sub.source), sub.schema, sub.sep, sub.rescue, sub.quarantine)
-    folders = ["topic"]
+    folders = ["topic"] if sub.source.topic_folders else []
     if sub.quarantine:
         rows = rows.withColumn(KIND, F.when(F.col(REASON).isNull(), F.lit(ROWS)).otherwise(F.lit("quarantine")))
-        folders = [KIND, "topic"]
+        folders = [KIND, *folders]
     writer = (
         rows.writeStream.format("parquet")
         .option("path", sub.history_path)
         .option("checkpointLocation", sub.checkpoint_path)
-        .partitionBy(*folders)
         .outputMode("append")
     )
+    if folders:
+        writer = writer.partitionBy(*folders)
     if query_name:
         writer = writer.queryName(query_name)
     if trigger == "availableNow":
